@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, url_filters
+from . import media, mixing, packing, simhash, token_counts, url_filters, warc
 from .common import table
 
 
@@ -21,13 +21,37 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def vocabulary_file(name: str) -> str:
+    """Place of a public vocabulary's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.dedupe(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = media.media_columns(table(spark, sf_dir, "documents"))
+    return f.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filters, op5_mixing, op9_simhash)}
+    return {f.__name__: f for f in (op2_url_filters, op5_mixing, op6_packing, op7_token_counts, op8_warc, op9_simhash, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
