@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, simhash, token_counts, url_filters, warc
+from . import langid, media, mixing, packing, simhash, token_counts, url_filters, warc
 from .common import table
 
 
@@ -17,6 +17,20 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("outcome_key"), bad.alias("bad")))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: their lang column is the declaration, their source the host; they have no address."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    return langid.identify(d).withColumn("posterior", F.round("posterior", 6))
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: markup language, address suffix and host beside the text of the html."""
+    host, _ = url_filters.split_url(F.col("url"))
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text"), langid.html_lang(F.col("html")).alias("declared"), host.alias("host"))
+    return langid.identify(p.withColumn("suffix", F.regexp_extract("host", r"([^.:]+)(:\d+)?$", 1))).withColumnRenamed("doc_id", "page_id").withColumn("posterior", F.round("posterior", 6))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -51,7 +65,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filters, op5_mixing, op6_packing, op7_token_counts, op8_warc, op9_simhash, op10_media)}
+    return {f.__name__: f for f in (op2_url_filters, op3_langid, langid_pages, op5_mixing, op6_packing, op7_token_counts, op8_warc, op9_simhash, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
