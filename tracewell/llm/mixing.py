@@ -170,3 +170,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS, shar
         F.transform("used", lambda u: u["shard"]).alias("shards"),
         F.transform("used", lambda u: F.xxhash64(F.lit(seed + 4), u["shard"], u["pass"], F.col("doc_id"))).alias("positions"),
     )
+
+
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns unchanged."""
+    names = docs.columns
+    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    d = docs.withColumn("_words", word_count(F.col("text")))
+    same = d["doc_id"].eqNullSafe(taken["_id"]) & d["source"].eqNullSafe(taken["_source"]) & (d["_words"] == taken["_size"])
+    j = d.join(taken, same)
+    return j.withColumn("_pass", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[f"`{c}`" for c in names])

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, packing, simhash, token_counts, url_filters, warc
+from . import ann, langid, lm_scoring, media, mixing, packing, simhash, token_counts, url_filters, warc
 from .common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is its document's label (the number in its address): bad if toxic or of low quality."""
     key = F.regexp_extract("url", r"/(\d{1,18})(?:[^0-9]|$)", 1).try_cast("long")
@@ -31,6 +35,11 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(p.withColumn("suffix", F.regexp_extract("host", r"([^.:]+)(:\d+)?$", 1))).withColumnRenamed("doc_id", "page_id").withColumn("posterior", F.round("posterior", 6))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm_scoring.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -65,7 +74,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filters, op3_langid, langid_pages, op5_mixing, op6_packing, op7_token_counts, op8_warc, op9_simhash, op10_media)}
+    return {f.__name__: f for f in (op1_ann, op2_url_filters, op3_langid, langid_pages, op4_lm_scoring, op5_mixing, op6_packing, op7_token_counts, op8_warc, op9_simhash, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
