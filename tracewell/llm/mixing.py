@@ -136,7 +136,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS, shar
 
     # units (pass, block) of each source, dealt to the shards
     units = blocks.select("rank", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"), "passes", "room").where("pass < passes OR room > 0")
-    quotas = split_quotas(units.groupBy("rank").agg(F.count("*").alias("units")), shards, seed)
+    quotas = materialize(split_quotas(units.groupBy("rank").agg(F.count("*").alias("units")), shards, seed), "mix-quotas")
     upto = Window.partitionBy("rank").orderBy("shard")
     ranges = quotas.withColumn("upto", F.sum("units").over(upto)).groupBy("rank").agg(F.array_sort(F.collect_list("upto")).alias("upto"))
     permuted = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 2), "rank", "pass", "block"), "pass", "block")

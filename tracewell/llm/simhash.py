@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words
 
-SHINGLE, RADIUS, EQUAL, SEED = 4, 4, 3, 42
+SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a cell that one task compares; larger cells are cut into pairs of chunks.
 CHUNK = 1 << 14
 #: Runs of at most this many fingerprints are compared by shifting, larger ones by searching from each fingerprint.
@@ -44,6 +44,15 @@ SHORT = 32
 _EVEN = 0x5555555555555555
 
 
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first: counted by the values of their bytes."""
+    at = h.astype(">u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+    return (np.bincount(at.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     w = words(text)
     if not w:
@@ -54,13 +63,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     start = np.concatenate(([0], end[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    bits = np.zeros(64, np.int64)
+    counts = np.zeros(64, np.int64)
     n = len(w) - shingle + 1
     for at in range(0, n, 1 << 16):  # bounded memory for long texts
         a, b = start[at : min(n, at + (1 << 16))].tolist(), end[at + shingle - 1 : min(n, at + (1 << 16)) + shingle - 1].tolist()
-        h = np.array([digest(data[i:j], SEED) for i, j in zip(a, b)], ">u8")
-        bits += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > n).view(">u8")[0])
+        counts += bit_counts(np.array([digest(data[i:j], SEED) for i, j in zip(a, b)], np.uint64))
+    return int(np.packbits(2 * counts > n).view(">u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -84,7 +92,7 @@ def segment_counts(fp):
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def cell_masks(radius: int = RADIUS, equal: int = EQUAL) -> list[int]:
+def cell_masks(radius: int, equal: int) -> list[int]:
     """For every choice of ``equal`` of the groups, the packed coordinates it keeps (as signed longs)."""
     groups = np.array_split(np.arange(32), radius + equal)
     field = [sum(3 << (2 * int(i)) for i in g) for g in groups]
@@ -111,14 +119,13 @@ def _linked(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that span the linked groups of one large cell."""
-    out, rest = [], fps
+    """Edges (as places) that span the linked groups of one large cell."""
+    out, rest = [], np.arange(len(fps))
     while len(rest) > 1:
         todo, rest = [rest[:1]], rest[1:]
         while todo and len(rest):
-            near = todo.pop()
-            for v in near:
-                hit = _linked(np.full(len(rest), v), rest, radius)
+            for v in todo.pop():
+                hit = _linked(np.full(len(rest), fps[v]), fps[rest], radius)
                 if len(hit):
                     out.append((np.full(len(hit), v), rest[hit]))
                     todo.append(rest[hit])
@@ -128,9 +135,10 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 def cell_edges(batches, radius: int = RADIUS):
     """Edges of the cells in rows sorted by (cell, part); the last, open run is carried to the next batch."""
-    key_tail, fp_tail = np.empty((0, 3), np.int64), np.empty(0, np.int64)
+    key_tail, tail = np.empty((0, 3), np.int64), np.empty((0, 2), np.int64)
 
-    def edges(keys, fps):
+    def edges(keys, rows):
+        fps, nodes = np.ascontiguousarray(rows[:, 0]), rows[:, 1]
         out = []
         new = np.ones(len(fps), bool)
         new[1:] = (keys[1:] != keys[:-1]).any(1)
@@ -143,40 +151,59 @@ def cell_edges(batches, radius: int = RADIUS):
                 break
             hit = i[_linked(fps[i], fps[i + d], radius)]
             if len(hit):
-                out.append((fps[hit], fps[hit + d]))
+                out.append((hit, hit + d))
         for k in np.flatnonzero(size > SHORT):
-            out += _forest(fps[start[k] : start[k] + size[k]], radius)
+            out += [(a + start[k], b + start[k]) for a, b in _forest(fps[start[k] : start[k] + size[k]], radius)]
         if out:
-            a, b = (np.concatenate(x) for x in zip(*out))
+            a, b = (nodes[np.concatenate(x)] for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
+    def columns(b, names):
+        return np.stack([b.column(c).to_numpy().astype(np.int64) for c in names], 1)
+
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.concatenate((key_tail, np.stack([b.column(c).to_numpy() for c in ("cell", "value", "part")], 1).astype(np.int64)))
-        fps = np.concatenate((fp_tail, b.column("fp").to_numpy()))
+        keys = np.concatenate((key_tail, columns(b, ("cell", "value", "part"))))
+        rows = np.concatenate((tail, columns(b, ("fp", "node"))))
         last = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
         cut = int(last[-1]) + 1 if len(last) else 0
-        key_tail, fp_tail = keys[cut:], fps[cut:]
+        key_tail, tail = keys[cut:], rows[cut:]
         if cut:
-            yield from edges(keys[:cut], fps[:cut])
-    if len(fp_tail):
-        yield from edges(key_tail, fp_tail)
+            yield from edges(keys[:cut], rows[:cut])
+    if len(tail):
+        yield from edges(key_tail, tail)
+
+
+def width(n: int, radius: int = RADIUS, occupancy: float = 1 / 16) -> int:
+    """How many groups a cell has to fix so that unrelated fingerprints seldom share one: cells grow finer with the corpus.
+
+    A segment of two random bits has 1.5 bits of entropy in its count.
+    """
+    return next(equal for equal in range(1, 32 - radius + 1) if n <= occupancy * 2 ** (48 * equal / (radius + equal)) or equal == 16)
+
 
+def links(nodes: DataFrame, radius: int = RADIUS, equal: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """``nodes``: node, fps array<long> (each node once) -> edges (src, dst) between nodes.
 
-def links(distinct: DataFrame, radius: int = RADIUS, equal: int = EQUAL, chunk: int = CHUNK) -> DataFrame:
-    """``distinct``: fp, each once -> edges (src, dst) that connect exactly what links of the radius connect."""
+    With one fingerprint a node the edges connect exactly what links of the radius
+    connect; with several, what links under any of them connect. ``equal`` (see
+    above) changes the work, never the result.
+    """
+    masks = cell_masks(radius, equal or width(nodes.count(), radius))
+    fps = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
     counts = segment_counts(F.col("fp"))
-    masks = cell_masks(radius, equal)
-    cells = distinct.select("fp", F.posexplode(F.array(*[counts.bitwiseAND(F.lit(m)) for m in masks])).alias("cell", "value"))
+    cells = fps.select("node", "fp", "seed", F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: counts.bitwiseAND(m))).alias("mask", "value"))
+    cells = cells.select("node", "fp", (F.col("seed") * len(masks) + F.col("mask")).alias("cell"), "value")
     n = F.count("*").over(Window.partitionBy("cell", "value"))
-    cells = cells.withColumn("n", n).where("n > 1")
+    cells = materialize(cells.withColumn("n", n).where("n > 1"), "cells")
     # part: a pair of chunks (i <= j), written i * k + j; one part where the cell is no larger than a chunk
     k = F.ceil(F.col("n") / F.lit(float(chunk)))
-    own = F.pmod(F.xxhash64("fp"), k)
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j))
-    cells = cells.select("cell", "value", F.explode(F.when(k > 1, parts).otherwise(F.array(F.lit(0).cast("long")))).alias("part"), "fp")
-    rows = cells.repartition("cell", "value", "part").sortWithinPartitions("cell", "value", "part")
+    own = F.pmod(F.xxhash64("fp", "node"), k)
+    parts = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j)))
+    small = cells.where(F.col("n") <= chunk).withColumn("part", F.lit(0).cast("long"))
+    rows = small.unionByName(cells.where(F.col("n") > chunk).withColumn("part", parts)).drop("n")
+    rows = rows.repartition("cell", "value", "part").sortWithinPartitions("cell", "value", "part", "node")
     return rows.mapInArrow(lambda b: cell_edges(b, radius), "src long, dst long").distinct()
 
 
@@ -203,11 +230,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal: int = EQUAL) -> DataFrame:
+def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal: int | None = None) -> DataFrame:
     """``docs``: doc_id, text -> doc_id, fp, component_id (smallest doc_id reachable), one row a document."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = components(links(nodes.select("fp"), radius, equal))
+    roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), radius, equal))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "nodes")
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
@@ -215,10 +242,89 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal:
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents of smallest id of each component, all columns kept; of rows that repeat an id, one."""
-    found = dedupe(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+#: Documents of the corpus are near-duplicates at a Jaccard similarity of ``SIMILAR`` of their sets of ``NEAR_SHINGLE``-word shingles.
+SIMILAR, NEAR_SHINGLE = 0.8, 5
+#: Candidates of them: fingerprints of the distinct words under ``NEAR_SEEDS`` seeds, within ``NEAR_RADIUS`` bits under one of them.
+#: (A changed word is one feature here and five shingles there, so few bits differ; measured recall at 0.8 is near 1.)
+NEAR_SEEDS, NEAR_RADIUS = 6, 3
+
+
+def _shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
+    if not w:
+        return np.empty(0, np.uint64)
+    data = b" ".join(w)
+    if len(w) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(data, SEED)], np.uint64)
+    end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    start = [0, *(end[:-shingle] + 1).tolist()]
+    return np.array([xxhash.xxh64_intdigest(data[i:j], SEED) for i, j in zip(start, end[shingle - 1 :].tolist())], np.uint64)
+
+
+def _remix(h: np.ndarray, seed: int) -> np.ndarray:
+    h = (h ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def near_fingerprints(docs: DataFrame, seeds: int = NEAR_SEEDS) -> DataFrame:
+    """``docs``: doc_id, text -> doc_id, same (hash of the words), fps array<long> (of the distinct words, one for each seed)."""
+
+    def run(batches):
+        for b in batches:
+            same, fps = [], []
+            for text in b.column("text"):
+                w = words(text.as_py())
+                h = _shingle_hashes(list(dict.fromkeys(w)), 1)
+                same.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
+                fps.append([int(np.packbits(2 * bit_counts(_remix(h, k)) > len(h)).view(">u8")[0]) if len(h) else 0 for k in range(seeds)])
+            signed = np.array(fps, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(signed) + 1, seeds), pa.int32()), pa.array(signed))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(same, np.uint64).view(np.int64)), lists], names=["doc_id", "same", "fps"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return d.mapInArrow(run, "doc_id long, same long, fps array<long>")
+
+
+def shingle_sets(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """``docs``: key, text -> key, shingles array<long> (distinct hashes)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(_shingle_hashes(words(t.as_py()), shingle)).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
+
+
+def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``docs``: doc_id, text -> doc_id, component_id (smallest doc_id of its near-duplicates, itself included).
+
+    Texts of the same words are one node. Nodes that share a cell of any seed are
+    candidates when that seed's fingerprints are within the radius; their shingle sets decide.
+    """
+    rows = materialize(near_fingerprints(docs), "near-fingerprints")
+    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("fps").alias("fps"))
+    edges = links(nodes.select(F.col("same").alias("node"), "fps"), NEAR_RADIUS)
+    edges = materialize(edges, "near-candidates")
+    ends = edges.select(F.col("src").alias("same")).union(edges.select(F.col("dst").alias("same"))).distinct()
+    chosen = nodes.join(ends, "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
+    # one text of each candidate node (rows that repeat an id: those of other words have other keys and are told apart below)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("key", "text")
+    sets = materialize(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "near-shingles")
+    a, b = sets.select(F.col("key").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("key").alias("dst"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    similarity = both / F.greatest(F.size("a") + F.size("b") - both, F.lit(1))
+    good = edges.join(a, "src").join(b, "dst").where((similarity >= similar) | ((F.size("a") == 0) & (F.size("b") == 0))).select("src", "dst")
+    roots = components(good)
+    named = materialize(nodes.drop("fps").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root")), "near-nodes")
+    smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    return rows.select("doc_id", "same").join(named.join(smallest, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The document of smallest id of each component of near-duplicates, all columns kept; of rows that repeat an id, one."""
+    found = near_components(docs, similar)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
     return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
