@@ -39,7 +39,7 @@ TRAIN_ROWS, BUCKETS, ALPHA = 20000, 1 << 16, 0.5
 DECLARED_TRUST, SUFFIX_TRUST, HOST_STRENGTH, KEEP = 0.9, 0.6, 20.0, 0.6
 #: A text's trigrams are not independent: their log-likelihood is tempered, and never counts as more than this many.
 TEMPER, MOST_TRIGRAMS = 0.5, 200.0
-OTHER = "other"
+OTHER, OTHER_SPREAD = "other", 4
 #: Languages that an address suffix speaks for. Fixed values, by country.
 SUFFIX_LANGUAGES = {"at": "de", "ch": "de", "de": "de", "es": "es", "mx": "es", "ar": "es", "fr": "fr", "be": "fr", "uk": "en", "us": "en", "ie": "en", "au": "en"}
 #: Bytes that part words become one blank.
@@ -78,14 +78,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     rows = sample.select("declared", "text").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     w = np.empty((BUCKETS, len(languages) + 1), np.float32)
+    seen = max(1024, rows["bucket"].nunique())
     for k, lang in enumerate(languages):
         c = np.zeros(BUCKETS)
         own = rows[rows["lang"] == lang]
         c[own["bucket"].to_numpy()] = own["n"]
-        w[:, k] = np.log((c + ALPHA) / (c.sum() + ALPHA * BUCKETS))
-    # even mass over the trigrams that any language has: what fits none of them is better explained by this
-    seen = max(1, rows["bucket"].nunique())
-    w[:, -1] = np.log(1.0 / seen)
+        w[:, k] = np.log((c + ALPHA) / (c.sum() + ALPHA * seen))
+    # even mass over more trigrams than all languages have: what fits none of them is better explained by this
+    w[:, -1] = -np.log(OTHER_SPREAD * seen)
     return {"languages": languages, "weights": w}
 
 
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, model: dict | None =
     top = F.array_max("joint")
     mass = F.aggregate("joint", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("joint")))
     names = F.array(*map(F.lit, classes))
-    pick = lambda c: F.coalesce(F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int")), F.lit("und"))
+    pick = lambda c: F.when(F.col(c).isNull(), F.lit("und")).otherwise(F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int")))
     j = j.withColumn("lang", pick("joint")).withColumn("posterior", F.when(top.isNull(), 0.0).otherwise(1.0 / mass)).withColumn("text_lang", pick("text_ll"))
     return j.withColumn("kept", ~F.col("lang").isin("und", OTHER) & (F.col("posterior") >= KEEP)).select(cols)
 
