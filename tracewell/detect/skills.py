@@ -120,12 +120,16 @@ def segments(files: DataFrame) -> DataFrame:
     return files.select("skill", "path", F.inline(split("path", F.substring("text", 1, SCAN_BYTES))))
 
 
-@F.pandas_udf("string")
-def folded(text: pd.Series) -> pd.Series:
+def folded(text: Column) -> Column:
     """What patterns look at: compatibility forms folded, invisible characters gone, quotes straightened, blanks collapsed."""
     drop = dict.fromkeys([0xAD, 0x200B, *range(0x2060, 0x2065), 0xFEFF, 0x180E, *range(0xFE00, 0xFE10), *range(0x202A, 0x202F), *range(0x2066, 0x206A)])
     quotes = str.maketrans("\u2018\u2019\u201c\u201d", "''" + '""')
-    return text.map(lambda t: None if t is None else re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", t.translate(drop)).translate(quotes)))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", t.translate(drop)).translate(quotes)))
+
+    return run(text)
 
 
 #: Rules on the raw text: rule, severity, kinds, Java pattern.
@@ -147,7 +151,7 @@ RAW_RULES = [
 
 def text_findings(segs: DataFrame) -> DataFrame:
     """Segments -> skill, path, rule, severity, line (of the first hit in the segment)."""
-    s = segs.withColumn("folded", folded("text")).withColumn("bare", F.regexp_replace("text", FLAG, ""))
+    s = segs.withColumn("folded", folded(F.col("text"))).withColumn("bare", F.regexp_replace("text", FLAG, ""))
     line = lambda text, p: F.col("line") + F.regexp_count(F.substring(text, F.lit(1), F.greatest(F.regexp_instr(text, F.lit(p)) - 1, F.lit(0))), F.lit("\n"))
     out = []
     for rules, text in ((RAW_RULES, F.col("bare")), ([(i, s_, k, re2_to_java(p)) for i, s_, k, p in TEXT_RULES], F.col("folded"))):

@@ -9,8 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FORWARDED = (F.col("decision") == "allow") | F.col("shadow")
-BLOCKED = (F.col("decision") != "allow") & ~F.col("shadow")
+
+def went_through() -> Column:
+    """Did the call reach its server?"""
+    return (F.col("decision") == "allow") | F.col("shadow")
+
+
+def blocked() -> Column:
+    return ~went_through()
 
 
 def _count_if(c: Column, name: str) -> Column:
@@ -58,7 +64,7 @@ def call_filter(calls: DataFrame, session: str | None = None, decision: str | No
 
 def forwarded(calls: DataFrame, since_ms: int = 0) -> DataFrame:
     """What reached a server since then: four columns, for billing."""
-    return calls.where((F.col("ts_ms") >= since_ms) & FORWARDED).select("ts_ms", "tool", "tokens_est", "session_id")
+    return calls.where((F.col("ts_ms") >= since_ms) & went_through()).select("ts_ms", "tool", "tokens_est", "session_id")
 
 
 def global_stats(sessions: DataFrame, calls: DataFrame, since_ms: int = 0) -> DataFrame:
@@ -75,7 +81,7 @@ def global_stats(sessions: DataFrame, calls: DataFrame, since_ms: int = 0) -> Da
 def tool_stats(calls: DataFrame, since_ms: int = 0) -> DataFrame:
     """Per tool, most used first."""
     return calls.where(F.col("ts_ms") >= since_ms).groupBy("tool").agg(
-        F.max("upstream").alias("upstream"), F.count("*").alias("calls"), _count_if(FORWARDED, "allowed"),
+        F.max("upstream").alias("upstream"), F.count("*").alias("calls"), _count_if(went_through(), "allowed"),
         _count_if((F.col("decision") == "deny") & ~F.col("shadow"), "denied"), _count_if(F.col("decision") == "ask", "asked"),
         _count_if(F.col("is_error"), "errors"), F.round(F.avg(F.when(F.col("decision") == "allow", F.col("duration_ms"))), 6).alias("avg_ms"),
         F.sum("tokens_est").alias("tokens"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
@@ -182,7 +188,7 @@ def cost(prices: list[tuple[str, float]], per_million_tokens: float = 0.0) -> Co
 
 def bill(calls: DataFrame, prices, per_million_tokens: float, start_ms: int, end_ms: int) -> DataFrame:
     """Calls, tokens and cost by day, by tool and in total, as grouping sets of one pass."""
-    c = calls.where((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms) & FORWARDED)
+    c = calls.where((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms) & went_through())
     c = c.select(F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd").alias("day"), "tool", "tokens_est", cost(prices, per_million_tokens).alias("cost"))
     out = c.groupingSets([["day"], ["tool"], []], "day", "tool").agg(F.count("*").alias("calls"), F.sum("tokens_est").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
     return out.select(F.coalesce("day", F.lit("")).alias("day"), F.coalesce("tool", F.lit("")).alias("tool"), "calls", "tokens", "cost")
@@ -226,7 +232,7 @@ def round_up(n: Column) -> Column:
 def suggest(calls: DataFrame) -> DataFrame:
     """A policy fitting what was seen: per tool allow or deny, and a budget of twice the busiest session."""
     busiest = calls.groupBy("session_id").count().agg(F.max("count").alias("most"))
-    t = calls.groupBy("tool").agg(_count_if(FORWARDED, "allowed"), F.count("*").alias("calls"), F.max(F.col("rule_id") == "honeypot").alias("trap"))
+    t = calls.groupBy("tool").agg(_count_if(went_through(), "allowed"), F.count("*").alias("calls"), F.max(F.col("rule_id") == "honeypot").alias("trap"))
     action = F.when(F.col("trap"), "honeypot").when(F.col("allowed") > 0, "allow").otherwise("deny")
     return t.join(busiest).select("tool", "calls", action.alias("action"), round_up(F.col("most") * 2).alias("calls_per_session"))
 

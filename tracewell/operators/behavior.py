@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .audit import FORWARDED
+from .audit import went_through
 
 
 def arg_keys(args_json: Column) -> Column:
@@ -26,7 +26,7 @@ def quantiles(calls: DataFrame, value: str, qs=(0.5, 0.95)) -> DataFrame:
 
 def profile(calls: DataFrame) -> DataFrame:
     """One row a tool: calls, error rate, quantiles of result size and duration, argument names, labels, last call."""
-    c = calls.where(FORWARDED)
+    c = calls.where(went_through())
     base = c.groupBy("tool").agg(F.count("*").alias("calls"), F.round(F.avg(F.col("is_error").cast("double")), 6).alias("error_rate"), F.max("ts_ms").alias("to_ms"))
     names = lambda values, name: c.select("tool", F.explode(values).alias("v")).distinct().groupBy("tool").agg(F.array_sort(F.collect_list("v")).alias(name))
     out = base.join(quantiles(c, "result_bytes"), "tool").join(quantiles(c, "duration_ms"), "tool")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .audit import FORWARDED
+from .audit import went_through
 
 
 def _ordered():
@@ -29,7 +29,7 @@ def trailing_rate(calls: DataFrame, window_ms: int = 60_000) -> DataFrame:
     """Forwarded calls of the session in the ``window_ms`` before each call: later calls of the same millisecond do not count."""
     w = Window.partitionBy("session_id").orderBy("ts_ms").rangeBetween(-(window_ms - 1), 0)
     peers = Window.partitionBy("session_id", "ts_ms").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    went = FORWARDED.cast("int")
+    went = went_through().cast("int")
     return calls.select("id", (F.sum(went).over(w) - F.sum(went).over(peers)).cast("long").alias("rate"))
 
 
@@ -37,7 +37,7 @@ def running_counters(calls: DataFrame) -> DataFrame:
     """What the session had forwarded, with this tool and in tokens, before each call."""
     before = _ordered().rowsBetween(Window.unboundedPreceding, -1)
     by_tool = Window.partitionBy("session_id", "tool").orderBy("ts_ms", "id").rowsBetween(Window.unboundedPreceding, -1)
-    went = FORWARDED.cast("int")
+    went = went_through().cast("int")
     total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
     return calls.select("id", total(went, before).alias("session_calls"), total(went, by_tool).alias("tool_calls"), total(went * F.col("tokens_est"), before).alias("tokens"))
 
@@ -71,7 +71,7 @@ def shared_labels(calls: DataFrame, within_ms: int = 30 * 60_000) -> DataFrame:
 def daily_ledger(calls: DataFrame, amount) -> DataFrame:
     """Spent since midnight, before and with each forwarded call."""
     day = F.floor(F.col("ts_ms") / 86_400_000).cast("long")
-    c = calls.where(FORWARDED).select("id", day.alias("day"), "session_id", "ts_ms", amount.alias("amount"))
+    c = calls.where(went_through()).select("id", day.alias("day"), "session_id", "ts_ms", amount.alias("amount"))
     w = Window.partitionBy("day", "session_id").orderBy("ts_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
     return c.select("id", F.round(F.sum("amount").over(w), 6).alias("spent"))
 

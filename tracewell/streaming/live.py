@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..operators.audit import FORWARDED
+from ..operators.audit import went_through
 from ..sources.log import CALL_COLUMNS, upgraded
 
 
@@ -98,7 +98,7 @@ def tail(calls: DataFrame, sink, last_seq: int = -1):
 
 def notifications(calls: DataFrame, events: tuple[str, ...] = ("denied", "honeypot", "canary", "quarantine", "error")) -> DataFrame:
     """Event rows of the subscribed kinds, as JSON."""
-    kind = F.when(F.col("rule_id").isin("honeypot", "canary", "quarantine"), F.col("rule_id")).when((F.col("decision") == "deny") & ~F.col("shadow"), "denied").when(F.col("is_error"), "error").when(FORWARDED, "allowed")
+    kind = F.when(F.col("rule_id").isin("honeypot", "canary", "quarantine"), F.col("rule_id")).when((F.col("decision") == "deny") & ~F.col("shadow"), "denied").when(F.col("is_error"), "error").when(went_through(), "allowed")
     e = calls.withColumn("event", kind).where(F.col("event").isin(*events))
     return e.select(F.to_json(F.struct("event", "id", "session_id", "tool", "ts_ms", "rule_id")).alias("value"))
 
