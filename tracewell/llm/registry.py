@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm_scoring, media, mixing, packing, simhash, token_counts, url_filters, warc
+from . import ann, langid, lm_scoring, media, mixing, oracles, packing, simhash, token_counts, url_filters, warc
 from .common import table
 
 
@@ -78,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": oracles.OP2, "op8_warc": oracles.OP8}
