@@ -21,6 +21,7 @@ by one; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -35,37 +36,75 @@ CAPACITY, END_ID, SALTS = 4096, 1, 64
 #: Pattern search: middle lengths tried for each first length, worst waste allowed, sweeps of the fit.
 MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
 #: Distinct words that a task remembers the ids of.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1_200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _process_cache(name: str) -> dict:
+    """A dict that lives as long as the worker's process, which runs many tasks."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("tracewell_worker_cache", types.ModuleType("tracewell_worker_cache")).__dict__.setdefault(name, {})
+
+
 def word_tokenizer(path: str):
     """text -> little-endian uint32 ids, remembering the ids of words.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's
     ids are those of its words in turn; texts that may hold a special token's
-    string are encoded whole.
+    string are encoded whole.  A plain Latin word with closing punctuation is two
+    pre-tokens at most, which go to the tokenizer's model directly; any other word
+    goes through the whole tokenizer.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    seen: dict[bytes, bytes] = {}
+    from array import array
+
+    cache = _process_cache(f"ids {path}")
+    if "tokenizer" not in cache:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        cache |= {"tokenizer": tok, "words": {}, "pieces": {}}
+    tok, seen, pieces = cache["tokenizer"], cache["words"], cache["pieces"]
+    tokenize = tok.model.tokenize
+    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:]*)").fullmatch
+    # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def piece(s: str) -> bytes:
+        ids = pieces.get(s)
+        if ids is None:
+            ids = pieces[s] = array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(alphabet))]).tobytes()
+        return ids
+
+    def remember(new) -> None:
+        other = []
+        for w in new:
+            m = plain(w.decode("utf-8", "replace"))
+            if m:
+                seen[w] = piece(m[1].lower()) + piece(m[2]) if m[2] else piece(m[1].lower())
+            else:
+                other.append(w)
+        if other:
+            found = tok.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+            seen.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, found))
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
         if "<|" in text:
-            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
         w = text.encode("utf-8", "surrogatepass").split()
-        new = [x for x in dict.fromkeys(w) if x not in seen]
+        new = set(w).difference(seen)
         if new:
             if len(seen) + len(new) > CACHE_WORDS:
                 seen.clear()
-                new = list(dict.fromkeys(w))
-            ids = tok.encode_batch([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-            seen.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in ids)))
+                pieces.clear()
+                new = set(w)
+            remember(new)
         return b"".join(map(seen.__getitem__, w))
 
     return encode

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words
 
-SHINGLE, RADIUS, SEED = 4, 4, 42
+SHINGLE, RADIUS, EQUAL, SEED = 4, 4, 4, 42
 #: Fingerprints of a cell that one task compares; larger cells are cut into pairs of chunks.
 CHUNK = 1 << 14
 #: Runs of at most this many fingerprints are compared by shifting, larger ones by searching from each fingerprint.
@@ -176,21 +176,21 @@ def cell_edges(batches, radius: int = RADIUS):
 
 
 def width(n: int, radius: int = RADIUS, occupancy: float = 1 / 16) -> int:
-    """How many groups a cell has to fix so that unrelated fingerprints seldom share one: cells grow finer with the corpus.
+    """The ``equal`` to choose for a corpus of ``n`` fingerprints: cells so fine that unrelated ones seldom share one.
 
     A segment of two random bits has 1.5 bits of entropy in its count.
     """
     return next(equal for equal in range(1, 32 - radius + 1) if n <= occupancy * 2 ** (48 * equal / (radius + equal)) or equal == 16)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, equal: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, equal: int = EQUAL, chunk: int = CHUNK) -> DataFrame:
     """``nodes``: node, fps array<long> (each node once) -> edges (src, dst) between nodes.
 
     With one fingerprint a node the edges connect exactly what links of the radius
     connect; with several, what links under any of them connect. ``equal`` (see
-    above) changes the work, never the result.
+    ``width``) changes the work, never the result.
     """
-    masks = cell_masks(radius, equal or width(nodes.count(), radius))
+    masks = cell_masks(radius, equal)
     fps = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
     counts = segment_counts(F.col("fp"))
     cells = fps.select("node", "fp", "seed", F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: counts.bitwiseAND(m))).alias("mask", "value"))
@@ -230,7 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal: int | None = None) -> DataFrame:
+def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal: int = EQUAL) -> DataFrame:
     """``docs``: doc_id, text -> doc_id, fp, component_id (smallest doc_id reachable), one row a document."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
@@ -246,7 +246,7 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal:
 SIMILAR, NEAR_SHINGLE = 0.8, 5
 #: Candidates of them: fingerprints of the distinct words under ``NEAR_SEEDS`` seeds, within ``NEAR_RADIUS`` bits under one of them.
 #: (A changed word is one feature here and five shingles there, so few bits differ; measured recall at 0.8 is near 1.)
-NEAR_SEEDS, NEAR_RADIUS = 6, 3
+NEAR_SEEDS, NEAR_RADIUS, NEAR_EQUAL = 6, 3, 3
 
 
 def _shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
@@ -304,7 +304,7 @@ def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     rows = materialize(near_fingerprints(docs), "near-fingerprints")
     nodes = rows.groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("fps").alias("fps"))
-    edges = links(nodes.select(F.col("same").alias("node"), "fps"), NEAR_RADIUS)
+    edges = links(nodes.select(F.col("same").alias("node"), "fps"), NEAR_RADIUS, NEAR_EQUAL)
     edges = materialize(edges, "near-candidates")
     ends = edges.select(F.col("src").alias("same")).union(edges.select(F.col("dst").alias("same"))).distinct()
     chosen = nodes.join(ends, "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))

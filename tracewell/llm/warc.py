@@ -9,7 +9,7 @@ once, by the page of largest id; the others become revisit records that name it.
 
 Writing: one shuffle of the payloads by digest; each record is one row of
 Spark's text writer with the record's closing CRLF CRLF as line separator, so
-archives are committed like any other Spark output, on any file system.
+archives are committed (gzipped) like any other Spark output, on any file system.
 Reading: whole archive files (bounded by ``FILE_RECORDS`` and by the writing
 task), records by their Content-Length; continuation records are grouped by origin,
 ordered by number, checked against the total length and de-chunked.
@@ -23,6 +23,7 @@ crash. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-SEGMENT, CHUNK, REVISIT_FROM, FILE_RECORDS = 16384, 4096, 1000, 4000
+SEGMENT, CHUNK, REVISIT_FROM, FILE_RECORDS = 16384, 4096, 1000, 1000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 RECORD_SCHEMA = "page_id long, type string, origin string, number int, total long, refers_to long, digest string, block binary"
 
@@ -131,7 +132,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, date: str = "2024
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -151,7 +152,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             for b in batches:
                 for content in b.column("content"):
-                    rows = [r for r in rows_of(content.as_py()) if (r[3] is not None) == segmented]
+                    data = content.as_py()
+                    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                    rows = [r for r in rows_of(data) if (r[3] is not None) == segmented]
                     for i in range(0, len(rows), 1000):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1000]), kinds)], names=names)
 

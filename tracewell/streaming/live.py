@@ -7,7 +7,6 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.audit import went_through
 from ..sources.log import CALL_COLUMNS, upgraded
@@ -46,44 +45,35 @@ STATE = "calls long, tokens long, streak long, signature string, recent array<lo
 COUNTED = "id string, session_id string, session_calls long, tokens long, repeats long, last_minute long, labels array<string>"
 
 
-class SessionCounters(StatefulProcessor):
-    """State of a session between micro-batches: what budgets, the loop guard and label rules look at.
+def session_counters(calls: DataFrame, ttl_ms: int = 24 * 3_600_000) -> DataFrame:
+    """For each call the session's counters as they stood before it: what budgets, the loop guard and label rules look at.
 
-    Emits for each call the counters as they stood before it. Within a batch calls
-    are folded in order of time and id; a session silent for ``ttl_ms`` is forgotten.
+    A stateful operator keyed by session. Within a micro-batch calls are folded in
+    order of time and id; a session silent for ``ttl_ms`` of processing time is forgotten.
     """
 
-    def __init__(self, ttl_ms: int = 24 * 3_600_000):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("session", STATE, ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        got = self.state.get() if self.state.exists() else None
-        calls, tokens, streak, signature, recent, labels = got if got else (0, 0, 0, None, [], [])
-        recent, labels, out = list(recent or []), set(labels or []), []
-        pdf = pd.concat(list(rows)).sort_values(["ts_ms", "id"])
-        for r in pdf.itertuples():
+    def fold(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, tokens, streak, signature, recent, labels = state.get if state.exists else (0, 0, 0, "", [], [])
+        recent, labels, out = list(recent), set(labels), []
+        for r in pd.concat(list(batches)).sort_values(["ts_ms", "id"]).itertuples():
             sig = f"{r.tool}\x00{r.args_hash}"
             repeats = streak if sig == signature else 0
             streak, signature = repeats + 1, sig
             recent = [t for t in recent if t > r.ts_ms - 60_000]
-            out.append((r.id, key[0], calls, tokens, repeats, len(recent), sorted(labels)))
+            out.append((r.id, key[0], n, tokens, repeats, len(recent), sorted(labels)))
             if r.decision == "allow" or r.shadow:
-                calls, tokens = calls + 1, tokens + int(r.tokens_est or 0)
+                n, tokens = n + 1, tokens + int(r.tokens_est)
                 recent.append(int(r.ts_ms))
-                labels.update(list(r.labels) if r.labels is not None else [])
-        self.state.update((calls, tokens, streak, signature, recent, sorted(labels)))
+                labels.update(r.labels)
+        state.update((n, tokens, streak, signature, recent, sorted(labels)))
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in COUNTED.split(", ")])
 
-    def close(self) -> None:
-        pass
-
-
-def session_counters(calls: DataFrame) -> DataFrame:
-    """Running counters of every session, kept by a stateful operator (RocksDB state store)."""
-    return calls.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionCounters(), outputStructType=COUNTED, outputMode="Append", timeMode="ProcessingTime")
+    c = calls.select("id", "session_id", "ts_ms", "tool", "args_hash", "decision", "shadow", "tokens_est", "labels")
+    return c.groupBy("session_id").applyInPandasWithState(fold, COUNTED, STATE, "append", "ProcessingTimeTimeout")
 
 
 def tail(calls: DataFrame, sink, last_seq: int = -1):
