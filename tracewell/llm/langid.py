@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES
+from .common import LOWER_BYTES, materialize
 
 TRAIN_ROWS, BUCKETS, ALPHA = 20000, 1 << 16, 0.5
+#: Hosts whose priors are broadcast at most; more of them are joined by shuffle.
+BROADCAST_HOSTS = 50_000
 DECLARED_TRUST, SUFFIX_TRUST, HOST_STRENGTH, KEEP = 0.9, 0.6, 20.0, 0.6
 #: A text's trigrams are not independent: their log-likelihood is tempered, and never counts as more than this many.
 TEMPER, MOST_TRIGRAMS = 0.5, 200.0
@@ -142,8 +144,10 @@ def with_host_prior(docs: DataFrame, languages: list[str]) -> DataFrame:
     counts = F.array(*[F.col(f"n{i}").cast("double") for i in k])
     base = domains.select("domain", counts.alias("dn"), prior.alias("p")).select("domain", _smooth(F.col("dn"), F.col("p")).alias("base"))
     table = hosts.select("host", "domain", counts.alias("hn")).join(base, "domain").select(F.col("host").alias("of_host"), "hn", "base")
-    # Spark broadcasts the hosts if they are few; else rows and hosts meet by a split-able sort-merge join
-    j = docs.join(table, F.col("host") == F.col("of_host"), "left")
+    table = materialize(table, "host-priors")
+    # counted hosts that are few are broadcast, so texts stay where they are; else rows and hosts meet by a split-able sort-merge join
+    few = table.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    j = docs.join(F.broadcast(table) if few else table, F.col("host") == F.col("of_host"), "left")
     zero = F.array(*[F.lit(0.0) for _ in k])
     own = F.array(*[F.when(F.col("declared") == c, 1.0).otherwise(0.0) for c in languages])
     others = F.zip_with(F.coalesce("hn", zero), own, lambda a, o: F.greatest(a - o, F.lit(0.0)))
