@@ -157,7 +157,7 @@ def bill_grouping_sets(c, s):
     return audit.bill(c, PRICES, PER_MILLION, 1704067200000, NOW)
 
 
-@query(f"""SELECT id, round(sum(CASE WHEN tool IN ('app__click', 'app__view') THEN 0.01 ELSE 0.5 END) OVER (PARTITION BY floor(ts_ms / 86400000), session_id ORDER BY ts_ms, id), 6) AS spent FROM calls WHERE {FWD}""")
+@query(f"""SELECT id, round(sum(CAST(CASE WHEN tool IN ('app__click', 'app__view') THEN 0.01 ELSE 0.5 END AS DOUBLE)) OVER (PARTITION BY floor(ts_ms / 86400000), session_id ORDER BY ts_ms, id), 6) AS spent FROM calls WHERE {FWD}""")
 def daily_ledger(c, s):
     return ordered.daily_ledger(c, F.when(F.col("tool").isin("app__click", "app__view"), 0.01).otherwise(0.5))
 
