@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-TREES, SAMPLE_ROWS, LEAF_ROWS, SEARCH_SHARE, CHUNK_ROWS, SEED = 8, 8192, 32, 1.0, 4096, 11
+TREES, SAMPLE_ROWS, LEAF_ROWS, SEARCH_SHARE, CHUNK_ROWS, SEED = 8, 8192, 32, 2.0, 4096, 11
 
 
 def usable(vectors: DataFrame) -> DataFrame:
