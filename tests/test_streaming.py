@@ -36,7 +36,7 @@ def test_tail_in_chain_order(spark, sf, tmp_path):
 
 def test_session_state_equals_batch(spark, sf, tmp_path):
     calls, s = stream(spark, sf, tmp_path, files=1)
-    got = {r["id"]: (r["session_calls"], r["tokens"]) for r in run(live.session_counters(s), "counters")}
+    got = {r["id"]: (r["session_calls"], r["tokens"]) for r in run(live.session_counters(s, ttl_ms=None), "counters")}
     want = {r["id"]: (r["session_calls"], r["tokens"]) for r in ordered.running_counters(calls).collect()}
     assert got == want
 

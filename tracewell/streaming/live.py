@@ -45,11 +45,12 @@ STATE = "calls long, tokens long, streak long, signature string, recent array<lo
 COUNTED = "id string, session_id string, session_calls long, tokens long, repeats long, last_minute long, labels array<string>"
 
 
-def session_counters(calls: DataFrame, ttl_ms: int = 24 * 3_600_000) -> DataFrame:
+def session_counters(calls: DataFrame, ttl_ms: int | None = 24 * 3_600_000) -> DataFrame:
     """For each call the session's counters as they stood before it: what budgets, the loop guard and label rules look at.
 
     A stateful operator keyed by session. Within a micro-batch calls are folded in
     order of time and id; a session silent for ``ttl_ms`` of processing time is forgotten.
+    A run that is to end by itself (``availableNow``) needs ``ttl_ms=None``: timeouts ask for ever more batches.
     """
 
     def fold(key, batches, state):
@@ -69,11 +70,12 @@ def session_counters(calls: DataFrame, ttl_ms: int = 24 * 3_600_000) -> DataFram
                 recent.append(int(r.ts_ms))
                 labels.update(r.labels)
         state.update((n, tokens, streak, signature, recent, sorted(labels)))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in COUNTED.split(", ")])
 
     c = calls.select("id", "session_id", "ts_ms", "tool", "args_hash", "decision", "shadow", "tokens_est", "labels")
-    return c.groupBy("session_id").applyInPandasWithState(fold, COUNTED, STATE, "append", "ProcessingTimeTimeout")
+    return c.groupBy("session_id").applyInPandasWithState(fold, COUNTED, STATE, "append", "NoTimeout" if ttl_ms is None else "ProcessingTimeTimeout")
 
 
 def tail(calls: DataFrame, sink, last_seq: int = -1):
