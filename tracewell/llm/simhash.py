@@ -244,9 +244,9 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal:
 
 #: Documents of the corpus are near-duplicates at a Jaccard similarity of ``SIMILAR`` of their sets of ``NEAR_SHINGLE``-word shingles.
 SIMILAR, NEAR_SHINGLE = 0.8, 5
-#: Candidates of them: fingerprints of the distinct words under ``NEAR_SEEDS`` seeds, within ``NEAR_RADIUS`` bits under one of them.
-#: (A changed word is one feature here and five shingles there, so few bits differ; measured recall at 0.8 is near 1.)
-NEAR_SEEDS, NEAR_RADIUS, NEAR_EQUAL = 6, 3, 3
+#: Candidates of them: nodes whose ``BAND_ROWS`` smallest hashes agree under one of ``BANDS`` groups of seeds. A pair of similarity J is
+#: missed with probability (1 - J^BAND_ROWS)^BANDS, whatever the edit and the length: 3.2e-6 at 0.8, 6e-12 at 0.9.
+BAND_ROWS, BANDS = 4, 24
 
 
 def _shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
@@ -266,23 +266,41 @@ def _remix(h: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def near_fingerprints(docs: DataFrame, seeds: int = NEAR_SEEDS) -> DataFrame:
-    """``docs``: doc_id, text -> doc_id, same (hash of the words), fps array<long> (of the distinct words, one for each seed)."""
+def bands(sets: list[np.ndarray], rows: int = BAND_ROWS, n: int = BANDS) -> np.ndarray:
+    """For each of the non-empty shingle lists one value a band, made of the smallest hashes under the band's seeds."""
+    out = np.zeros((len(sets), n), np.uint64)
+    size = np.array([len(h) for h in sets])
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(sets):  # bounded memory for long texts
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + (1 << 17), "right")))
+        flat = np.concatenate(sets[at:to])
+        start = ends[at:to] - size[at:to] - (ends[at] - size[at])
+        for k in range(n * rows):
+            least = np.minimum.reduceat(_remix(flat, k), start)
+            out[at:to, k // rows] = _remix(out[at:to, k // rows] ^ least, k % rows)
+        at = to
+    return out.view(np.int64)
+
+
+def near_bands(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """``docs``: doc_id, text -> doc_id, same (hash of the words), bands array<long> (empty where there is no word)."""
 
     def run(batches):
         for b in batches:
-            same, fps = [], []
+            same, sets = [], []
             for text in b.column("text"):
                 w = words(text.as_py())
-                h = _shingle_hashes(list(dict.fromkeys(w)), 1)
+                sets.append(_shingle_hashes(w, shingle))
                 same.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
-                fps.append([int(np.packbits(2 * bit_counts(_remix(h, k)) > len(h)).view(">u8")[0]) if len(h) else 0 for k in range(seeds)])
-            signed = np.array(fps, np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(signed) + 1, seeds), pa.int32()), pa.array(signed))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(same, np.uint64).view(np.int64)), lists], names=["doc_id", "same", "fps"])
+            full = [h for h in sets if len(h)]
+            flat = bands(full).ravel() if full else np.empty(0, np.int64)
+            ends = np.cumsum([0] + [BANDS * bool(len(h)) for h in sets])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(same, np.uint64).view(np.int64)), lists], names=["doc_id", "same", "bands"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(run, "doc_id long, same long, fps array<long>")
+    return d.mapInArrow(run, "doc_id long, same long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
@@ -296,31 +314,52 @@ def shingle_sets(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
 
 
+def near_cells(nodes: DataFrame) -> DataFrame:
+    """``nodes``: same, bands -> node, band, value, n, hub, other for each cell of n > 1 nodes; hubs are the smallest node and one that differs by band."""
+    cells = nodes.select(F.col("same").alias("node"), F.posexplode("bands").alias("band", "value"))
+    one = Window.partitionBy("band", "value")
+    other = F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).over(one)["node"]
+    cells = cells.select("node", "band", "value", F.count("*").over(one).alias("n"), F.min("node").over(one).alias("hub"), other.alias("other"))
+    return materialize(cells.where("n > 1"), "near-cells")
+
+
+def near_candidates(cells: DataFrame) -> DataFrame:
+    """Pairs (src, dst): all of a cell of at most SHORT nodes, those with a hub of a larger one."""
+    small = cells.where(F.col("n") <= SHORT).select("band", "value", "node")
+    pairs = small.withColumnRenamed("node", "src").join(small.withColumnRenamed("node", "dst"), ["band", "value"]).where("src < dst").select("src", "dst")
+    large = cells.where(F.col("n") > SHORT)
+    for hub in ("hub", "other"):
+        pairs = pairs.union(large.where(F.col(hub) != F.col("node")).select(F.least(hub, "node"), F.greatest(hub, "node")))
+    return pairs.distinct()
+
+
 def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs``: doc_id, text -> doc_id, component_id (smallest doc_id of its near-duplicates, itself included).
 
-    Texts of the same words are one node. Nodes that share a cell of any seed are
-    candidates when that seed's fingerprints are within the radius; their shingle sets decide.
+    Texts of the same words are one node. Nodes that share a band's value are candidates; their shingle sets decide.
     """
-    rows = materialize(near_fingerprints(docs), "near-fingerprints")
-    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("fps").alias("fps"))
-    edges = links(nodes.select(F.col("same").alias("node"), "fps"), NEAR_RADIUS, NEAR_EQUAL)
-    edges = materialize(edges, "near-candidates")
+    rows = materialize(near_bands(docs), "near-bands")
+    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
+    edges = materialize(near_candidates(near_cells(nodes)), "near-candidates")
     ends = edges.select(F.col("src").alias("same")).union(edges.select(F.col("dst").alias("same"))).distinct()
     chosen = nodes.join(ends, "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
     # one text of each candidate node (rows that repeat an id: those of other words have other keys and are told apart below)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("key", "text")
     sets = materialize(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "near-shingles")
-    a, b = sets.select(F.col("key").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("key").alias("dst"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    similarity = both / F.greatest(F.size("a") + F.size("b") - both, F.lit(1))
-    good = edges.join(a, "src").join(b, "dst").where((similarity >= similar) | ((F.size("a") == 0) & (F.size("b") == 0))).select("src", "dst")
+    good = alike(edges, sets, similar)
     roots = components(good)
-    named = materialize(nodes.drop("fps").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root")), "near-nodes")
+    named = materialize(nodes.drop("bands").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root")), "near-nodes")
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     return rows.select("doc_id", "same").join(named.join(smallest, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
 
 
+def alike(edges: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The edges (src, dst) whose shingle sets are at least so similar."""
+    a, b = sets.select(F.col("key").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("key").alias("dst"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return edges.join(a, "src").join(b, "dst").where(both / (F.size("a") + F.size("b") - both) >= similar).select("src", "dst")
+
+
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The document of smallest id of each component of near-duplicates, all columns kept; of rows that repeat an id, one."""
     found = near_components(docs, similar)
