@@ -53,3 +53,61 @@ def test_candidates_by_kind_of_edit(kind, length):
         a, b = simhash.bands([simhash._shingle_hashes(words(" ".join(t)), 5) for t in (w, other)])
         found, pairs = found + bool((a == b).any()), pairs + 1
     assert found == pairs
+
+
+def kept_by_all_pairs(texts, similar=0.8):
+    sets = [shingles(words(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return sorted(set(root))
+
+
+def template_texts(rng, groups=3, copies=24):
+    """A template under 0.8 to all its copies, which are groups of near copies among themselves."""
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 200)]
+    texts = [" ".join(base)]
+    for g in range(groups):
+        w = list(base)
+        for at in range(10 * g + 2, 200, 32):
+            w[at] = f"g{g}x{at}"
+        for c in range(copies):
+            texts.append(" ".join(w + [f"c{g}x{c}"]))
+    return texts
+
+
+def test_large_cells_are_searched_by_similarity(spark):
+    """Hubs under 0.8 to the rest do not take the links among the rest away."""
+    texts = template_texts(np.random.default_rng(1))
+    sets = [simhash._shingle_hashes(words(t), 5) for t in texts]
+    most = max(max(np.unique(c, return_counts=True)[1]) for c in simhash.bands(sets).T)
+    assert most > simhash.SHORT
+    want = kept_by_all_pairs(texts)
+    assert len(want) == 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == want
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 1500])
+def test_forest_without_hubs(spark, chunk):
+    """All links come from the forest; a cell cut into pairs of chunks connects the same."""
+    texts = template_texts(np.random.default_rng(2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    cells = spark.createDataFrame([(i, 0, 7, i) for i in range(len(texts))], "node long, band int, value long, root long")
+    sets = simhash.shingle_sets(docs)
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.near_forest(cells, sets, 0.8, chunk)).collect()}
+    assert sorted({roots.get(i, i) for i in range(len(texts))}) == kept_by_all_pairs(texts)
+
+
+def test_orders_of_the_same_words(spark):
+    """Many texts of the same distinct words, near copies only within their group."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(3):
+        w = [f"w{x}" for x in rng.permutation(100)]
+        texts += [" ".join(w[:at] + [w[at + 1], w[at]] + w[at + 2 :]) for at in (0, 95, 1, 96, 2, 97, 3, 0, 1, 2, 95, 96, 97)] + [" ".join(w + [w[c]]) for c in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == kept_by_all_pairs(texts) == [0, 33, 66]

@@ -247,6 +247,8 @@ SIMILAR, NEAR_SHINGLE = 0.8, 5
 #: Candidates of them: nodes whose ``BAND_ROWS`` smallest hashes agree under one of ``BANDS`` groups of seeds. A pair of similarity J is
 #: missed with probability (1 - J^BAND_ROWS)^BANDS, whatever the edit and the length: 3.2e-6 at 0.8, 6e-12 at 0.9.
 BAND_ROWS, BANDS = 4, 24
+#: Shingles of a large cell that one task compares with as many others.
+NEAR_CHUNK = 1 << 19
 
 
 def _shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
@@ -333,20 +335,82 @@ def near_candidates(cells: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def open_cells(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the large cells those whose nodes are not yet one component: node, band, value, root."""
+    known = large.select("node", "band", "value").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = materialize(known, "near-open")
+    apart = known.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
+    return known.join(apart, ["band", "value"])
+
+
+def verified_forest(root: np.ndarray, flat: np.ndarray, size: np.ndarray, similar: float) -> list[tuple[int, np.ndarray]]:
+    """Links (as a place and places) that join all roots which a pair of similar sets joins. ``flat``: the sets, one after the other."""
+    _, label, members = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.argsort(members[label], kind="stable")  # small components first: of the largest no two nodes are compared
+    label, sizes = label[order], size[order]
+    start = (np.cumsum(size) - size)[order]
+    _, ids = np.unique(flat, return_inverse=True)
+    ids = np.concatenate([ids[i : i + n] for i, n in zip(start, sizes)])
+    start = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    out = []
+    for v in range(len(order) - 1):
+        if (label[v + 1 :] == label[v]).all():
+            continue
+        own = ids[start[v] : start[v] + sizes[v]]
+        mark[own] = True
+        both = np.add.reduceat(mark[ids[start[v + 1] :]], start[v + 1 :] - start[v + 1], dtype=np.int64)
+        mark[own] = False
+        hit = v + 1 + np.flatnonzero((both / (sizes[v] + sizes[v + 1 :] - both) >= similar) & (label[v + 1 :] != label[v]))
+        if len(hit):
+            out.append((int(order[v]), order[hit]))
+            label[np.isin(label, label[hit])] = label[v]
+    return out
+
+
+def near_forest(cells: DataFrame, sets: DataFrame, similar: float, chunk: int = NEAR_CHUNK) -> DataFrame:
+    """``cells``: node, band, value, root -> links (src, dst) of similar nodes that connect all such links between roots do.
+
+    Cells of more than ``chunk`` shingles are cut into chunks whose pairs are dealt to different tasks.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+        lists = table.column("shingles").combine_chunks()
+        size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        pairs = [(node[v], w) for v, hit in verified_forest(root, flat, size, similar) for w in node[hit]]
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"src": np.minimum(a, b), "dst": np.maximum(a, b)})
+
+    c = cells.join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("n")), "node")
+    k = F.ceil(F.sum("n").over(Window.partitionBy("band", "value")) / F.lit(float(chunk))).cast("long")
+    own = F.pmod(F.xxhash64("node"), F.col("k"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j))
+    c = c.withColumn("k", k).select("node", "root", "band", "value", F.explode(parts).alias("part"))
+    c = c.join(sets.withColumnRenamed("key", "node"), "node")
+    return c.groupBy("band", "value", "part").applyInArrow(run, "src long, dst long").distinct()
+
+
 def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs``: doc_id, text -> doc_id, component_id (smallest doc_id of its near-duplicates, itself included).
 
     Texts of the same words are one node. Nodes that share a band's value are candidates; their shingle sets decide.
+    In large cells the links to the hubs are decided first; what they leave apart is searched in full.
     """
     rows = materialize(near_bands(docs), "near-bands")
     nodes = rows.groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
-    edges = materialize(near_candidates(near_cells(nodes)), "near-candidates")
+    cells = near_cells(nodes)
+    edges = materialize(near_candidates(cells), "near-candidates")
     ends = edges.select(F.col("src").alias("same")).union(edges.select(F.col("dst").alias("same"))).distinct()
     chosen = nodes.join(ends, "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
     # one text of each candidate node (rows that repeat an id: those of other words have other keys and are told apart below)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("key", "text")
     sets = materialize(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "near-shingles")
-    good = alike(edges, sets, similar)
+    good = materialize(alike(edges, sets, similar), "near-links")
+    large = cells.where(F.col("n") > SHORT)
+    if not large.isEmpty():
+        more = materialize(near_forest(open_cells(large, components(good)), sets, similar), "near-forest")
+        good = good.union(more).distinct() if not more.isEmpty() else good
     roots = components(good)
     named = materialize(nodes.drop("bands").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root")), "near-nodes")
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
