@@ -111,3 +111,16 @@ def test_orders_of_the_same_words(spark):
         texts += [" ".join(w[:at] + [w[at + 1], w[at]] + w[at + 2 :]) for at in (0, 95, 1, 96, 2, 97, 3, 0, 1, 2, 95, 96, 97)] + [" ".join(w + [w[c]]) for c in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == kept_by_all_pairs(texts) == [0, 33, 66]
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, are told apart by their texts; one row a component stays."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(None, a), (None, b), (None, near(b)), (None, a.upper()), (7, c), (7, d), (7, near(c)), (7, c), (3, near(d)), (None, near(e)), (5, e), (None, None), (None, ""), (9, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    by_group = {g: [k for k in kept if k[1] and g.lower() in k[1].lower()] for g in (a, b, c, d, e)}
+    assert all(len(v) == 1 for v in by_group.values()) and len(kept) == 6
+    assert [by_group[g][0][0] for g in (a, b, c, d, e)] == [None, None, 7, 3, 5] and (9, " ") in kept

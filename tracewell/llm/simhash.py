@@ -31,10 +31,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import lower_ascii, materialize, words
 
 SHINGLE, RADIUS, EQUAL, SEED = 4, 4, 4, 42
 #: Fingerprints of a cell that one task compares; larger cells are cut into pairs of chunks.
@@ -285,23 +285,25 @@ def bands(sets: list[np.ndarray], rows: int = BAND_ROWS, n: int = BANDS) -> np.n
     return out.view(np.int64)
 
 
+def word_hash(text: Column) -> Column:
+    """A hash of the text's words: of words(text) with a blank between."""
+    return F.xxhash64(lower_ascii(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))))
+
+
 def near_bands(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """``docs``: doc_id, text -> doc_id, same (hash of the words), bands array<long> (empty where there is no word)."""
 
     def run(batches):
-        for b in batches:
-            same, sets = [], []
-            for text in b.column("text"):
-                w = words(text.as_py())
-                sets.append(_shingle_hashes(w, shingle))
-                same.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
-            full = [h for h in sets if len(h)]
-            flat = bands(full).ravel() if full else np.empty(0, np.int64)
-            ends = np.cumsum([0] + [BANDS * bool(len(h)) for h in sets])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(same, np.uint64).view(np.int64)), lists], names=["doc_id", "same", "bands"])
-
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        for whole in batches:
+            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                sets = [_shingle_hashes(words(t.as_py()), shingle) for t in b.column("text")]
+                full = [h for h in sets if len(h)]
+                flat = bands(full).ravel() if full else np.empty(0, np.int64)
+                ends = np.cumsum([0] + [BANDS * bool(len(h)) for h in sets])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), lists], names=["doc_id", "same", "bands"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hash(F.col("text")).alias("same"), "text")
     return d.mapInArrow(run, "doc_id long, same long, bands array<long>")
 
 
@@ -391,6 +393,87 @@ def near_forest(cells: DataFrame, sets: DataFrame, similar: float, chunk: int =
     return c.groupBy("band", "value", "part").applyInArrow(run, "src long, dst long").distinct()
 
 
+def near_roots(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``docs``: doc_id, text -> same (hash of the words), first_doc (smallest doc_id of these words), root of the component.
+
+    Texts of the same words are one node, whatever their ids. Nodes that share a band's value are candidates; their
+    shingle sets decide. In large cells the links to the hubs are decided first; what they leave apart is searched in full.
+    """
+    rows = materialize(near_bands(docs), "near-bands")
+    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
+    cells = near_cells(nodes)
+    edges = materialize(near_candidates(cells), "near-candidates")
+    ends = edges.select(F.col("src").alias("same")).union(edges.select(F.col("dst").alias("same"))).distinct()
+    chosen = nodes.join(ends, "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
+    # the texts of each candidate node under its smallest id: they have the same words, so any of them gives its shingles
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", word_hash(F.col("text")).alias("same"))
+    texts = hashed.join(chosen, (F.col("same") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("key", "text")
+    sets = materialize(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "near-shingles")
+    good = materialize(alike(edges, sets, similar), "near-links")
+    large = cells.where(F.col("n") > SHORT)
+    if not large.isEmpty():
+        more = materialize(near_forest(open_cells(large, components(good)), sets, similar), "near-forest")
+        good = good.union(more).distinct() if not more.isEmpty() else good
+    roots = components(good)
+    return nodes.drop("bands").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root"))
+
+
+def open_cells(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the large cells those whose nodes are not yet one component: node, band, value, root."""
+    known = large.select("node", "band", "value").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = materialize(known, "near-open")
+    apart = known.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
+    return known.join(apart, ["band", "value"])
+
+
+def verified_forest(root: np.ndarray, flat: np.ndarray, size: np.ndarray, similar: float) -> list[tuple[int, np.ndarray]]:
+    """Links (as a place and places) that join all roots which a pair of similar sets joins. ``flat``: the sets, one after the other."""
+    _, label, members = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.argsort(members[label], kind="stable")  # small components first: of the largest no two nodes are compared
+    label, sizes = label[order], size[order]
+    start = (np.cumsum(size) - size)[order]
+    _, ids = np.unique(flat, return_inverse=True)
+    ids = np.concatenate([ids[i : i + n] for i, n in zip(start, sizes)])
+    start = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    out = []
+    for v in range(len(order) - 1):
+        if (label[v + 1 :] == label[v]).all():
+            continue
+        own = ids[start[v] : start[v] + sizes[v]]
+        mark[own] = True
+        both = np.add.reduceat(mark[ids[start[v + 1] :]], start[v + 1 :] - start[v + 1], dtype=np.int64)
+        mark[own] = False
+        hit = v + 1 + np.flatnonzero((both / (sizes[v] + sizes[v + 1 :] - both) >= similar) & (label[v + 1 :] != label[v]))
+        if len(hit):
+            out.append((int(order[v]), order[hit]))
+            label[np.isin(label, label[hit])] = label[v]
+    return out
+
+
+def near_forest(cells: DataFrame, sets: DataFrame, similar: float, chunk: int = NEAR_CHUNK) -> DataFrame:
+    """``cells``: node, band, value, root -> links (src, dst) of similar nodes that connect all such links between roots do.
+
+    Cells of more than ``chunk`` shingles are cut into chunks whose pairs are dealt to different tasks.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+        lists = table.column("shingles").combine_chunks()
+        size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        pairs = [(node[v], w) for v, hit in verified_forest(root, flat, size, similar) for w in node[hit]]
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"src": np.minimum(a, b), "dst": np.maximum(a, b)})
+
+    c = cells.join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("n")), "node")
+    k = F.ceil(F.sum("n").over(Window.partitionBy("band", "value")) / F.lit(float(chunk))).cast("long")
+    own = F.pmod(F.xxhash64("node"), F.col("k"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j))
+    c = c.withColumn("k", k).select("node", "root", "band", "value", F.explode(parts).alias("part"))
+    c = c.join(sets.withColumnRenamed("key", "node"), "node")
+    return c.groupBy("band", "value", "part").applyInArrow(run, "src long, dst long").distinct()
+
+
 def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs``: doc_id, text -> doc_id, component_id (smallest doc_id of its near-duplicates, itself included).
 
@@ -425,9 +508,14 @@ def alike(edges: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The document of smallest id of each component of near-duplicates, all columns kept; of rows that repeat an id, one."""
-    found = near_components(docs, similar)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    """One document of each component of near-duplicates, that of smallest id (null last), all columns kept.
+
+    Rows that repeat an id or have none are documents of their own: only their texts decide.
+    """
+    first = F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "same")
+    kept = near_roots(docs, similar).groupBy("root").agg(F.min(first).alias("k")).select("k.same", "k.first_doc")
+    kept = materialize(kept, "near-kept")
+    rows = docs.withColumn("_same", word_hash(F.col("text")))
+    rows = rows.join(kept, (F.col("_same") == F.col("same")) & F.col("doc_id").cast("long").eqNullSafe(F.col("first_doc")), "left_semi")
+    one = Window.partitionBy("_same").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth", "_same")
