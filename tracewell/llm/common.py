@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,42 +39,76 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if text else []
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named _c0, _c1, ... by place, and the new name of each old one: nothing an operator adds clashes."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, only a local session gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no folder with the driver")
         where = tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-_scratch: list = []
+_scratch: dict[str, SparkSession] = {}
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; deleted when the driver's Python ends."""
+    """A fresh path below the shared folder; deleted when the driver's Python ends, or with the ``scratch_scope`` it was made in."""
     path = f"{shared_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
     if not _scratch:
-        atexit.register(_clean)
-    _scratch.append((spark, path))
+        atexit.register(_delete, None)
+    _scratch[path] = spark
+    if (made := _scope.get()) is not None:
+        made.append(path)
     return path
 
 
-def _clean() -> None:
-    for spark, path in _scratch:
+def _delete(paths: list[str] | None) -> None:
+    for path in list(_scratch) if paths is None else paths:
+        if (spark := _scratch.pop(path, None)) is None:
+            continue
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may be gone already
-            return
+            pass
+
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Scratch tables made inside are deleted at its end; what is to stay is made with ``materialize(..., stays=True)``."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(made)
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+
+def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, a lost executor costs nothing written."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if stays and (made := _scope.get()) is not None:
+        made.remove(path)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``materialize`` that nothing reads any more."""
+    _delete([_paths[df]])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, materialize
+from .common import LOWER_BYTES, materialize, plain_names
 
 TRAIN_ROWS, BUCKETS, ALPHA = 20000, 1 << 16, 0.5
 #: Hosts whose priors are broadcast at most; more of them are joined by shuffle.
@@ -192,9 +192,9 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, model: dict | None =
 
 
 def keep_identified(docs: DataFrame, declared: str, host: str, **options) -> DataFrame:
-    """The rows of ``docs`` whose language is identified, all columns unchanged, in one pass over the texts."""
-    names = docs.columns
-    d = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"_c{i}") for i, c in enumerate(names)])
-    at = {c: "text" if c == "text" else f"_c{i}" for i, c in enumerate(names)}
-    d = d.withColumns({"doc_id": F.col(at["doc_id"]), "declared": F.col(at[declared]), "host": F.col(at[host])})
-    return identify(d, carry=tuple(at.values()), **options).where("kept").select(*[F.col(at[c]).alias(c) for c in names])
+    """The rows of ``docs`` whose language is identified, all columns unchanged, in one pass over the texts. Columns may have any names."""
+    d, at = plain_names(docs)
+    d = d.withColumns({"doc_id": F.col(at["doc_id"]), "text": F.col(at["text"]), "declared": F.col(at[declared]), "host": F.col(at[host])})
+    rest = tuple(c for name, c in at.items() if name != "text")
+    kept = identify(d, carry=("text", *rest), **options).where("kept")
+    return kept.select(*["text" if name == "text" else c for name, c in at.items()]).toDF(*docs.columns)

@@ -26,7 +26,10 @@ component's id unless the component has no other (then the id is null).
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, words
+from .common import discard, lower_ascii, materialize, plain_names, scratch_scope, words
 
-SHINGLE, RADIUS, EQUAL, SEED = 4, 4, 4, 42
+SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a cell that one task compares; larger cells are cut into pairs of chunks.
 CHUNK = 1 << 14
 #: Runs of at most this many fingerprints are compared by shifting, larger ones by searching from each fingerprint.
@@ -53,22 +56,25 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return (np.bincount(at.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    w = words(text)
-    if not w:
-        return 0
+def digests(w: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the runs of ``shingle`` words (of all words, if they are fewer), in arrays of bounded length."""
     data = b" ".join(w)
-    if len(w) <= shingle:
-        return xxhash.xxh64_intdigest(data, SEED)
     end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     start = np.concatenate(([0], end[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    n = len(w) - shingle + 1
-    for at in range(0, n, 1 << 16):  # bounded memory for long texts
-        a, b = start[at : min(n, at + (1 << 16))].tolist(), end[at + shingle - 1 : min(n, at + (1 << 16)) + shingle - 1].tolist()
-        counts += bit_counts(np.array([digest(data[i:j], SEED) for i, j in zip(a, b)], np.uint64))
-    return int(np.packbits(2 * counts > n).view(">u8")[0])
+    n = max(1, len(w) - shingle + 1)
+    stop = end[shingle - 1 :] if len(w) >= shingle else end[-1:]
+    for at in range(0, n, 1 << 16):
+        a, b = start[at : min(n, at + (1 << 16))].tolist(), stop[at : at + (1 << 16)].tolist()
+        yield np.array([digest(data[i:j], SEED) for i, j in zip(a, b)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    w = words(text)
+    if not w:
+        return 0
+    counts = sum(bit_counts(h) for h in digests(w, shingle))
+    return int(np.packbits(2 * counts > max(1, len(w) - shingle + 1)).view(">u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -175,15 +181,26 @@ def cell_edges(batches, radius: int = RADIUS):
         yield from edges(key_tail, tail)
 
 
-def width(n: int, radius: int = RADIUS, occupancy: float = 1 / 16) -> int:
-    """The ``equal`` to choose for a corpus of ``n`` fingerprints: cells so fine that unrelated ones seldom share one.
+def width(n: int, radius: int = RADIUS) -> int:
+    """The ``equal`` to choose for a corpus of ``n`` fingerprints: it makes a fingerprint's cells and those it meets in them cost least.
+
+    A segment of two random bits has 1.5 bits of entropy in its count; a row of a cell costs about as much as 50 comparisons.
+    """
+    cost = lambda equal: comb(radius + equal, equal) * (1 + n / 50 * 2 ** (-48 * equal / (radius + equal)))
+    return min(range(3, 17), key=cost)
+
+
+def shared_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """``cells``: node and the columns ``by`` -> those with more than one node, with n and hub (the smallest node).
 
-    A segment of two random bits has 1.5 bits of entropy in its count.
+    Cells are counted before rows meet: a hot cell is one row by then. Few shared cells are broadcast by their written
+    size, else rows and counts meet by a join that adaptive execution splits where a cell is hot.
     """
-    return next(equal for equal in range(1, 32 - radius + 1) if n <= occupancy * 2 ** (48 * equal / (radius + equal)) or equal == 16)
+    many = materialize(cells.groupBy(*by).agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "cell-counts")
+    return materialize(cells.join(many, by), "cells")
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, equal: int = EQUAL, chunk: int = CHUNK) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, equal: int = 3, chunk: int = CHUNK) -> DataFrame:
     """``nodes``: node, fps array<long> (each node once) -> edges (src, dst) between nodes.
 
     With one fingerprint a node the edges connect exactly what links of the radius
@@ -195,14 +212,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, equal: int = EQUAL, chunk: int
     counts = segment_counts(F.col("fp"))
     cells = fps.select("node", "fp", "seed", F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: counts.bitwiseAND(m))).alias("mask", "value"))
     cells = cells.select("node", "fp", (F.col("seed") * len(masks) + F.col("mask")).alias("cell"), "value")
-    n = F.count("*").over(Window.partitionBy("cell", "value"))
-    cells = materialize(cells.withColumn("n", n).where("n > 1"), "cells")
+    cells = shared_cells(cells, ["cell", "value"])
     # part: a pair of chunks (i <= j), written i * k + j; one part where the cell is no larger than a chunk
     k = F.ceil(F.col("n") / F.lit(float(chunk)))
     own = F.pmod(F.xxhash64("fp", "node"), k)
     parts = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j)))
     small = cells.where(F.col("n") <= chunk).withColumn("part", F.lit(0).cast("long"))
-    rows = small.unionByName(cells.where(F.col("n") > chunk).withColumn("part", parts)).drop("n")
+    rows = small.unionByName(cells.where(F.col("n") > chunk).withColumn("part", parts)).drop("n", "hub")
     rows = rows.repartition("cell", "value", "part").sortWithinPartitions("cell", "value", "part", "node")
     return rows.mapInArrow(lambda b: cell_edges(b, radius), "src long, dst long").distinct()
 
@@ -223,22 +239,23 @@ def components(edges: DataFrame) -> DataFrame:
         m = large.groupBy("a").agg(F.min("b").alias("m"))
         low = large.join(m, "a")
         small = low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(small, "edges")
+        e, last = materialize(small, "edges"), e
+        discard(last)
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = state
 
 
-def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, equal: int = EQUAL) -> DataFrame:
+def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs``: doc_id, text -> doc_id, fp, component_id (smallest doc_id reachable), one row a document."""
-    fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), radius, equal))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "nodes")
-    smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
+    with scratch_scope():
+        fps = materialize(fingerprints(docs, shingle), "fingerprints", stays=True)
+        nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fp-nodes")
+        roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), radius, width(nodes.count(), radius)))
+        named = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root")), "nodes")
+        smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+        by_fp = materialize(named.join(smallest, "root").select("fp", "component_id"), "fp-components", stays=True)
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -252,14 +269,7 @@ NEAR_CHUNK = 1 << 19
 
 
 def _shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
-    if not w:
-        return np.empty(0, np.uint64)
-    data = b" ".join(w)
-    if len(w) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(data, SEED)], np.uint64)
-    end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-    start = [0, *(end[:-shingle] + 1).tolist()]
-    return np.array([xxhash.xxh64_intdigest(data[i:j], SEED) for i, j in zip(start, end[shingle - 1 :].tolist())], np.uint64)
+    return np.concatenate(list(digests(w, shingle))) if w else np.empty(0, np.uint64)
 
 
 def _remix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -311,38 +321,20 @@ def shingle_sets(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """``docs``: key, text -> key, shingles array<long> (distinct hashes)."""
 
     def run(batches):
-        for b in batches:
-            sets = [np.unique(_shingle_hashes(words(t.as_py()), shingle)).view(np.int64) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+        for whole in batches:
+            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                sets = [np.unique(_shingle_hashes(words(t.as_py()), shingle)).view(np.int64) for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
 
 
-def near_cells(nodes: DataFrame) -> DataFrame:
-    """``nodes``: same, bands -> node, band, value, n, hub, other for each cell of n > 1 nodes; hubs are the smallest node and one that differs by band."""
-    cells = nodes.select(F.col("same").alias("node"), F.posexplode("bands").alias("band", "value"))
-    one = Window.partitionBy("band", "value")
-    other = F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).over(one)["node"]
-    cells = cells.select("node", "band", "value", F.count("*").over(one).alias("n"), F.min("node").over(one).alias("hub"), other.alias("other"))
-    return materialize(cells.where("n > 1"), "near-cells")
-
-
-def near_candidates(cells: DataFrame) -> DataFrame:
-    """Pairs (src, dst): all of a cell of at most SHORT nodes, those with a hub of a larger one."""
-    small = cells.where(F.col("n") <= SHORT).select("band", "value", "node")
-    pairs = small.withColumnRenamed("node", "src").join(small.withColumnRenamed("node", "dst"), ["band", "value"]).where("src < dst").select("src", "dst")
-    large = cells.where(F.col("n") > SHORT)
-    for hub in ("hub", "other"):
-        pairs = pairs.union(large.where(F.col(hub) != F.col("node")).select(F.least(hub, "node"), F.greatest(hub, "node")))
-    return pairs.distinct()
-
-
-def open_cells(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of the large cells those whose nodes are not yet one component: node, band, value, root."""
-    known = large.select("node", "band", "value").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = materialize(known, "near-open")
+def open_cells(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the cells of more than two nodes (of two, the one pair is decided) those whose nodes are not yet one component: node, band, value, n, root."""
+    known = cells.where("n > 2").select("node", "band", "value", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = materialize(known, "near-known")
     apart = known.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
-    return known.join(apart, ["band", "value"])
+    return materialize(known.join(apart, ["band", "value"]), "near-open")
 
 
 def verified_forest(root: np.ndarray, flat: np.ndarray, size: np.ndarray, similar: float) -> list[tuple[int, np.ndarray]]:
@@ -384,8 +376,9 @@ def near_forest(cells: DataFrame, sets: DataFrame, similar: float, chunk: int =
         a, b = np.array(pairs, np.int64).reshape(-1, 2).T
         return pa.table({"src": np.minimum(a, b), "dst": np.maximum(a, b)})
 
-    c = cells.join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("n")), "node")
-    k = F.ceil(F.sum("n").over(Window.partitionBy("band", "value")) / F.lit(float(chunk))).cast("long")
+    c = cells.select("node", "root", "band", "value").join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("n")), "node")
+    c = c.drop("n").join(c.groupBy("band", "value").agg(F.sum("n").alias("n")), ["band", "value"])
+    k = F.ceil(F.col("n") / F.lit(float(chunk))).cast("long")
     own = F.pmod(F.xxhash64("node"), F.col("k"))
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j))
     c = c.withColumn("k", k).select("node", "root", "band", "value", F.explode(parts).alias("part"))
@@ -393,129 +386,57 @@ def near_forest(cells: DataFrame, sets: DataFrame, similar: float, chunk: int =
     return c.groupBy("band", "value", "part").applyInArrow(run, "src long, dst long").distinct()
 
 
+def pairs_apart(cells: DataFrame) -> DataFrame:
+    """``cells``: node, band, value, root, of few nodes each -> the pairs (src, dst) of a cell in two components."""
+    a, b = (cells.select("band", "value", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("src", "dst"))
+    return a.join(b, ["band", "value"]).where("src < dst AND root_src <> root_dst").select("src", "dst").distinct()
+
+
+def alike(edges: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The edges (src, dst) whose shingle sets are at least so similar."""
+    a, b = sets.select(F.col("key").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("key").alias("dst"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return edges.join(a, "src").join(b, "dst").where(both / (F.size("a") + F.size("b") - both) >= similar).select("src", "dst")
+
+
 def near_roots(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs``: doc_id, text -> same (hash of the words), first_doc (smallest doc_id of these words), root of the component.
 
     Texts of the same words are one node, whatever their ids. Nodes that share a band's value are candidates; their
-    shingle sets decide. In large cells the links to the hubs are decided first; what they leave apart is searched in full.
+    shingle sets decide. Links to a cell's hub are decided first; only what they leave apart is searched in full.
     """
-    rows = materialize(near_bands(docs), "near-bands")
-    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
-    cells = near_cells(nodes)
-    edges = materialize(near_candidates(cells), "near-candidates")
-    ends = edges.select(F.col("src").alias("same")).union(edges.select(F.col("dst").alias("same"))).distinct()
-    chosen = nodes.join(ends, "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
+    nodes = near_bands(docs).groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes, "near-nodes")
+    cells = shared_cells(nodes.select(F.col("same").alias("node"), F.posexplode("bands").alias("band", "value")), ["band", "value"])
+    edges = materialize(cells.where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct(), "near-candidates")
     # the texts of each candidate node under its smallest id: they have the same words, so any of them gives its shingles
+    chosen = nodes.join(cells.select(F.col("node").alias("same")).distinct(), "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", word_hash(F.col("text")).alias("same"))
     texts = hashed.join(chosen, (F.col("same") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("key", "text")
     sets = materialize(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "near-shingles")
     good = materialize(alike(edges, sets, similar), "near-links")
-    large = cells.where(F.col("n") > SHORT)
-    if not large.isEmpty():
-        more = materialize(near_forest(open_cells(large, components(good)), sets, similar), "near-forest")
-        good = good.union(more).distinct() if not more.isEmpty() else good
     roots = components(good)
+    left = open_cells(cells, roots)
+    if not left.isEmpty():
+        few = alike(pairs_apart(left.where(F.col("n") <= SHORT)), sets, similar)
+        many = near_forest(left.where(F.col("n") > SHORT), sets, similar)
+        roots = components(good.union(materialize(few.union(many).distinct(), "near-more")))
     return nodes.drop("bands").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root"))
 
 
-def open_cells(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of the large cells those whose nodes are not yet one component: node, band, value, root."""
-    known = large.select("node", "band", "value").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = materialize(known, "near-open")
-    apart = known.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
-    return known.join(apart, ["band", "value"])
-
-
-def verified_forest(root: np.ndarray, flat: np.ndarray, size: np.ndarray, similar: float) -> list[tuple[int, np.ndarray]]:
-    """Links (as a place and places) that join all roots which a pair of similar sets joins. ``flat``: the sets, one after the other."""
-    _, label, members = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.argsort(members[label], kind="stable")  # small components first: of the largest no two nodes are compared
-    label, sizes = label[order], size[order]
-    start = (np.cumsum(size) - size)[order]
-    _, ids = np.unique(flat, return_inverse=True)
-    ids = np.concatenate([ids[i : i + n] for i, n in zip(start, sizes)])
-    start = np.cumsum(sizes) - sizes
-    mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
-    out = []
-    for v in range(len(order) - 1):
-        if (label[v + 1 :] == label[v]).all():
-            continue
-        own = ids[start[v] : start[v] + sizes[v]]
-        mark[own] = True
-        both = np.add.reduceat(mark[ids[start[v + 1] :]], start[v + 1 :] - start[v + 1], dtype=np.int64)
-        mark[own] = False
-        hit = v + 1 + np.flatnonzero((both / (sizes[v] + sizes[v + 1 :] - both) >= similar) & (label[v + 1 :] != label[v]))
-        if len(hit):
-            out.append((int(order[v]), order[hit]))
-            label[np.isin(label, label[hit])] = label[v]
-    return out
-
-
-def near_forest(cells: DataFrame, sets: DataFrame, similar: float, chunk: int = NEAR_CHUNK) -> DataFrame:
-    """``cells``: node, band, value, root -> links (src, dst) of similar nodes that connect all such links between roots do.
-
-    Cells of more than ``chunk`` shingles are cut into chunks whose pairs are dealt to different tasks.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        node, root = (table.column(c).to_numpy() for c in ("node", "root"))
-        lists = table.column("shingles").combine_chunks()
-        size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-        pairs = [(node[v], w) for v, hit in verified_forest(root, flat, size, similar) for w in node[hit]]
-        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
-        return pa.table({"src": np.minimum(a, b), "dst": np.maximum(a, b)})
-
-    c = cells.join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("n")), "node")
-    k = F.ceil(F.sum("n").over(Window.partitionBy("band", "value")) / F.lit(float(chunk))).cast("long")
-    own = F.pmod(F.xxhash64("node"), F.col("k"))
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j))
-    c = c.withColumn("k", k).select("node", "root", "band", "value", F.explode(parts).alias("part"))
-    c = c.join(sets.withColumnRenamed("key", "node"), "node")
-    return c.groupBy("band", "value", "part").applyInArrow(run, "src long, dst long").distinct()
-
-
-def near_components(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs``: doc_id, text -> doc_id, component_id (smallest doc_id of its near-duplicates, itself included).
-
-    Texts of the same words are one node. Nodes that share a band's value are candidates; their shingle sets decide.
-    In large cells the links to the hubs are decided first; what they leave apart is searched in full.
-    """
-    rows = materialize(near_bands(docs), "near-bands")
-    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
-    cells = near_cells(nodes)
-    edges = materialize(near_candidates(cells), "near-candidates")
-    ends = edges.select(F.col("src").alias("same")).union(edges.select(F.col("dst").alias("same"))).distinct()
-    chosen = nodes.join(ends, "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
-    # one text of each candidate node (rows that repeat an id: those of other words have other keys and are told apart below)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("key", "text")
-    sets = materialize(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "near-shingles")
-    good = materialize(alike(edges, sets, similar), "near-links")
-    large = cells.where(F.col("n") > SHORT)
-    if not large.isEmpty():
-        more = materialize(near_forest(open_cells(large, components(good)), sets, similar), "near-forest")
-        good = good.union(more).distinct() if not more.isEmpty() else good
-    roots = components(good)
-    named = materialize(nodes.drop("bands").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root")), "near-nodes")
-    smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return rows.select("doc_id", "same").join(named.join(smallest, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
-
-
-def alike(edges: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The edges (src, dst) whose shingle sets are at least so similar."""
-    a, b = sets.select(F.col("key").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("key").alias("dst"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return edges.join(a, "src").join(b, "dst").where(both / (F.size("a") + F.size("b") - both) >= similar).select("src", "dst")
-
-
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One document of each component of near-duplicates, that of smallest id (null last), all columns kept.
 
-    Rows that repeat an id or have none are documents of their own: only their texts decide.
+    Rows that repeat an id or have none are documents of their own: only their texts decide. Columns may have any names.
     """
+    d, at = plain_names(docs)
     first = F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "same")
-    kept = near_roots(docs, similar).groupBy("root").agg(F.min(first).alias("k")).select("k.same", "k.first_doc")
-    kept = materialize(kept, "near-kept")
-    rows = docs.withColumn("_same", word_hash(F.col("text")))
-    rows = rows.join(kept, (F.col("_same") == F.col("same")) & F.col("doc_id").cast("long").eqNullSafe(F.col("first_doc")), "left_semi")
-    one = Window.partitionBy("_same").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth", "_same")
+    with scratch_scope():
+        roots = near_roots(d.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), similar)
+        kept = materialize(roots.groupBy("root").agg(F.min(first).alias("k")).select("k.same", "k.first_doc"), "near-kept", stays=True)
+    rows = d.withColumn("_same", word_hash(F.col(at["text"])))
+    rows = rows.join(kept, (F.col("_same") == F.col("same")) & F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("first_doc")), "left_semi")
+    # of rows with one id and the same words, one; maps can't be hashed
+    order = [f.name for f in d.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    one = Window.partitionBy("_same").orderBy(F.xxhash64(at["text"]), F.xxhash64(*order))
+    return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth", "_same").toDF(*docs.columns)
