@@ -13,14 +13,18 @@
 4. The permuted blocks of a source go to the shards by these quotas, as
    disjoint ranges; ``position`` is the local shuffle inside a shard.
 
-Only DataFrame functions.  Texts are reduced to word counts before the one
-shuffle of documents, which goes by (source, block), so a hot source is spread
-over all its blocks.  Per-source work runs on sums, the tree on one row a node.
+Only DataFrame functions.  Texts are reduced to word counts before the shuffles,
+and documents go by (source, block), so a hot source is spread over all its
+blocks.  Running sums over blocks go by ranges of the hash that orders them, so
+no task holds a source's blocks either.  Only what has one row a source (targets,
+quotas; a few numbers each) is ordered in one task and held in the rows of the
+tree.  A draw takes as many steps as 24 standard deviations of its distribution.
 All randomness is hashing of ids and ``seed``: reruns agree.
 
 Edge cases: a null source is a source (last in order), a null text has size 0,
 documents of size 0 take 0, an empty table gives an empty result; repeated rows
-are mixed one by one; extra columns are ignored.
+are mixed one by one, each in a block of its own hash; columns of any other name
+are ignored by ``mix`` and kept unchanged by ``repeat``.
 """
 
 from __future__ import annotations
@@ -30,9 +34,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, plain_names, scratch_scope, word_count
 
 WEIGHTS, MAX_REPEATS, SHARDS, BLOCK_DOCS, SEED = (5.0, 2.0, 1.0), 3.0, 16, 512, 17
+#: Blocks that one range of the ordering hash holds, on average.
+RANGE_BLOCKS = 4096
+#: Sources dealt together; more of them are dealt in such batches first.
+BATCH_SOURCES = 256
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -66,50 +74,104 @@ def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Co
     """A draw by inverse transform: how many of ``good`` among ``total`` are in ``draws``.
 
     Weights start at 1 at the mode and follow the ratio of neighbouring
-    probabilities both ways, so nothing over- or underflows in a harmful way.
+    probabilities both ways, up to 12 standard deviations: what lies beyond has
+    less than 1e-30 of the mass, far below the resolution of ``u``. The state is
+    a few numbers: first the mass of each side is summed, then the side that u
+    points to is walked until it is reached.
     """
+    n, g, d = (x.cast("double") for x in (total, good, draws))
     lo = F.greatest(F.lit(0), draws - (total - good)).cast("long")
     hi = F.least(good, draws).cast("long")
-    mode = F.least(hi, F.greatest(lo, F.floor((good + 1.0) * (draws + 1.0) / (total + 2.0)).cast("long")))
-    up = lambda k: (good - k + 1) * (draws - k + 1) / (k * (total - good - draws + k).cast("double"))  # noqa: E731  p(k) / p(k - 1)
-    none = F.expr("CAST(array() AS array<struct<k:bigint,w:double>>)")
-    start = lambda: F.struct(mode.alias("k"), F.lit(1.0).alias("w"))
-    last = lambda acc: F.element_at(acc, -1)["w"]
-    right = F.when(hi > mode, F.aggregate(F.sequence(mode + 1, hi), F.array(start()), lambda acc, k: F.concat(acc, F.array(F.struct(k.alias("k"), (last(acc) * up(k)).alias("w")))))).otherwise(F.array(start()))
-    left = F.when(lo < mode, F.aggregate(F.reverse(F.sequence(lo, mode - 1)), F.array(start()), lambda acc, k: F.concat(acc, F.array(F.struct(k.alias("k"), (last(acc) / up(k + 1)).alias("w")))))).otherwise(F.array(start()))
-    both = F.concat(F.coalesce(right, none), F.slice(F.coalesce(left, none), 2, 1 << 30))
-    mass = F.aggregate(both, F.lit(0.0), lambda acc, x: acc + x["w"])
-    pick = F.aggregate(both, F.struct((u * mass).alias("rest"), mode.alias("k")), lambda acc, x: F.struct((acc["rest"] - x["w"]).alias("rest"), F.when(acc["rest"] > 0, x["k"]).otherwise(acc["k"]).alias("k")))
-    return pick["k"]
+    mode = F.least(hi, F.greatest(lo, F.floor((g + 1) * (d + 1) / (n + 2)).cast("long")))
+    spread = F.sqrt(d * (g / F.greatest(n, F.lit(1.0))) * (1 - g / F.greatest(n, F.lit(1.0))) * (n - d) / F.greatest(n - 1, F.lit(1.0)))
+    reach = F.ceil(12 * spread).cast("long") + 12
+    up = lambda k: (g - k + 1) * (d - k + 1) / (k * (n - g - d + k))  # noqa: E731  p(k) / p(k - 1)
+    none = F.expr("CAST(array() AS array<bigint>)")
+    above = F.when(hi > mode, F.sequence(mode + 1, F.least(hi, mode + reach))).otherwise(none)
+    below = F.when(lo < mode, F.sequence(mode - 1, F.greatest(lo, mode - reach), F.lit(-1).cast("long"))).otherwise(none)
+    ratio = {"above": lambda k: up(k.cast("double")), "below": lambda k: 1 / up(k.cast("double") + 1)}
+
+    def mass(side, steps):
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+
+        def add(acc, k):
+            w = acc["w"] * ratio[side](k)
+            return F.struct(w.alias("w"), (acc["sum"] + w).alias("sum"))
+
+        return F.aggregate(steps, start, add)["sum"]
+
+    def walk(side, steps, rest):
+        start = F.struct(F.lit(1.0).alias("w"), rest.alias("rest"), mode.alias("k"))
+
+        def step(acc, k):
+            w = acc["w"] * ratio[side](k)
+            return F.struct(w.alias("w"), (acc["rest"] - w).alias("rest"), F.when(acc["rest"] > 0, k).otherwise(acc["k"]).alias("k"))
+
+        return F.aggregate(steps, start, step)["k"]
+
+    more, less = mass("above", above), mass("below", below)
+    rest = u * (1 + more + less) - 1
+    return F.when(rest <= 0, mode).when(rest <= more, walk("above", above, rest)).otherwise(walk("below", below, rest - more))
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``quotas``: rank, units (blocks drawn from a source) -> rank, shard, units.
 
-    One row a tree node holds the quotas of all sources; a level halves every
-    node's shards and deals its units: the left half gets its share of all units
-    as a multivariate hypergeometric draw, the right half the rest.
+    One row a tree node holds the quotas of all sources, in batches; a level halves
+    every node's shards and deals its units: the left half gets its share of all
+    units as a multivariate hypergeometric draw, the right half the rest. A draw
+    deals to the batches first, then to the sources of each.
     """
-    nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("units").cast("long").alias("units")))).alias("q")).select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "q")
+    item = F.struct("rank", F.col("units").cast("long").alias("units"))
+    batches = quotas.groupBy(F.floor(F.col("rank") / BATCH_SOURCES).cast("int").alias("batch")).agg(F.sum("units").cast("long").alias("units"), F.array_sort(F.collect_list(item)).alias("items"))
+    nodes = batches.agg(F.array_sort(F.collect_list(F.struct("batch", "units", "items"))).alias("q")).select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "q")
     for level in range(max(0, math.ceil(math.log2(max(1, shards))))):
         left_n = F.floor((F.col("n") + 1) / 2).cast("int")
         total = F.aggregate("q", F.lit(0).cast("long"), lambda acc, x: acc + x["units"])
         draws = F.floor(total * left_n / F.col("n") + 0.5).cast("long")
 
-        salt = F.lit(level)
+        def deal(groups, total, draws, empty, name, inner=None, level=level):
+            def one(acc, x):
+                u = _uniform(F.lit(seed), F.lit(level), F.col("first"), F.lit(name), x[name])
+                k = _hypergeometric(acc["total"], x["units"], acc["draws"], u)
+                return F.struct((acc["total"] - x["units"]).alias("total"), (acc["draws"] - k).alias("draws"), F.concat(acc["out"], F.array(F.struct(x[name].alias(name), k.alias("units")))).alias("out"))
+
+            return F.aggregate(groups, F.struct(total.alias("total"), draws.alias("draws"), F.expr(f"CAST(array() AS array<struct<{name}:int,units:bigint>>)").alias("out")), one)["out"]
+
+        # the batches' draws are a column of their own: the sources' draws only read them
+        split = nodes.withColumn("by_batch", deal(F.col("q"), total, draws, None, "batch"))
 
-        def deal(acc, x):
-            k = _hypergeometric(acc["total"], x["units"], acc["draws"], _uniform(F.lit(seed), salt, F.col("first"), x["rank"]))  # noqa: B023
-            taken = F.struct(x["rank"].alias("rank"), k.alias("units"))
-            return F.struct((acc["total"] - x["units"]).alias("total"), (acc["draws"] - k).alias("draws"), F.concat(acc["out"], F.array(taken)).alias("out"))
+        def inside(b, x):
+            items = deal(b["items"], b["units"], x["units"], None, "rank")
+            return F.struct(b["batch"].alias("batch"), x["units"].alias("units"), items.alias("items"))
 
-        empty = F.expr("CAST(array() AS array<struct<rank:int,units:bigint>>)")
-        dealt = F.aggregate("q", F.struct(F.col("total").alias("total"), F.col("draws").alias("draws"), empty.alias("out")), deal)["out"]
-        split = nodes.withColumn("total", total).withColumn("draws", draws).withColumn("left", F.when(F.col("n") > 1, dealt).otherwise(F.col("q")))
-        right = F.zip_with("q", "left", lambda a, b: F.struct(a["rank"].alias("rank"), (a["units"] - b["units"]).alias("units")))
+        dealt = F.zip_with("q", "by_batch", inside)
+        split = split.withColumn("left", F.when(F.col("n") > 1, dealt).otherwise(F.col("q")))
+
+        def other(b, x):
+            items = F.zip_with(b["items"], x["items"], lambda i, j: F.struct(i["rank"].alias("rank"), (i["units"] - j["units"]).alias("units")))
+            return F.struct(b["batch"].alias("batch"), (b["units"] - x["units"]).alias("units"), items.alias("items"))
+
+        right = F.zip_with("q", "left", other)
         halves = F.when(F.col("n") > 1, F.array(F.struct(F.col("first").alias("first"), left_n.alias("n"), F.col("left").alias("q")), F.struct((F.col("first") + left_n).alias("first"), (F.col("n") - left_n).alias("n"), right.alias("q")))).otherwise(F.array(F.struct("first", "n", "q")))
         nodes = split.select(F.inline(halves))
-    return nodes.select(F.col("first").alias("shard"), F.inline("q"))
+    return nodes.select(F.col("first").alias("shard"), F.explode("q").alias("b")).select("shard", F.inline("b.items"))
+
+
+def running(rows: DataFrame, by: str, key: Column, ties: list[str], n: str, value: Column) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over the rows of the same ``by`` that come before in the order of the hash ``key`` and ``ties``.
+
+    ``n`` (rows of a group, about) sets the number of ranges that the hash is cut into; a range is ordered by one task,
+    and the sums before it come from the ranges' totals.
+    """
+    ranges = F.ceil(F.col(n) / float(RANGE_BLOCKS))
+    r = rows.withColumn("key", key).withColumn("range", F.floor((F.col("key") / 2.0**64 + 0.5) * ranges)).withColumn("value", value)
+    totals = r.groupBy(by, "range").agg(F.sum("value").alias("sum"))
+    earlier = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(by, "range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy(by, "range").orderBy("key", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("inside", F.coalesce(F.sum("value").over(inside), F.lit(0))).join(totals, [by, "range"])
+    return r.withColumn("before", F.col("ahead") + F.col("inside")).drop("key", "range", "value", "inside", "ahead")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS, shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
@@ -118,46 +180,50 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS, shar
     doc_id, source, size, source_size, target, copies (times taken), taken
     (``copies * size``), shards array<int> and positions array<bigint> (one for each copy).
     """
-    d = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    s = materialize(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, max_repeats), "mix-targets")
+    # equal rows are counted where they are and numbered, so they have hashes of their own
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").count()
+    d = materialize(sizes.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("nth")), "mix-sizes")
+    s = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, max_repeats)
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(max_repeats)))).otherwise(0).cast("int")
     s = s.withColumn("passes", passes).withColumn("rest", F.round(F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))).cast("long"))
-    s = s.withColumn("n_blocks", F.ceil(F.col("n_docs") / float(block_docs)).cast("int"))
+    s = materialize(s.withColumn("n_blocks", F.ceil(F.col("n_docs") / float(block_docs)).cast("int")), "mix-targets")
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
     # a source is one row: a document's source only decides its number of blocks
-    d = d.alias("d").join(s.alias("s"), same).select("d.doc_id", "d.source", "d.size", "s.rank", "s.source_size", "s.target", "s.passes", "s.rest", F.pmod(F.xxhash64(F.lit(seed), "d.doc_id"), F.col("s.n_blocks")).cast("int").alias("block"))
+    of = ["s.rank", "s.source_size", "s.target", "s.passes", "s.rest", "s.n_blocks"]
+    d = d.alias("d").join(s.alias("s"), same).select("d.doc_id", "d.source", "d.size", "d.nth", *of, F.pmod(F.xxhash64(F.lit(seed), "d.doc_id", "d.nth"), F.col("s.n_blocks")).cast("int").alias("block"))
 
     # blocks in permuted order, with the words before each: where the rest of the quota ends
-    blocks = d.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "block"), "block")
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = d.groupBy("rank", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("passes", "rest", "n_blocks")))
+    blocks = running(blocks, "rank", F.xxhash64(F.lit(seed + 1), "rank", "block"), ["block"], "n_blocks", F.col("words"))
     room = F.greatest(F.col("rest") - F.col("before"), F.lit(0)).cast("long")
-    blocks = blocks.select("rank", "block", "passes", "words", F.least(room, "words").alias("room"))
+    blocks = materialize(blocks.select("rank", "block", "passes", "words", "n_blocks", F.least(room, "words").alias("room")), "mix-blocks")
 
     # units (pass, block) of each source, dealt to the shards
-    units = blocks.select("rank", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"), "passes", "room").where("pass < passes OR room > 0")
+    units = blocks.select("rank", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"), "passes", "room", "n_blocks").where("pass < passes OR room > 0")
     quotas = materialize(split_quotas(units.groupBy("rank").agg(F.count("*").alias("units")), shards, seed), "mix-quotas")
     upto = Window.partitionBy("rank").orderBy("shard")
     ranges = quotas.withColumn("upto", F.sum("units").over(upto)).groupBy("rank").agg(F.array_sort(F.collect_list("upto")).alias("upto"))
-    permuted = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 2), "rank", "pass", "block"), "pass", "block")
-    shard = F.size(F.filter("upto", lambda x: x < F.col("nth"))).cast("int")
-    units = units.withColumn("nth", F.row_number().over(permuted)).join(ranges, "rank").select("rank", "block", "pass", shard.alias("shard"))
+    units = running(units, "rank", F.xxhash64(F.lit(seed + 2), "rank", "pass", "block"), ["pass", "block"], "n_blocks", F.lit(1).cast("long"))
+    shard = F.size(F.filter("upto", lambda x: x <= F.col("before"))).cast("int")
+    units = units.join(ranges, "rank").select("rank", "block", "pass", shard.alias("shard"))
     by_block = units.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("units"))
-    blocks = blocks.join(by_block, ["rank", "block"], "left")
+    blocks = materialize(blocks.drop("n_blocks").join(by_block, ["rank", "block"], "left"), "mix-units")
 
     # documents of a block in permuted order; in the last one those that still fit are taken
     j = d.join(blocks.select("rank", "block", "words", "room", "units"), ["rank", "block"])
     part = (F.col("room") > 0) & (F.col("room") < F.col("words"))
-    item = F.struct(F.xxhash64(F.lit(seed + 3), "doc_id", "size").alias("key"), F.col("doc_id"), F.col("size"))
+    item = F.struct(F.xxhash64(F.lit(seed + 3), "doc_id", "size", "nth").alias("key"), "doc_id", "size", "nth")
     last = j.where(part).groupBy("rank", "block").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("room").alias("room"))
-    start = F.struct(F.col("room").alias("room"), F.expr("CAST(array() AS array<struct<doc_id:bigint,size:bigint,some:boolean>>)").alias("out"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    start = F.struct(F.col("room").alias("room"), F.expr(f"CAST(array() AS array<struct<doc_id:{kind},size:bigint,nth:bigint,some:boolean>>)").alias("out"))
 
     def fit(acc, x):
         takes = x["size"] <= acc["room"]
-        return F.struct((acc["room"] - F.when(takes, x["size"]).otherwise(F.lit(0).cast("long"))).alias("room"), F.concat(acc["out"], F.array(F.struct(x["doc_id"].cast("long").alias("doc_id"), x["size"].alias("size"), takes.alias("some")))).alias("out"))
+        took = F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["nth"].alias("nth"), takes.alias("some"))
+        return F.struct((acc["room"] - F.when(takes, x["size"]).otherwise(F.lit(0).cast("long"))).alias("room"), F.concat(acc["out"], F.array(took)).alias("out"))
 
     fitted = last.select("rank", "block", F.inline(F.aggregate("items", start, fit)["out"]))
-    cols = ["rank", "block", "source", "doc_id", "size", "source_size", "target", "passes", "units"]
+    cols = ["rank", "block", "source", "doc_id", "size", "nth", "source_size", "target", "passes", "units"]
     whole = j.where(~part).select(*cols, (F.col("room") > 0).alias("some"))
     info = j.where(part).groupBy("rank", "block").agg(*(F.first(c).alias(c) for c in ("source", "source_size", "target", "passes", "units")))
     some = fitted.join(info, ["rank", "block"]).select(*cols, "some")
@@ -168,15 +234,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS, shar
     return out.select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         F.transform("used", lambda u: u["shard"]).alias("shards"),
-        F.transform("used", lambda u: F.xxhash64(F.lit(seed + 4), u["shard"], u["pass"], F.col("doc_id"))).alias("positions"),
+        F.transform("used", lambda u: F.xxhash64(F.lit(seed + 4), u["shard"], u["pass"], F.col("doc_id"), F.col("nth"))).alias("positions"),
     )
 
 
-def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, all columns unchanged."""
-    names = docs.columns
-    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    d = docs.withColumn("_words", word_count(F.col("text")))
-    same = d["doc_id"].eqNullSafe(taken["_id"]) & d["source"].eqNullSafe(taken["_source"]) & (d["_words"] == taken["_size"])
-    j = d.join(taken, same)
-    return j.withColumn("_pass", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[f"`{c}`" for c in names])
+def repeat(docs: DataFrame, max_repeats: float = MAX_REPEATS, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns unchanged. Columns may have any names.
+
+    Rows of one id, source and size are alike to the mix; in the order of their texts the first get the most copies.
+    """
+    d, at = plain_names(docs)
+    doc_id, source, text = (F.col(at[c]) for c in ("doc_id", "source", "text"))
+    with scratch_scope():
+        mixed = mix(d.select(doc_id.alias("doc_id"), source.alias("source"), text.alias("text")), max_repeats=max_repeats, **options)
+        # how many of the alike rows are taken once or more, twice or more, ...
+        rows_with = F.array(*[F.count_if(F.col("copies") >= c) for c in range(1, math.ceil(max_repeats) + 1)])
+        taken = mixed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"), rows_with.alias("rows_with")).where("rows_with[0] > 0")
+        taken = materialize(taken, "mix-copies", stays=True)
+    d = d.withColumn("words", word_count(text))
+
+    def copied(part: DataFrame, nth: Column) -> DataFrame:
+        same = doc_id.eqNullSafe(F.col("doc_id")) & source.eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+        j = d.join(part, same).withColumn("nth", nth)
+        copies = F.size(F.filter("rows_with", lambda n: n >= F.col("nth")))
+        return j.withColumn("copies", copies).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), "copies"))).select(*at.values())
+
+    out = copied(taken.where("rows = 1"), F.lit(1))
+    several = taken.where("rows > 1")
+    if not several.isEmpty():
+        out = out.union(copied(several, F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64(text)))))
+    return out.toDF(*docs.columns)
