@@ -39,8 +39,6 @@ from .common import materialize, plain_names, scratch_scope, word_count
 WEIGHTS, MAX_REPEATS, SHARDS, BLOCK_DOCS, SEED = (5.0, 2.0, 1.0), 3.0, 16, 512, 17
 #: Blocks that one range of the ordering hash holds, on average.
 RANGE_BLOCKS = 4096
-#: Sources dealt together; more of them are dealt in such batches first.
-BATCH_SOURCES = 256
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -70,6 +68,11 @@ def _uniform(*cols) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
     """A draw by inverse transform: how many of ``good`` among ``total`` are in ``draws``.
 
@@ -79,83 +82,72 @@ def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Co
     a few numbers: first the mass of each side is summed, then the side that u
     points to is walked until it is reached.
     """
-    n, g, d = (x.cast("double") for x in (total, good, draws))
     lo = F.greatest(F.lit(0), draws - (total - good)).cast("long")
     hi = F.least(good, draws).cast("long")
-    mode = F.least(hi, F.greatest(lo, F.floor((g + 1) * (d + 1) / (n + 2)).cast("long")))
-    spread = F.sqrt(d * (g / F.greatest(n, F.lit(1.0))) * (1 - g / F.greatest(n, F.lit(1.0))) * (n - d) / F.greatest(n - 1, F.lit(1.0)))
-    reach = F.ceil(12 * spread).cast("long") + 12
-    up = lambda k: (g - k + 1) * (d - k + 1) / (k * (n - g - d + k))  # noqa: E731  p(k) / p(k - 1)
-    none = F.expr("CAST(array() AS array<bigint>)")
-    above = F.when(hi > mode, F.sequence(mode + 1, F.least(hi, mode + reach))).otherwise(none)
-    below = F.when(lo < mode, F.sequence(mode - 1, F.greatest(lo, mode - reach), F.lit(-1).cast("long"))).otherwise(none)
-    ratio = {"above": lambda k: up(k.cast("double")), "below": lambda k: 1 / up(k.cast("double") + 1)}
+    given = F.struct(total.cast("double").alias("n"), good.cast("double").alias("g"), draws.cast("double").alias("d"), lo.alias("lo"), hi.alias("hi"), u.alias("u"))
+
+    def draw(p):
+        n, g, d = p["n"], p["g"], p["d"]
+        mode = F.least(p["hi"], F.greatest(p["lo"], F.floor((g + 1) * (d + 1) / (n + 2)).cast("long")))
+        reach = F.ceil(12 * F.sqrt(d * g * (n - g) * (n - d) / F.greatest(n * n * (n - 1), F.lit(1.0)))).cast("long") + 12
+        return _let(F.struct(mode.alias("mode"), reach.alias("reach")), lambda q: from_mode(p, q["mode"], q["reach"]))
+
+    def from_mode(p, mode, reach):
+        up = lambda k: (p["g"] - k + 1) * (p["d"] - k + 1) / (k * (p["n"] - p["g"] - p["d"] + k))  # noqa: E731  p(k) / p(k - 1)
+        none = F.expr("CAST(array() AS array<bigint>)")
+        above = F.when(p["hi"] > mode, F.sequence(mode + 1, F.least(p["hi"], mode + reach))).otherwise(none)
+        below = F.when(p["lo"] < mode, F.sequence(mode - 1, F.greatest(p["lo"], mode - reach), F.lit(-1).cast("long"))).otherwise(none)
 
-    def mass(side, steps):
-        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+        def walked(steps, ratio, rest):
+            start = F.struct(F.lit(1.0).alias("w"), rest.alias("rest"), mode.alias("k"))
 
-        def add(acc, k):
-            w = acc["w"] * ratio[side](k)
-            return F.struct(w.alias("w"), (acc["sum"] + w).alias("sum"))
+            def step(acc, k):
+                w = acc["w"] * ratio(k)
+                return F.struct(w.alias("w"), (acc["rest"] - w).alias("rest"), F.when(acc["rest"] > 0, k).otherwise(acc["k"]).alias("k"))
 
-        return F.aggregate(steps, start, add)["sum"]
+            return F.aggregate(steps, start, step)
 
-    def walk(side, steps, rest):
-        start = F.struct(F.lit(1.0).alias("w"), rest.alias("rest"), mode.alias("k"))
+        rise, fall = lambda k: up(k.cast("double")), lambda k: 1 / up(k.cast("double") + 1)
+        zero = F.lit(0.0)
+        mass = F.struct((-walked(above, rise, zero)["rest"]).alias("more"), (-walked(below, fall, zero)["rest"]).alias("less"))
 
-        def step(acc, k):
-            w = acc["w"] * ratio[side](k)
-            return F.struct(w.alias("w"), (acc["rest"] - w).alias("rest"), F.when(acc["rest"] > 0, k).otherwise(acc["k"]).alias("k"))
+        def choose(m):
+            rest = p["u"] * (1 + m["more"] + m["less"]) - 1
+            return F.when(rest <= 0, mode).when(rest <= m["more"], walked(above, rise, rest)["k"]).otherwise(walked(below, fall, rest - m["more"])["k"])
 
-        return F.aggregate(steps, start, step)["k"]
+        return _let(mass, choose)
 
-    more, less = mass("above", above), mass("below", below)
-    rest = u * (1 + more + less) - 1
-    return F.when(rest <= 0, mode).when(rest <= more, walk("above", above, rest)).otherwise(walk("below", below, rest - more))
+    return _let(given, draw)
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``quotas``: rank, units (blocks drawn from a source) -> rank, shard, units.
 
-    One row a tree node holds the quotas of all sources, in batches; a level halves
-    every node's shards and deals its units: the left half gets its share of all
-    units as a multivariate hypergeometric draw, the right half the rest. A draw
-    deals to the batches first, then to the sources of each.
+    One row a tree node holds the quotas of all sources; a level halves every
+    node's shards and deals its units: the left half gets its share of all units
+    as a multivariate hypergeometric draw, the right half the rest.
     """
-    item = F.struct("rank", F.col("units").cast("long").alias("units"))
-    batches = quotas.groupBy(F.floor(F.col("rank") / BATCH_SOURCES).cast("int").alias("batch")).agg(F.sum("units").cast("long").alias("units"), F.array_sort(F.collect_list(item)).alias("items"))
-    nodes = batches.agg(F.array_sort(F.collect_list(F.struct("batch", "units", "items"))).alias("q")).select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "q")
+    nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("units").cast("long").alias("units")))).alias("q")).select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "q")
     for level in range(max(0, math.ceil(math.log2(max(1, shards))))):
         left_n = F.floor((F.col("n") + 1) / 2).cast("int")
         total = F.aggregate("q", F.lit(0).cast("long"), lambda acc, x: acc + x["units"])
         draws = F.floor(total * left_n / F.col("n") + 0.5).cast("long")
 
-        def deal(groups, total, draws, empty, name, inner=None, level=level):
-            def one(acc, x):
-                u = _uniform(F.lit(seed), F.lit(level), F.col("first"), F.lit(name), x[name])
-                k = _hypergeometric(acc["total"], x["units"], acc["draws"], u)
-                return F.struct((acc["total"] - x["units"]).alias("total"), (acc["draws"] - k).alias("draws"), F.concat(acc["out"], F.array(F.struct(x[name].alias(name), k.alias("units")))).alias("out"))
-
-            return F.aggregate(groups, F.struct(total.alias("total"), draws.alias("draws"), F.expr(f"CAST(array() AS array<struct<{name}:int,units:bigint>>)").alias("out")), one)["out"]
-
-        # the batches' draws are a column of their own: the sources' draws only read them
-        split = nodes.withColumn("by_batch", deal(F.col("q"), total, draws, None, "batch"))
-
-        def inside(b, x):
-            items = deal(b["items"], b["units"], x["units"], None, "rank")
-            return F.struct(b["batch"].alias("batch"), x["units"].alias("units"), items.alias("items"))
+        def deal(acc, x):
+            u = _uniform(F.lit(seed), F.lit(level), F.col("first"), x["rank"])  # noqa: B023
+            dealt = lambda k: F.struct((acc["total"] - x["units"]).alias("total"), (acc["draws"] - k).alias("draws"), F.concat(acc["out"], F.array(F.struct(x["rank"].alias("rank"), k.alias("units")))).alias("out"))
+            return _let(_hypergeometric(acc["total"], x["units"], acc["draws"], u), dealt)
 
-        dealt = F.zip_with("q", "by_batch", inside)
-        split = split.withColumn("left", F.when(F.col("n") > 1, dealt).otherwise(F.col("q")))
+        empty = F.expr("CAST(array() AS array<struct<rank:int,units:bigint>>)")
+        dealt = F.aggregate("q", F.struct(total.alias("total"), draws.alias("draws"), empty.alias("out")), deal)["out"]
 
-        def other(b, x):
-            items = F.zip_with(b["items"], x["items"], lambda i, j: F.struct(i["rank"].alias("rank"), (i["units"] - j["units"]).alias("units")))
-            return F.struct(b["batch"].alias("batch"), (b["units"] - x["units"]).alias("units"), items.alias("items"))
+        def halves(left):
+            right = F.zip_with("q", left, lambda a, b: F.struct(a["rank"].alias("rank"), (a["units"] - b["units"]).alias("units")))
+            node = lambda first, n, q: F.struct(first.alias("first"), n.alias("n"), q.alias("q"))
+            return F.array(node(F.col("first"), left_n, left), node(F.col("first") + left_n, F.col("n") - left_n, right))
 
-        right = F.zip_with("q", "left", other)
-        halves = F.when(F.col("n") > 1, F.array(F.struct(F.col("first").alias("first"), left_n.alias("n"), F.col("left").alias("q")), F.struct((F.col("first") + left_n).alias("first"), (F.col("n") - left_n).alias("n"), right.alias("q")))).otherwise(F.array(F.struct("first", "n", "q")))
-        nodes = split.select(F.inline(halves))
-    return nodes.select(F.col("first").alias("shard"), F.explode("q").alias("b")).select("shard", F.inline("b.items"))
+        nodes = nodes.select(F.inline(F.when(F.col("n") > 1, _let(dealt, halves)).otherwise(F.array(F.struct("first", "n", "q")))))
+    return nodes.select(F.col("first").alias("shard"), F.inline("q"))
 
 
 def running(rows: DataFrame, by: str, key: Column, ties: list[str], n: str, value: Column) -> DataFrame:
