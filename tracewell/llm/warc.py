@@ -26,12 +26,13 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import materialize, scratch
 
 SEGMENT, CHUNK, REVISIT_FROM, FILE_RECORDS = 16384, 4096, 1000, 1000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -118,8 +119,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, date: str = "2024
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     long_ = F.octet_length("html") >= REVISIT_FROM
     first = p.where(long_).groupBy("digest").agg(F.max("page_id").alias("first"))
-    # the narrow side is hashed; the payloads stream past it unsorted
-    j = p.join(first.hint("shuffle_hash"), "digest", "left")
+    j = p.join(first, "digest", "left")
     revisits = long_ & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = j.select("page_id", "url", "digest", F.when(revisits, F.col("first")).alias("refers_to"), F.when(revisits, F.lit(None)).otherwise(F.col("html")).alias("html"), F.monotonically_increasing_id().alias("row"))
 
@@ -146,23 +146,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             origin = f.get("warc-segment-origin-id") or f.get("warc-record-id")
             yield number(f, "warc-page-id"), f.get("warc-type"), origin, n, number(f, "warc-segment-total-length"), number(f, "warc-refers-to-page-id"), f.get("warc-payload-digest", "").removeprefix("sha1:"), block
 
-    def scan(segmented: bool):
-        def run(batches):
-            names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            for b in batches:
-                for content in b.column("content"):
-                    data = content.as_py()
-                    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                    rows = [r for r in rows_of(data) if (r[3] is not None) == segmented]
-                    for i in range(0, len(rows), 1000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1000]), kinds)], names=names)
-
-        return files.select("content").mapInArrow(run, RECORD_SCHEMA)
-
+    def run(batches):
+        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        for b in batches:
+            for content in b.column("content"):
+                data = content.as_py()
+                rows = rows_of(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+                while some := list(islice(rows, 500)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], names=names)
+
+    # archives are unpacked and parsed once
+    records = materialize(files.select("content").mapInArrow(run, RECORD_SCHEMA), "warc-records")
     # segments of a block meet again by origin; their number is bounded by the block's own length
     part = F.struct("number", "block", "total")
-    joined = scan(True).groupBy("origin").agg(
+    joined = records.where("number IS NOT NULL").groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max(F.when(F.col("number") == 1, F.col("digest"))).alias("digest"),
         F.max(F.when(F.col("number") == 1, F.col("type"))).alias("type"), F.array_sort(F.collect_list(part)).alias("parts"),
     )
@@ -172,7 +170,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     blocks = F.transform("parts", lambda x: x["block"])
     whole = F.when(in_order & (length == total), blocks)
     segmented = joined.select("page_id", "type", F.lit(None).cast("long").alias("refers_to"), "digest", whole.alias("blocks"))
-    single = scan(False).select("page_id", "type", "refers_to", "digest", F.array("block").alias("blocks"))
+    single = records.where("number IS NULL").select("page_id", "type", "refers_to", "digest", F.array("block").alias("blocks"))
     return single.unionByName(segmented)
 
 
@@ -201,7 +199,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(pages, path)
-    r = payloads(read(spark, path)).drop("payload")
+    r = materialize(payloads(read(spark, path)).drop("payload"), "warc-pages")
     own = r.where("type = 'response'")
     named = own.where("payload_bytes IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
     back = r.where("type = 'revisit'").drop("payload_bytes", "payload_digest").join(named, ["refers_to", "digest"], "left")
