@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CAPACITY, END_ID, SALTS = 4096, 1, 64
+CAPACITY, END_ID = 4096, 1
+#: Pieces that one salt of a length holds at most, about: a salt is ranked by one task.
+SALT_PIECES = 1 << 18
 #: Pattern search: middle lengths tried for each first length, worst waste allowed, sweeps of the fit.
 MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
 #: Distinct words that a task remembers the ids of.
@@ -237,9 +239,10 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "base", "offset", "times"), a.T.copy()))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, salts: int = SALTS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """``docs``: doc_id, text -> the pieces with their sequence_id and offset."""
     pieces = materialize(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pieces")
+    salts = max(64, -(-pieces.count() // SALT_PIECES))  # as if all pieces had one length
     p = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     by_salt = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     hist = by_salt.groupBy("length").agg(F.sum("n").alias("n")).toPandas().sort_values("length")
