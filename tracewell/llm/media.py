@@ -33,6 +33,8 @@ from .common import materialize
 
 WIDTH, BLOCK, PAD = 24, 576, 255
 TILE = 16
+#: Rows of an image that are summed as floats at a time.
+ROWS_AT_ONCE = 1 << 14
 #: Bytes of text that a task encodes before it hands on a batch.
 BATCH_BYTES = 8 << 20
 
@@ -103,19 +105,30 @@ def _bmp(media: bytes) -> np.ndarray | None:
 
 
 def area_resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Means of the areas below a height x width grid, as floats."""
-    g = image.astype(np.float64)
-    g = g.mean(2) if g.ndim == 3 else g
-    h, w = g.shape
-    sums = np.zeros((h + 1, w + 1))
-    sums[1:, 1:] = g.cumsum(0).cumsum(1)
-
-    def at(y: np.ndarray, axis_sums: np.ndarray) -> np.ndarray:
-        lo = np.minimum(y.astype(np.int64), len(axis_sums) - 2)
-        f = (y - lo)[:, None]
-        return axis_sums[lo] * (1 - f) + axis_sums[lo + 1] * f
-
-    corners = at(np.linspace(0, w, width + 1), at(np.linspace(0, h, height + 1), sums).T).T
+    """Means of the areas below a height x width grid, as floats.
+
+    Of the integral image only the rows next to the grid's lines are kept, so memory does not grow with the height.
+    """
+    h, w = image.shape[:2]
+    y = np.linspace(0, h, height + 1)
+    low = np.minimum(y.astype(np.int64), h - 1)
+    wanted = np.unique(np.concatenate((low, low + 1)))  # sums of all rows above these
+    sums, total, at = np.zeros((len(wanted), w + 1)), np.zeros(w), 0
+    for i, row in enumerate(wanted):
+        for a in range(at, row, ROWS_AT_ONCE):
+            part = image[a : min(row, a + ROWS_AT_ONCE)].astype(np.float64)
+            total += (part.mean(2) if part.ndim == 3 else part).sum(0)
+        at = row
+        sums[i, 1:] = total.cumsum()
+
+    def between(lines: np.ndarray, low: np.ndarray, table: np.ndarray, place: np.ndarray) -> np.ndarray:
+        f = (lines - low)[:, None]
+        return table[place] * (1 - f) + table[place + 1] * f
+
+    rows = between(y, low, sums, np.searchsorted(wanted, low))
+    x = np.linspace(0, w, width + 1)
+    left = np.minimum(x.astype(np.int64), w - 1)
+    corners = between(x, left, rows.T, left).T
     area = (h / height) * (w / width)
     return (corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]) / area
 
