@@ -20,7 +20,7 @@ hold of them, so copies cost nothing. Leaves are met in chunks of at most about
 ``CHUNK_ROWS`` vectors and queries, so no task grows with the input.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components
-take no part, nor do those of another length than most; fewer candidates than
+take no part; vectors of another length are no candidates; fewer candidates than
 ``k`` are all returned; a repeated id is one candidate for each distinct vector it
 has; an empty table gives an empty result; extra columns are ignored.
 """
@@ -28,6 +28,7 @@ has; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,15 @@ TREES, SAMPLE_ROWS, LEAF_ROWS, SEARCH_SHARE, CHUNK_ROWS, SEED = 8, 8192, 32, 2.0
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the vectors that take part."""
-    e = F.col("embedding")
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding"))
+    """vec_id, embedding (with its own kind of numbers) of the vectors that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.where(F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-    sizes = v.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    return v.where(F.size("embedding") == (sizes[0]["dim"] if sizes else 0))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element(vectors)}>").alias("embedding"))
+    return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
+
+
+def element(vectors: DataFrame) -> str:
+    """float where the vectors are of that type, else double."""
+    return "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
 
 
 def fit_forest(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = SEED) -> list[dict[str, np.ndarray]]:
@@ -122,14 +125,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
+    """Row by row, in double precision; scaling by powers of two keeps every digit and stops overflow and underflow."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a, b))
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def best_of(close: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
+    """Of each row of scores the places of the m best, ties (and scores that rounding alone may part) to smaller ids."""
+    m = min(m, close.shape[1])
+    worst = -np.partition(-close, m - 1, axis=1)[:, m - 1 : m]
+    out = np.empty((len(close), m), np.int64)
+    for i, row in enumerate(close >= worst - 1e-12):
+        at = np.flatnonzero(row)
+        out[i] = at[np.lexsort((ids[at], -np.round(close[i, at], 12)))[:m]]
+    return out
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, share: float = SEARCH_SHARE) -> DataFrame:
-    """``vectors``: vec_id, embedding; ``is_query``: condition on vec_id -> query_id, rank, vec_id, score of the k nearest found."""
-    spark = vectors.sparkSession
+    """``vectors``: vec_id, embedding; ``is_query``: condition on vec_id -> query_id, rank, vec_id, score of the k nearest found.
+
+    Vectors of different lengths have no cosine: each length is searched by itself.
+    """
     v = materialize(usable(vectors), "ann-vectors")
+    lengths = [r["n"] for r in v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").collect()]
+    out = [_nearest(v.where(F.size("embedding") == n), element(vectors), is_query, k, trees, sample_rows, share) for n in lengths or [0]]
+    return reduce(DataFrame.union, out)
+
+
+def _nearest(v: DataFrame, kind: str, is_query, k: int, trees: int, sample_rows: int, share: float) -> DataFrame:
+    """``nearest`` among the vectors of one length."""
+    spark = v.sparkSession
     # equal vectors: the class of their smallest id, with the k + 1 smallest (a limit inside the window: few rows of a copy are shuffled)
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     classes = v.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -149,7 +174,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, sample
                 leaves = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), pa.array(at.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("class"), b.column("embedding"), leaves], names=["class", "embedding", "leaves"])
 
-    placed = materialize(classes.select("class", "embedding").mapInArrow(place, "class long, embedding array<float>, leaves array<int>"), "ann-leaves")
+    placed = materialize(classes.select("class", "embedding").mapInArrow(place, f"class long, embedding array<{kind}>, leaves array<int>"), "ann-leaves")
     rows = placed.select("class", "embedding", F.posexplode("leaves").alias("tree", "leaf"))
     held = [np.zeros(t["leaves"], np.int64) for t in forest]
     for r in rows.groupBy("tree", "leaf").count().toLocalIterator():
@@ -170,7 +195,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, sample
 
     queries = placed.join(asked.select("class").distinct(), "class", "left_semi").select("class", "embedding")
     n_queries = asked.select("class").distinct().count()
-    probes = queries.mapInArrow(probe, "class long, embedding array<float>, tree int, leaf int")
+    probes = queries.mapInArrow(probe, f"class long, embedding array<{kind}>, tree int, leaf int")
 
     # chunks of a leaf: every chunk of its vectors meets every chunk of its queries
     most = max([1, *(int(h.max()) for h in held)])
@@ -186,9 +211,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, sample
         v, q = _matrix(vecs.column("embedding")), _matrix(qs.column("embedding"))
         ids, qids = vecs.column("class").to_numpy(), qs.column("class").to_numpy()
         close = _unit(q) @ _unit(v).T
-        m = min(len(ids), k + 3)  # a few more than needed: the product's rounding decides nothing
-        top = np.argpartition(-close, m - 1, axis=1)[:, :m].ravel()
-        of = np.repeat(np.arange(len(qids)), m)
+        top = best_of(close, ids, k + 3)  # a few more than needed: the product's rounding decides nothing
+        of, top = np.repeat(np.arange(len(qids)), top.shape[1]), top.ravel()
         return pa.table([pa.array(qids[of]), pa.array(ids[top]), pa.array(cosine(q[of], v[top]))], names=names)
 
     by = ["tree", "leaf", "cv", "cq"]
