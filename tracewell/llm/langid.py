@@ -12,8 +12,11 @@ Four kinds of evidence are added as log-probabilities of each language:
   ``HOST_STRENGTH`` pseudo-rows a level; a row's own declaration is left out of
   its counts, so it is not used twice.
 
-The text model is fitted on a bounded sample of declared rows (about
-``TRAIN_ROWS``, by hash of the id), counted in tasks and summed by Spark; all
+Declarations count by their primary subtag, lower-cased (``en-US`` and ``EN`` are
+``en``); what has none is no declaration. The classes are the languages declared
+most often among all rows, ``MOST_LANGUAGES`` at most.  The text model is fitted on
+a bounded sample of declared rows, as many of each language (``TRAIN_ROWS`` in all
+or 500 a language, by hash of the id), counted in tasks and summed by Spark; all
 other counts cover all rows.  Scoring is one pass over the texts; only the host
 table is joined to them, by host, after texts have become scores.
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, materialize, plain_names
 
-TRAIN_ROWS, BUCKETS, ALPHA = 20000, 1 << 16, 0.5
+TRAIN_ROWS, MOST_LANGUAGES, BUCKETS, ALPHA = 20000, 128, 1 << 16, 0.5
 #: Hosts whose priors are broadcast at most; more of them are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 DECLARED_TRUST, SUFFIX_TRUST, HOST_STRENGTH, KEEP = 0.9, 0.6, 20.0, 0.6
@@ -58,12 +61,18 @@ def trigrams(text: str) -> np.ndarray:
     return ((key * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
+def primary(declared: Column) -> Column:
+    """The primary subtag of a declared language, lower-cased; null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1)), F.lit(""))
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     """``docs``: doc_id, text, declared -> {languages, weights float32[BUCKETS, languages + 1]}; the sample is bounded by ``train_rows``."""
-    declared = docs.where("declared IS NOT NULL AND text IS NOT NULL")
-    n = declared.count()
-    share = min(1.0, train_rows / n) if n else 0.0
-    sample = declared.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    declared = docs.withColumn("declared", primary(F.col("declared"))).where("declared IS NOT NULL AND text IS NOT NULL")
+    counts = {r["declared"]: r["n"] for r in declared.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()}
+    each = max(500, train_rows // max(1, len(counts)))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, each / n) * (1 << 30)))]) if counts else F.lit(None).cast("map<string,int>")
+    sample = declared.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < share[F.col("declared")])
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -132,10 +141,10 @@ def _smooth(own: Column, base: Column) -> Column:
 
 
 def with_host_prior(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """``docs``: declared, host, ... -> with host_prior array<double>, the row's own declaration left out."""
+    """``docs``: said, host, ... -> with host_prior array<double>, the row's own declaration left out."""
     k = range(len(languages))
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in k]
-    hosts = docs.where("host IS NOT NULL").groupBy("host").agg(*[F.count_if(F.col("declared") == c).alias(f"n{i}") for i, c in enumerate(languages)])
+    hosts = docs.where("host IS NOT NULL").groupBy("host").agg(*[F.count_if(F.col("said") == c).alias(f"n{i}") for i, c in enumerate(languages)])
     hosts = hosts.withColumn("domain", host_domain(F.col("host")))
     domains = hosts.groupBy("domain").agg(*sums)
     overall = domains.agg(*sums).first()
@@ -149,7 +158,7 @@ def with_host_prior(docs: DataFrame, languages: list[str]) -> DataFrame:
     few = table.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     j = docs.join(F.broadcast(table) if few else table, F.col("host") == F.col("of_host"), "left")
     zero = F.array(*[F.lit(0.0) for _ in k])
-    own = F.array(*[F.when(F.col("declared") == c, 1.0).otherwise(0.0) for c in languages])
+    own = F.array(*[F.when(F.col("said") == c, 1.0).otherwise(0.0) for c in languages])
     others = F.zip_with(F.coalesce("hn", zero), own, lambda a, o: F.greatest(a - o, F.lit(0.0)))
     j = j.withColumn("hn", others).withColumn("base", F.coalesce("base", prior))
     return j.withColumn("host_prior", _smooth(F.col("hn"), F.col("base"))).drop("of_host", "hn", "base")
@@ -162,6 +171,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, model: dict | None =
     """
     extra = [c for c in ("declared", "host", "suffix") if c not in docs.columns]
     d = docs.select("doc_id", "text", *(F.lit(None).cast("string").alias(c) if c in extra else c for c in ("declared", "host", "suffix")), *(c for c in carry if c != "text"))
+    d = d.withColumn("said", primary(F.col("declared")))
     model = model or fit(d, train_rows)
     languages = model["languages"]
     cols = ["doc_id", "declared", "host", "lang", "posterior", "text_lang", "kept", *carry]
@@ -182,7 +192,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, model: dict | None =
     weight = TEMPER * F.least(F.col("n_trigrams").cast("double"), F.lit(MOST_TRIGRAMS))
     text = F.transform("text_ll", lambda x: x.cast("double") * weight)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    j = j.withColumn("joint", add(add(text, host), add(vote("declared", DECLARED_TRUST), vote("speaks", SUFFIX_TRUST))))
+    j = j.withColumn("joint", add(add(text, host), add(vote("said", DECLARED_TRUST), vote("speaks", SUFFIX_TRUST))))
     top = F.array_max("joint")
     mass = F.aggregate("joint", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("joint")))
     names = F.array(*map(F.lit, classes))
