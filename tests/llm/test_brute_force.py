@@ -322,15 +322,33 @@ def test_lm_against_exact_counts(spark, docs, texts):
     from pyspark.sql import functions as F
 
     mark = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    # the model in plain Python, with counts floored to powers of two; a false level can only raise a bigram's count
+    pairs = collections.Counter(p for i, w in enumerate(toks) if i not in held for p in zip(["START", *w], w))
+    n_docs = len(texts) - len(held)
+    gain = min(0.95, max(0.05, 1 - sum(c == 1 for c in pairs.values()) / sum(pairs.values())))
+
+    def plain(w, count):
+        out = 0.0
+        for v, x in zip(["START", *w], w):
+            before, base = n_docs if v == "START" else uni[v], (uni[x] + 1) / (n + 1 * (v_ + 1))
+            p = base * (1 - gain) if before else base
+            out += math.log10(p + (gain * min(count(v, x), uni[x], before) / before if before and uni[x] else 0))
+        return out
+
+    v_ = v
+    floored = lambda a, b: 2.0 ** math.floor(math.log2(pairs[a, b])) if pairs[a, b] else 0
     results = []
-    for limit in (lm_scoring.VOCABULARY_LIMIT, 0):  # by broadcast, and by shuffle
-        got = {r["doc_id"]: r for r in lm_scoring.score(docs, mark, vocabulary_limit=limit).collect()}
+    for options in ({}, {"vocabulary_limit": 0}, {"broadcast_bytes": 8}):  # by broadcast, by shuffle, and a filter beyond its bound
+        got = {r["doc_id"]: r for r in lm_scoring.score(docs, mark, **options).collect()}
         for i, w in enumerate(toks):
             r = got[i]
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(w), sum(uni[x] > 0 for x in w), n)
             assert r["base_score"] == pytest.approx(sum(math.log10((uni[x] + 1) / (n + 1 * (v + 1))) for x in w))
+            assert plain(w, floored) - 1e-6 <= r["score"] <= plain(w, lambda a, b: math.inf) + 1e-6
+        exact = sum(abs(got[i]["score"] - plain(w, floored)) < 1e-6 * len(w) for i, w in enumerate(toks))
+        assert exact >= 0.5 * len(toks)
         results.append({i: round(r["score"], 6) for i, r in got.items()})
-    assert results[0] == results[1]
+    assert results[0] == results[1] == results[2]
     assert lm_scoring.score(spark.createDataFrame([], DOCS), mark).count() == 0
 
 
@@ -338,7 +356,7 @@ def test_bloom_filter_counts():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 1 << 64, 20000, dtype=np.uint64)
     c = rng.geometric(0.3, len(h))
-    bits = lm_scoring.filter_block(h, c, 1 << 30)
+    bits = lm_scoring.filter_block(h, c)
     f = lm_scoring.Filter(np.array([8 * len(bits)]), np.frombuffer(bits, np.uint8))
     got = f.count(h)
     assert (got >= 2.0 ** np.floor(np.log2(c))).all()  # never below its level
@@ -410,3 +428,109 @@ def test_url_rules_and_reputation(spark):
     s, d = url_filters.suffix_and_domain(F.col("h"))
     hosts = spark.createDataFrame([("a.b.co.uk",), ("x.example.com",), ("com",), ("1.2.3.4",), ("",)], "h string")
     assert [tuple(r) for r in hosts.select(s, d).collect()] == [("co.uk", "b.co.uk"), ("com", "example.com"), ("com", "com"), ("", "1.2.3.4"), ("", "")]
+
+
+def test_langid_fusion_in_numpy(spark):
+    """Every posterior from the model's weights and plain counts; declarations by primary subtag; names clash."""
+    words_of = {"en": "the house and the river are old", "fr": "la maison et la riviere sont vieilles", "de": "das haus und der fluss sind alt"}
+    said = {"en": ["en", "EN", "en-US", None], "fr": ["fr", "fr_CA", "junk value", "de"], "de": ["de", " de ", "", None]}
+    rows = [(i, f"{words_of[k]} {i}" if i % 11 else None, said[k][i // 3 % 4], f"h{i % 5}.x{i % 2}.org", ("de", "fr", "zz")[i % 3]) for i in range(90) for k in [("en", "fr", "de")[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string")
+    model = langid.fit(df)
+    assert model["languages"] == ["de", "en", "fr"]
+    langs, classes = model["languages"], [*model["languages"], "other"]
+
+    def tag(x):
+        m = (x or "").strip().lower().replace("_", "-").split("-")[0]
+        return m if 2 <= len(m) <= 3 and m.isalpha() else None
+
+    tags = [tag(r[2]) for r in rows]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    count = lambda keep: np.array([sum(t == lang for t, r in zip(tags, rows) if keep(r)) for lang in langs], float)
+    smooth = lambda own, base: (own + langid.HOST_STRENGTH * base) / (own.sum() + langid.HOST_STRENGTH)
+    overall = (count(lambda r: True) + 1) / (count(lambda r: True) + 1).sum()
+    got = {r["doc_id"]: r for r in langid.identify(df, model=model).collect()}
+    for i, r in enumerate(rows):
+        t = langid.trigrams(r[1] or "")
+        if not len(t):
+            assert (got[i]["lang"], got[i]["kept"]) == ("und", False)
+            continue
+        joint = model["weights"][t].sum(0, dtype=np.float64) / len(t) * langid.TEMPER * min(len(t), langid.MOST_TRIGRAMS)
+        own = np.array([tags[i] == lang for lang in langs], float)
+        prior = smooth(np.maximum(count(lambda x: x[3] == r[3]) - own, 0), smooth(count(lambda x: domain(x[3]) == domain(r[3])), overall))
+        joint[:-1] += np.log(np.maximum(prior, 1e-6))
+        joint[-1] -= np.log(len(classes))
+        for vote, trust in ((tags[i], langid.DECLARED_TRUST), (langid.SUFFIX_LANGUAGES.get(r[4]), langid.SUFFIX_TRUST)):
+            if vote in langs:
+                joint += np.log([trust if c == vote else (1 - trust) / (len(classes) - 1) for c in classes])
+        p = np.exp(joint - joint.max())
+        p /= p.sum()
+        assert got[i]["lang"] == classes[int(p.argmax())] and got[i]["posterior"] == pytest.approx(p.max(), abs=1e-4)
+    clash = df.withColumnsRenamed({"suffix": "said", "host": "lang"}).withColumns({"text_ll": df["doc_id"], "kept": df["doc_id"]})
+    kept = langid.keep_identified(clash, "declared", "lang")
+    assert kept.columns == clash.columns and kept.count() > 60
+
+
+def test_langid_pages(spark, sf):
+    got = registry.langid_pages(spark, sf).collect()
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert sorted(r["page_id"] for r in got) == sorted(pages) and sum(r["kept"] for r in got) >= 0.9 * len(pages)
+
+
+def test_mixing_repeated_ids_and_clashes(spark):
+    """Rows of one id keep their own texts; names that the operator uses are kept; draws against plain sums."""
+    rows = [(None if i % 3 == 0 else i % 40, f"{'w ' * (i % 7)}t{i}", "s" if i % 2 else None, i, i, i, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, words int, _words int, size int, copies int")
+    got = mixing.mix(df, block_docs=16).collect()
+    out = mixing.repeat(df, block_docs=16)
+    assert out.columns == df.columns and len(got) == len(rows)
+    back = collections.Counter(tuple(r) for r in out.collect())
+    assert set(back) <= set(rows) and max(back.values()) <= 3
+    want, have = collections.Counter(), collections.Counter()
+    for r in got:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    for r, n in back.items():
+        have[r[0], r[2], len(r[1].split())] += n
+    assert have == +want
+    # a source takes whole passes and, of one pass more, as many words as fill its quota to less than a block's largest document
+    for source in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == source]
+        short = own[0]["target"] - sum(r["taken"] for r in own)
+        assert -1 <= short <= max(r["size"] for r in own) and len({r["copies"] for r in own}) <= 2
+
+
+def test_large_draws(spark):
+    q = spark.createDataFrame([(1, 3_000_000), (2, 1_000_000), (3, 7)], "rank int, units long")
+    got = collections.defaultdict(list)
+    for r in mixing.split_quotas(q, 8).collect():
+        got[r["rank"]].append(r["units"])
+    assert {k: sum(v) for k, v in got.items()} == {1: 3_000_000, 2: 1_000_000, 3: 7}
+    assert all(abs(x - 375_000) < 8 * 375_000**0.5 for x in got[1])
+
+
+def test_ann_ties_lengths_and_doubles(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    rows = [(i, (base * (2.0 ** (i % 50) if i % 2 else 1e200)).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(9)]
+    rows += [(2000 + i, (base + 0.01 * rng.normal(size=8)).tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id").isin(0, 50, 1000)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert [v for v, _ in got[1000]] and all(1000 < v < 1009 + 1 for v, _ in got[1000]) and len(got[1000]) == 5
+    same = ann.cosine(np.tile(base * 1e200, (300, 1)), np.array([r[1] for r in rows[:300]]))
+    want = sorted((-s, i) for i, s in enumerate(same) if i != 0)[:5]
+    assert [v for v, _ in got[0]] == [i for _, i in want] and all(s == pytest.approx(1.0) for _, s in got[0])
+
+
+def test_media_long_text(spark):
+    import tracemalloc
+
+    image = np.random.default_rng(3).integers(0, 256, (400_000, 24)).astype(np.uint8)
+    tracemalloc.start()
+    small = media.area_resize(image, 9, 8)
+    assert tracemalloc.get_traced_memory()[1] < image.nbytes
+    tracemalloc.stop()
+    assert small.mean() == pytest.approx(image.mean())

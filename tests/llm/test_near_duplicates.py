@@ -124,3 +124,13 @@ def test_null_and_repeated_ids(spark):
     by_group = {g: [k for k in kept if k[1] and g.lower() in k[1].lower()] for g in (a, b, c, d, e)}
     assert all(len(v) == 1 for v in by_group.values()) and len(kept) == 6
     assert [by_group[g][0][0] for g in (a, b, c, d, e)] == [None, None, 7, 3, 5] and (9, " ") in kept
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operator's own, and one that cannot be hashed, come back unchanged."""
+    names = ["same", "_same", "_nth", "first_doc", "key", "root", "node"]
+    rows = [(i, f"text number {i} of a few words " * 3, {"a": i}, *[99] * len(names)) for i in range(6)] + [(9, "text number 1 of a few words " * 3, {"a": 0}, *[99] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>, " + ", ".join(f"`{n}` int" for n in names))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=lambda r: r[0]) == rows[:6]
