@@ -1,7 +1,9 @@
 """Scanning of tool definitions and tool results for text aimed at the model.
 
 One boolean column a pattern over the visible text; findings are exploded from
-their array.  Patterns are in the RE2 dialect and rewritten for Java.
+their array.  Patterns are in the RE2 dialect and rewritten for Java; each runs
+only on texts that hold the literals it needs.  Whole texts are scanned; a limit
+in bytes can be set, and what it cuts is said.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regexes import re2_to_java
+from ..functions.regexes import lowered, matches, re2_to_java, spread
 
 # What instructions to a model look like, the detail reported, and whether tool results are held to it too.
 INSTRUCTIONS = [
@@ -41,7 +43,16 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 #: A flag of a subdivision: a black flag, up to six tag letters and the cancel tag.
 FLAG = r"\x{1F3F4}[\x{E0020}-\x{E007E}]{1,6}\x{E007F}"
 BLANK_RUN = r"(?:(?:[\t\f\r ]*\n){12,}|[ \t\x{00A0}]{60,})\s*\S"
-MAX_RESULT = 512 << 10
+#: Any character that ``visible_text`` acts on.
+HIDDEN = "[" + "".join(c[1:-1] for c in (TAGS, ZERO_WIDTH, BIDI)) + "]"
+# Details of the findings that are no pattern of the tables above.
+DETAILS = {
+    "invisible": "hides characters that render as nothing or reorder the text",
+    "padding": "pads the text with blank space that pushes what follows out of view",
+    "letters": "spells its name with look-alike letters from more than one alphabet",
+    "credentials": "points the model at credentials or an agent's configuration",
+    "other tool": "talks about {server}'s tool {tool}; a tool has no business steering how another server's tools are used",
+}
 
 
 def visible_text(text: Column) -> Column:
@@ -49,13 +60,18 @@ def visible_text(text: Column) -> Column:
     ascii_ = "".join(map(chr, range(0x20, 0x7F)))
     tags = "".join(chr(0xE0000 + i) for i in range(0x20, 0x7F))
     plain = F.translate(F.regexp_replace(text, FLAG, ""), tags, ascii_)
-    return F.regexp_replace(plain, f"{TAGS}|{ZERO_WIDTH}|{BIDI}", "")
+    return F.when(text.rlike(HIDDEN), F.regexp_replace(plain, HIDDEN, "")).otherwise(text)
 
 
 def strip_invisible(text: Column) -> tuple[Column, Column]:
     """(text without invisible characters, how many went)."""
-    pattern = f"{TAGS}|{ZERO_WIDTH}|{BIDI}"
-    return F.regexp_replace(text, pattern, ""), F.regexp_count(text, F.lit(pattern))
+    return F.regexp_replace(text, HIDDEN, ""), F.regexp_count(text, F.lit(HIDDEN))
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The text's first ``most`` bytes, without a character cut in half."""
+    head = F.make_valid_utf8(F.substring(text.cast("binary"), 1, most).cast("string"))
+    return F.when(F.octet_length(text) > most, F.rtrim(head, F.lit("\ufffd"))).otherwise(text)
 
 
 def mixed_script(text: Column) -> Column:
@@ -72,35 +88,56 @@ def _finding(test: Column, kind: str, detail: str) -> Column:
     return F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(detail).alias("detail")))
 
 
-def findings(text: Column, definition: bool, where: Column | None = None, other_tools: list[tuple[str, str]] = ()) -> Column:
-    """array<struct<kind, detail>> of one text. ``other_tools``: (server, tool) of other servers, for definitions."""
-    visible = visible_text(text)
-    bare = F.regexp_replace(text, FLAG, "")
-    hidden = bare.rlike(TAGS) | text.rlike(BIDI if definition else OVERRIDES)
+def findings(text: Column, visible: Column, low: Column, definition: bool, where: Column | None = None, other_tools: list[tuple[str, str]] = ()) -> Column:
+    """array<struct<kind, detail>> of one text, its ``visible_text`` and that one ``lowered``. ``other_tools``: (server, tool) of other servers, for definitions."""
+    # all of these are in the class HIDDEN, which is looked for once
+    tags = text.rlike(TAGS) & F.regexp_replace(text, FLAG, "").rlike(TAGS)
+    hidden = tags | text.rlike(BIDI if definition else OVERRIDES)
+    if definition:
+        hidden = hidden | F.regexp_replace(text, r"\A\x{FEFF}", "").rlike(ZERO_WIDTH)
+    hidden = text.rlike(HIDDEN) & hidden
     if definition:
-        hidden = hidden | F.regexp_replace(text, r"\A\x{FEFF}", "").rlike(ZERO_WIDTH) | text.rlike(CONTROL)
-    out = [_finding(hidden, "invisible", "hides characters that render as nothing or reorder the text")]
-    out += [_finding(visible.rlike(re2_to_java(p)), "instruction", d) for p, d, results in INSTRUCTIONS if definition or results]
+        hidden = hidden | text.rlike(CONTROL)
+    out = [_finding(hidden, "invisible", DETAILS["invisible"])]
+    out += [_finding(matches(visible, low, p), "instruction", d) for p, d, results in INSTRUCTIONS if definition or results]
     if definition:
         is_name = F.lit(False) if where is None else (where == "name") | where.endswith(".name")
-        out.append(_finding(text.rlike(BLANK_RUN), "invisible", "pads the text with blank space that pushes what follows out of view"))
-        out.append(_finding(is_name & mixed_script(text), "shadowing", "spells its name with look-alike letters from more than one alphabet"))
+        out.append(_finding(text.rlike(BLANK_RUN), "invisible", DETAILS["padding"]))
+        out.append(_finding(is_name & mixed_script(text), "shadowing", DETAILS["letters"]))
         not_name = F.lit(True) if where is None else where != "name"
-        out.append(_finding(not_name & visible.rlike(re2_to_java(CREDENTIALS)), "credentials", "points the model at credentials or an agent's configuration"))
+        out.append(_finding(not_name & matches(visible, low, CREDENTIALS), "credentials", DETAILS["credentials"]))
         import re
 
         for server, tool in sorted({(s, t) for s, t in other_tools if distinctive(t)}, key=lambda x: -len(x[1])):
-            pattern = re2_to_java(r"(?i)(?:^|[^\w])" + re.sub(r"([^\w])", r"\\\1", tool) + r"(?:$|[^\w])")
-            out.append(_finding(not_name & visible.rlike(pattern), "shadowing", f"talks about {server}'s tool {tool}; a tool has no business steering how another server's tools are used"))
+            pattern = r"(?i)(?:^|[^\w])" + re.sub(r"([^\w])", r"\\\1", tool) + r"(?:$|[^\w])"
+            out.append(_finding(not_name & matches(visible, low, pattern), "shadowing", DETAILS["other tool"].format(server=server, tool=tool)))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def scan_results(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with id: id, kind, detail of each finding in a tool result (the first 512 KiB count)."""
-    cut = F.when(F.octet_length(text) > MAX_RESULT, F.substring(text, 1, MAX_RESULT)).otherwise(F.col(text))
-    return rows.select("id", F.inline(F.array_distinct(findings(cut, definition=False))))
+def _looked_at(rows: DataFrame) -> DataFrame:
+    """id, where, text with its visible form and that one lowered, each computed once."""
+    seen = spread(rows).withColumn("visible", visible_text(F.col("text")))
+    return seen.withColumn("low", lowered(F.col("visible")))
+
+
+def scan_results(rows: DataFrame, text: str = "text", most_bytes: int | None = None) -> DataFrame:
+    """``rows`` with id: id, kind, detail of each finding in a tool result.
+
+    With ``most_bytes`` only so many bytes of a text count; a text that is longer has a finding of kind ``truncated``.
+    """
+    r = rows.select("id", F.col(text).alias("text"))
+    if most_bytes is None:
+        r = _looked_at(r)
+        found = findings(F.col("text"), F.col("visible"), F.col("low"), False)
+    else:
+        r = _looked_at(r.withColumn("longer", F.octet_length("text") > most_bytes).withColumn("text", cut_bytes(F.col("text"), most_bytes)))
+        cut = F.filter(F.array(_finding(F.col("longer"), "truncated", f"only the first {most_bytes} bytes were scanned")), lambda x: x.isNotNull())
+        found = F.concat(findings(F.col("text"), F.col("visible"), F.col("low"), False), cut)
+    return r.select("id", F.inline(F.array_distinct(found)))
 
 
 def scan_definitions(texts: DataFrame, other_tools: list[tuple[str, str]] = ()) -> DataFrame:
     """``texts``: id, where, text (one row a text of a definition) -> id, where, kind, detail."""
-    return texts.select("id", "where", F.inline(F.array_distinct(findings(F.col("text"), True, F.col("where"), other_tools)))).distinct()
+    t = _looked_at(texts.select("id", "where", "text"))
+    found = findings(F.col("text"), F.col("visible"), F.col("low"), True, F.col("where"), other_tools)
+    return t.select("id", "where", F.inline(F.array_distinct(found))).distinct()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.regexes import re2_to_java
+from ..functions.regexes import lowered, may_match, re2_to_java
 
 # What redaction replaces.
 REDACTIONS = [
@@ -24,13 +24,20 @@ REDACTIONS = [
     r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
 ]
 REDACTED = "[REDACTED]"
+#: A pattern that matches nowhere.
+NOTHING = r"\A(?!)"
 
 
 def redact_text(text: Column, patterns=REDACTIONS) -> Column:
-    """Plain text with every match replaced: a chain of JVM-side replacements."""
+    """Plain text with every match replaced: a chain of JVM-side replacements, each only where its literals are.
+
+    Replacing takes no literal of a later pattern in, so all guards read the text as it came. A guard chooses the
+    pattern, not the branch: the chain stays one expression a pattern.
+    """
+    low, out = lowered(text), text
     for p in patterns:
-        text = F.regexp_replace(text, re2_to_java(p), REDACTED)
-    return text
+        out = F.regexp_replace(out, F.when(may_match(low, p), re2_to_java(p)).otherwise(NOTHING), F.lit(REDACTED))
+    return out
 
 
 def redact_json(document: Column, patterns=REDACTIONS) -> Column:
@@ -153,14 +160,29 @@ def secret_values(text: Column, min_length: int = MIN_LENGTH) -> Column:
     return F.transform(F.array_sort(ranked), lambda x: x["v"])
 
 
+def encodings(value: Column) -> Column:
+    """array<string> of the forms a value may be carried in: plain, reversed, hex (lower-case), and the fixed parts of its base64."""
+
+    def parts(url: bool):
+        for pad, start in ((0, 0), (1, 2), (2, 3)):
+            n = F.octet_length(value) + pad
+            data = F.concat(F.lit(b"\x00" * pad), value.cast("binary")) if pad else value.cast("binary")
+            text = F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+            text = F.translate(text, "+/", "-_") if url else text
+            part = F.substr(text, F.lit(start + 1), F.floor(n * 8 / 6).cast("int") - start)
+            yield F.when(F.length(part) >= 8, part)
+
+    every = F.array(value, F.reverse(value), F.lower(F.hex(value.cast("binary"))), *parts(False), *parts(True))
+    return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
+
+
 def tainted_calls(sources: DataFrame, sinks: DataFrame) -> DataFrame:
     """``sources``: session_id, at, text (results marked private); ``sinks``: id, session_id, at, text -> id, n_values.
 
     A later call of the session that carries a value in any of its encodings. Encodings are computed on the values' side; the join is by session.
     """
-    encodings = F.udf(lambda v: [n[0] for n in needles([("v", v)])], "array<string>")
     values = sources.select("session_id", F.col("at").alias("since"), F.explode(secret_values(F.col("text"))).alias("value"))
-    values = values.groupBy("session_id", "value").agg(F.min("since").alias("since")).withColumn("needle", F.explode(encodings("value")))
+    values = values.groupBy("session_id", "value").agg(F.min("since").alias("since")).withColumn("needle", F.explode(encodings(F.col("value"))))
     j = sinks.join(values, "session_id").where("since < at").where(F.col("text").contains(F.col("needle")) | F.lower("text").contains(F.col("needle")))
     return j.groupBy("id").agg(F.countDistinct("value").alias("n_values"))
 
@@ -202,11 +224,15 @@ def passage_prints(text: Column, k: int = K, w: int = W) -> Column:
 def passage_flow(sources: DataFrame, sinks: DataFrame) -> DataFrame:
     """``sources``: id, text; ``sinks``: id, text -> sink_id, source_id, shared (fingerprints in common).
 
-    An equi-join on fingerprints; those of a source are distinct, so common passages cost their true matches.
+    An equi-join on fingerprints. Equal texts have equal fingerprints: each distinct text is joined once, and the
+    matched ones are given back to all their rows at the end.
     """
-    a = sources.select(F.col("id").alias("source_id"), F.explode(passage_prints(F.col("text"))).alias("print"))
-    b = sinks.select(F.col("id").alias("sink_id"), F.explode(passage_prints(F.col("text"))).alias("print"))
-    return b.join(a, "print").groupBy("sink_id", "source_id").agg(F.count("*").alias("shared"))
+    key = F.xxhash64(squeezed(F.col("text")))
+    a, b = sources.select("id", key.alias("key"), "text"), sinks.select("id", key.alias("key"), "text")
+    prints = lambda t, name: t.groupBy("key").agg(F.first("text").alias("text")).select(F.col("key").alias(name), F.explode(passage_prints(F.col("text"))).alias("print"))
+    pairs = prints(b, "sink").join(prints(a, "source"), "print").groupBy("sink", "source").agg(F.count("*").alias("shared"))
+    of = lambda t, name: t.select(F.col("key").alias(name), F.col("id").alias(f"{name}_id"))
+    return pairs.join(of(b, "sink"), "sink").join(of(a, "source"), "source").select("sink_id", "source_id", "shared")
 
 
 def session_flow(calls: DataFrame, is_source: Column, is_sink: Column) -> DataFrame:

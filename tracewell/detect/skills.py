@@ -11,11 +11,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regexes import re2_to_java
-from .scan import BIDI, CONTROL, FLAG, TAGS, ZERO_WIDTH
+from ..functions.regexes import lowered, matches, may_match, re2_to_java, spread
+from .scan import BIDI, CONTROL, FLAG, TAGS, ZERO_WIDTH, cut_bytes
 
 # Rule, severity, kinds of segment, pattern (RE2 dialect).
 TEXT_RULES = [
@@ -47,6 +47,7 @@ CAPABILITIES = [
     ('external-include', ("prose", "code"), r"""(?i)\b(curl|wget)\b[^\n]{0,300}?\|\s*(sudo\s+)?((/usr)?(/local)?/bin/)?(env\s+)?\w*sh\b|(\bsource|\.|\b(ba|z)?sh)\s+<\(\s*(curl|wget)|\b(fetch|load|read|follow|download|get|import|apply)\b[^.\n]{0,40}\b(instructions?|rules|prompts?|guidelines|steps|skill|commands|config(uration)?)\b[^.\n]{0,40}\bfrom\s+<?https?://|\bgit\s+clone\b|\bdocker\s+run\b|\bnpx\s+(-y\s+|--yes\s+)?[@\w]|\buvx\s+\w|\bpipx\s+run\b|\b(iex|invoke-expression)\b"""),
 ]
 
+#: Hits of a rule that are listed for a segment; bytes above which a file counts as oversized.
 HITS_PER_RULE, SCAN_BYTES = 50, 1 << 20
 SEVERITY = {"high": 3, "medium": 2, "low": 1}
 SEGMENTS = "array<struct<kind:string,lang:string,text:string,line:int,load_time:boolean>>"
@@ -109,15 +110,19 @@ def split_markdown(text: str) -> list[dict]:
     return out
 
 
-def segments(files: DataFrame) -> DataFrame:
-    """``files``: skill, path, text -> skill, path, kind, lang, text, line, load_time; what is no Markdown is one code segment."""
+def segments(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """``files``: skill, path, text -> skill, path, kind, lang, text, line, load_time; what is no Markdown is one code segment.
+
+    Whole texts; with ``most_bytes`` only so many of a text (``file_findings`` tells which files are larger).
+    """
 
     @F.pandas_udf(SEGMENTS)
     def split(path: pd.Series, text: pd.Series) -> pd.Series:
         whole = lambda t: [{"kind": "code", "lang": "", "text": t, "line": 1, "load_time": False}]
         return pd.Series([split_markdown(t) if p.lower().endswith((".md", ".markdown")) else whole(t) for p, t in zip(path.fillna(""), text.fillna(""))])
 
-    return files.select("skill", "path", F.inline(split("path", F.substring("text", 1, SCAN_BYTES))))
+    text = F.col("text") if most_bytes is None else cut_bytes(F.col("text"), most_bytes)
+    return spread(files).select("skill", "path", F.inline(split("path", text)))
 
 
 def folded(text: Column) -> Column:
@@ -149,21 +154,51 @@ RAW_RULES = [
 ]
 
 
-def text_findings(segs: DataFrame) -> DataFrame:
-    """Segments -> skill, path, rule, severity, line (of the first hit in the segment)."""
+def hit_lines(text: Column, pattern: Column, first: Column, most: int) -> Column:
+    """array<int> of the lines that the first ``most`` matches start on, ``first`` being the text's first line.
+
+    The text is cut at its matches; a match's line follows from the line feeds of what stands before it.
+    """
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    parts = F.zip_with(F.slice(F.split(text, pattern, F.lit(-1)), 1, most), F.slice(F.regexp_extract_all(text, pattern, F.lit(0)), 1, most), lambda a, b: F.struct(feeds(a).alias("before"), feeds(b).alias("inside")))
+    start = F.struct(first.alias("line"), F.lit(0).alias("inside"), F.expr("CAST(array() AS array<int>)").alias("out"))
+
+    def step(acc, x):
+        line = acc["line"] + acc["inside"] + x["before"]
+        return F.struct(line.alias("line"), x["inside"].alias("inside"), F.concat(acc["out"], F.array(line)).alias("out"))
+
+    return F.aggregate(F.filter(parts, lambda x: x["inside"].isNotNull()), start, step)["out"]
+
+
+def text_findings(segs: DataFrame, most: int = HITS_PER_RULE) -> DataFrame:
+    """Segments -> skill, path, rule, severity, line, more: one row a hit.
+
+    Of a rule's hits in a segment the first ``most`` are listed; ``more``, at the last of these, counts the rest.
+    Which rules hit at all is decided first, by guarded patterns; places are looked for only then.
+    """
     s = segs.withColumn("folded", folded(F.col("text"))).withColumn("bare", F.regexp_replace("text", FLAG, ""))
-    line = lambda text, p: F.col("line") + F.regexp_count(F.substring(text, F.lit(1), F.greatest(F.regexp_instr(text, F.lit(p)) - 1, F.lit(0))), F.lit("\n"))
-    out = []
-    for rules, text in ((RAW_RULES, F.col("bare")), ([(i, s_, k, re2_to_java(p)) for i, s_, k, p in TEXT_RULES], F.col("folded"))):
-        for rule, severity, kinds, p in rules:
-            hit = F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), line(text, p).cast("int").alias("line"))
-            out.append(F.when(F.col("kind").isin(*kinds) & text.rlike(p), hit))
-    first = lambda rule, severity: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col("line").alias("line"))
-    out.append(F.when((F.col("kind") == "comment") & (F.size(F.split(F.trim("text"), r"\s+")) >= 3), first("html-comment", "medium")))
-    out.append(F.when(F.col("load_time"), first("load-time-shell", "medium")))
-    found = s.select("skill", "path", F.inline(F.filter(F.array(*out), lambda x: x.isNotNull()))).distinct()
-    nth = F.row_number().over(Window.partitionBy("skill", "path", "rule").orderBy("line"))
-    return found.withColumn("_n", nth).where(F.col("_n") <= HITS_PER_RULE).drop("_n")
+    s = s.withColumn("low", lowered(F.col("folded"))).withColumn("raw_low", lowered(F.col("bare")))
+    kinds_of = lambda kinds: F.col("kind").isin(*kinds)
+    found = lambda rule, severity, pattern, raw: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(pattern).cast("string").alias("pattern"), F.lit(raw).alias("raw"))
+    out = [F.when(kinds_of(kinds) & _raw_guard(p) & F.col("bare").rlike(p), found(rule, severity, p, True)) for rule, severity, kinds, p in RAW_RULES]
+    out += [F.when(kinds_of(kinds) & matches(F.col("folded"), F.col("low"), p), found(rule, severity, re2_to_java(p), False)) for rule, severity, kinds, p in TEXT_RULES]
+    out.append(F.when((F.col("kind") == "comment") & (F.size(F.split(F.trim("text"), r"\s+")) >= 3), found("html-comment", "medium", None, True)))
+    out.append(F.when(F.col("load_time"), found("load-time-shell", "medium", None, True)))
+    hits = s.select("skill", "path", F.col("line").alias("first"), "folded", "bare", F.inline(F.filter(F.array(*out), lambda x: x.isNotNull())))
+    text = F.when(F.col("raw"), F.col("bare")).otherwise(F.col("folded"))
+    hits = hits.withColumn("text", text).drop("folded", "bare", "raw")
+    n = F.when(F.col("pattern").isNull(), 1).otherwise(F.regexp_count("text", F.col("pattern")))
+    lines = F.when(F.col("pattern").isNull(), F.array("first")).otherwise(hit_lines(F.col("text"), F.col("pattern"), F.col("first"), most))
+    each = hits.select("skill", "path", "rule", "severity", n.alias("n"), F.posexplode(lines).alias("pos", "line"))
+    more = F.when(F.col("pos") == most - 1, F.col("n") - most).otherwise(0)
+    return each.select("skill", "path", "rule", "severity", F.col("line").cast("int").alias("line"), more.cast("int").alias("more")).distinct()
+
+
+def _raw_guard(pattern: str) -> Column:
+    """What a pattern of ``RAW_RULES`` needs, where that is cheap to see."""
+    if pattern.startswith("(?i)http"):
+        return F.col("raw_low").contains("http")
+    return may_match(F.col("raw_low"), pattern) if pattern.startswith("(?i)") else F.lit(True)
 
 
 def file_findings(files: DataFrame) -> DataFrame:
@@ -201,7 +236,8 @@ def front_findings(segs: DataFrame) -> DataFrame:
 def labels(segs: DataFrame) -> DataFrame:
     """skill -> its capabilities in fixed order, and the hosts its URLs name."""
     order = ["shell", "scripts", "network", "urls", "secrets", "file-write", "package-install", "external-include", "auto-trigger", "preapproved-tools"]
-    hits = [F.when(F.col("kind").isin(*kinds) & F.col("text").rlike(re2_to_java(p)), cap) for cap, kinds, p in CAPABILITIES]
+    segs = segs.withColumn("low", lowered(F.col("text")))
+    hits = [F.when(F.col("kind").isin(*kinds) & matches(F.col("text"), F.col("low"), p), cap) for cap, kinds, p in CAPABILITIES]
     hits.append(F.when((F.col("kind") == "code") & F.col("lang").isin("sh", "bash", "zsh", "shell", "console", "powershell"), "shell"))
     hits.append(F.when(F.lower("path").rlike(r"\.(py|sh|bash|js|ts|rb|pl|ps1|go|php|lua)$"), "scripts"))
     hosts = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"(?i)\bhttps?://(?:[^\s/@\"'<>]*@)?([A-Za-z0-9.-]+)"), 1), lambda h: F.lower(h)), lambda h: ~h.rlike(r"^(localhost|127\.|0\.0\.0\.0)"))

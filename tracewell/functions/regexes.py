@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
+from re import _parser as sre_parse
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _WORD = "A-Za-z0-9_"
 #: construct -> the Java spelling of the same meaning (ASCII word boundaries, ASCII blanks, end of text).
@@ -74,3 +80,76 @@ def name_pattern(pattern: str) -> str:
     if len(pattern) > 1 and pattern.startswith("/") and pattern.endswith("/"):
         return re2_to_java(pattern[1:-1])
     return glob_to_java(pattern)
+
+
+def required_literals(pattern: str) -> list[frozenset[str]]:
+    """Sets of lower-case texts of an RE2 pattern: whatever it matches holds, lower-cased, at least one text of every set.
+
+    Read off the parsed pattern: runs of literals in a sequence, the union over the arms of an alternative.
+    Literals that are not ASCII end a run, short ones of letters say too little and are left out.
+    """
+    try:
+        tree = sre_parse.parse(pattern)
+    except re.error:  # RE2 allows more, such as flags half-way: nothing is known then
+        return []
+    telling = lambda s: len(s) >= 3 or (s and not s.isalnum())
+
+    def sets_of(seq) -> list[frozenset[str]]:
+        out, run = [], [""]
+
+        def close():
+            if run[0] != "":
+                out.append(frozenset(run))
+            run[:] = [""]
+
+        for op, arg in seq:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                run[:] = [r + chr(arg).lower() for r in run]
+                continue
+            if name == "AT":
+                continue  # places match nothing
+            close()
+            if name == "SUBPATTERN":
+                out += sets_of(arg[3])
+            elif name == "BRANCH":
+                # the arms' most telling sets, together: one of them must be there
+                arms = [best(sets_of(a)) for a in arg[1]]
+                if all(arms):
+                    out.append(frozenset().union(*arms))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                out += sets_of(arg[2])
+            elif name == "IN" and len(arg) <= 4 and all(str(o) == "LITERAL" and a < 128 for o, a in arg):
+                out.append(frozenset(chr(a).lower() for _, a in arg))
+        close()
+        return [s for s in out if all(telling(x) for x in s)]
+
+    def best(sets):
+        return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=None)
+
+    return list(dict.fromkeys(sets_of(tree)))
+
+
+def lowered(text: Column) -> Column:
+    """The text as ``may_match`` reads it: lower-cased, the long s as s (case folding takes them for one letter)."""
+    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
+
+
+def may_match(low: Column, pattern: str) -> Column:
+    """A cheap condition on the ``lowered`` text without which the RE2 pattern matches nowhere."""
+    out = F.lit(True)
+    for texts in sorted(required_literals(pattern), key=len):
+        out = out & reduce(or_, (low.contains(t) for t in sorted(texts)))
+    return out
+
+
+def matches(text: Column, low: Column, pattern: str) -> Column:
+    """Does the RE2 pattern match? The regular expression only runs where its literals are."""
+    return may_match(low, pattern) & text.rlike(re2_to_java(pattern))
+
+
+def spread(rows: DataFrame, row_group: int = 128 << 20) -> DataFrame:
+    """``rows`` dealt to all cores if they are too few bytes for that many row groups; larger inputs stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * row_group else rows
