@@ -38,7 +38,7 @@ SALT_PIECES = 1 << 18
 #: Pattern search: middle lengths tried for each first length, worst waste allowed, sweeps of the fit.
 MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
 #: Distinct words that a task remembers the ids of.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 250_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
