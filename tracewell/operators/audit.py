@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def went_through() -> Column:
     """Did the call reach its server?"""
     return (F.col("decision") == "allow") | F.col("shadow")
@@ -50,7 +53,8 @@ def call_filter(calls: DataFrame, session: str | None = None, decision: str | No
     for c, v in tests.items():
         out = out if v is None else out.where(F.col(c) == v)
     if tool is not None:
-        out = out.where(F.lower("tool").contains(tool.lower()))
+        lower = str.maketrans(UPPER, LOWER)  # letters beyond ASCII keep their case
+        out = out.where(F.translate("tool", UPPER, LOWER).contains(tool.translate(lower)))
     if after_id is not None:
         out = out.where(F.col("id") > after_id)
     if since_ms is not None:
@@ -93,9 +97,9 @@ def rule_stats(calls: DataFrame) -> DataFrame:
 
 
 def label_sessions(calls: DataFrame) -> DataFrame:
-    """label -> the sessions that earned it, sorted."""
+    """label, session_id of each session that earned it, with the label's number of sessions: rows, not one list a label."""
     pairs = calls.select(F.explode("labels").alias("label"), "session_id").distinct()
-    return pairs.groupBy("label").agg(F.count("*").alias("n_sessions"), F.array_join(F.array_sort(F.collect_list("session_id")), ",").alias("sessions"))
+    return pairs.join(pairs.groupBy("label").agg(F.count("*").alias("n_sessions")), "label")
 
 
 def decision_class(calls: DataFrame) -> DataFrame:
@@ -112,11 +116,6 @@ def tail_badges(calls: DataFrame) -> DataFrame:
     return calls.select("id", badge.alias("badge"))
 
 
-def head_link(calls: DataFrame) -> DataFrame:
-    """The newest link of the chain: seq and row hash, none for an empty log."""
-    return calls.where("seq IS NOT NULL").agg(F.max("seq").alias("seq"), F.max_by("id", "seq").alias("id"))
-
-
 # --- thresholds ---------------------------------------------------------------
 
 COUNTERS = ("sessions", "calls", "denied", "shadowed", "honeypot", "canary", "quarantine", "errors", "tokens")

@@ -16,11 +16,12 @@ def arg_keys(args_json: Column) -> Column:
 def quantiles(calls: DataFrame, value: str, qs=(0.5, 0.95)) -> DataFrame:
     """Per tool the values at index min(n - 1, floor(q * n)) of the sorted values, and the largest.
 
-    Ranks by a window that spills; no tool's values are collected.
+    Values are counted first; the window runs over a tool's distinct values only.
     """
-    w = Window.partitionBy("tool").orderBy(value)
-    c = calls.select("tool", value, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("tool")).alias("n"))
-    at = lambda q: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value)))
+    each = calls.groupBy("tool", value).agg(F.count("*").alias("n")).where(F.col(value).isNotNull())
+    upto = F.sum("n").over(Window.partitionBy("tool").orderBy(value))
+    c = each.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy("tool")))
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("all") - 1, F.floor(F.col("all") * q)), F.col(value)))
     return c.groupBy("tool").agg(*[at(q).alias(f"{value}_p{int(q * 100)}") for q in qs], F.max(value).alias(f"{value}_max"))
 
 

@@ -8,69 +8,121 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ZERO = "0" * 64
-#: What a link hashes, in order.
-LINKED = ("id", "session_id", "ts_ms", "upstream", "tool", "args_json", "decision", "rule_id", "reason", "is_error", "duration_ms", "tokens_est", "shadow")
+from ..sources.log import CALL_COLUMNS
 
+#: Hash before the first link of a chain.
+GENESIS = ""
+#: What a link hashes, in order: every stored column.
+LINKED = (
+    "seq", "id", "session_id", "ts_ms", "upstream", "tool", "args_json", "args_hash", "decision", "rule_id", "reason", "result_json", "result_hash",
+    "is_error", "duration_ms", "tokens_est", "result_truncated", "error", "shadow", "labels", "catalog_hash",
+)
 
-def content(row_prefix: str = "") -> Column:
-    """The hashed text of a call, without its link."""
-    return F.concat_ws("|", *[F.coalesce(F.col(f"{row_prefix}{c}").cast("string"), F.lit("")) for c in LINKED])
 
+def content(columns: list[str]) -> Column:
+    """The hashed text of a call without its link: a JSON object of the fields in fixed order, those not in ``columns`` at their defaults."""
 
-def link_hash(prev: Column) -> Column:
-    return F.sha2(F.concat(prev, F.lit("\n"), content()), 256)
+    def field(name: str) -> Column:
+        kind, default = CALL_COLUMNS[name]
+        if name == "labels":
+            return F.array_join(F.coalesce("labels", F.array().cast("array<string>")), ",") if name in columns else F.lit("")
+        value = F.col(name).cast(kind) if name in columns else F.lit(None).cast(kind)
+        return value if default is None else F.coalesce(value, F.lit(default).cast(kind))
+
+    out = F.to_json(F.struct(*[field(n).alias(n) for n in LINKED]), {"ignoreNullFields": "false"})
+    for char, escaped in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        out = F.replace(out, F.lit(char), F.lit(escaped))
+    return out
+
+
+def link_hash(prev: Column, columns: list[str]) -> Column:
+    return F.sha2(F.concat(prev, F.lit("\n"), content(columns)), 256)
 
 
 def build(calls: DataFrame, chain: str = "session_id") -> DataFrame:
-    """Calls with prev_hash and row_hash, one chain for each value of ``chain``, in order of seq.
+    """Calls with seq, prev_hash and row_hash, one chain for each value of ``chain``, numbered from 1 in order of time and id.
 
     Hashing a chain is serial by nature; chains run side by side and each streams
     through its task in sorted order, holding one hash.
     """
-    text = calls.withColumn("_content", content()).repartition(chain).sortWithinPartitions(chain, "seq", "id")
-    names = calls.columns
+    names = [c for c in calls.columns if c not in ("seq", "prev_hash", "row_hash")]
+    order = Window.partitionBy(chain).orderBy("ts_ms", "id")
+    numbered = calls.select(*names, F.row_number().over(order).cast("long").alias("seq"))
+    text = numbered.withColumn("_content", content(numbered.columns)).repartition(chain).sortWithinPartitions(chain, "seq")
+    out = [*names, "seq", "prev_hash", "row_hash"]
 
     def run(batches):
-        key, prev = None, ZERO
+        key, prev = None, GENESIS
         for b in batches:
             before, own = [], []
             for k, t in zip(b.column(chain).to_pylist(), b.column("_content").to_pylist()):
                 if k != key:
-                    key, prev = k, ZERO
+                    key, prev = k, GENESIS
                 before.append(prev)
                 prev = hashlib.sha256(f"{prev}\n{t}".encode("utf-8", "surrogatepass")).hexdigest()
                 own.append(prev)
-            cols = [b.column(c) for c in names if c not in ("prev_hash", "row_hash")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*[c for c in names if c not in ("prev_hash", "row_hash")], "prev_hash", "row_hash"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out[:-2]), pa.array(before, pa.string()), pa.array(own, pa.string())], names=out)
 
-    kept = [f for f in calls.schema if f.name not in ("prev_hash", "row_hash")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", prev_hash string, row_hash string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + ", prev_hash string, row_hash string"
     return text.mapInArrow(run, schema)
 
 
-def verify(chained: DataFrame, chain: str = "session_id") -> DataFrame:
-    """Problems of chained calls: id, problem (gap, duplicate, link, content).
+def verify(chained: DataFrame, chain: str = "session_id", cut: DataFrame | None = None) -> DataFrame:
+    """Problems of chained calls: chain, id, seq, problem (order, gap, link, content).
 
-    A row's hash depends only on the stored link, so contents are checked row by
-    row in parallel; links and gaps compare neighbours.
+    ``cut``: chain, seq, hash of the last link that retention took from a chain; it stands before the chain's first row.
+    A row's hash depends only on the stored link, so contents are checked row by row in parallel; links and gaps
+    compare neighbours. Calls without seq were written before the chain and are no part of it.
     """
+    names = chained.columns
+    c = chained.where("seq IS NOT NULL")
+    if cut is not None:
+        c = c.join(cut.select(chain, F.col("seq").alias("_cut_seq"), F.col("hash").alias("_cut_hash")), chain, "left")
+    else:
+        c = c.withColumns({"_cut_seq": F.lit(0).cast("long"), "_cut_hash": F.lit(GENESIS)})
     w = Window.partitionBy(chain).orderBy("seq", "id")
-    c = chained.where("seq IS NOT NULL").withColumn("before_seq", F.lag("seq").over(w)).withColumn("before_hash", F.lag("row_hash").over(w))
+    c = c.withColumn("_seq", F.coalesce(F.lag("seq").over(w), "_cut_seq", F.lit(0))).withColumn("_hash", F.coalesce(F.lag("row_hash").over(w), "_cut_hash", F.lit(GENESIS)))
     problem = F.array(
-        F.when(F.col("seq") == F.col("before_seq"), "duplicate"),
-        F.when(F.col("prev_hash") != F.coalesce("before_hash", F.lit(ZERO)), "link"),
-        F.when(F.col("row_hash") != link_hash(F.col("prev_hash")), "content"),
+        F.when(F.col("seq") <= F.col("_seq"), "order"),
+        F.when(F.col("seq") > F.col("_seq") + 1, "gap"),
+        F.when(~F.col("prev_hash").eqNullSafe(F.col("_hash")), "link"),
+        F.when(~F.col("row_hash").eqNullSafe(link_hash(F.coalesce("prev_hash", F.lit("")), names)), "content"),
     )
-    return c.select("id", F.explode(F.filter(problem, lambda p: p.isNotNull())).alias("problem"))
+    return c.select(chain, "id", "seq", F.explode(F.filter(problem, lambda p: p.isNotNull())).alias("problem"))
+
+
+def verify_report(chained: DataFrame, chain: str = "session_id", cut: DataFrame | None = None) -> DataFrame:
+    """One row a chain: checked, legacy (calls without seq), problems, head_seq and head_hash."""
+    found = verify(chained, chain, cut).groupBy(chain).agg(F.count("*").alias("problems"))
+    rows = chained.groupBy(chain).agg(F.count("seq").alias("checked"), F.count_if(F.col("seq").isNull()).alias("legacy"), F.max("seq").alias("head_seq"), F.max_by("row_hash", "seq").alias("head_hash"))
+    return rows.join(found, chain, "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
 
 
-def verify_anchors(chained: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``anchors``: seq, hash -> seq, status: ok, conflict, pruned (older than the log) or beyond (past its end)."""
-    ends = chained.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    a = anchors.join(chained.select("seq", "row_hash"), "seq", "left").join(ends)  # ends: one row
-    status = F.when(F.col("seq") < F.col("lo"), "pruned").when(F.col("seq") > F.col("hi"), "beyond").when(F.col("row_hash") == F.col("hash"), "ok").otherwise("conflict")
-    return a.select("seq", status.alias("status"))
+def head_links(chained: DataFrame, chain: str = "session_id", cut: DataFrame | None = None) -> DataFrame:
+    """The newest link of each chain: seq and row_hash; of a chain cut to nothing the link it was cut at."""
+    heads = chained.where("seq IS NOT NULL").groupBy(chain).agg(F.max("seq").alias("seq"), F.max_by("row_hash", "seq").alias("row_hash"))
+    if cut is None:
+        return heads
+    c = cut.select(chain, F.col("seq").alias("_seq"), F.col("hash").alias("_hash"))
+    return heads.join(c, chain, "full_outer").select(chain, F.coalesce("seq", "_seq").alias("seq"), F.coalesce("row_hash", "_hash").alias("row_hash"))
+
+
+def verify_anchors(chained: DataFrame, anchors: DataFrame, cut: tuple[int, str] | None = None) -> DataFrame:
+    """``chained``: one chain; ``anchors``: seq, hash -> seq, hash, status, problem.
+
+    ok; contradiction (anchors of one seq differ: one was not taken from this log); conflict (another call stands there);
+    pruned (at or before the cut, no longer checked: a problem only if it is the only anchor); beyond (the chain ends before it).
+    """
+    ends = chained.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    lo, hi = cut[0] if cut else (ends["lo"] or 1) - 1, ends["hi"] or (cut[0] if cut else 0)
+    given = anchors.distinct()
+    several = given.groupBy("seq").agg((F.count("*") > 1).alias("several"))
+    a = given.join(several, "seq").join(chained.select("seq", "row_hash"), "seq", "left")
+    at_cut = (F.col("seq") == cut[0]) & (F.col("hash") == cut[1]) if cut else F.lit(False)
+    status = F.when(F.col("several"), "contradiction").when(at_cut | (F.col("row_hash") == F.col("hash")), "ok").when(F.col("seq") <= lo, "pruned").when(F.col("seq") > hi, "beyond").otherwise("conflict")
+    alone = given.limit(2).count() == 1
+    problem = F.col("status").isin("contradiction", "conflict", "beyond") | ((F.col("status") == "pruned") & F.lit(alone))
+    return a.select("seq", "hash", status.alias("status")).withColumn("problem", problem)
 
 
 def merkle_root(leaves: list[bytes]) -> str:

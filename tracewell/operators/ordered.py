@@ -57,23 +57,34 @@ def called_so_far(calls: DataFrame) -> DataFrame:
 def shared_labels(calls: DataFrame, within_ms: int = 30 * 60_000) -> DataFrame:
     """Labels other sessions earned in the ``within_ms`` before each call.
 
-    A range join by buckets of the window's length: a call meets the labels of its
-    own bucket and the one before, never all of them. Labels are reduced to the
-    latest earning of each (session, label, bucket and millisecond) first.
+    Another session earned a label in the window if its smallest or its largest session is not the call's own. These two come
+    from range windows by label and bucket of the window's length; earnings stand in their bucket and the next, so a call
+    asks one bucket of each label, whatever the traffic, and no pairs are made.
     """
     bucket = lambda c: F.floor(c / within_ms).cast("long")
-    earned = calls.select("session_id", "ts_ms", F.explode("labels").alias("label")).distinct().select(F.col("session_id").alias("other"), F.col("ts_ms").alias("at"), "label", F.explode(F.array(bucket(F.col("ts_ms")), bucket(F.col("ts_ms")) + 1)).alias("b"))
-    c = calls.select("id", "session_id", "ts_ms", bucket(F.col("ts_ms")).alias("b"))
-    j = c.join(earned, "b").where("other <> session_id AND at < ts_ms").where(F.col("at") >= F.col("ts_ms") - within_ms)
-    return j.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
+    earned = calls.select("session_id", "ts_ms", F.explode("labels").alias("label")).groupBy("ts_ms", "label").agg(F.min("session_id").alias("low"), F.max("session_id").alias("high"))
+    earned = earned.select("ts_ms", "label", "low", "high", F.explode(F.array(bucket(F.col("ts_ms")), bucket(F.col("ts_ms")) + 1)).alias("b"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("session_id"))
+    names = earned.select("b", "label").distinct()
+    asked = calls.select("id", "session_id", "ts_ms", bucket(F.col("ts_ms")).alias("b")).join(names, "b")
+    asked = asked.select("ts_ms", "label", F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"), "b", "id", "session_id")
+    w = Window.partitionBy("label", "b").orderBy("ts_ms").rangeBetween(-within_ms, -1)
+    both = earned.unionByName(asked).withColumn("first", F.min("low").over(w)).withColumn("last", F.max("high").over(w))
+    hits = both.where("id IS NOT NULL AND (first <> session_id OR last <> session_id)")
+    return hits.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
 
 
 def daily_ledger(calls: DataFrame, amount) -> DataFrame:
-    """Spent since midnight, before and with each forwarded call."""
-    day = F.floor(F.col("ts_ms") / 86_400_000).cast("long")
-    c = calls.where(went_through()).select("id", day.alias("day"), "session_id", "ts_ms", amount.alias("amount"))
-    w = Window.partitionBy("day", "session_id").orderBy("ts_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("id", F.round(F.sum("amount").over(w), 6).alias("spent"))
+    """Spent since midnight over all sessions, with each forwarded call.
+
+    Calls of an hour are summed in order by one task; the hours before it that day come from their totals.
+    """
+    hour = F.floor(F.col("ts_ms") / 3_600_000).cast("long")
+    c = calls.where(went_through()).select("id", hour.alias("hour"), "ts_ms", amount.alias("amount"))
+    totals = c.groupBy("hour").agg(F.sum("amount").alias("amount"))
+    earlier = Window.partitionBy(F.floor(F.col("hour") / 24)).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("hour", F.coalesce(F.sum("amount").over(earlier), F.lit(0.0)).alias("before"))
+    w = Window.partitionBy("hour").orderBy("ts_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return c.withColumn("inside", F.sum("amount").over(w)).join(totals, "hour").select("id", F.round(F.col("before") + F.col("inside"), 6).alias("spent"))
 
 
 def mock_answers(recorded: DataFrame, requests: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import documents
 from ..operators import audit, behavior, chain, ordered
+from ..policy import columns, model
 from ..sources import adapters
 from ..sources.adapters import with_adapters
-from ..sources.log import spans
+from ..sources.log import latest_catalog, spans, with_annotations
 
 CUT = 1704067200000 + 10 * 86_400_000  # ten days into the log
 NOW = 1704067200000 + 20 * 86_400_000
@@ -92,8 +94,7 @@ def rule_stats(c, s):
     return audit.rule_stats(c)
 
 
-@query("""SELECT label, count(*) AS n_sessions, string_agg(session_id, ',' ORDER BY session_id) AS sessions
-FROM (SELECT DISTINCT unnest(labels) AS label, session_id FROM calls) GROUP BY label""")
+@query("SELECT label, session_id, count(*) OVER (PARTITION BY label) AS n_sessions FROM (SELECT DISTINCT unnest(labels) AS label, session_id FROM calls)")
 def labels_sessions(c, s):
     return audit.label_sessions(c)
 
@@ -109,11 +110,6 @@ def tail_badges(c, s):
     return audit.tail_badges(c)
 
 
-@query("SELECT max(seq) AS seq, max_by(id, seq) AS id FROM calls")
-def head_link(c, s):
-    return audit.head_link(c)
-
-
 @query("""SELECT condition, CAST(value AS BIGINT) AS value FROM (
 SELECT 'canary > 0' AS condition, count(*) FILTER (rule_id = 'canary') AS value, 0 AS n FROM calls HAVING count(*) FILTER (rule_id = 'canary') > 0 UNION ALL
 SELECT 'denied >= 3', count(*) FILTER (decision = 'deny' AND NOT shadow), 0 FROM calls HAVING count(*) FILTER (decision = 'deny' AND NOT shadow) >= 3 UNION ALL
@@ -157,7 +153,7 @@ def bill_grouping_sets(c, s):
     return audit.bill(c, PRICES, PER_MILLION, 1704067200000, NOW)
 
 
-@query(f"""SELECT id, round(sum(CAST(CASE WHEN tool IN ('app__click', 'app__view') THEN 0.01 ELSE 0.5 END AS DOUBLE)) OVER (PARTITION BY floor(ts_ms / 86400000), session_id ORDER BY ts_ms, id), 6) AS spent FROM calls WHERE {FWD}""")
+@query(f"""SELECT id, round(sum(CAST(CASE WHEN tool IN ('app__click', 'app__view') THEN 0.01 ELSE 0.5 END AS DOUBLE)) OVER (PARTITION BY floor(ts_ms / 86400000) ORDER BY ts_ms, id), 6) AS spent FROM calls WHERE {FWD}""")
 def daily_ledger(c, s):
     return ordered.daily_ledger(c, F.when(F.col("tool").isin("app__click", "app__view"), 0.01).otherwise(0.5))
 
@@ -275,32 +271,122 @@ def behavior_anomalies(c, s):
     return behavior.anomalies(c.where(F.col("ts_ms") >= CUT), behavior.profile(c.where(F.col("ts_ms") < CUT)), factor=1.5)
 
 
-TEXT = "concat_ws('|', id, session_id, CAST(ts_ms AS VARCHAR), upstream, tool, args_json, decision, rule_id, reason, CAST(is_error AS VARCHAR), CAST(duration_ms AS VARCHAR), CAST(tokens_est AS VARCHAR), CAST(shadow AS VARCHAR))"
+# --- the chain: a call's JSON text, links built by recursion, a verifier over neighbours -----------
+
+_TEXTS = {"result_json": "", "result_hash": "", "error": "", "catalog_hash": ""}
+
+
+def _json_sql(seq: str) -> str:
+    def field(name: str) -> str:
+        kind, _ = chain.CALL_COLUMNS[name]
+        if name == "seq":
+            return f"CAST({seq} AS VARCHAR)"
+        if name in _TEXTS:
+            return "'\"\"'"
+        if name == "result_truncated":
+            return "'false'"
+        if name == "labels":
+            return "CAST(to_json(array_to_string(labels, ',')) AS VARCHAR)"
+        return f"CAST(to_json({name}) AS VARCHAR)" if kind.simpleString() == "string" else f"CAST({name} AS VARCHAR)"
+
+    text = " || ',' || ".join(f"'\"{n}\":' || {field(n)}" for n in chain.LINKED)
+    return rf"replace(replace(replace('{{' || {text} || '}}', '&', '\u0026'), '<', '\u003c'), '>', '\u003e')"
+
 
+BUILT = f"""numbered AS MATERIALIZED (SELECT *, {_json_sql("n")} AS text FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, id) AS n FROM calls)),
+built AS (SELECT session_id, id, n, '' AS prev_hash, sha256(chr(10) || text) AS row_hash FROM numbered WHERE n = 1
+UNION ALL SELECT t.session_id, t.id, t.n, b.row_hash, sha256(b.row_hash || chr(10) || t.text) FROM built b JOIN numbered t ON t.session_id = b.session_id AND t.n = b.n + 1)"""
 
-@query()
+
+def chained(sql: str) -> str:
+    """A query over ``calls`` and ``built``, the calls' links."""
+    return with_adapters(f"WITH {BUILT}{sql}").replace("WITH calls", "WITH RECURSIVE calls", 1)
+
+
+@query(chained(" SELECT id, n AS seq, prev_hash, row_hash FROM built"), raw=True)
 def chain_build(c, s):
     return chain.build(c).select("id", "seq", "prev_hash", "row_hash")
 
 
-@query("SELECT id, 'content' AS problem FROM calls WHERE seq % 97 = 5 UNION ALL SELECT id, 'link' FROM (SELECT id, lag(seq) OVER (PARTITION BY session_id ORDER BY seq) AS b FROM calls WHERE seq % 89 <> 7) x JOIN calls USING (id) WHERE EXISTS (SELECT 1 FROM calls d WHERE d.session_id = calls.session_id AND d.seq < calls.seq AND d.seq % 89 = 7 AND d.seq > coalesce(b, -1)) AND NOT seq % 97 = -1")
+def _tampered(c):
+    """Built calls of which some are dropped, some changed, some linked anew and some numbered anew."""
+    n = F.col("id").cast("long")
+    built = chain.build(c).where(n % 89 != 7)
+    built = built.withColumn("reason", F.when(n % 97 == 5, "edited").otherwise(F.col("reason")))
+    return built.withColumn("prev_hash", F.when(n % 101 == 3, "other").otherwise(F.col("prev_hash"))).withColumn("seq", F.when(n % 103 == 4, F.col("seq") - 1).otherwise(F.col("seq")))
+
+
+_VERIFIED = f""", edited AS (SELECT c.* REPLACE (CASE WHEN k % 97 = 5 THEN 'edited' ELSE reason END AS reason), CASE WHEN k % 103 = 4 THEN n - 1 ELSE n END AS s, CASE WHEN k % 101 = 3 THEN 'other' ELSE prev_hash END AS prev, row_hash
+  FROM (SELECT *, CAST(id AS BIGINT) AS k FROM calls) c JOIN built USING (session_id, id) WHERE k % 89 <> 7),
+near AS (SELECT *, coalesce(lag(s) OVER w, 0) AS before, coalesce(lag(row_hash) OVER w, '') AS linked, {_json_sql("s")} AS text FROM edited WINDOW w AS (PARTITION BY session_id ORDER BY s, id)),
+problems AS (SELECT session_id, id, s AS seq, problem FROM (SELECT *, unnest([CASE WHEN s <= before THEN 'order' END, CASE WHEN s > before + 1 THEN 'gap' END, CASE WHEN prev <> linked THEN 'link' END,
+  CASE WHEN row_hash <> sha256(prev || chr(10) || text) THEN 'content' END]) AS problem FROM near) WHERE problem IS NOT NULL)"""
+
+
+@query(chained(_VERIFIED + " SELECT * FROM problems"), raw=True)
 def chain_verify(c, s):
-    built = chain.build(c)
-    edited = built.where("seq % 89 <> 7").withColumn("reason", F.when(F.col("seq") % 97 == 5, "edited").otherwise(F.col("reason")))
-    return chain.verify(edited)
+    return chain.verify(_tampered(c))
 
 
-ORACLES["chain_verify"] = ORACLES["chain_verify"].replace("WHERE seq % 97 = 5 UNION", "WHERE seq % 97 = 5 AND seq % 89 <> 7 UNION")
+@query(chained(_VERIFIED + """ SELECT e.session_id, checked, CAST(0 AS BIGINT) AS legacy, head_seq, head_hash, coalesce(problems, 0) AS problems FROM
+(SELECT session_id, count(*) AS checked, max(s) AS head_seq FROM edited GROUP BY 1) e JOIN (SELECT session_id, max_by(row_hash, s) AS head_hash FROM edited GROUP BY 1) h USING (session_id)
+LEFT JOIN (SELECT session_id, count(*) AS problems FROM problems GROUP BY 1) p USING (session_id)"""), raw=True)
+def chain_report(c, s):
+    return chain.verify_report(_tampered(c).where(F.col("id").cast("long") % 103 != 4))
 
 
-@query(f"""SELECT id, sha256({'0' * 64!r} || chr(10) || {TEXT}) AS row_hash FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM calls) WHERE n = 1""")
-def chain_first_links(c, s):
-    return chain.build(c).where(F.col("prev_hash") == chain.ZERO).select("id", "row_hash")
+ORACLES["chain_report"] = ORACLES["chain_report"].replace("WHERE k % 89 <> 7)", "WHERE k % 89 <> 7 AND k % 103 <> 4)")
 
 
-@query("SELECT seq, CASE WHEN seq < 100 THEN 'pruned' WHEN seq > (SELECT max(seq) FROM calls) THEN 'beyond' WHEN seq % 2 = 0 THEN 'ok' ELSE 'conflict' END AS status FROM (SELECT unnest([5, 150, 151, 400, 10000000]) AS seq)")
+@query(chained(" SELECT session_id, n AS seq, row_hash FROM built WHERE (session_id, n) IN (SELECT session_id, max(n) FROM built GROUP BY 1)"), raw=True)
+def head_link(c, s):
+    return chain.head_links(chain.build(c))
+
+
+@query("""SELECT seq, status, status NOT IN ('ok', 'pruned') AS problem FROM (SELECT seq, CASE WHEN seq = 300 THEN 'contradiction' WHEN seq < 100 THEN 'pruned' WHEN seq > (SELECT count(*) FROM calls) THEN 'beyond' WHEN seq % 2 = 0 THEN 'ok' ELSE 'conflict' END AS status
+FROM (SELECT unnest([5, 150, 151, 300, 300, 400, 10000000]) AS seq))""")
 def anchor_check(c, s):
-    built = chain.build(c).where("seq >= 100").select("seq", "row_hash")
-    known = built.where("seq IN (150, 151, 400)").select("seq", F.when(F.col("seq") % 2 == 0, F.col("row_hash")).otherwise("other").alias("hash"))
-    spark = c.sparkSession
-    return chain.verify_anchors(built, known.union(spark.createDataFrame([(5, "x"), (10000000, "y")], "seq long, hash string")))
+    built = chain.build(c.withColumn("log", F.lit("all")), "log").where("seq >= 100").select("seq", "row_hash")
+    known = built.where("seq IN (150, 151, 300, 400)").select("seq", F.when(F.col("seq") % 2 == 0, F.col("row_hash")).otherwise("other").alias("hash"))
+    more = c.sparkSession.createDataFrame([(5, "x"), (300, "z"), (10000000, "y")], "seq long, hash string")
+    return chain.verify_anchors(built, known.union(more)).drop("hash")
+
+
+# --- documents and catalogs ------------------------------------------------------------------------
+
+NUMBER = "(args_json->>'$.k')"
+
+
+@query(f"""SELECT id, '{{"k":' || {NUMBER} || '}}' AS args_json, sha256('{{"k":' || {NUMBER} || '}}') AS args_hash, CAST(floor((length({NUMBER}) + 6 + strlen(r)) / 4) AS BIGINT) AS tokens_est,
+strlen(r) > 40 AS result_truncated, sha256(r) AS result_hash, CASE WHEN strlen(r) > 40 THEN '{{"_bytes":' || strlen(r) || ',"_truncated":true,"head":' || CAST(to_json(substr(r, 1, 40)) AS VARCHAR) || '}}' ELSE r END AS result_json
+FROM (SELECT *, '{{"a":[1.0,"' || tool || '"],"b":{{"k":' || {NUMBER} || ',"ts":' || ts_ms || '}}}}' AS r FROM calls)""")
+def prepared_calls(c, s):
+    result = F.format_string(' { "b" : {"ts": %s, "k": %s},\n "a": [ 1.0, "%s" ] } ', F.col("ts_ms"), F.get_json_object("args_json", "$.k"), F.col("tool"))
+    raw = c.select("id", "args_json", documents.canonical(result).alias("result_json"))
+    return documents.prepare(raw, 40)
+
+
+CATALOG = """[{"exposed":"app__view","tool":{"name":"view","annotations":{"readOnlyHint":true,"title":"View"}}},{"exposed":"app__purchase","tool":{"annotations":{"destructiveHint":true}}},
+{"exposed":"app__error","tool":{"annotations":{"idempotentHint":true}}},{"exposed":"app__click","tool":{"name":"click"}},{"exposed":"app__signup","tool":{"annotations":{"destructiveHint":false,"openWorldHint":false}}}]"""
+
+
+def _catalogs(c):
+    """A catalog a day; every third day's says nothing of its tools."""
+    day = F.floor(F.col("ts_ms") / 86_400_000)
+    return c.groupBy(F.concat(F.lit("c"), day.cast("string")).alias("hash")).agg(F.min("ts_ms").alias("created_ms"), F.first(F.when(day % 3 == 0, "[]").otherwise(CATALOG)).alias("json"))
+
+
+@query("SELECT 'c' || max(ts_ms // 86400000) AS hash, min(ts_ms) AS created_ms FROM calls WHERE ts_ms // 86400000 = (SELECT max(ts_ms // 86400000) FROM calls)")
+def catalog_latest(c, s):
+    return latest_catalog(_catalogs(c)).select("hash", "created_ms")
+
+
+@query("""SELECT id, CASE WHEN d % 3 = 0 OR tool = 'app__click' THEN NULL WHEN tool = 'app__view' THEN true ELSE false END AS read_only,
+CASE WHEN d % 3 = 0 OR tool = 'app__click' THEN NULL ELSE tool IN ('app__purchase', 'app__error') END AS destructive,
+CASE WHEN d % 3 = 0 OR tool = 'app__click' THEN NULL ELSE tool <> 'app__signup' END AS open_world,
+CASE WHEN d % 3 <> 0 AND tool IN ('app__purchase', 'app__error') THEN 'ask' ELSE 'allow' END AS action FROM (SELECT *, ts_ms // 86400000 AS d FROM calls)""")
+def calls_annotated(c, s):
+    """The catalog's annotations of each call's tool, and what the pack that asks before destructive tools says."""
+    named = c.withColumn("catalog_hash", F.concat(F.lit("c"), F.floor(F.col("ts_ms") / 86_400_000).cast("string"))).withColumn("tool_name", F.regexp_replace("tool", "^app__", ""))
+    judged = columns.evaluate(with_annotations(named, _catalogs(c)), model.load({"packs": ["ask-destructive"]}))
+    return judged.select("id", "read_only", "destructive", "open_world", "verdict.action")

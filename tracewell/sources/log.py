@@ -59,6 +59,41 @@ def new_catalogs(catalogs: DataFrame, arrivals: DataFrame) -> DataFrame:
     return first.join(catalogs.select("hash"), "hash", "left_anti")
 
 
+def latest_catalog(catalogs: DataFrame) -> DataFrame:
+    """The catalog stored last (of equal times the larger hash), one row or none."""
+    return catalogs.orderBy(F.desc("created_ms"), F.desc("hash")).limit(1)
+
+
+def catalog_by_hash(catalogs: DataFrame, hash_: str) -> DataFrame:
+    return catalogs.where(F.col("hash") == hash_)
+
+
+HINTS = "struct<title:string,readOnlyHint:boolean,destructiveHint:boolean,idempotentHint:boolean,openWorldHint:boolean>"
+
+
+def annotations(catalogs: DataFrame) -> DataFrame:
+    """``catalogs``: hash, json -> catalog_hash, tool and annotations struct of every tool, as policies look at them.
+
+    Defaults of the protocol: with annotations, a tool is destructive unless it says so or is read-only, and open to the
+    world unless it says not. A tool without annotations has a null struct.
+    """
+    entries = F.from_json("json", f"array<struct<exposed:string,tool:struct<annotations:{HINTS}>>>")
+    t = catalogs.select(F.col("hash").alias("catalog_hash"), F.inline(entries)).select("catalog_hash", F.col("exposed").alias("tool"), F.col("tool.annotations").alias("a"))
+    read_only = F.coalesce("a.readOnlyHint", F.lit(False))
+    hints = F.struct(
+        F.col("a.title").alias("title"), read_only.alias("read_only"), F.when(read_only, False).otherwise(F.coalesce("a.destructiveHint", F.lit(True))).alias("destructive"),
+        F.coalesce("a.idempotentHint", F.lit(False)).alias("idempotent"), F.coalesce("a.openWorldHint", F.lit(True)).alias("open_world"),
+    )
+    return t.select("catalog_hash", "tool", F.when(F.col("a").isNotNull(), hints).alias("annotations"))
+
+
+def with_annotations(calls: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """Calls with title, read_only, destructive, idempotent and open_world, as their catalog has them for their tool; only catalogs that calls name are taken apart."""
+    named = catalogs.join(calls.select(F.col("catalog_hash").alias("hash")).distinct(), "hash", "left_semi")
+    each = annotations(named).dropDuplicates(["catalog_hash", "tool"]).select("catalog_hash", "tool", "annotations.*")
+    return calls.join(each, ["catalog_hash", "tool"], "left")
+
+
 def read_anchors(spark: SparkSession, path: str) -> DataFrame:
     """Anchor files: JSON statements or ``seq:hash`` lines, ``#`` comments -> seq, hash."""
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' AND NOT startswith(line, '#')")
