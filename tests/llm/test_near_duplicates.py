@@ -134,3 +134,10 @@ def test_clashing_columns(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((tuple(r) for r in kept.collect()), key=lambda r: r[0]) == rows[:6]
+
+
+def test_cells_grow_finer_with_the_corpus():
+    chosen = [(10**i, simhash.width(10**i)) for i in range(1, 12)]
+    assert [w for _, w in chosen] == sorted(w for _, w in chosen)
+    for n, w in chosen:  # few of the rows of a fingerprint's cells meet an unrelated one, at every size
+        assert n * 2 ** (-45 * w / (simhash.RADIUS + w)) < 0.5
