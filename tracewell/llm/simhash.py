@@ -188,7 +188,7 @@ def width(n: int, radius: int = RADIUS) -> int:
     cell costs about six that don't, as it is joined, shuffled, sorted and searched. So cells grow finer with the corpus, and
     the rows that unrelated fingerprints share stay in proportion to it.
     """
-    return min(range(3, 17), key=lambda equal: comb(radius + equal, equal) * (1 + 6 * n * 2 ** (-45 * equal / (radius + equal))))
+    return min(range(3, 33 - radius), key=lambda equal: comb(radius + equal, equal) * (1 + 6 * n * 2 ** (-45 * equal / (radius + equal))))
 
 
 def shared_cells(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -213,13 +213,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, equal: int = 3, chunk: int = C
     counts = segment_counts(F.col("fp"))
     cells = fps.select("node", "fp", "seed", F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: counts.bitwiseAND(m))).alias("mask", "value"))
     cells = cells.select("node", "fp", (F.col("seed") * len(masks) + F.col("mask")).alias("cell"), "value")
-    cells = shared_cells(cells, ["cell", "value"])
+    # one shuffle gives the rows and their cells' counts: the counts read all columns, or they would get a narrower shuffle of their own
+    cells = cells.repartition("cell", "value")
+    many = cells.groupBy("cell", "value").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("fp").alias("most")).where("n > 1 AND hub IS NOT NULL AND most IS NOT NULL")
+    cells = materialize(cells.join(many, ["cell", "value"]), "cells")
     # part: a pair of chunks (i <= j), written i * k + j; one part where the cell is no larger than a chunk
     k = F.ceil(F.col("n") / F.lit(float(chunk)))
     own = F.pmod(F.xxhash64("fp", "node"), k)
     parts = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j)))
     small = cells.where(F.col("n") <= chunk).withColumn("part", F.lit(0).cast("long"))
-    rows = small.unionByName(cells.where(F.col("n") > chunk).withColumn("part", parts)).drop("n", "hub")
+    rows = small.unionByName(cells.where(F.col("n") > chunk).withColumn("part", parts)).drop("n", "hub", "most")
     rows = rows.repartition("cell", "value", "part").sortWithinPartitions("cell", "value", "part", "node")
     return rows.mapInArrow(lambda b: cell_edges(b, radius), "src long, dst long").distinct()
 
