@@ -84,7 +84,7 @@ def test_simhash_links_random(spark, equal):
                 x ^= 1 << int(bit)
             fps.append(x)
     fps = sorted({(f + (1 << 63)) % (1 << 64) - (1 << 63) for f in fps})
-    df = spark.createDataFrame([(f, [f]) for f in fps], "node long, fps array<long>")
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
     want = roots(len(fps), lambda i, j: ((fps[i] ^ fps[j]) % (1 << 64)).bit_count() <= 4)
     for chunk in (1 << 14, 2):  # cells cut into pairs of chunks connect the same
         got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 4, equal, chunk)).collect()}
@@ -94,7 +94,7 @@ def test_simhash_links_random(spark, equal):
 def test_large_cell_gives_a_forest(spark):
     rng = np.random.default_rng(3)
     fps = np.unique([int(sum(1 << int(b) for b in rng.choice(8, 2, replace=False))) | (int(rng.integers(0, 4)) << 60) for _ in range(400)])
-    df = spark.createDataFrame([(int(f), [int(f)]) for f in fps], "node long, fps array<long>")
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
     got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 4, 1)).collect()}
     want = roots(len(fps), lambda i, j: int(fps[i] ^ fps[j]).bit_count() <= 4)
     assert [got.get(int(f), int(f)) for f in fps] == [int(fps[w]) for w in want]

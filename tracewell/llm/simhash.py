@@ -141,10 +141,9 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 def cell_edges(batches, radius: int = RADIUS):
     """Edges of the cells in rows sorted by (cell, part); the last, open run is carried to the next batch."""
-    key_tail, tail = np.empty((0, 3), np.int64), np.empty((0, 2), np.int64)
+    key_tail, tail = np.empty((0, 2), np.int64), np.empty(0, np.int64)
 
-    def edges(keys, rows):
-        fps, nodes = np.ascontiguousarray(rows[:, 0]), rows[:, 1]
+    def edges(keys, fps):
         out = []
         new = np.ones(len(fps), bool)
         new[1:] = (keys[1:] != keys[:-1]).any(1)
@@ -161,7 +160,7 @@ def cell_edges(batches, radius: int = RADIUS):
         for k in np.flatnonzero(size > SHORT):
             out += [(a + start[k], b + start[k]) for a, b in _forest(fps[start[k] : start[k] + size[k]], radius)]
         if out:
-            a, b = (nodes[np.concatenate(x)] for x in zip(*out))
+            a, b = (fps[np.concatenate(x)] for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
     def columns(b, names):
@@ -170,8 +169,8 @@ def cell_edges(batches, radius: int = RADIUS):
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.concatenate((key_tail, columns(b, ("cell", "value", "part"))))
-        rows = np.concatenate((tail, columns(b, ("fp", "node"))))
+        keys = np.concatenate((key_tail, columns(b, ("cell", "part"))))
+        rows = np.concatenate((tail, b.column("fp").to_numpy()))
         last = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
         cut = int(last[-1]) + 1 if len(last) else 0
         key_tail, tail = keys[cut:], rows[cut:]
@@ -202,28 +201,25 @@ def shared_cells(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, equal: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """``nodes``: node, fps array<long> (each node once) -> edges (src, dst) between nodes.
+    """``nodes``: fp (each once) -> edges (src, dst) between fingerprints that connect exactly what links of the radius connect.
 
-    With one fingerprint a node the edges connect exactly what links of the radius
-    connect; with several, what links under any of them connect. ``equal`` (see
-    ``width``) changes the work, never the result.
+    ``equal`` (see ``width``) changes the work, never the result. A cell is known by a hash of its groups and values,
+    so its row is two numbers; if two cells shared a hash, their fingerprints would only be compared as well.
     """
-    masks = cell_masks(radius, equal)
-    fps = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
     counts = segment_counts(F.col("fp"))
-    cells = fps.select("node", "fp", "seed", F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: counts.bitwiseAND(m))).alias("mask", "value"))
-    cells = cells.select("node", "fp", (F.col("seed") * len(masks) + F.col("mask")).alias("cell"), "value")
-    # one shuffle gives the rows and their cells' counts: the counts read all columns, or they would get a narrower shuffle of their own
-    cells = cells.repartition("cell", "value")
-    many = cells.groupBy("cell", "value").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("fp").alias("most")).where("n > 1 AND hub IS NOT NULL AND most IS NOT NULL")
-    cells = materialize(cells.join(many, ["cell", "value"]), "cells")
+    masks = F.array(*map(F.lit, cell_masks(radius, equal)))
+    cells = nodes.select("fp", F.explode(F.transform(masks, lambda m: F.xxhash64(m, counts.bitwiseAND(m)))).alias("cell"))
+    # one shuffle gives the rows and their cells' counts: the counts read both columns, or they would get a shuffle of their own
+    cells = cells.repartition("cell")
+    many = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1 AND hub IS NOT NULL")
+    cells = materialize(cells.join(many, "cell"), "cells")
     # part: a pair of chunks (i <= j), written i * k + j; one part where the cell is no larger than a chunk
     k = F.ceil(F.col("n") / F.lit(float(chunk)))
-    own = F.pmod(F.xxhash64("fp", "node"), k)
+    own = F.pmod(F.xxhash64("fp"), k)
     parts = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j)))
     small = cells.where(F.col("n") <= chunk).withColumn("part", F.lit(0).cast("long"))
-    rows = small.unionByName(cells.where(F.col("n") > chunk).withColumn("part", parts)).drop("n", "hub", "most")
-    rows = rows.repartition("cell", "value", "part").sortWithinPartitions("cell", "value", "part", "node")
+    rows = small.unionByName(cells.where(F.col("n") > chunk).withColumn("part", parts)).drop("n", "hub")
+    rows = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "fp")
     return rows.mapInArrow(lambda b: cell_edges(b, radius), "src long, dst long").distinct()
 
 
@@ -256,7 +252,7 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
     with scratch_scope():
         fps = materialize(fingerprints(docs, shingle), "fingerprints", stays=True)
         nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fp-nodes")
-        roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), radius, width(nodes.count(), radius)))
+        roots = components(links(nodes.select("fp"), radius, width(nodes.count(), radius)))
         named = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root")), "nodes")
         smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
         by_fp = materialize(named.join(smallest, "root").select("fp", "component_id"), "fp-components", stays=True)
