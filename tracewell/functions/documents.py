@@ -63,6 +63,33 @@ def document_hash(document: Column) -> Column:
     return F.when(c == "", "").otherwise(F.sha2(c, 256))
 
 
+#: Members of a definition; all but the name are left out of its hash where they say nothing.
+DEFINITION = ("kind", "name", "title", "description", "inputSchema", "outputSchema", "annotations", "arguments", "uri", "mimeType")
+
+
+def definition_hash(definition: Column) -> Column:
+    """``sha256:`` and the hash of a tool's, prompt's or resource's JSON definition, whatever its key order and empty members.
+
+    Members that are no part of a definition don't count; a missing name is an empty one; what is no JSON object has none (null).
+    """
+
+    @F.pandas_udf("string")
+    def kept(docs: pd.Series) -> pd.Series:
+        def one(text: str) -> str | None:
+            try:
+                d = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_strict)
+            except (ValueError, RecursionError):
+                return None
+            if not isinstance(d, dict):
+                return None
+            said = {k: d[k] for k in DEFINITION if k in d and d[k] not in (None, "", {}, [])}
+            return _write({"name": "", **said})
+
+        return docs.map(one, na_action="ignore")
+
+    return F.concat(F.lit("sha256:"), F.sha2(kept(definition), 256))
+
+
 def tokens_estimate(*documents: Column) -> Column:
     """A quarter of the documents' bytes."""
     size = sum((F.coalesce(F.octet_length(d), F.lit(0)) for d in documents), F.lit(0))

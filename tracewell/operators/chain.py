@@ -188,3 +188,39 @@ def registry_compare(here: DataFrame, registry: DataFrame) -> DataFrame:
 def registry_latest(log: DataFrame) -> DataFrame:
     """``log``: index, path, hash -> path, hash of its last record, publications."""
     return log.groupBy("path").agg(F.max_by("hash", "index").alias("hash"), F.count("*").alias("published"))
+
+
+def registry_verify(log: DataFrame, files: DataFrame) -> DataFrame:
+    """``log``: place (from 0), index, path, hash; ``files``: path, hash -> subject, problem.
+
+    moved (a record names another place than its own), gone (logged, no such file), changed (not the last hash logged for it),
+    by-hand (a file that was never logged).
+    """
+    moved = log.where(~F.col("index").eqNullSafe(F.col("place"))).select(F.col("place").cast("string").alias("subject"), F.lit("moved").alias("problem"))
+    last = registry_latest(log.select(F.col("place").alias("index"), "path", "hash")).select("path", F.col("hash").alias("logged"), F.lit(True).alias("known"))
+    both = last.join(files.select("path", "hash", F.lit(True).alias("there")), "path", "full_outer")
+    problem = F.when(F.col("known").isNull(), "by-hand").when(F.col("there").isNull(), "gone").when(~F.col("hash").eqNullSafe(F.col("logged")), "changed")
+    return moved.union(both.select(F.col("path").alias("subject"), problem.alias("problem")).where("problem IS NOT NULL"))
+
+
+def log_head(leaves: DataFrame, size: int, block: int = 1024) -> DataFrame:
+    """``leaves``: place (from 0, each once), leaf (hex) -> size, root: RFC 6962 head over the first ``size`` leaves.
+
+    Each round replaces whole blocks, a power of two, by their heads, so no task holds more than a block and a log of
+    n records takes log(n) / log(block) rounds. A log that is shorter than ``size`` has no head: no row.
+    """
+    if block & (block - 1) or block < 2:
+        raise ValueError("block is a power of two")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = sorted(zip(table.column("place").to_pylist(), table.column("leaf").to_pylist()))
+        return pa.table({"place": pa.array([nodes[0][0] // block], pa.int64()), "leaf": [merkle_root([bytes.fromhex(h) for _, h in nodes])], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
+
+    level = leaves.where(F.col("place") < size).select(F.col("place").cast("long").alias("place"), "leaf", F.lit(1).cast("long").alias("n"))
+    left = size
+    while left > 1:
+        level = level.groupBy(F.floor(F.col("place") / block).alias("_block")).applyInArrow(run, "place long, leaf string, n long")
+        left = -(-left // block)
+    if size == 0:
+        return leaves.sparkSession.createDataFrame([(0, merkle_root([]))], "size long, root string")
+    return level.where(F.col("n") == size).select(F.col("n").alias("size"), F.col("leaf").alias("root"))

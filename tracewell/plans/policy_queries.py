@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chain
+from ..functions import documents
+from ..operators import chain, decisions
 from ..policy import columns, model, session
 from ..sources import adapters
 from ..sources.adapters import with_adapters
@@ -102,3 +103,68 @@ FULL OUTER JOIN (SELECT 'tool-' || p_partkey AS ref, p_type AS h FROM part WHERE
 QUERIES["registry_latest"] = lambda spark, d: chain.registry_latest(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("index"), F.col("o_custkey").cast("string").alias("path"), F.sha2(F.col("o_orderpriority"), 256).alias("hash")))
 ORACLES["registry_latest"] = "SELECT CAST(o_custkey AS VARCHAR) AS path, sha256(max_by(o_orderpriority, o_orderkey)) AS hash, count(*) AS published FROM orders GROUP BY o_custkey"
 QUERIES["merkle_roots"] = lambda spark, d: chain.merkle_roots(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("skill"), F.concat_ws("/", F.lpad("l_orderkey", 12, "0"), F.col("l_linenumber").cast("string")).alias("path"), F.col("l_returnflag").alias("kind"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("hash")))
+
+
+# --- registry log, definitions, folded decisions ----------------------------------------------------
+
+
+def registry_verify(spark, d):
+    """Orders are the log, customers the files: some records misplaced, some files changed, missing or never logged."""
+    place = F.col("o_orderkey")
+    log = spark.read.parquet(f"{d}/orders.parquet").where("o_custkey % 13 <> 2").select(place.alias("place"), F.when(place % 97 == 5, place + 1).otherwise(place).alias("index"), F.col("o_custkey").cast("string").alias("path"), F.sha2("o_orderpriority", 256).alias("hash"))
+    now = chain.registry_latest(log)
+    files = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 11 <> 3").select(F.col("c_custkey").cast("string").alias("path"), "c_custkey")
+    files = files.join(now, "path", "left").select("path", F.when(F.col("c_custkey") % 7 == 1, F.sha2("path", 256)).otherwise(F.col("hash")).alias("hash"))
+    return chain.registry_verify(log, files)
+
+
+QUERIES["registry_verify"] = registry_verify
+ORACLES["registry_verify"] = """WITH logged AS (SELECT * FROM orders WHERE o_custkey % 13 <> 2), here AS (SELECT * FROM customer WHERE c_custkey % 11 <> 3)
+SELECT CAST(o_orderkey AS VARCHAR) AS subject, 'moved' AS problem FROM logged WHERE o_orderkey % 97 = 5
+UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), 'gone' FROM logged WHERE o_custkey NOT IN (SELECT c_custkey FROM here)
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey IN (SELECT o_custkey FROM logged) THEN 'changed' ELSE 'by-hand' END FROM here
+WHERE c_custkey NOT IN (SELECT o_custkey FROM logged) OR c_custkey % 7 = 1"""
+
+
+def definition_hashes(spark, d):
+    """A part is a tool, written with blanks, keys out of order and members that say nothing."""
+    written = F.format_string('{ "title": "", "inputSchema": {"type":"object", "required":[%s]},  "name": "%s", "arguments": [], "annotations": {}, "vendor": 1, "description": "%s" }', F.col("p_size"), F.col("p_name"), F.col("p_type"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", documents.definition_hash(written).alias("hash"))
+
+
+QUERIES["definition_hashes"] = definition_hashes
+ORACLES["definition_hashes"] = """SELECT p_partkey, 'sha256:' || sha256('{"description":"' || p_type || '","inputSchema":{"required":[' || p_size || '],"type":"object"},"name":"' || p_name || '"}') AS hash FROM part"""
+
+#: A user is a request, its events are the answers to it.
+ANSWERS = """SELECT CAST(user_id AS BIGINT) AS request, event_id AS seq, CASE WHEN event_id % 6 = 0 THEN '' WHEN event_id % 6 < 3 THEN 'chat' ELSE 'terminal' END AS channel,
+CASE WHEN event_id % 5 < 2 THEN '' ELSE concat('p', CAST(event_id % 11 AS STRING)) END AS who, event_id % 53 <> 7 AS allow, event_id % 4 <> 0 AS for_session FROM {events}"""
+
+
+def quorum_answers(spark, d):
+    answers = spark.sql(ANSWERS, events=spark.read.parquet(f"{d}/events.parquet"))
+    requests = answers.select("request").distinct().withColumn("quorum", F.col("request") % 9 + 1)
+    return decisions.quorum(requests, answers)
+
+
+QUERIES["quorum_answers"] = quorum_answers
+ORACLES["quorum_answers"] = f"""WITH a AS (SELECT *, request % 9 + 1 AS quorum, CASE WHEN who = '' THEN '/' || channel ELSE who END AS person FROM ({ANSWERS.format(events="events")})),
+said AS (SELECT *, min(CASE WHEN NOT allow THEN seq END) OVER (PARTITION BY request) AS denied_at, row_number() OVER (PARTITION BY request, person ORDER BY NOT allow, seq) AS nth FROM a WHERE channel <> ''),
+first AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY seq) AS place FROM said WHERE allow AND nth = 1 AND (denied_at IS NULL OR seq < denied_at)),
+folded AS (SELECT request, count(*) AS approvals, bool_and(for_session) AS together FROM first WHERE place <= quorum GROUP BY request)
+SELECT request, CASE WHEN coalesce(approvals, 0) >= quorum THEN 'allow' ELSE 'deny' END AS action, coalesce(approvals, 0) AS approvals, coalesce(approvals >= quorum AND together, false) AS for_session
+FROM (SELECT DISTINCT request, quorum FROM a) LEFT JOIN folded USING (request)"""
+
+
+def input_requests(spark, d):
+    """Events are requests to the host: a view asks the user for fields, others the host's model."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    n = F.col("event_id") % 5
+    schema = F.when(n == 0, '{"properties":{"zip":{"title":"Postal code"},"apiKey":{},"pin":{"title":"PIN"}}}').when(n == 1, '{"properties":{"word":{"format":"password"}}}').when(n == 2, '{"properties":{"pinned":{}}}').when(n == 3, "no schema")
+    kind = F.when(F.col("event_type") == "view", "elicitation").otherwise("sampling")
+    return decisions.input_requests(e.select(F.floor(F.col("event_id") / 3).alias("call_id"), F.col("event_id").alias("seq"), kind.alias("kind"), schema.alias("schema")), "ask", "deny")
+
+
+QUERIES["input_requests"] = input_requests
+ORACLES["input_requests"] = """SELECT call_id, action, action AS would, kind, credential FROM (SELECT event_id // 3 AS call_id, CASE WHEN event_type = 'view' THEN 'deny' ELSE 'ask' END AS action,
+CASE WHEN event_type = 'view' THEN 'elicitation' ELSE 'sampling' END AS kind, CASE event_id % 5 WHEN 0 THEN 'apiKey' WHEN 1 THEN 'word' END AS credential,
+row_number() OVER (PARTITION BY event_id // 3 ORDER BY event_type = 'view' DESC, event_id) AS nth FROM events) WHERE nth = 1"""
