@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..operators import chain, decisions
-from ..policy import columns, model, session
+from ..policy import columns, model, probes, session
 from ..sources import adapters
 from ..sources.adapters import with_adapters
 
@@ -168,3 +168,44 @@ QUERIES["input_requests"] = input_requests
 ORACLES["input_requests"] = """SELECT call_id, action, action AS would, kind, credential FROM (SELECT event_id // 3 AS call_id, CASE WHEN event_type = 'view' THEN 'deny' ELSE 'ask' END AS action,
 CASE WHEN event_type = 'view' THEN 'elicitation' ELSE 'sampling' END AS kind, CASE event_id % 5 WHEN 0 THEN 'apiKey' WHEN 1 THEN 'word' END AS credential,
 row_number() OVER (PARTITION BY event_id // 3 ORDER BY event_type = 'view' DESC, event_id) AS nth FROM events) WHERE nth = 1"""
+
+
+# --- probes of policies -----------------------------------------------------------------------------
+
+
+@query(f"""SELECT id AS "case", expect, action, rule_id, action = expect AND (seq % 5 <> 0 OR rule_id = 'exact') AS passed FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN 'allow' ELSE 'deny' END AS expect,
+CASE rule_id WHEN '' THEN 'allow' WHEN 'ask-range' THEN 'ask' WHEN 'late' THEN 'ask' ELSE 'deny' END AS action FROM (SELECT id, seq, {FIRST} AS rule_id FROM calls))""")
+def policy_cases(c):
+    """Every call is a case; what they expect is made up, so some pass and some fail."""
+    cases = c.drop("rule_id").withColumns({"case": F.col("id"), "expect": F.when(F.col("seq") % 2 == 0, "allow").otherwise("deny"), "expect_rule": F.when(F.col("seq") % 5 == 0, "exact")})
+    return probes.check_cases(cases, STATELESS)
+
+
+SPELLED = model.load({
+    "rules": [
+        {"id": "open", "tool": "app.read", "when": {"args.path": {"path_prefix": "/srv/open"}}, "action": "allow"},
+        {"id": "files", "tool": "app.view", "when": {"args.url": {"regex": "^https://files[.]example[.]net/"}}, "action": "deny"},
+        {"id": "drop", "tool": "app.purchase", "when": {"args.sql": {"sql_regex": "(?i)^drop table"}}, "action": "deny"},
+        {"id": "conf", "tool": "app.click", "when": {"args.path": {"prefix": "/etc/conf/"}}, "action": "deny"},
+        {"id": "rm", "tool": "app.signup", "when": {"args.command": {"regex": "^rm -rf"}}, "action": "ask"},
+    ],
+})
+SPELLED_ARGS = {"view": '{"url":"https://files.example.net/x/%s","n":1}', "purchase": '{"sql":"DROP TABLE t%s"}', "click": '{"path":"/etc/conf/%s.key"}', "signup": '{"command":"rm -rf /tmp/%s"}'}
+#: What gets through: all spellings of the address and the command, as their rules look at the text's start only.
+_FOUND = [
+    *(("view", t, True) for t in ("host in capitals", "dot after the host", "default port", "user before the host")),
+    *(("purchase", t, t == "second statement") for t in ("small letters", "newlines for blanks", "comments for blanks", "comment line before", "blanks before", "second statement")),
+    *(("click", t, t in ("slash before", "out of /srv/open/")) for t in ("dot in the path", "doubled slash", "detour", "slash before", "out of /srv/open/")),
+    *(("signup", t, True) for t in ("doubled blanks", "tabs for blanks", "by env", "by command", "by sh", "by bash", "after another", "second line", "quoted", "escaped", "empty quotes", "full path", "flags apart", "flags swapped")),
+]
+
+
+@query(f"""SELECT 'app__' || e AS tool, technique, n AS spellings, CASE WHEN hole THEN n ELSE 0 END AS bypasses
+FROM (VALUES {", ".join(f"('{e}', '{t}', {hole})" for e, t, hole in _FOUND)}) f (e, technique, hole) JOIN (SELECT tool, count(*) AS n FROM calls GROUP BY 1) c ON c.tool = 'app__' || e""")
+def policy_fuzz(c):
+    """Calls that read, drop, open and delete: which of their spellings the policy lets through."""
+    args = F.lit("{}")
+    for name, text in SPELLED_ARGS.items():
+        args = F.when(F.col("tool_name") == name, F.format_string(text, F.col("seq"))).otherwise(args)
+    found = probes.fuzz(c.withColumn("args_json", args), SPELLED)
+    return found.groupBy("tool", "technique").agg(F.count("*").alias("spellings"), F.count_if("bypass").alias("bypasses"))
