@@ -11,7 +11,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.regexes import lowered, matches, may_match, re2_to_java, spread
@@ -257,6 +257,30 @@ def check(skills: DataFrame, locked: DataFrame) -> DataFrame:
     return j.select("skill", status.alias("status"), minus("s.labels", "l.labels").alias("gained"), minus("l.labels", "s.labels").alias("lost"), minus("s.hosts", "l.hosts").alias("new_hosts"))
 
 
+def read_skills(spark: SparkSession, root: str) -> DataFrame:
+    """The files below ``root``/<skill>/ -> skill, path (below its skill), kind, content, size, hash.
+
+    Any store that Spark reads; links and folders are not seen there, so every kind is file. The hash of a text has its
+    line ends as line feeds, so a checkout on another system changes nothing.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    below = F.url_decode(F.replace(F.regexp_replace(F.expr("_metadata.file_path"), r"^\w+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    f = f.withColumn("below", F.substr(below, F.lit(len(base) + 2))).where("contains(below, '/')")
+    skill = F.substring_index("below", "/", 1)
+    text = F.is_valid_utf8(F.col("content").cast("string")) & (F.locate("\0", F.col("content").cast("string")) == 0)
+    unix = F.replace(F.col("content").cast("string"), F.lit("\r\n"), F.lit("\n")).cast("binary")
+    hash_ = F.sha2(F.when(text, unix).otherwise(F.col("content")), 256)
+    return f.select(skill.alias("skill"), F.substr("below", F.length(skill) + 2).alias("path"), F.lit("file").alias("kind"), "content", F.col("length").alias("size"), hash_.alias("hash"))
+
+
+def check_files(files: DataFrame, locked: DataFrame) -> DataFrame:
+    """Both: skill, path, hash -> skill, path, status (added, removed or changed) of the files that differ."""
+    f, k = (t.select("skill", "path", F.col("hash").alias(name)) for t, name in ((files, "now"), (locked, "then")))
+    status = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("then"), "changed")
+    return f.join(k, ["skill", "path"], "full_outer").select("skill", "path", status.alias("status")).where("status IS NOT NULL")
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     rank = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
     return findings.groupBy("severity").agg(F.count("*").alias("n")).orderBy(rank.desc())

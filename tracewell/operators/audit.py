@@ -241,3 +241,18 @@ def classify(attacks: DataFrame) -> DataFrame:
     n = attacks.agg(_count_if(F.col("attack"), "attacks"), _count_if(~F.col("attack"), "benign"), _count_if(F.col("attack") & F.col("caught"), "caught"), _count_if(~F.col("attack") & F.col("caught"), "false_alarms"))
     rate = lambda a, b: F.round(F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)), 6)
     return n.withColumn("detection", rate("caught", "attacks")).withColumn("false_alarm_rate", rate("false_alarms", "benign"))
+
+
+def missed(attacks: DataFrame) -> DataFrame:
+    """``attacks``: id, attack, caught booleans -> id, outcome (missed or false alarm) of the rows a detector got wrong."""
+    return attacks.where(F.col("attack") != F.col("caught")).select("id", F.when(F.col("attack"), "missed").otherwise("false alarm").alias("outcome"))
+
+
+def live_sessions(sessions: DataFrame, calls: DataFrame, now_ms: int, most: int = 50, within_ms: int = 86_400_000) -> DataFrame:
+    """Of the ``most`` newest sessions of the last day those still open, with their calls and labels; one that never ended leaves after a day."""
+    recent = sessions.where(F.col("started_ms") >= now_ms - within_ms).orderBy(F.desc("started_ms"), F.desc("id")).limit(most).where("ended_ms IS NULL")
+    own = calls.join(recent.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    n = own.groupBy("session_id").agg(F.count("*").alias("calls"))
+    each = own.select("session_id", F.explode("labels").alias("label")).distinct().groupBy("session_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    out = recent.join(n.join(each, "session_id", "left"), recent["id"] == F.col("session_id"), "left")
+    return out.select("id", "started_ms", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))

@@ -142,3 +142,29 @@ def skill_labels(spark, d):
 @query()
 def skill_severities(spark, d):
     return skills.severity_counts(skills.text_findings(skills.segments(_skill_files(spark, d))))
+
+
+# --- how well the scan of results does -------------------------------------------------------------
+
+
+def _judged(spark, d):
+    """Documents with planted texts, whether they have one, and whether the scan of definitions found anything."""
+    t = planted(_read(spark, d, "documents"), "doc_id", "text")
+    found = scan.scan_definitions(t.select(F.col("doc_id").alias("id"), F.lit("description").alias("where"), "text")).select("id").distinct()
+    caught = found.withColumn("caught", F.lit(True))
+    return t.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 == 0).alias("attack")).join(caught, "id", "left").withColumn("caught", F.coalesce("caught", F.lit(False)))
+
+
+_JUDGED = "judged AS (SELECT doc_id AS id, doc_id % 7 = 0 AS attack, doc_id IN (SELECT id FROM found) AS caught FROM documents)"
+_FOUND_IN = f"WITH found AS ({scan_sql('documents', 'doc_id', 'text', True)}), {_JUDGED}"
+
+
+@query(f"""{_FOUND_IN} SELECT attacks, benign, caught, false_alarms, round(coalesce(caught / nullif(attacks, 0), 0), 6) AS detection, round(coalesce(false_alarms / nullif(benign, 0), 0), 6) AS false_alarm_rate
+FROM (SELECT count(*) FILTER (attack) AS attacks, count(*) FILTER (NOT attack) AS benign, count(*) FILTER (attack AND caught) AS caught, count(*) FILTER (NOT attack AND caught) AS false_alarms FROM judged)""")
+def detector_quality(spark, d):
+    return audit.classify(_judged(spark, d))
+
+
+@query(f"{_FOUND_IN} SELECT id, CASE WHEN attack THEN 'missed' ELSE 'false alarm' END AS outcome FROM judged WHERE attack <> caught")
+def detector_errors(spark, d):
+    return audit.missed(_judged(spark, d))

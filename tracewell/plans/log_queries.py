@@ -390,3 +390,11 @@ def calls_annotated(c, s):
     named = c.withColumn("catalog_hash", F.concat(F.lit("c"), F.floor(F.col("ts_ms") / 86_400_000).cast("string"))).withColumn("tool_name", F.regexp_replace("tool", "^app__", ""))
     judged = columns.evaluate(with_annotations(named, _catalogs(c)), model.load({"packs": ["ask-destructive"]}))
     return judged.select("id", "read_only", "destructive", "open_world", "verdict.action")
+
+
+@query(f"""SELECT s.id, s.started_ms, CAST(coalesce(n, 0) AS BIGINT) AS calls, coalesce(labels, '') AS labels FROM (SELECT * FROM sessions WHERE started_ms >= {CUT} - 240 * 3600000 ORDER BY started_ms DESC, id DESC LIMIT 5000) s
+LEFT JOIN (SELECT session_id, count(*) AS n FROM calls GROUP BY 1) c ON c.session_id = s.id
+LEFT JOIN (SELECT session_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT session_id, unnest(labels) AS label FROM calls) GROUP BY 1) l ON l.session_id = s.id WHERE ended_ms IS NULL""")
+def live_sessions(c, s):
+    """Open sessions of the ten days up to ``CUT`` (here all start on the first)."""
+    return audit.live_sessions(s, c, CUT, 5000, 240 * 3_600_000).withColumn("labels", F.array_join("labels", ","))
