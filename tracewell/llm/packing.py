@@ -37,8 +37,8 @@ CAPACITY, END_ID = 4096, 1
 SALT_PIECES = 1 << 18
 #: Pattern search: middle lengths tried for each first length, worst waste allowed, sweeps of the fit.
 MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
-#: Distinct words that a task remembers the ids of.
-CACHE_WORDS = 250_000
+#: Bytes of memory for the ids of words that a worker remembers, about (two generations of half of it, and the words of one text), and of one word besides its letters.
+CACHE_BYTES, ENTRY_BYTES = 1 << 28, 250
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,7 +57,8 @@ def word_tokenizer(path: str):
     ids are those of its words in turn; texts that may hold a special token's
     string are encoded whole.  A plain Latin word with closing punctuation is two
     pre-tokens at most, which go to the tokenizer's model directly; any other word
-    goes through the whole tokenizer.
+    goes through the whole tokenizer.  When the young generation of remembered
+    words is full it becomes the old one; words met again move on, the rest go.
     """
     from array import array
 
@@ -68,8 +69,8 @@ def word_tokenizer(path: str):
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        cache |= {"tokenizer": tok, "words": {}, "pieces": {}}
-    tok, seen, pieces = cache["tokenizer"], cache["words"], cache["pieces"]
+        cache |= {"tokenizer": tok, "young": {}, "old": {}, "stems": {}, "bytes": 0}
+    tok = cache["tokenizer"]
     tokenize = tok.model.tokenize
     plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:]*)").fullmatch
     # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
@@ -77,22 +78,29 @@ def word_tokenizer(path: str):
     alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def piece(s: str) -> bytes:
-        ids = pieces.get(s)
-        if ids is None:
-            ids = pieces[s] = array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(alphabet))]).tobytes()
-        return ids
+        return array("I", [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(alphabet))]).tobytes()
 
-    def remember(new) -> None:
-        other = []
+    def ids_of(new) -> dict[bytes, bytes]:
+        old, stems, out, other = cache["old"], cache["stems"], {}, {}
         for w in new:
-            m = plain(w.decode("utf-8", "replace"))
-            if m:
-                seen[w] = piece(m[1].lower()) + piece(m[2]) if m[2] else piece(m[1].lower())
-            else:
-                other.append(w)
+            if (ids := old.get(w)) is None:
+                m = plain(s := w.decode("utf-8", "replace"))
+                if not m:
+                    other[w] = s
+                    continue
+                stem, end = m.groups()
+                stem = stem.lower()
+                if (ids := stems.get(stem)) is None:
+                    ids = stems[stem] = piece(stem)
+                if end:
+                    if (more := stems.get(end)) is None:
+                        more = stems[end] = piece(end)
+                    ids += more
+            out[w] = ids
         if other:
-            found = tok.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-            seen.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, found))
+            found = tok.encode_batch(list(other.values()), add_special_tokens=False)
+            out.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, found))
+        return out
 
     def encode(text: str | None) -> bytes:
         if not text:
@@ -100,13 +108,14 @@ def word_tokenizer(path: str):
         if "<|" in text:
             return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
         w = text.encode("utf-8", "surrogatepass").split()
+        seen = cache["young"]
         new = set(w).difference(seen)
         if new:
-            if len(seen) + len(new) > CACHE_WORDS:
-                seen.clear()
-                pieces.clear()
-                new = set(w)
-            remember(new)
+            found = ids_of(new)
+            cache["bytes"] += ENTRY_BYTES * len(found) + sum(map(len, found)) * 2
+            seen |= found
+            if cache["bytes"] > CACHE_BYTES // 2:
+                cache.update(old=seen, young={}, stems={}, bytes=0)
         return b"".join(map(seen.__getitem__, w))
 
     return encode

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm_scoring, media, mixing, oracles, packing, simhash, token_counts, url_filters, warc
+from . import ann, langid, lm_scoring, media, mixing, oracles, packing, prefix_trie, repair, simhash, token_counts, url_filters, vector_codes, warc
 from .common import table
 
 
@@ -73,9 +73,24 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.rebuilt(prefix_trie.turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.nodes(rebuilt).drop("shard", "slot", "base", "check", "turn_key")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_url_filters, op3_langid, langid_pages, op4_lm_scoring, op5_mixing, op6_packing, op7_token_counts, op8_warc, op9_simhash, op10_media)}
+    ops = (op1_ann, op2_url_filters, op3_langid, langid_pages, op4_lm_scoring, op5_mixing, op6_packing, op7_token_counts, op8_warc, op9_simhash, op10_media, op11_vector_codes, op12_token_ids, op13_prefix_trie)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": oracles.OP2, "op8_warc": oracles.OP8}
+    return {"op2_url_filters": oracles.OP2, "op8_warc": oracles.OP8, "op11_vector_codes": oracles.OP11, "op13_prefix_trie": oracles.OP13}
