@@ -13,12 +13,14 @@ Four kinds of evidence are added as log-probabilities of each language:
   its counts, so it is not used twice.
 
 Declarations count by their primary subtag, lower-cased (``en-US`` and ``EN`` are
-``en``); what has none is no declaration. The classes are the languages declared
-most often among all rows, ``MOST_LANGUAGES`` at most.  The text model is fitted on
-a bounded sample of declared rows, as many of each language (``TRAIN_ROWS`` in all
-or 500 a language, by hash of the id), counted in tasks and summed by Spark; all
-other counts cover all rows.  Scoring is one pass over the texts; only the host
-table is joined to them, by host, after texts have become scores.
+``en``); what has none is no declaration. The classes are all languages that are
+declared.  The text model is fitted on a bounded sample of the distinct texts
+declared, as many of each language (``TRAIN_ROWS`` in all or 500 a language, by
+hash of the text, whatever the ids and however many copies), counted in tasks and
+summed by Spark; all other counts cover all rows.  The model holds at most
+``MODEL_FLOATS`` numbers: from 128 languages on trigrams share fewer
+buckets.  Scoring is one pass over the texts; only the host table is joined to
+them, by host, after texts have become scores.
 
 A row is kept if its best language is not ``other`` and has a posterior of at
 least ``KEEP``.  Edge cases: a null or letterless text has no text evidence and
@@ -38,9 +40,11 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, materialize, plain_names
 
-TRAIN_ROWS, MOST_LANGUAGES, BUCKETS, ALPHA = 20000, 128, 1 << 16, 0.5
-#: Hosts whose priors are broadcast at most; more of them are joined by shuffle.
-BROADCAST_HOSTS = 50_000
+TRAIN_ROWS, EACH_ROWS, BUCKETS, ALPHA = 20000, 500, 1 << 16, 0.5
+#: Numbers that the broadcast text model holds at most.
+MODEL_FLOATS = 1 << 23
+#: Bytes of host priors that are broadcast at most (two doubles a host and language); more of them are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 DECLARED_TRUST, SUFFIX_TRUST, HOST_STRENGTH, KEEP = 0.9, 0.6, 20.0, 0.6
 #: A text's trigrams are not independent: their log-likelihood is tempered, and never counts as more than this many.
 TEMPER, MOST_TRIGRAMS = 0.5, 200.0
@@ -51,14 +55,14 @@ SUFFIX_LANGUAGES = {"at": "de", "ch": "de", "de": "de", "es": "es", "mx": "es",
 _BLANKS = bytes(32 if b < 65 or 90 < b < 97 or 122 < b < 128 else LOWER_BYTES[b] for b in range(256))
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Buckets of the byte trigrams that hold a letter; runs of non-letters are one blank."""
+def trigrams(text: str, shift: int = 16) -> np.ndarray:
+    """Buckets (2^(32 - shift) of them) of the byte trigrams that hold a letter; runs of non-letters are one blank."""
     data = re.sub(rb" +", b" ", b" " + text.encode("utf-8", "surrogatepass").translate(_BLANKS) + b" ")
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
     if len(b) < 3:
         return np.empty(0, np.int64)
     key = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return ((key * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    return ((key * np.uint32(2654435761)) >> np.uint32(shift)).astype(np.int64)
 
 
 def primary(declared: Column) -> Column:
@@ -67,31 +71,32 @@ def primary(declared: Column) -> Column:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
-    """``docs``: doc_id, text, declared -> {languages, weights float32[BUCKETS, languages + 1]}; the sample is bounded by ``train_rows``."""
-    declared = docs.withColumn("declared", primary(F.col("declared"))).where("declared IS NOT NULL AND text IS NOT NULL")
-    counts = {r["declared"]: r["n"] for r in declared.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()}
-    each = max(500, train_rows // max(1, len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, each / n) * (1 << 30)))]) if counts else F.lit(None).cast("map<string,int>")
-    sample = declared.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < share[F.col("declared")])
+    """``docs``: text, declared -> {languages, weights float32[buckets, languages + 1]}; the sample is bounded by ``train_rows``."""
+    declared = docs.withColumn("declared", primary(F.col("declared"))).where("declared IS NOT NULL AND text IS NOT NULL").select("declared", "text", F.xxhash64(F.lit(7), "text").alias("h"))
+    texts = {r["declared"]: r["n"] for r in declared.groupBy("declared").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # a row a subtag of two or three letters
+    each = max(EACH_ROWS, train_rows // max(1, len(texts)))
+    shift = max(16, 32 - (MODEL_FLOATS // (len(texts) + 1)).bit_length() + 1)  # 2^(32 - shift) buckets
+    share = F.create_map(*[F.lit(x) for lang, n in texts.items() for x in (lang, int(min(1.0, each / n) * (1 << 30)))]) if texts else F.lit(None).cast("map<string,int>")
+    sample = declared.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("declared")]).dropDuplicates(["declared", "h"])
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column("declared").to_pylist(), b.column("text").to_pylist()):
-                c = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                t = trigrams(text)
+                c = sums.setdefault(lang, np.zeros(1 << (32 - shift), np.int64))
+                t = trigrams(text, shift)
                 if len(t):
-                    c += np.bincount(t, minlength=BUCKETS)
+                    c += np.bincount(t, minlength=len(c))
         for lang, c in sums.items():
             i = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i, pa.int64()), pa.array(c[i])], names=["lang", "bucket", "n"])
 
     rows = sample.select("declared", "text").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
-    w = np.empty((BUCKETS, len(languages) + 1), np.float32)
+    w = np.empty((1 << (32 - shift), len(languages) + 1), np.float32)
     seen = max(1024, rows["bucket"].nunique())
     for k, lang in enumerate(languages):
-        c = np.zeros(BUCKETS)
+        c = np.zeros(len(w))
         own = rows[rows["lang"] == lang]
         c[own["bucket"].to_numpy()] = own["n"]
         w[:, k] = np.log((c + ALPHA) / (c.sum() + ALPHA * seen))
@@ -108,13 +113,14 @@ def text_scores(rows: DataFrame, model: dict, keep_text: bool = False) -> DataFr
 
     def run(batches):
         w = shared.value
+        shift = 33 - len(w).bit_length()
         for b in batches:
             ll, n = [], []
             for text in b.column("text"):
-                t = trigrams(text.as_py() or "")
+                t = trigrams(text.as_py() or "", shift)
                 total = np.zeros(w.shape[1])
-                for at in range(0, len(t), 1 << 18):
-                    total += w[t[at : at + (1 << 18)]].sum(0, dtype=np.float64)
+                for at in range(0, len(t), block := max(1, (1 << 20) // w.shape[1])):
+                    total += w[t[at : at + block]].sum(0, dtype=np.float64)
                 n.append(len(t))
                 ll.append((total / len(t)).astype(np.float32) if len(t) else None)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ll, pa.list_(pa.float32())), pa.array(n, pa.int64())], names=[*keep, "text_ll", "n_trigrams"])
@@ -149,16 +155,17 @@ def with_host_prior(docs: DataFrame, languages: list[str]) -> DataFrame:
     domains = hosts.groupBy("domain").agg(*sums)
     overall = domains.agg(*sums).first()
     n = [(overall[f"n{i}"] or 0) + 1.0 for i in k]
-    prior = F.array(*[F.lit(x / sum(n)) for x in n])
+    prior = F.lit([x / sum(n) for x in n])
     counts = F.array(*[F.col(f"n{i}").cast("double") for i in k])
     base = domains.select("domain", counts.alias("dn"), prior.alias("p")).select("domain", _smooth(F.col("dn"), F.col("p")).alias("base"))
     table = hosts.select("host", "domain", counts.alias("hn")).join(base, "domain").select(F.col("host").alias("of_host"), "hn", "base")
     table = materialize(table, "host-priors")
     # counted hosts that are few are broadcast, so texts stay where they are; else rows and hosts meet by a split-able sort-merge join
-    few = table.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    most = BROADCAST_BYTES // (16 * len(languages))
+    few = table.limit(most + 1).count() <= most
     j = docs.join(F.broadcast(table) if few else table, F.col("host") == F.col("of_host"), "left")
-    zero = F.array(*[F.lit(0.0) for _ in k])
-    own = F.array(*[F.when(F.col("said") == c, 1.0).otherwise(0.0) for c in languages])
+    zero = F.array_repeat(F.lit(0.0), len(languages))
+    own = F.transform(F.lit(languages), lambda c: F.when(F.col("said") == c, 1.0).otherwise(0.0))
     others = F.zip_with(F.coalesce("hn", zero), own, lambda a, o: F.greatest(a - o, F.lit(0.0)))
     j = j.withColumn("hn", others).withColumn("base", F.coalesce("base", prior))
     return j.withColumn("host_prior", _smooth(F.col("hn"), F.col("base"))).drop("of_host", "hn", "base")
@@ -187,7 +194,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, model: dict | None =
     for s, lang in SUFFIX_LANGUAGES.items():
         speaks = F.when(F.col("suffix") == s, F.lit(lang)).otherwise(speaks)
     j = j.withColumn("speaks", speaks)
-    vote = lambda c, trust: F.array(*[F.when(F.col(c).isin(*languages), F.log(F.when(F.col(c) == x, trust).otherwise(spread(trust)))).otherwise(0.0) for x in classes])
+    vote = lambda c, trust: F.transform(F.lit(classes), lambda x: F.when(F.array_contains(F.lit(languages), F.col(c)), F.log(F.when(F.col(c) == x, trust).otherwise(spread(trust)))).otherwise(0.0))
     host = F.concat(F.transform("host_prior", lambda p: F.log(F.greatest(p, F.lit(1e-6)))), F.array(F.log(F.lit(1.0 / k))))
     weight = TEMPER * F.least(F.col("n_trigrams").cast("double"), F.lit(MOST_TRIGRAMS))
     text = F.transform("text_ll", lambda x: x.cast("double") * weight)
@@ -195,7 +202,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, model: dict | None =
     j = j.withColumn("joint", add(add(text, host), add(vote("said", DECLARED_TRUST), vote("speaks", SUFFIX_TRUST))))
     top = F.array_max("joint")
     mass = F.aggregate("joint", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("joint")))
-    names = F.array(*map(F.lit, classes))
+    names = F.lit(classes)
     pick = lambda c: F.when(F.col(c).isNull(), F.lit("und")).otherwise(F.element_at(names, F.array_position(F.col(c), F.array_max(c)).cast("int")))
     j = j.withColumn("lang", pick("joint")).withColumn("posterior", F.when(top.isNull(), 0.0).otherwise(1.0 / mass)).withColumn("text_lang", pick("text_ll"))
     return j.withColumn("kept", ~F.col("lang").isin("und", OTHER) & (F.col("posterior") >= KEEP)).select(cols)

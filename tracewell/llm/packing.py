@@ -38,7 +38,7 @@ SALT_PIECES = 1 << 18
 #: Pattern search: middle lengths tried for each first length, worst waste allowed, sweeps of the fit.
 MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
 #: Bytes of memory for the ids of words that a worker remembers, about (two generations of half of it, and the words of one text), and of one word besides its letters.
-CACHE_BYTES, ENTRY_BYTES = 1 << 28, 250
+CACHE_BYTES, ENTRY_BYTES = 3 << 27, 250
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -109,14 +109,15 @@ def word_tokenizer(path: str):
             return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
         w = text.encode("utf-8", "surrogatepass").split()
         seen = cache["young"]
-        new = set(w).difference(seen)
-        if new:
-            found = ids_of(new)
+        ids = list(map(seen.get, w))
+        if None in ids:
+            found = ids_of({w for w, i in zip(w, ids) if i is None})
             cache["bytes"] += ENTRY_BYTES * len(found) + sum(map(len, found)) * 2
             seen |= found
+            ids = map(seen.__getitem__, w)
             if cache["bytes"] > CACHE_BYTES // 2:
                 cache.update(old=seen, young={}, stems={}, bytes=0)
-        return b"".join(map(seen.__getitem__, w))
+        return b"".join(ids)
 
     return encode
 

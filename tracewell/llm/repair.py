@@ -32,6 +32,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .common import scratch
 from .packing import END_ID, word_tokenizer
 
 #: Ids of a block, about; occurrences that make a pair a rule; rounds at most; a round that shortens a block by less is the last; buckets in which pairs are counted.
-BLOCK_IDS, LEAST, ROUNDS, GAIN, BUCKETS = 1 << 20, 8, 8, 0.01, 1 << 20
+BLOCK_IDS, LEAST, ROUNDS, GAIN, BUCKETS = 1 << 18, 8, 8, 0.01, 1 << 18
 MAGIC, HEAD = b"RPG1", "<4s5q1B"
 BLOCKS = "shard int, block int, before long, n_ids long, doc_ids array<long>, grammar binary"
 
@@ -56,7 +57,7 @@ def grammar(ids: np.ndarray, starts: np.ndarray, least: int = LEAST, rounds: int
     rules: list[np.ndarray] = []
     while len(rules) < rounds and len(s) > 1:
         pair = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
         often = np.bincount(bucket, minlength=BUCKETS)[bucket].astype(np.int32)  # at least the pair's count
         often[first[1 : len(s)]] = 0
         # of overlapping occurrences the more frequent pair wins, of equal ones the first in a run of rising places
@@ -122,9 +123,11 @@ class Block:
         self.docs = take("<i8", n_docs)
         self.symbols = take(kind, n_symbols).astype(np.uint32)
 
-    def expand(self, s: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for: rules of the last round first."""
-        for f in self.firsts[-2::-1] if len(self.rules) else ():
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of every rule one after the other, and where each rule's begin."""
+        s = np.arange(self.base, self.base + len(self.rules), dtype=np.uint32)
+        for f in self.firsts[-2::-1] if len(self.rules) else ():  # rules of the last round first
             rule = s >= self.base + f
             if rule.any():
                 more = np.repeat(s, 1 + rule)
@@ -132,7 +135,23 @@ class Block:
                 pair = self.rules[s[rule] - self.base]
                 more[at], more[at + 1] = pair[:, 0], pair[:, 1]
                 s = more
-        return s
+        return s, np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+
+    def expand(self, s: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for."""
+        rule = np.flatnonzero(s >= self.base)
+        if not len(rule):
+            return s
+        ids, starts = self.table
+        of = s[rule] - self.base
+        n = self.lengths[of].astype(np.int64)
+        size = np.ones(len(s), np.int64)
+        size[rule] = n
+        out = np.repeat(s, size)
+        # the places of each rule's ids there, and in the table
+        to = np.arange(n.sum()) + np.repeat(np.cumsum(size)[rule] - n - (np.cumsum(n) - n), n)
+        out[to] = ids[np.arange(len(to)) + np.repeat(starts[of] - (np.cumsum(n) - n), n)]
+        return out
 
     def sizes(self, s: np.ndarray) -> np.ndarray:
         """How many ids each symbol stands for."""
