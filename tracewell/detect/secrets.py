@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.regexes import lowered, may_match, re2_to_java
+from ..functions.regexes import compiled, lowered, may_match, re2_to_java
 
 # What redaction replaces.
 REDACTIONS = [
@@ -42,21 +42,17 @@ def redact_text(text: Column, patterns=REDACTIONS) -> Column:
 
 def redact_json(document: Column, patterns=REDACTIONS) -> Column:
     """A JSON document with secret members and secret parts of strings replaced; other text as text."""
-    import re
-
-    compiled = [re.compile(p, re.ASCII) for p in patterns]
-
     def clean(v, key=None):
         if isinstance(v, dict):
             return {k: clean(x, k) for k, x in v.items()}
         if isinstance(v, list):
             return [clean(x) for x in v]
         text = v if isinstance(v, str) else json.dumps(v)
-        if key is not None and not isinstance(v, (dict, list)) and any(r.match(f"{key}: {text}") or r.match(f"{key}={text}") for r in compiled):
+        if key is not None and not isinstance(v, (dict, list)) and any(compiled(p).match(f"{key}: {text}") or compiled(p).match(f"{key}={text}") for p in patterns):
             return REDACTED
         if isinstance(v, str):
-            for r in compiled:
-                v = r.sub(REDACTED, v)
+            for p in patterns:
+                v = compiled(p).sub(REDACTED, v)
         return v
 
     def one(doc):

@@ -87,6 +87,21 @@ def redact_documents(spark, d):
     return spread(_read(spark, d, "documents")).select("doc_id", F.md5(t.cast("binary")).alias("digest"), (t != F.col("text")).alias("hit"))
 
 
+#: Constructs of RE2 that Java spells otherwise, reads otherwise or refuses.
+CONSTRUCTS = [
+    r"[[:alpha:]]+[[:digit:]]", r"[[:^alpha:]]{4}", r"[^[:space:][:alnum:]]{2}", r"[[:punct:]][[:upper:]]", r"[[:word:]]+@", r"[[:xdigit:]]{6}", r"[[:blank:]]{2}", r"(?P<key>tok|pass)\w*", r"(?P<a_1>x)(?P<b2>y|z)",
+    r"\Aa\z", r"\A[A-Z]", r"[.!?]\z", r"\pL{14,}", r"\pN\pL", r"\p{Lu}\p{Ll}+\p{Lu}", r"\PL\PL\PL\PL", r"\p{Greek}", r"\p{^Latin}{5}", r"[\p{Lu}\d]{3}", r"[^\PL]é", r"\x41n", r"\x{e9}t", r"[\x{c0}-\x{ff}]{2}", r"\Qt.\E ", r"\Q[x]",
+    r"(?i)THE\b", r"(?i:the) (?-i:The|the)", r"(?m)^[A-Z]\w+$", r"(?m)^$", r"(?s)a.b.c", r"a.\nb|\.\n", r"(?U)<.+>", r"[]a-c]{3}", r"[^]]\]", r"[a\]-]{2}", r"\d{3,}?\.", r"a{,2}", r"\bé|é\b", r"\Bé\B", r"[\s\S]{900}|\v", r"(?:a|b)*?c(?i)D", r"[&&a][[b]", r"\101n", r"\W\D\S$",
+]
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS construct, count(*) AS n, CAST(coalesce(sum(doc_id), 0) AS BIGINT) AS ids FROM documents WHERE regexp_matches(text, {_sql(p)})" for i, p in enumerate(CONSTRUCTS)))
+def regex_dialect(spark, d):
+    """How many documents each construct matches."""
+    t = spread(_read(spark, d, "documents")).select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("construct"), F.col("text").rlike(re2_to_java(p)).alias("hit")) for i, p in enumerate(CONSTRUCTS)])).alias("c"))
+    return t.groupBy("c.construct").agg(F.count_if("c.hit").alias("n"), F.coalesce(F.sum(F.when(F.col("c.hit"), F.col("doc_id"))), F.lit(0)).alias("ids"))
+
+
 @query("SELECT count(*) FILTER (toxic = 1) AS attacks, count(*) FILTER (toxic = 0) AS benign, count(*) FILTER (toxic = 1 AND quality = 0) AS caught, count(*) FILTER (toxic = 0 AND quality = 0) AS false_alarms, round(coalesce(count(*) FILTER (toxic = 1 AND quality = 0) / nullif(CAST(count(*) FILTER (toxic = 1) AS DOUBLE), 0), 0), 6) AS detection, round(coalesce(count(*) FILTER (toxic = 0 AND quality = 0) / nullif(CAST(count(*) FILTER (toxic = 0) AS DOUBLE), 0), 0), 6) AS false_alarm_rate FROM labels")
 def score_labels(spark, d):
     return audit.classify(_read(spark, d, "labels").select((F.col("toxic") == 1).alias("attack"), (F.col("quality") == 0).alias("caught")))

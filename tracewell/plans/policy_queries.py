@@ -193,10 +193,10 @@ SPELLED = model.load({
 SPELLED_ARGS = {"view": '{"url":"https://files.example.net/x/%s","n":1}', "purchase": '{"sql":"DROP TABLE t%s"}', "click": '{"path":"/etc/conf/%s.key"}', "signup": '{"command":"rm -rf /tmp/%s"}'}
 #: What gets through: all spellings of the address and the command, as their rules look at the text's start only.
 _FOUND = [
-    *(("view", t, True) for t in ("host in capitals", "dot after the host", "default port", "user before the host")),
-    *(("purchase", t, t == "second statement") for t in ("small letters", "newlines for blanks", "comments for blanks", "comment line before", "blanks before", "second statement")),
-    *(("click", t, t in ("slash before", "out of /srv/open/")) for t in ("dot in the path", "doubled slash", "detour", "slash before", "out of /srv/open/")),
-    *(("signup", t, True) for t in ("doubled blanks", "tabs for blanks", "by env", "by command", "by sh", "by bash", "after another", "second line", "quoted", "escaped", "empty quotes", "full path", "flags apart", "flags swapped")),
+    *(("view", t, True) for t in ("host in capitals", "a trailing dot on the host", "an explicit default port", "user info before the host")),
+    *(("purchase", t, t == "a harmless statement first") for t in ("lower-case SQL", "SQL keywords split by a newline", "SQL keywords split by a comment", "a comment line before the SQL", "leading whitespace", "a harmless statement first")),
+    *(("click", t, t in ("a leading //", "an allowed directory, then .. back out")) for t in ("a ./ in the path", "a doubled slash", "a detour through ..", "a leading //", "an allowed directory, then .. back out")),
+    *(("signup", t, True) for t in ("doubled spaces", "a tab for a space", "run through env", "run through command", "run through sh -c", "run through bash -c", "after another command", "on a second line", "the command quoted", "the command escaped", "an empty quote inside the command", "the command by its full path", "short flags split", "short flags swapped")),
 ]
 
 

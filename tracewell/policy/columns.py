@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import name_pattern, re2_to_java
-from .model import Condition, Policy
+from .model import REASONS, Condition, Policy
 
 DEFAULTS = {
     "args_json": "string", "ts_ms": "bigint", "host_name": "string", "host_version": "string", "frozen": "boolean", "read_only": "boolean", "destructive": "boolean",
@@ -265,30 +265,35 @@ def _decision(action: str, reason, rule_id: str, quorum: int = 0) -> Column:
     return F.struct(F.lit(action).alias("action"), reason.alias("reason"), F.lit(rule_id).alias("rule_id"), F.lit(quorum).alias("quorum"))
 
 
+def _reason(name: str, **parts) -> Column:
+    """A reason with its parts, texts or columns."""
+    pieces = re.split(r"\{(\w+)\}", REASONS[name])
+    value = lambda x: x if isinstance(x, Column) else F.lit(str(x))
+    return F.concat(*[value(parts[x]) if i % 2 else F.lit(x) for i, x in enumerate(pieces) if x])
+
+
 def hard_stops(p: Policy) -> list[tuple[Column, Column]]:
     """(condition, decision) of freeze, loop guard and budgets, in order."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = [(F.coalesce("frozen", F.lit(False)), _decision("deny", "calls are frozen until they are let through again", "frozen"))]
+    stop = lambda rule, name, **parts: _decision("deny", _reason(name, **parts), rule)
+    out = [(F.coalesce("frozen", F.lit(False)), stop("frozen", "frozen"))]
     if p.repeats > 0:
-        out.append((n("repeats") >= p.repeats, _decision("deny", F.format_string("loop guard: the identical call has been made %d times in a row; change the arguments or stop", n("repeats")), "loop-guard")))
-    if p.calls_per_session > 0:
-        out.append((n("session_calls") >= p.calls_per_session, _decision("deny", f"budget: session limit of {p.calls_per_session} calls reached", "budget")))
-    if p.calls_per_minute > 0:
-        out.append((n("last_minute") >= p.calls_per_minute, _decision("deny", f"budget: rate limit of {p.calls_per_minute} calls per minute reached, slow down", "budget")))
-    if p.tokens_per_session > 0:
-        out.append((n("tokens") >= p.tokens_per_session, _decision("deny", f"budget: session limit of roughly {p.tokens_per_session} tokens through tools reached", "budget")))
+        out.append((n("repeats") >= p.repeats, stop("loop-guard", "loop-guard", n=n("repeats").cast("string"))))
+    for name, so_far in (("calls_per_session", "session_calls"), ("calls_per_minute", "last_minute"), ("tokens_per_session", "tokens")):
+        if (limit := getattr(p, name)) > 0:
+            out.append((n(so_far) >= limit, stop("budget", name, n=limit)))
     dotted = F.concat_ws(".", "upstream", "tool_name")
     for key, limit in p.calls_per_tool.items():
         if limit > 0:
             hit = (F.col("tool") == key) | ((dotted == key) & ~F.col("tool").isin(*p.calls_per_tool))
-            out.append((hit & (n("tool_calls") >= limit), _decision("deny", f"budget: limit of {limit} calls for {key} reached", "budget")))
+            out.append((hit & (n("tool_calls") >= limit), stop("budget", "calls_per_tool", n=limit, tool=key)))
     for what, spent, cap in (("session", "spent", p.money.get("per_session", 0)), ("daily", "spent_today", p.money.get("per_day", 0))):
         if cap > 0:
             price = call_price(p)
-            left = F.coalesce(F.col(spent), F.lit(0.0))
+            so_far = F.coalesce(F.col(spent), F.lit(0.0))
             money = lambda c: F.concat(F.format_string("%.2f ", c), F.lit(p.money.get("currency", "EUR")))
-            out.append((left >= cap, _decision("deny", F.concat(F.lit(f"budget: the {what} budget of "), money(F.lit(float(cap))), F.lit(" is spent")), "budget")))
-            out.append(((price > 0) & (left + price > cap + 1e-9), _decision("deny", F.concat(F.lit("budget: this call costs "), money(price), F.lit(" and only "), money(cap - left), F.lit(f" of the {what} budget is left")), "budget")))
+            out.append((so_far >= cap, stop("budget", "spent", what=what, limit=money(F.lit(float(cap))))))
+            out.append(((price > 0) & (so_far + price > cap + 1e-9), stop("budget", "too dear", price=money(price), left=money(cap - so_far), what=what)))
     return out
 
 
@@ -305,7 +310,7 @@ def decision(p: Policy) -> Column:
     out = None
     for test, value in branches:
         out = F.when(test, value) if out is None else out.when(test, value)
-    default = _decision(p.default, f"default {p.default}", "")
+    default = _decision(p.default, _reason("default", action=p.default), "")
     return out.otherwise(default) if out is not None else default
 
 

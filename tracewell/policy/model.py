@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from ..functions.regexes import PatternError, check_pattern, name_matches
 from .packs import PACKS
 
 ACTIONS = ("allow", "ask", "deny")
@@ -17,6 +18,22 @@ MATCHERS = ("equals", "not_equals", "regex", "not_regex", "shell_regex", "not_sh
 OWN_LABELS = ("canary-read", "injection-suspected", "behavior-anomaly")
 
 
+# Reasons of decisions that come from no rule of one's own.
+REASONS = {
+    "frozen": "calls are frozen until they are let through again",
+    "loop-guard": "loop guard: the identical call has been made {n} times in a row; change the arguments or stop",
+    "calls_per_session": "budget: session limit of {n} calls reached",
+    "calls_per_minute": "budget: rate limit of {n} calls per minute reached, slow down",
+    "tokens_per_session": "budget: session limit of roughly {n} tokens through tools reached",
+    "calls_per_tool": "budget: limit of {n} calls for {tool} reached",
+    "spent": "budget: the {what} budget of {limit} is spent",
+    "too dear": "budget: this call costs {price} and only {left} of the {what} budget is left",
+    "rule": "matched rule {rule}",
+    "rule of a tool": "matched rule {rule} ({tool})",
+    "default": "default {action}",
+}
+
+
 class PolicyError(ValueError):
     """All that is wrong with a policy, one line each."""
 
@@ -37,7 +54,7 @@ class Rule:
     quorum: int = 0
 
     def text(self) -> str:
-        return self.reason or (f"matched rule {self.id} ({self.tool})" if self.tool else f"matched rule {self.id}")
+        return self.reason or REASONS["rule of a tool" if self.tool else "rule"].format(rule=self.id, tool=self.tool)
 
 
 @dataclass
@@ -174,9 +191,14 @@ def load(spec: dict) -> Policy:
             for k in c.matcher:
                 if "regex" in k:
                     try:
-                        re.compile(re.sub(r"(?<!^)\(\?i\)", "", str(c.matcher[k])))
-                    except re.error as e:
+                        check_pattern(str(c.matcher[k]))
+                    except PatternError as e:
                         errors.append(f"{c.path}: {k}: {e}")
+        if len(w.tool) > 1 and w.tool.startswith("/") and w.tool.endswith("/"):
+            try:
+                check_pattern(w.tool[1:-1])
+            except PatternError as e:
+                errors.append(f"tool {w.tool}: {e}")
     if errors:
         raise PolicyError("\n".join(errors))
     return p
@@ -196,13 +218,11 @@ def lint(p: Policy, tools: list[str] | None = None) -> list[tuple[str, str, str]
     covers_all = lambda r: r.tool in ("", "*") and not r.when
     labels = {x.label for x in p.labels} | set(OWN_LABELS)
     blocked = None
-    from ..functions.regexes import name_pattern
-
     for r in p.rules:
         if blocked:
             out.append(("warn", "unreachable", r.id))
         blocked = blocked or covers_all(r)
-        if tools is not None and r.tool and not any(re.search(_py(name_pattern(r.tool)), t) or re.search(_py(name_pattern(r.tool)), t.replace("__", ".", 1)) for t in tools):
+        if tools is not None and r.tool and not any(name_matches(r.tool, t) or name_matches(r.tool, t.replace("__", ".", 1)) for t in tools):
             out.append(("warn", "unknown-tool", r.id))
         for c in r.when:
             kind = next(iter(c.matcher))
@@ -223,6 +243,3 @@ def lint(p: Policy, tools: list[str] | None = None) -> list[tuple[str, str, str]
         out.append(("info", "nothing-blocks", ""))
     return sorted(out, key=lambda x: x[0] != "warn")
 
-
-def _py(java: str) -> str:
-    return java.replace("(?d)", "").replace(r"\z", r"\Z")

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regexes import compiled
 from . import columns
-from .model import Condition, Policy
+from .model import REASONS, Condition, Policy
 
 MINUTE_MS = 60_000
 STATE_PATHS = ("session.calls", "session.labels", "session.called", "session.label.")
@@ -73,40 +74,29 @@ class Session:
             return any(not isinstance(v, (bool, str)) and v > c.matcher.get("gt", float("-inf")) and v < c.matcher.get("lt", float("inf")) for v in values)
         tests = {
             "equals": lambda v: same(v, want), "in": lambda v: any(same(v, w) for w in want),
-            "prefix": lambda v: str(v).startswith(want), "regex": lambda v: _search(want, str(v)),
+            "prefix": lambda v: str(v).startswith(want), "regex": lambda v: compiled(want).search(str(v)) is not None,
         }
         base = name.removeprefix("not_")
         return any(tests[base](v) != name.startswith("not_") for v in values)
 
 
-def _search(pattern: str, text: str) -> bool:
-    import re
-
-    return re.search(pattern, text) is not None
-
-
 def decide(p: Policy, s: Session, tool: str, names: list[str], repeats: int, ok: list[bool], frozen: bool) -> tuple[str, str, str]:
     """(action, rule, reason); ``ok``: of each rule, do its stateless conditions hold."""
     if frozen:
-        return "deny", "frozen", "calls are frozen until they are let through again"
+        return "deny", "frozen", REASONS["frozen"]
     if p.repeats and repeats >= p.repeats:
-        return "deny", "loop-guard", f"loop guard: the identical call has been made {repeats} times in a row; change the arguments or stop"
-    if p.calls_per_session and s.calls >= p.calls_per_session:
-        return "deny", "budget", f"budget: session limit of {p.calls_per_session} calls reached"
-    if p.calls_per_minute and len(s.recent) >= p.calls_per_minute:
-        return "deny", "budget", f"budget: rate limit of {p.calls_per_minute} calls per minute reached, slow down"
-    if p.tokens_per_session and s.tokens >= p.tokens_per_session:
-        return "deny", "budget", f"budget: session limit of roughly {p.tokens_per_session} tokens through tools reached"
-    for name in names:
-        if name in p.calls_per_tool:
-            limit = p.calls_per_tool[name]
-            if limit and s.per_tool.get(tool, 0) >= limit:
-                return "deny", "budget", f"budget: limit of {limit} calls for {name} reached"
-            break
+        return "deny", "loop-guard", REASONS["loop-guard"].format(n=repeats)
+    for name, so_far in (("calls_per_session", s.calls), ("calls_per_minute", len(s.recent)), ("tokens_per_session", s.tokens)):
+        limit = getattr(p, name)
+        if limit and so_far >= limit:
+            return "deny", "budget", REASONS[name].format(n=limit)
+    key = next((n for n in names if n in p.calls_per_tool), None)
+    if key and p.calls_per_tool[key] and s.per_tool.get(tool, 0) >= p.calls_per_tool[key]:
+        return "deny", "budget", REASONS["calls_per_tool"].format(n=p.calls_per_tool[key], tool=key)
     for i, r in enumerate(p.rules):
         if ok[i] and all(s.holds(c) for c in r.when if is_stateful(c)):
             return r.action, r.id, r.text()
-    return p.default, "", f"default {p.default}"
+    return p.default, "", REASONS["default"].format(action=p.default)
 
 
 REPLAYED = "id string, session_id string, was string, action string, rule_id string, reason string, changed boolean, labels array<string>, session_calls long, tokens long"
