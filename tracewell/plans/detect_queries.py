@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..detect import scan, secrets, skills
 from ..functions.regexes import re2_to_java, spread
 from ..operators import audit
+from .flow_queries import prints_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +92,7 @@ def redact_documents(spark, d):
 CONSTRUCTS = [
     r"[[:alpha:]]+[[:digit:]]", r"[[:^alpha:]]{4}", r"[^[:space:][:alnum:]]{2}", r"[[:punct:]][[:upper:]]", r"[[:word:]]+@", r"[[:xdigit:]]{6}", r"[[:blank:]]{2}", r"(?P<key>tok|pass)\w*", r"(?P<a_1>x)(?P<b2>y|z)",
     r"\Aa\z", r"\A[A-Z]", r"[.!?]\z", r"\pL{14,}", r"\pN\pL", r"\p{Lu}\p{Ll}+\p{Lu}", r"\PL\PL\PL\PL", r"\p{Greek}", r"\p{^Latin}{5}", r"[\p{Lu}\d]{3}", r"[^\PL]é", r"\x41n", r"\x{e9}t", r"[\x{c0}-\x{ff}]{2}", r"\Qt.\E ", r"\Q[x]",
-    r"(?i)THE\b", r"(?i:the) (?-i:The|the)", r"(?m)^[A-Z]\w+$", r"(?m)^$", r"(?s)a.b.c", r"a.\nb|\.\n", r"(?U)<.+>", r"[]a-c]{3}", r"[^]]\]", r"[a\]-]{2}", r"\d{3,}?\.", r"a{,2}", r"\bé|é\b", r"\Bé\B", r"[\s\S]{900}|\v", r"(?:a|b)*?c(?i)D", r"[&&a][[b]", r"\101n", r"\W\D\S$",
+    r"(?i)THE\b", r"(?i:the) (?-i:The|the)", r"(?m)^[A-Z]\w+$", r"(?m)^$", r"(?s)a.b.c", r"a.\nb|\.\n", r"(?U)<.+>", r"[]a-c]{3}", r"[^]]\]", r"[a\]-]{2}", r"\d{3,}?\.", r"a{,2}", r"\bé|é\b", r"\Bé\B", r"[\s\S]{90}|\v", r"(?:a|b)*?c(?i)D", r"[&&a][[b]", r"\101n", r"\W\D\S$",
 ]
 
 
@@ -122,7 +123,9 @@ def taint_values(spark, d):
     return v
 
 
-@query()
+@query(f"""WITH a AS MATERIALIZED {prints_sql("(SELECT any_value(doc_id) AS key, text FROM documents GROUP BY text)")}, b AS MATERIALIZED {prints_sql("(SELECT item_id AS key, text FROM benchmark)")},
+pairs AS (SELECT a.key AS k, b.key AS source_id, count(*) AS shared FROM a JOIN b USING (print) GROUP BY 1, 2)
+SELECT d.doc_id AS sink_id, source_id, shared FROM pairs JOIN documents s ON s.doc_id = k JOIN documents d ON d.text = s.text""")
 def passage_flow(spark, d):
     """Benchmark passages copied into documents."""
     b = _read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
