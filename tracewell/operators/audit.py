@@ -186,11 +186,11 @@ def cost(prices: list[tuple[str, float]], per_million_tokens: float = 0.0) -> Co
 
 
 def bill(calls: DataFrame, prices, per_million_tokens: float, start_ms: int, end_ms: int) -> DataFrame:
-    """Calls, tokens and cost by day, by tool and in total, as grouping sets of one pass."""
+    """Calls, tokens and cost by day, by tool and in total, as grouping sets of one pass; ``grouping`` (day, tool, total) tells a tool without a name from all tools."""
     c = calls.where((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms) & went_through())
     c = c.select(F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd").alias("day"), "tool", "tokens_est", cost(prices, per_million_tokens).alias("cost"))
-    out = c.groupingSets([["day"], ["tool"], []], "day", "tool").agg(F.count("*").alias("calls"), F.sum("tokens_est").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
-    return out.select(F.coalesce("day", F.lit("")).alias("day"), F.coalesce("tool", F.lit("")).alias("tool"), "calls", "tokens", "cost")
+    out = c.groupingSets([["day"], ["tool"], []], "day", "tool").agg(F.grouping_id().alias("level"), F.count("*").alias("calls"), F.sum("tokens_est").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+    return out.select(F.when(F.col("level") == 1, "day").when(F.col("level") == 2, "tool").otherwise("total").alias("grouping"), F.coalesce("day", F.lit("")).alias("day"), F.coalesce("tool", F.lit("")).alias("tool"), "calls", "tokens", "cost")
 
 
 # --- reports ----------------------------------------------------------------------

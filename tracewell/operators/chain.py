@@ -45,25 +45,38 @@ def build(calls: DataFrame, chain: str = "session_id") -> DataFrame:
     Hashing a chain is serial by nature; chains run side by side and each streams
     through its task in sorted order, holding one hash.
     """
+    return append(calls, None, chain)
+
+
+def append(calls: DataFrame, heads: DataFrame | None, chain: str = "session_id") -> DataFrame:
+    """``build`` going on from the stored ``heads`` (chain, seq, row_hash, once a chain): appending in parts links what one build links.
+
+    Calls are numbered after the head whatever their time; a chain without a head begins.
+    """
     names = [c for c in calls.columns if c not in ("seq", "prev_hash", "row_hash")]
     order = Window.partitionBy(chain).orderBy("ts_ms", "id")
     numbered = calls.select(*names, F.row_number().over(order).cast("long").alias("seq"))
-    text = numbered.withColumn("_content", content(numbered.columns)).repartition(chain).sortWithinPartitions(chain, "seq")
+    if heads is None:
+        begun = numbered.withColumn("_head", F.lit(GENESIS))
+    else:
+        h = heads.select(F.col(chain).alias("_chain"), F.col("seq").alias("_seq"), F.col("row_hash").alias("_head"))
+        begun = numbered.join(h, F.col(chain) == F.col("_chain"), "left").withColumn("seq", F.col("seq") + F.coalesce("_seq", F.lit(0))).withColumn("_head", F.coalesce("_head", F.lit(GENESIS))).drop("_chain", "_seq")
+    text = begun.withColumn("_content", content(numbered.columns)).repartition(chain).sortWithinPartitions(chain, "seq")
     out = [*names, "seq", "prev_hash", "row_hash"]
 
     def run(batches):
-        key, prev = None, GENESIS
+        key, prev, none = None, GENESIS, True
         for b in batches:
             before, own = [], []
-            for k, t in zip(b.column(chain).to_pylist(), b.column("_content").to_pylist()):
-                if k != key:
-                    key, prev = k, GENESIS
+            for k, t, head in zip(b.column(chain).to_pylist(), b.column("_content").to_pylist(), b.column("_head").to_pylist()):
+                if none or k != key:
+                    key, prev, none = k, head, False
                 before.append(prev)
                 prev = hashlib.sha256(f"{prev}\n{t}".encode("utf-8", "surrogatepass")).hexdigest()
                 own.append(prev)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out[:-2]), pa.array(before, pa.string()), pa.array(own, pa.string())], names=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + ", prev_hash string, row_hash string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.select(out[:-2]).schema) + ", prev_hash string, row_hash string"
     return text.mapInArrow(run, schema)
 
 
@@ -107,22 +120,28 @@ def head_links(chained: DataFrame, chain: str = "session_id", cut: DataFrame | N
     return heads.join(c, chain, "full_outer").select(chain, F.coalesce("seq", "_seq").alias("seq"), F.coalesce("row_hash", "_hash").alias("row_hash"))
 
 
-def verify_anchors(chained: DataFrame, anchors: DataFrame, cut: tuple[int, str] | None = None) -> DataFrame:
-    """``chained``: one chain; ``anchors``: seq, hash -> seq, hash, status, problem.
+def verify_anchors(chained: DataFrame, anchors: DataFrame, chain: str = "session_id", cut: DataFrame | None = None) -> DataFrame:
+    """``anchors``: chain, seq, hash; ``cut``: as in ``verify`` -> chain, seq, hash, status, problem.
 
-    ok; contradiction (anchors of one seq differ: one was not taken from this log); conflict (another call stands there);
-    pruned (at or before the cut, no longer checked: a problem only if it is the only anchor); beyond (the chain ends before it).
+    ok; contradiction (anchors of one seq differ: one was not taken from this chain); conflict (another call stands there);
+    pruned (at or before the cut, no longer checked: a problem only if it is the chain's only anchor); beyond (the chain ends
+    before it). Every chain is judged by its own rows; a chain of which nothing is left has only what was cut from it.
     """
-    ends = chained.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    lo, hi = cut[0] if cut else (ends["lo"] or 1) - 1, ends["hi"] or (cut[0] if cut else 0)
-    given = anchors.distinct()
-    several = given.groupBy("seq").agg((F.count("*") > 1).alias("several"))
-    a = given.join(several, "seq").join(chained.select("seq", "row_hash"), "seq", "left")
-    at_cut = (F.col("seq") == cut[0]) & (F.col("hash") == cut[1]) if cut else F.lit(False)
-    status = F.when(F.col("several"), "contradiction").when(at_cut | (F.col("row_hash") == F.col("hash")), "ok").when(F.col("seq") <= lo, "pruned").when(F.col("seq") > hi, "beyond").otherwise("conflict")
-    alone = given.limit(2).count() == 1
-    problem = F.col("status").isin("contradiction", "conflict", "beyond") | ((F.col("status") == "pruned") & F.lit(alone))
-    return a.select("seq", "hash", status.alias("status")).withColumn("problem", problem)
+    given = anchors.select(F.col(chain).alias("_chain"), "seq", "hash").distinct()
+    ends = chained.where("seq IS NOT NULL").groupBy(F.col(chain).alias("_chain")).agg((F.min("seq") - 1).alias("_lo"), F.max("seq").alias("_hi"))
+    each = given.groupBy("_chain", "seq").agg((F.count("*") > 1).alias("_several"))
+    alone = given.groupBy("_chain").agg((F.count("*") == 1).alias("_alone"))
+    links = chained.select(F.col(chain).alias("_chain"), "seq", "row_hash")
+    a = given.join(each, ["_chain", "seq"]).join(alone, "_chain").join(ends, "_chain", "left").join(links, ["_chain", "seq"], "left")
+    if cut is not None:
+        a = a.join(cut.select(F.col(chain).alias("_chain"), F.col("seq").alias("_cut_seq"), F.col("hash").alias("_cut_hash")), "_chain", "left")
+    else:
+        a = a.withColumns({"_cut_seq": F.lit(None).cast("long"), "_cut_hash": F.lit(None).cast("string")})
+    lo, hi = F.coalesce("_cut_seq", "_lo", F.lit(0)), F.coalesce("_hi", "_cut_seq", F.lit(0))
+    stands = F.coalesce(((F.col("seq") == F.col("_cut_seq")) & (F.col("hash") == F.col("_cut_hash"))) | (F.col("row_hash") == F.col("hash")), F.lit(False))
+    status = F.when(F.col("_several"), "contradiction").when(stands, "ok").when(F.col("seq") <= lo, "pruned").when(F.col("seq") > hi, "beyond").otherwise("conflict")
+    problem = F.col("status").isin("contradiction", "conflict", "beyond") | ((F.col("status") == "pruned") & F.col("_alone"))
+    return a.withColumn("status", status).select(F.col("_chain").alias(chain), "seq", "hash", "status", problem.alias("problem"))
 
 
 def merkle_root(leaves: list[bytes]) -> str:

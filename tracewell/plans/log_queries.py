@@ -13,7 +13,7 @@ from ..sources.log import latest_catalog, spans, with_annotations
 
 CUT = 1704067200000 + 10 * 86_400_000  # ten days into the log
 NOW = 1704067200000 + 20 * 86_400_000
-PRICES = [("app__p*", 0.5), ("app__view|app__click", 0.01), ("*", 0.05)]
+PRICES = [("app__p*", 0.5), ("app__view|app__click", 0.01), ("app__pur*", 9.0), ("x*|app__error", 0.25)]
 PER_MILLION = 2.0
 FWD = "(decision = 'allow' OR shadow)"
 
@@ -142,15 +142,15 @@ def orphan_calls(c, s):
     return audit.orphan_calls(c, s.where("host_name <> 'BUILDING'")).select("id", "session_id")
 
 
-COST = f"CASE WHEN tool IN ('app__view', 'app__click') THEN 0.01 WHEN tool LIKE 'app__p%' THEN 0.05 ELSE 0.05 END + tokens_est * {PER_MILLION} / 1e6"
+COST = f"CASE WHEN starts_with(tool, 'app__p') THEN 0.5 WHEN tool IN ('app__view', 'app__click') THEN 0.01 WHEN tool = 'app__error' THEN 0.25 ELSE 0 END + tokens_est * {PER_MILLION} / 1e6"
 
 
-@query(f"""SELECT coalesce(day, '') AS day, coalesce(tool, '') AS tool, count(*) AS calls, CAST(sum(tokens_est) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost
-FROM (SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, tool, tokens_est, 0.05 + tokens_est * {PER_MILLION} / 1e6 AS cost FROM calls WHERE ts_ms >= 1704067200000 AND ts_ms < {NOW} AND {FWD})
+@query(f"""SELECT CASE GROUPING(day, tool) WHEN 1 THEN 'day' WHEN 2 THEN 'tool' ELSE 'total' END AS grouping, coalesce(day, '') AS day, coalesce(tool, '') AS tool, count(*) AS calls, CAST(sum(tokens_est) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost
+FROM (SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, CASE tool WHEN 'app__signup' THEN '' ELSE tool END AS tool, tokens_est, {COST} AS cost FROM calls WHERE ts_ms >= 1704067200000 AND ts_ms < {NOW} AND {FWD})
 GROUP BY GROUPING SETS ((day), (tool), ())""")
 def bill_grouping_sets(c, s):
-    # price patterns are tried in name order: "*" comes first and settles all
-    return audit.bill(c, PRICES, PER_MILLION, 1704067200000, NOW)
+    """Price patterns are tried in name order: app__p* settles what app__pur* would; one tool has no name."""
+    return audit.bill(c.withColumn("tool", F.when(F.col("tool") == "app__signup", "").otherwise(F.col("tool"))), PRICES, PER_MILLION, 1704067200000, NOW)
 
 
 @query(f"""SELECT id, round(sum(CAST(CASE WHEN tool IN ('app__click', 'app__view') THEN 0.01 ELSE 0.5 END AS DOUBLE)) OVER (PARTITION BY floor(ts_ms / 86400000) ORDER BY ts_ms, id), 6) AS spent FROM calls WHERE {FWD}""")
@@ -343,13 +343,33 @@ def head_link(c, s):
     return chain.head_links(chain.build(c))
 
 
-@query("""SELECT seq, status, status NOT IN ('ok', 'pruned') AS problem FROM (SELECT seq, CASE WHEN seq = 300 THEN 'contradiction' WHEN seq < 100 THEN 'pruned' WHEN seq > (SELECT count(*) FROM calls) THEN 'beyond' WHEN seq % 2 = 0 THEN 'ok' ELSE 'conflict' END AS status
-FROM (SELECT unnest([5, 150, 151, 300, 300, 400, 10000000]) AS seq))""")
+_ANCHORED = """, u AS (SELECT *, CAST(substr(session_id, 2) AS BIGINT) AS u FROM built), kept AS (SELECT * FROM u WHERE u % 7 <> 0 OR n >= 3),
+a AS (SELECT session_id, n AS seq, CASE WHEN u % 2 = 0 THEN row_hash ELSE 'other' END AS hash FROM u WHERE n = 4 AND u % 21 <> 0
+UNION ALL SELECT session_id, n, unnest([row_hash, 'x']) FROM u WHERE n = 5 AND u % 5 = 0 UNION ALL SELECT session_id, 10000000, 'y' FROM u WHERE n = 1 AND u % 6 = 1 UNION ALL SELECT session_id, 1, row_hash FROM u WHERE n = 1 AND u % 7 = 0),
+e AS (SELECT session_id, min(n) AS lo, max(n) AS hi FROM kept GROUP BY 1),
+j AS (SELECT a.session_id, a.seq, a.hash, count(*) OVER (PARTITION BY a.session_id, a.seq) AS same, count(*) OVER (PARTITION BY a.session_id) AS anchors, k.row_hash, lo, hi FROM a LEFT JOIN e USING (session_id) LEFT JOIN kept k ON k.session_id = a.session_id AND k.n = a.seq)
+SELECT session_id, seq, hash, status, status NOT IN ('ok', 'pruned') OR (status = 'pruned' AND anchors = 1) AS problem FROM
+(SELECT *, CASE WHEN same > 1 THEN 'contradiction' WHEN row_hash = hash THEN 'ok' WHEN seq < lo THEN 'pruned' WHEN seq > hi THEN 'beyond' ELSE 'conflict' END AS status FROM j)"""
+
+
+@query(chained(_ANCHORED), raw=True)
 def anchor_check(c, s):
-    built = chain.build(c.withColumn("log", F.lit("all")), "log").where("seq >= 100").select("seq", "row_hash")
-    known = built.where("seq IN (150, 151, 300, 400)").select("seq", F.when(F.col("seq") % 2 == 0, F.col("row_hash")).otherwise("other").alias("hash"))
-    more = c.sparkSession.createDataFrame([(5, "x"), (300, "z"), (10000000, "y")], "seq long, hash string")
-    return chain.verify_anchors(built, known.union(more)).drop("hash")
+    """Each session's chain with its anchors: right and wrong ones, two that differ, some beyond its end, some before what is kept of it."""
+    built = chain.build(c).withColumn("u", F.substring("session_id", 2, 18).cast("long"))
+    pick = lambda where, seq, h: built.where(where).select("session_id", seq.alias("seq"), h.alias("hash"))
+    seq, own = F.col("seq"), F.col("row_hash")
+    a = pick("seq = 4 AND u % 21 <> 0", seq, F.when(F.col("u") % 2 == 0, own).otherwise("other")).union(pick("seq = 5 AND u % 5 = 0", seq, F.explode(F.array(own, F.lit("x")))))
+    a = a.union(pick("seq = 1 AND u % 6 = 1", F.lit(10000000).cast("long"), F.lit("y"))).union(pick("seq = 1 AND u % 7 = 0", seq, own))
+    return chain.verify_anchors(built.where("u % 7 <> 0 OR seq >= 3"), a)
+
+
+@query(chained(" SELECT id, n AS seq, prev_hash, row_hash FROM built WHERE n > 10"), raw=True)
+def chain_append(c, s):
+    """Chains of which the first ten links are stored go on from their heads: the links of one build."""
+    first = chain.build(c)
+    stored = first.where("seq <= 10")
+    new = first.join(stored.select("id"), "id", "left_anti").select(c.columns)
+    return chain.append(new, chain.head_links(stored)).select("id", "seq", "prev_hash", "row_hash")
 
 
 # --- documents and catalogs ------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,126 @@ def session_ends(calls: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return w.agg(F.count("*").alias("calls")).select("session_id", F.unix_millis("session_window.start").alias("started_ms"), F.unix_millis("session_window.end").alias("ended_ms"), "calls")
 
 
-def earned_elsewhere(calls: DataFrame, within: str = "30 minutes") -> DataFrame:
-    """Labels other sessions earned in the time before a call: an interval join of the stream with itself, bounded by watermarks."""
-    a = event_time(calls).select("id", "session_id", "ts")
-    b = event_time(calls).select(F.col("session_id").alias("other"), F.col("ts").alias("at"), F.explode("labels").alias("label")).withWatermark("at", "10 minutes")
-    return a.join(b, F.expr(f"other <> session_id AND at < ts AND at >= ts - INTERVAL {within}")).select("id", "label")
+#: Sessions are dealt to so many keys; each key sees the labels of all sessions.
+LABEL_SHARDS = 16
+EARNED = "pending array<struct<ts: bigint, id: string, session: string, labels: array<string>>>, tops array<struct<label: string, session: string, ts: bigint, other: string, other_ts: bigint>>"
+
+
+def earned_elsewhere(calls: DataFrame, within: str = "30 minutes", late: str = "10 minutes", shards: int = LABEL_SHARDS) -> DataFrame:
+    """For each call the labels that other sessions earned in the time before it: id, label, as ``ordered.shared_labels``.
+
+    A stateful operator whose keys are shards of the sessions: a call goes to its session's shard, what a call earned to
+    all of them (``shards`` times the few calls that earn anything). A shard keeps calls until the watermark has passed
+    them and then takes them in order of time, calls of one moment before what they earn. Of each label the last two
+    sessions to earn it are enough: one of them is not the caller's. So the state is as large as the traffic of ``late``.
+
+    A call that arrives twice counts once, one that arrives behind the watermark is dropped. Calls that the watermark
+    has not passed when a run ends wait in the state for the next run.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    span = int(pd.Timedelta(within).total_seconds() * 1000)
+    rows = calls.select(F.timestamp_millis("ts_ms").alias("ts"), F.col("ts_ms").alias("at"), "id", F.col("session_id").alias("session"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+    own = F.pmod(F.xxhash64("session"), F.lit(shards)).cast("int")
+    to = F.when(F.size("labels") > 0, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(own))
+    rows = rows.withWatermark("ts", late).withColumn("shard", F.explode(to)).withColumn("asks", own == F.col("shard"))
+
+    def fold(key, batches, state):
+        pending, tops = state.get if state.exists else ([], [])
+        tops = {t[0]: list(t[1:]) for t in map(tuple, tops)}
+        waiting = {r[1]: r for r in map(tuple, pending)}
+        mark = state.getCurrentWatermarkMs()
+        for b in batches:
+            for r in b.itertuples():
+                if r.at > mark:
+                    # of calls that only bring labels the id is marked: they ask nothing here
+                    waiting.setdefault(f"{'?' if r.asks else '!'}{r.id}", (int(r.at), f"{'?' if r.asks else '!'}{r.id}", r.session, list(r.labels)))
+        ready = sorted(r for r in waiting.values() if r[0] <= mark)
+        out, i = [], 0
+        while i < len(ready):
+            j = i
+            while j < len(ready) and ready[j][0] == ready[i][0]:
+                j += 1
+            for at, name, session, _ in ready[i:j]:
+                if name[0] == "?":
+                    for label, (first, ts, other, other_ts) in tops.items():
+                        seen = ts if first != session else other_ts
+                        if seen is not None and seen >= at - span:
+                            out.append((name[1:], label))
+            for at, _, session, labels in ready[i:j]:
+                for label in labels:
+                    first, ts, other, other_ts = tops.get(label, (None, None, None, None))
+                    tops[label] = [session, at, other, other_ts] if first == session or first is None else [session, at, first, ts]
+            i = j
+        pending = [r for r in waiting.values() if r[0] > mark]
+        tops = [(label, *t) for label, t in tops.items() if t[1] >= mark - span]
+        if pending or tops:
+            state.update((pending, tops))
+            state.setTimeoutTimestamp(max(mark + 1, min([r[0] for r in pending] or [max(t[2] for t in tops) + span])))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["id", "label"])
+
+    return rows.groupBy("shard").applyInPandasWithState(fold, "id string, label string", EARNED, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _epochs_before(spark, path: str, epoch: int, schema) -> DataFrame:
+    """What earlier micro-batches wrote below ``path``; nothing of this one or later ones, which a replay overwrites."""
+    try:
+        return spark.read.schema(f"{schema}, epoch long").parquet(path).where(F.col("epoch") < epoch).drop("epoch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def chain_writer(path: str, chain: str = "session_id"):
+    """What ``append_chains`` does with a micro-batch and its epoch: continue every chain from its stored head.
+
+    Links go to ``path``/links, the new head of each chain that grew to ``path``/heads, a folder an epoch, so a micro-batch
+    that is replayed writes the same rows over its own. Calls are linked in the order of the micro-batches they came in.
+    """
+    from ..operators import chain as chains
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        heads = _epochs_before(df.sparkSession, f"{path}/heads", epoch, f"{chain} string, seq long, row_hash string")
+        heads = heads.groupBy(chain).agg(F.max("seq").alias("seq"), F.max_by("row_hash", "seq").alias("row_hash"))
+        chains.append(df, heads, chain).write.mode("overwrite").parquet(f"{path}/links/epoch={epoch}")
+        links = df.sparkSession.read.parquet(f"{path}/links/epoch={epoch}")
+        chains.head_links(links, chain).write.mode("overwrite").parquet(f"{path}/heads/epoch={epoch}")
+
+    return batch
+
+
+def append_chains(calls: DataFrame, path: str, chain: str = "session_id"):
+    """A writer of chains that go on, below ``path``: see ``chain_writer``."""
+    return calls.writeStream.foreachBatch(chain_writer(path, chain))
+
+
+def spend_writer(path: str, amount):
+    """What ``spend_ledger`` does with a micro-batch and its epoch: the day's spending with each forwarded call, as ``ordered.daily_ledger``.
+
+    Within a micro-batch calls are summed in order of time and id; what earlier ones spent on a day comes from its totals,
+    so every day starts at nothing and a late call joins its own day, after the calls that were there before it.
+    Rows go to ``path``/spent, a micro-batch's totals by day to ``path``/days, a folder an epoch: a replay writes the same.
+    """
+    from ..operators import ordered
+
+    day = F.floor(F.col("ts_ms") / 86_400_000).cast("long")
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        before = _epochs_before(df.sparkSession, f"{path}/days", epoch, "day long, amount double").groupBy("day").agg(F.sum("amount").alias("before"))
+        spent = ordered.daily_ledger(df, amount).join(df.select("id", day.alias("day")), "id").join(F.broadcast(before), "day", "left")  # a row a day
+        spent.select("id", F.round(F.col("spent") + F.coalesce("before", F.lit(0.0)), 6).alias("spent")).write.mode("overwrite").parquet(f"{path}/spent/epoch={epoch}")
+        went = df.where(went_through()).groupBy(day.alias("day")).agg(F.sum(amount).alias("amount"))
+        went.write.mode("overwrite").parquet(f"{path}/days/epoch={epoch}")
+
+    return batch
+
+
+def spend_ledger(calls: DataFrame, path: str, amount):
+    """A writer of the day's spending over micro-batches, below ``path``: see ``spend_writer``."""
+    return calls.writeStream.foreachBatch(spend_writer(path, amount))
 
 
 STATE = "calls long, tokens long, streak long, signature string, recent array<long>, labels array<string>"
