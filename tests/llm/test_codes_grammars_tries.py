@@ -6,10 +6,11 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewell.llm import prefix_trie, registry, repair, vector_codes
-from tracewell.llm.packing import word_tokenizer
+from tracewell.llm.packing import text_tokenizer
 
 MOST = (1 << 63) - 1
 VECTORS = "vec_id long, embedding array<double>, label string, code int, x string"
@@ -96,8 +97,8 @@ def test_repair_round_trip(spark, tmp_path):
     blocks = repair.read(spark, out)
     assert blocks.count() > 5
     got = repair.documents(blocks, with_ids=True).collect()
-    encode = word_tokenizer(path)
-    ids = lambda t: [*np.frombuffer(encode(t), "<u4").tolist(), 1]
+    encode = text_tokenizer(path)
+    ids = lambda t: [*np.frombuffer(encode(pa.array([t], pa.string()))[0], "<u4").tolist(), 1]
     want = collections.Counter((d, tuple(ids(t))) for d, t in rows)
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
     got.sort(key=lambda r: r["start"])

@@ -27,6 +27,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,9 @@ SALT_PIECES = 1 << 18
 MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
 #: Bytes of memory for the ids of words that a worker remembers, about (two generations of half of it, and the words of one text), and of one word besides its letters.
 CACHE_BYTES, ENTRY_BYTES = 3 << 27, 250
+#: Bytes of text whose words are looked up at once, one text at least.
+SLICE_BYTES = 4 << 20
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,15 +54,17 @@ def _process_cache(name: str) -> dict:
     return sys.modules.setdefault("tracewell_worker_cache", types.ModuleType("tracewell_worker_cache")).__dict__.setdefault(name, {})
 
 
-def word_tokenizer(path: str):
-    """text -> little-endian uint32 ids, remembering the ids of words.
+def text_tokenizer(path: str):
+    """pa.Array of texts -> the little-endian uint32 ids of each, remembering the ids of words.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's
     ids are those of its words in turn; texts that may hold a special token's
-    string are encoded whole.  A plain Latin word with closing punctuation is two
-    pre-tokens at most, which go to the tokenizer's model directly; any other word
-    goes through the whole tokenizer.  When the young generation of remembered
-    words is full it becomes the old one; words met again move on, the rest go.
+    string are encoded whole.  Words are split and numbered by Arrow, each distinct
+    word of a slice of texts is looked up once, and the ids are put together by
+    numpy.  A plain Latin word with closing punctuation is two pre-tokens at most,
+    which go to the tokenizer's model directly; any other word goes through the
+    whole tokenizer.  When the young generation of remembered words is full it
+    becomes the old one; words met again move on, the rest go.
     """
     from array import array
 
@@ -80,13 +86,13 @@ def word_tokenizer(path: str):
     def piece(s: str) -> bytes:
         return array("I", [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(alphabet))]).tobytes()
 
-    def ids_of(new) -> dict[bytes, bytes]:
-        old, stems, out, other = cache["old"], cache["stems"], {}, {}
+    def ids_of(new: list[str]) -> dict[str, bytes]:
+        old, stems, out, other = cache["old"], cache["stems"], {}, []
         for w in new:
             if (ids := old.get(w)) is None:
-                m = plain(s := w.decode("utf-8", "replace"))
+                m = plain(w)
                 if not m:
-                    other[w] = s
+                    other.append(w)
                     continue
                 stem, end = m.groups()
                 stem = stem.lower()
@@ -98,26 +104,60 @@ def word_tokenizer(path: str):
                     ids += more
             out[w] = ids
         if other:
-            found = tok.encode_batch(list(other.values()), add_special_tokens=False)
+            found = tok.encode_batch(other, add_special_tokens=False)
             out.update((w, array("I", e.ids).tobytes()) for w, e in zip(other, found))
         return out
 
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text:
-            return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
-        w = text.encode("utf-8", "surrogatepass").split()
+    def lookup(words: list[str]) -> list[bytes]:
         seen = cache["young"]
-        ids = list(map(seen.get, w))
+        ids = list(map(seen.get, words))
         if None in ids:
-            found = ids_of({w for w, i in zip(w, ids) if i is None})
+            found = ids_of([w for w, i in zip(words, ids) if i is None])
+            ids = [found[w] if i is None else i for w, i in zip(words, ids)]
             cache["bytes"] += ENTRY_BYTES * len(found) + sum(map(len, found)) * 2
             seen |= found
-            ids = map(seen.__getitem__, w)
             if cache["bytes"] > CACHE_BYTES // 2:
                 cache.update(old=seen, young={}, stems={}, bytes=0)
-        return b"".join(ids)
+        return ids
+
+    def some(texts: pa.Array) -> list[bytes]:
+        """``texts``: large strings, none null."""
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        inside = ~_BLANK[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        edge = (offsets - offsets[0])[:-1]
+        edge = edge[edge < len(data)]
+        begins[edge] = inside[edge]
+        # the words one after the other, without what parts them
+        starts = np.append(np.flatnonzero(begins[inside]), inside.sum())
+        words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data[inside])).dictionary_encode()
+        ids = lookup(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), words.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        places = np.arange(len(n) and ends[-1]) + np.repeat((np.cumsum(size) - size)[at] - (ends - n), n)
+        out = flat[places].tobytes()
+        of = np.concatenate(([0], np.cumsum(begins)))[offsets - offsets[0]]  # words before each text
+        cut = (4 * np.concatenate(([0], ends))[of]).tolist()
+        return [out[a:b] for a, b in zip(cut, cut[1:])]
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        texts = texts.cast(pa.large_string())
+        marked = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        words = pc.if_else(marked, pa.scalar("", pa.large_string()), pc.fill_null(texts, ""))
+        sizes = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))
+        out, lo = [], 0
+        while lo < len(words):  # slices of some bytes, one text at least
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+            out += some(words[lo:hi])
+            lo = hi
+        for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = array("I", tok.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes()
+        return out
 
     return encode
 
@@ -131,11 +171,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = word_tokenizer(tokenizer_path)
+        encode = text_tokenizer(tokenizer_path)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                data = encode(text) + end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text"))):
+                data = ids + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
-from .packing import END_ID, word_tokenizer
+from .packing import END_ID, text_tokenizer
 
 #: Ids of a block, about; occurrences that make a pair a rule; rounds at most; a round that shortens a block by less is the last; buckets in which pairs are counted.
 BLOCK_IDS, LEAST, ROUNDS, GAIN, BUCKETS = 1 << 18, 8, 8, 0.01, 1 << 18
@@ -191,7 +191,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = word_tokenizer(tokenizer_path)
+        encode = text_tokenizer(tokenizer_path)
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         names: list[int | None] = []
@@ -206,8 +206,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
             return pa.RecordBatch.from_arrays(cols, names=["shard", "block", "before", "n_ids", "doc_ids", "grammar"])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                data = encode(text.as_py()) + end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text"))):
+                data = ids + end
                 held.append(data)
                 names.append(doc_id)
                 size += len(data) // 4
