@@ -262,6 +262,46 @@ def test_media_round_trip(docs, texts):
     assert len({media.encode(p)[:2] + media.encode(p)[28:29] for p in (bytes([k]) * 576 for k in range(60))}) >= 3
 
 
+def test_media_feature_in_full():
+    """The 64 bits from the decoded samples, each cell's mean as a fraction."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(8)
+    for n in (10, 576, 700, 3000, 6000):
+        payload, _ = media.payload_of("".join(map(chr, rng.integers(32, 1000, n))))
+        image = media.decode(media.encode(payload)).astype(int)
+        grey = image if image.ndim == 2 else image.sum(2)  # thirds: the factor changes no comparison
+        h, w = grey.shape
+
+        def mean(y, x):  # of the area below a cell of the 9 x 8 grid
+            total = Fraction(0)
+            for i in range(h * y // 8, -(-h * (y + 1) // 8)):
+                for j in range(w * x // 9, -(-w * (x + 1) // 9)):
+                    tall = min(Fraction(i + 1), Fraction(h * (y + 1), 8)) - max(Fraction(i), Fraction(h * y, 8))
+                    wide = min(Fraction(j + 1), Fraction(w * (x + 1), 9)) - max(Fraction(j), Fraction(w * x, 9))
+                    total += tall * wide * int(grey[i, j])
+            return total
+
+        bits = "".join(str(int(mean(y, x + 1) > mean(y, x))) for y in range(8) for x in range(8))
+        assert f"{media.difference_hash(media.decode(media.encode(payload))):064b}" == bits
+
+
+def test_media_other_formats(spark):
+    import struct
+
+    assert media.decode(b"P1 3 2 101 # c\n010").tolist() == [[0, 255, 0], [255, 0, 255]]
+    assert media.decode(b"P4\n10 2\n" + bytes([0b10000000, 0b01000000, 0, 0])).tolist() == [[0] + [255] * 8 + [0], [255] * 10]
+    assert media.decode(b"P2 2 1 15 0 15").tolist() == [[0, 255]] and media.decode(b"P5 2 1 100 " + bytes([50, 100])).tolist() == [[128, 255]]
+    assert media.decode(b"P3 1 1 255 1 2 3").tolist() == [[[1, 2, 3]]] and media.decode(b"P5 1 1 65535 \x01\x02").tolist() == [[258]] and media.decode(b"P2 1 1 0 0") is None
+    # a version 4 header before the palette; masks of 16 and 32 bits
+    info = struct.pack("<IiiHHIIiiII", 108, 1, 1, 1, 8, 0, 4, 0, 0, 2, 0) + bytes(68)
+    assert media.decode(struct.pack("<2sIHHI", b"BM", 0, 0, 0, 14 + 108 + 8) + info + bytes([1, 2, 3, 0, 9, 8, 7, 0]) + bytes([1, 0, 0, 0])).tolist() == [[[7, 8, 9]]]
+    for bits, masks, pixel in ((16, (0xF800, 0x7E0, 0x1F), 0xF800), (32, (0xFF, 0xFF00, 0xFF0000), 0xFF)):
+        info = struct.pack("<IiiHHIIiiII", 40, 1, -1, 1, bits, 3, 4, 0, 0, 0, 0) + struct.pack("<III", *masks)
+        assert media.decode(struct.pack("<2sIHHI", b"BM", 0, 0, 0, 66) + info + struct.pack("<I", pixel)).tolist() == [[[255, 0, 0]]]
+    assert media.media_columns(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_media_resize_and_formats():
     rng = np.random.default_rng(1)
     for h, w, th, tw in ((24, 24, 8, 9), (5, 3, 16, 16), (7, 11, 4, 5)):

@@ -136,8 +136,11 @@ def test_clashing_columns(spark):
     assert sorted((tuple(r) for r in kept.collect()), key=lambda r: r[0]) == rows[:6]
 
 
-def test_cells_grow_finer_with_the_corpus():
-    chosen = [(10**i, simhash.width(10**i)) for i in range(1, 12)]
-    assert [w for _, w in chosen] == sorted(w for _, w in chosen)
-    for n, w in chosen:  # a row of a fingerprint's cells meets less than one unrelated one, at every size (most at 10^11: 0.65)
-        assert n * 2 ** (-45 * w / (simhash.RADIUS + w)) < 1
+def test_cells_of_a_fingerprint_by_corpus():
+    """70 up to 10^9 fingerprints; finer beyond, so that those met in a cell stay few beside the corpus."""
+    rows = lambda n: simhash.comb(simhash.RADIUS + simhash.width(n), simhash.RADIUS)
+    assert {rows(10**i) for i in range(1, 10)} == {70}
+    chosen = [simhash.width(10**i) for i in range(1, 13)]
+    assert chosen == sorted(chosen) and rows(5 * 10**10) <= 210
+    for n in (10**10, 5 * 10**10, 10**12):
+        assert rows(n) * n * 2 ** (-45 * simhash.width(n) / (simhash.RADIUS + simhash.width(n))) < 2 * 10**-6 * n + 10**5

@@ -39,9 +39,9 @@ SALT_PIECES = 1 << 18
 #: Pattern search: middle lengths tried for each first length, worst waste allowed, sweeps of the fit.
 MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
 #: Bytes of memory for the ids of words that a worker remembers, about (two generations of half of it, and the words of one text), and of one word besides its letters.
-CACHE_BYTES, ENTRY_BYTES = 3 << 27, 250
+CACHE_BYTES, ENTRY_BYTES = 1 << 28, 250
 #: Bytes of text whose words are looked up at once, one text at least.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -59,11 +59,11 @@ def text_tokenizer(path: str):
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's
     ids are those of its words in turn; texts that may hold a special token's
-    string are encoded whole.  Words are split and numbered by Arrow, each distinct
-    word of a slice of texts is looked up once, and the ids are put together by
-    numpy.  A plain Latin word with closing punctuation is two pre-tokens at most,
-    which go to the tokenizer's model directly; any other word goes through the
-    whole tokenizer.  When the young generation of remembered words is full it
+    string are encoded whole.  Words are split by numpy and numbered by Arrow, each
+    distinct word of a slice of texts is looked up once, and the ids are put together
+    by numpy.  Words of Latin letters, digits and ASCII punctuation are cut into
+    their pre-tokens, which go to the tokenizer's model directly; any other word goes
+    through the whole tokenizer.  When the young generation of remembered words is full it
     becomes the old one; words met again move on, the rest go.
     """
     from array import array
@@ -78,7 +78,10 @@ def text_tokenizer(path: str):
         cache |= {"tokenizer": tok, "young": {}, "old": {}, "stems": {}, "bytes": 0}
     tok = cache["tokenizer"]
     tokenize = tok.model.tokenize
-    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:]*)").fullmatch
+    # pre-tokens of these words: runs of letters, single digits, runs of punctuation (but for the apostrophe, which may join what follows it)
+    letters, marks = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+    plain, mixed = re.compile(f"([{letters}]+)([{marks}]*)").fullmatch, re.compile(f"[{letters}0-9{marks}]+").fullmatch
+    parts = re.compile(f"[{letters}]+|[0-9]|[{marks}]+").findall
     # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -88,20 +91,24 @@ def text_tokenizer(path: str):
 
     def ids_of(new: list[str]) -> dict[str, bytes]:
         old, stems, out, other = cache["old"], cache["stems"], {}, []
+
+        def known(s: str) -> bytes:
+            if (ids := stems.get(s)) is None:
+                ids = stems[s] = piece(s)
+            return ids
+
         for w in new:
             if (ids := old.get(w)) is None:
-                m = plain(w)
-                if not m:
+                if m := plain(w):
+                    stem, end = m.groups()
+                    ids = known(stem.lower())
+                    if end:
+                        ids += known(end)
+                elif mixed(w):
+                    ids = b"".join(map(known, parts(w.lower())))
+                else:
                     other.append(w)
                     continue
-                stem, end = m.groups()
-                stem = stem.lower()
-                if (ids := stems.get(stem)) is None:
-                    ids = stems[stem] = piece(stem)
-                if end:
-                    if (more := stems.get(end)) is None:
-                        more = stems[end] = piece(end)
-                    ids += more
             out[w] = ids
         if other:
             found = tok.encode_batch(other, add_special_tokens=False)
@@ -135,11 +142,12 @@ def text_tokenizer(path: str):
         starts = np.append(np.flatnonzero(begins[inside]), inside.sum())
         words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data[inside])).dictionary_encode()
         ids = lookup(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat, at = np.frombuffer(b"".join(ids), "<u4"), words.indices.to_numpy()
         n = size[at]
-        ends = np.cumsum(n)
-        places = np.arange(len(n) and ends[-1]) + np.repeat((np.cumsum(size) - size)[at] - (ends - n), n)
+        ends = np.cumsum(n, dtype=np.int64)
+        kind = np.int32 if not len(ends) or ends[-1] < 1 << 31 else np.int64
+        places = np.arange(len(n) and ends[-1], dtype=kind) + np.repeat(((np.cumsum(size, dtype=np.int64) - size)[at] - (ends - n)).astype(kind), n)
         out = flat[places].tobytes()
         of = np.concatenate(([0], np.cumsum(begins)))[offsets - offsets[0]]  # words before each text
         cut = (4 * np.concatenate(([0], ends))[of]).tolist()

@@ -43,7 +43,7 @@ from .common import scratch
 from .packing import END_ID, text_tokenizer
 
 #: Ids of a block, about; occurrences that make a pair a rule; rounds at most; a round that shortens a block by less is the last; buckets in which pairs are counted.
-BLOCK_IDS, LEAST, ROUNDS, GAIN, BUCKETS = 1 << 18, 8, 8, 0.01, 1 << 18
+BLOCK_IDS, LEAST, ROUNDS, GAIN, BUCKETS = 1 << 18, 8, 8, 0.02, 1 << 18
 MAGIC, HEAD = b"RPG1", "<4s5q1B"
 BLOCKS = "shard int, block int, before long, n_ids long, doc_ids array<long>, grammar binary"
 

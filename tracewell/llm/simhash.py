@@ -29,7 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -180,14 +180,23 @@ def cell_edges(batches, radius: int = RADIUS):
         yield from edges(key_tail, tail)
 
 
+#: Groups that agree in a cell, at least; what a row of a shared cell, and a fingerprint that it meets there, cost beside a row that is alone.
+LEAST_EQUAL, SHARED_COST, MET_COST = 4, 6.0, 0.02
+
+
 def width(n: int, radius: int = RADIUS) -> int:
     """The ``equal`` to choose for a corpus of ``n`` fingerprints: it makes a fingerprint's cells and those it meets in them cost least.
 
-    A segment of two random bits has 1.5 bits of entropy in its count, in texts about 0.94 of that. A row that meets another in its
-    cell costs about six that don't, as it is joined, shuffled, sorted and searched. So cells grow finer with the corpus, and
-    the rows that unrelated fingerprints share stay in proportion to it.
+    A segment of two random bits has 1.5 bits of entropy in its count, in texts about 0.94 of that. Alone in its cell a row goes
+    once it is counted; in a shared one it is joined, shuffled and sorted as well, whomever it meets, and compared with each, which is
+    cheap. So a fingerprint has 70 cells up to some 10^9 fingerprints and 210 at 5 x 10^10.
     """
-    return min(range(3, 33 - radius), key=lambda equal: comb(radius + equal, equal) * (1 + 6 * n * 2 ** (-45 * equal / (radius + equal))))
+
+    def cost(equal: int) -> float:
+        met = n * 2 ** (-45 * equal / (radius + equal))
+        return comb(radius + equal, equal) * (1 + SHARED_COST * (1 - exp(-met)) + MET_COST * met)
+
+    return min(range(LEAST_EQUAL, 33 - radius), key=cost)
 
 
 def shared_cells(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -208,11 +217,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, equal: int = 3, chunk: int = C
     """
     counts = segment_counts(F.col("fp"))
     masks = F.array(*map(F.lit, cell_masks(radius, equal)))
-    cells = nodes.select("fp", F.explode(F.transform(masks, lambda m: F.xxhash64(m, counts.bitwiseAND(m)))).alias("cell"))
-    # one shuffle gives the rows and their cells' counts: the counts read both columns, or they would get a shuffle of their own
-    cells = cells.repartition("cell")
-    many = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1 AND hub IS NOT NULL")
-    cells = materialize(cells.join(many, "cell"), "cells")
+    cells = nodes.select(F.col("fp").alias("node"), F.explode(F.transform(masks, lambda m: F.xxhash64(m, counts.bitwiseAND(m)))).alias("cell"))
+    cells = shared_cells(cells, ["cell"]).withColumnRenamed("node", "fp")
     # part: a pair of chunks (i <= j), written i * k + j; one part where the cell is no larger than a chunk
     k = F.ceil(F.col("n") / F.lit(float(chunk)))
     own = F.pmod(F.xxhash64("fp"), k)

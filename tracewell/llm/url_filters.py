@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialize
 
 #: (pattern ``host/path``, verdict). Fixed values of the query's contract.
 RULES = (
@@ -112,7 +112,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, thre
     p = pages.select("page_id", "outcome_key", host.alias("host"), path.alias("path"))
     o = outcomes.where("outcome_key IS NOT NULL AND bad IS NOT NULL").groupBy("outcome_key").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     counts = p.join(o, "outcome_key", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    rep = host_reputation(counts, threshold)
+    rep = host_reputation(materialize(counts, "host-counts"), threshold)  # read by five actions
     a, b = F.col("a"), F.col("b")
     mean = a / (a + b)
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))

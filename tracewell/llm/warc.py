@@ -118,8 +118,9 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, date: str = "2024
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     long_ = F.octet_length("html") >= REVISIT_FROM
-    first = p.where(long_).groupBy("digest").agg(F.max("page_id").alias("first"))
-    j = p.join(first, "digest", "left")
+    first = p.where(long_).groupBy(F.col("digest").alias("same")).agg(F.max("page_id").alias("first"))
+    # short pages revisit none: they are dealt out by keys of their own, however many share a digest
+    j = p.withColumn("same", F.when(long_, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))).join(first, "same", "left")
     revisits = long_ & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = j.select("page_id", "url", "digest", F.when(revisits, F.col("first")).alias("refers_to"), F.when(revisits, F.lit(None)).otherwise(F.col("html")).alias("html"), F.monotonically_increasing_id().alias("row"))
 
