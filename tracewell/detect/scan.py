@@ -8,10 +8,15 @@ in bytes can be set, and what it cuts is said.
 
 from __future__ import annotations
 
+import base64
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regexes import lowered, matches, re2_to_java, spread
+from ..functions.documents import json_strings, wire_result
+from ..functions.regexes import compiled, lowered, matches, re2_to_java, spread
 
 # What instructions to a model look like, the detail reported, and whether tool results are held to it too.
 INSTRUCTIONS = [
@@ -106,8 +111,6 @@ def findings(text: Column, visible: Column, low: Column, definition: bool, where
         out.append(_finding(is_name & mixed_script(text), "shadowing", DETAILS["letters"]))
         not_name = F.lit(True) if where is None else where != "name"
         out.append(_finding(not_name & matches(visible, low, CREDENTIALS), "credentials", DETAILS["credentials"]))
-        import re
-
         for server, tool in sorted({(s, t) for s, t in other_tools if distinctive(t)}, key=lambda x: -len(x[1])):
             pattern = r"(?i)(?:^|[^\w])" + re.sub(r"([^\w])", r"\\\1", tool) + r"(?:$|[^\w])"
             out.append(_finding(not_name & matches(visible, low, pattern), "shadowing", DETAILS["other tool"].format(server=server, tool=tool)))
@@ -141,3 +144,137 @@ def scan_definitions(texts: DataFrame, other_tools: list[tuple[str, str]] = ())
     t = _looked_at(texts.select("id", "where", "text"))
     found = findings(F.col("text"), F.col("visible"), F.col("low"), True, F.col("where"), other_tools)
     return t.select("id", "where", F.inline(F.array_distinct(found))).distinct()
+
+
+# --- whole definitions, and where in a text a finding is -----------------------------------------------
+
+# Bytes around a match in an excerpt, characters of hidden padding shown, and what hidden characters are called.
+PAD, SHOWN = 30, 120
+INVISIBLE = {
+    "tags": "text hidden in Unicode tag characters: invisible to you, read by the model",
+    "zero": "{n} zero-width character(s)",
+    "bidi": "{n} bidirectional control character(s), which make text read differently than it runs",
+    "control": "{n} control character(s), which can hide text in a terminal",
+}
+
+
+def definition_texts(definitions: DataFrame) -> DataFrame:
+    """``definitions``: id, kind, name, title, description, uri, inputSchema, outputSchema, annotations, arguments (JSON) -> id, where, text.
+
+    Every text that a model is shown of a definition: those of the columns, and all strings of its schemas with their
+    paths; of keys those that hide something. Columns that are absent have no texts.
+    """
+    have = [c for c in ("name", "title", "description", "uri") if c in definitions.columns]
+    only = (F.col("kind") == "instructions") if "kind" in definitions.columns else F.lit(False)  # of these the description is all there is
+    told = [F.struct(F.when(only & F.lit(c == "description"), "instructions").otherwise(c).alias("where"), F.when(~only | F.lit(c in ("description", "uri")), F.col(c)).alias("text")) for c in have]
+    plain = definitions.select("id", F.inline(F.array(*told))).where("text <> ''")
+    schemas = {c: c for c in ("inputSchema", "outputSchema", "annotations", "arguments") if c in definitions.columns}
+    deep = json_strings(definitions, schemas, ["id"])
+    hides = F.col("text").rlike(HIDDEN) | F.col("text").rlike(CONTROL)
+    return plain.unionByName(deep.where(~F.col("is_key") | hides).drop("is_key"))
+
+
+def reveal(text: str) -> str:
+    """The text with what renders as nothing spelled out."""
+    import regex
+
+    def shown(m):
+        s = m[0]
+        return f"«hidden: {''.join(chr(ord(c) - 0xE0000) for c in s if 0xE0020 <= ord(c) <= 0xE007E)}»" if ord(s[0]) >= 0xE0000 else f"«U+{ord(s):04X}»"
+
+    hidden = "|".join((ZERO_WIDTH, BIDI, r"[\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}]"))
+    return regex.sub(_python(f"{TAGS}+|{hidden}"), shown, text)
+
+
+def _python(classes: str) -> str:
+    """Classes of code points as Python spells them."""
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", classes)
+
+
+def excerpt(text: str, start: int, end: int) -> str:
+    """The match at characters ``start`` to ``end`` with some ``PAD`` bytes on either side, never a character cut in half; blanks are one."""
+    left, right = text[:start].encode(), text[end:].encode()
+    lo, hi = max(0, len(left) - PAD), min(PAD, len(right))
+    while lo > 0 and left[lo] & 0xC0 == 0x80:
+        lo -= 1
+    while hi < len(right) and right[hi] & 0xC0 == 0x80:
+        hi += 1
+    shown = " ".join((left[lo:].decode() + text[start:end] + right[:hi].decode()).split())
+    return ("…" if lo else "") + shown + ("…" if hi < len(right) else "")
+
+
+def _invisible(text: str, definition: bool) -> tuple[str, str]:
+    """(detail, excerpt) of a text's hidden characters."""
+    import regex
+
+    plain = regex.sub(_python(FLAG), "", text)
+    tags = "".join(chr(ord(c) - 0xE0000) for c in plain if 0xE0020 <= ord(c) <= 0xE007E)
+    n = {"tags": len(tags), "bidi": len(regex.findall(_python(BIDI if definition else OVERRIDES), text))}
+    if definition:
+        n |= {"zero": len(regex.findall(_python(ZERO_WIDTH), text.removeprefix("\ufeff"))), "control": len(regex.findall(CONTROL, text))}
+    return "; ".join(said.format(n=n[k]) for k, said in INVISIBLE.items() if n.get(k)), tags
+
+
+def located(found: DataFrame, definition: bool) -> DataFrame:
+    """``found``: id, where, kind, detail, text, visible -> id, where, kind, detail, excerpt, key: what was found, in its surroundings.
+
+    Only texts with findings come here. The key (kind, place and detail) stays the same while the definition's text around it changes,
+    so what a person has accepted stays accepted.
+    """
+    patterns: dict[str, list[str]] = {DETAILS["credentials"]: [CREDENTIALS]}
+    for p, d, _ in INSTRUCTIONS:
+        patterns.setdefault(d, []).append(p)
+
+    @F.pandas_udf("detail string, excerpt string")
+    def place(kind: pd.Series, detail: pd.Series, text: pd.Series, visible: pd.Series) -> pd.DataFrame:
+        def one(k, d, t, v):
+            if d == DETAILS["invisible"]:
+                return _invisible(t, definition)
+            if d == DETAILS["padding"]:
+                m = re.search(BLANK_RUN.replace(r"\x{00A0}", "\u00a0"), t)
+                rest = t[m.end() :].strip()
+                return d, excerpt(rest, 0, min(len(rest), SHOWN))
+            if d == DETAILS["letters"]:
+                return d, reveal(t)
+            tool = re.search(r" tool (\S+); ", d) if k == "shadowing" else None
+            for p in [rf"(?i)(?:^|[^\w]){re.escape(tool[1])}(?:$|[^\w])"] if tool else patterns.get(d, []):
+                m = re.search(p, v) if tool else compiled(p).search(v)
+                if m:
+                    return d, excerpt(v, *m.span())
+            return d, ""
+
+        return pd.DataFrame([one(*x) for x in zip(kind, detail, text, visible)], columns=["detail", "excerpt"])
+
+    out = found.select("id", "where", "kind", place("kind", "detail", "text", "visible").alias("p")).select("id", "where", "kind", "p.detail", "p.excerpt")
+    return out.withColumn("key", F.concat_ws(":", "kind", "where", "detail")).dropDuplicates(["id", "key"])
+
+
+def definition_findings(definitions: DataFrame, other_tools: list[tuple[str, str]] = (), accepted: DataFrame | None = None) -> DataFrame:
+    """Findings of whole definitions (see ``definition_texts``) with excerpt and key; those whose (id, key) is ``accepted`` are left out."""
+    t = _looked_at(definition_texts(definitions))
+    found = findings(F.col("text"), F.col("visible"), F.col("low"), True, F.col("where"), other_tools)
+    out = located(t.select("id", "where", "text", "visible", F.inline(F.array_distinct(found))), True)
+    return out if accepted is None else out.join(accepted.select("id", "key"), ["id", "key"], "left_anti")
+
+
+def result_findings(results: DataFrame) -> DataFrame:
+    """``results``: id, result_json (as it travels) -> id, where, kind, detail, excerpt, key of what its text holds."""
+    r = results.select("id", F.lit("result").alias("where"), wire_result(F.col("result_json"))["text"].alias("text"))
+    t = _looked_at(r.where("text <> ''"))
+    found = findings(F.col("text"), F.col("visible"), F.col("low"), False)
+    return located(t.select("id", "where", "text", "visible", F.inline(F.array_distinct(found))), False)
+
+
+def readable(blob: str) -> str:
+    """What a run of base64 says, blanks as one and at most a hundred characters of it; empty if it is not mostly readable text."""
+    body = blob.rstrip("=")
+    try:
+        text = base64.b64decode(body.translate(str.maketrans("-_", "+/")) + "=" * (-len(body) % 4), validate=True).decode()
+    except ValueError:
+        return ""
+    if ("+" in body or "/" in body) and ("-" in body or "_" in body):
+        return ""
+    if sum(c.isprintable() or c.isspace() for c in text) * 10 < 9 * len(text):
+        return ""
+    text = " ".join(text.split())
+    return reveal(text if len(text) <= 100 else text[:99] + "…")

@@ -83,6 +83,7 @@ def split_markdown(text: str) -> list[dict]:
             add("comment", m[1], line_of(m.start(1)))
         for m in re.finditer(r"(?<!`)(`+)(?!`)((?:(?!\n\n)[\s\S])+?)(?<!`)\1(?!`)", blank):
             add("code", m[2], line_of(m.start(2)), load=blank[m.start() - 1 : m.start()] == "!")
+            out[-1]["inline"] = True
         prose.clear()
 
     while at < len(lines):
@@ -119,20 +120,28 @@ def segments(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
     @F.pandas_udf(SEGMENTS)
     def split(path: pd.Series, text: pd.Series) -> pd.Series:
         whole = lambda t: [{"kind": "code", "lang": "", "text": t, "line": 1, "load_time": False}]
-        return pd.Series([split_markdown(t) if p.lower().endswith((".md", ".markdown")) else whole(t) for p, t in zip(path.fillna(""), text.fillna(""))])
+        return pd.Series([[{k: x for k, x in seg.items() if k != "inline"} for seg in split_markdown(t)] if p.lower().endswith((".md", ".markdown")) else whole(t) for p, t in zip(path.fillna(""), text.fillna(""))])
 
     text = F.col("text") if most_bytes is None else cut_bytes(F.col("text"), most_bytes)
     return spread(files).select("skill", "path", F.inline(split("path", text)))
 
 
+_DROP = dict.fromkeys([0xAD, 0x200B, *range(0x2060, 0x2065), 0xFEFF, 0x180E, *range(0xFE00, 0xFE10), *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0xE0001, 0xE007F])
+_SPELLED = {0xE0000 + c: chr(c) for c in range(0x20, 0x7F)}  # tag characters say what they smuggle
+_QUOTES = str.maketrans("\u2018\u2019\u201c\u201d", "''" + '""')
+
+
+def fold(text: str) -> str:
+    """What patterns look at: compatibility forms folded, invisible characters gone or spelled out, quotes straightened, blanks collapsed."""
+    return re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", text.translate(_DROP | _SPELLED)).translate(_QUOTES))
+
+
 def folded(text: Column) -> Column:
-    """What patterns look at: compatibility forms folded, invisible characters gone, quotes straightened, blanks collapsed."""
-    drop = dict.fromkeys([0xAD, 0x200B, *range(0x2060, 0x2065), 0xFEFF, 0x180E, *range(0xFE00, 0xFE10), *range(0x202A, 0x202F), *range(0x2066, 0x206A)])
-    quotes = str.maketrans("\u2018\u2019\u201c\u201d", "''" + '""')
+    """``fold`` of a column."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", t.translate(drop)).translate(quotes)))
+        return texts.map(lambda t: None if t is None else fold(t))
 
     return run(text)
 

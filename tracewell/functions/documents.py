@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +116,76 @@ def prepare(calls: DataFrame, most_bytes: int, patterns=None) -> DataFrame:
     args, _ = truncated(F.col("args_json"), most_bytes)
     result, cut = truncated(F.col("result_json"), most_bytes)
     return c.withColumn("result_truncated", cut).withColumns({"args_json": args, "result_json": result})
+
+
+# --- walks of JSON documents ----------------------------------------------------------------------
+
+
+def walk_strings(value, path: str):
+    """(where, text, is_key) of every string in a parsed document, keys before what they hold, members by name."""
+    todo = [(path, value)]
+    while todo:
+        where, v = todo.pop()
+        if isinstance(v, str):
+            yield where, v, False
+        elif isinstance(v, list):
+            todo += [(f"{where}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
+        elif isinstance(v, dict):
+            for k in sorted(v):
+                yield f"{where} (a key)", k, True
+            todo += [(f"{where}.{k}", v[k]) for k in sorted(v, reverse=True)]
+
+
+def json_strings(rows: DataFrame, documents: dict[str, str], keep: list[str]) -> DataFrame:
+    """A row for each string, keys too, of the JSON columns ``documents`` (column: name of its root): the columns ``keep``, where, text, is_key.
+
+    Documents of any depth and width; one that does not parse, or is null, has no strings.
+    """
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
+    names = [*keep, "where", "text", "is_key"]
+
+    def run(batches):
+        for b in batches:
+            held, at = [], []
+            for column, root in documents.items():
+                for i, doc in enumerate(b.column(column).to_pylist()):
+                    try:
+                        value = json.loads(doc) if doc else None
+                    except ValueError:
+                        continue
+                    for row in walk_strings(value, root):
+                        held.append(row)
+                        at.append(i)
+            for k in range(0, len(held), 10_000):
+                some = list(zip(*held[k : k + 10_000]))
+                kept = b.select(keep).take(pa.array(at[k : k + 10_000])).columns if keep else []
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(some[0], pa.string()), pa.array(some[1], pa.string()), pa.array(some[2], pa.bool_())], names=names)
+
+    return rows.select(*keep, *(c for c in documents if c not in keep)).mapInArrow(run, ", ".join([*fields, "where string", "text string", "is_key boolean"]))
+
+
+def flat_strings(document: Column) -> Column:
+    """All strings of a JSON document, keys too, each on a line of its own; empty for what is no document."""
+
+    @F.pandas_udf("string")
+    def run(docs: pd.Series) -> pd.Series:
+        def one(doc):
+            try:
+                return "".join(f"{text}\n" for _, text, _ in walk_strings(json.loads(doc), ""))
+            except (TypeError, ValueError):
+                return ""
+
+        return docs.map(one)
+
+    return run(document)
+
+
+def wire_result(result: Column) -> Column:
+    """struct<is_error, text> of a tool's result as it travels: its texts and embedded resources, one a line, else its structured content; null if it is no JSON object."""
+    schema = "struct<isError: boolean, content: array<struct<type: string, text: string, resource: struct<text: string>>>, structuredContent: string>"
+    r = F.from_json(result, schema)
+    said = lambda c: F.when((c["type"] == "text") & (c["text"] != ""), c["text"]).when(c["resource"]["text"] != "", c["resource"]["text"])
+    parts = F.filter(F.transform(F.coalesce(r["content"], F.array().cast("array<struct<type: string, text: string, resource: struct<text: string>>>")), said), lambda x: x.isNotNull())
+    text = F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(F.coalesce(r["structuredContent"], F.lit("")))
+    whole = F.schema_of_variant(F.try_parse_json(result)).startswith("OBJECT")
+    return F.when(whole, F.struct(F.coalesce(r["isError"], F.lit(False)).alias("is_error"), text.alias("text")))

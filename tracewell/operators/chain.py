@@ -222,24 +222,117 @@ def registry_verify(log: DataFrame, files: DataFrame) -> DataFrame:
     return moved.union(both.select(F.col("path").alias("subject"), problem.alias("problem")).where("problem IS NOT NULL"))
 
 
-def log_head(leaves: DataFrame, size: int, block: int = 1024) -> DataFrame:
-    """``leaves``: place (from 0, each once), leaf (hex) -> size, root: RFC 6962 head over the first ``size`` leaves.
+def _pieces(start: int, stop: int) -> list[tuple[int, int]]:
+    """(start, size) of the complete subtrees that make up the leaves from ``start`` to ``stop``: aligned powers of two."""
+    out = []
+    while start < stop:
+        size = start & -start if start else 1 << (stop.bit_length() - 1)
+        while size > stop - start:
+            size >>= 1
+        out.append((start, size))
+        start += size
+    return out
+
+
+def frontier(leaves: DataFrame, size: int, before: list[tuple[int, str]] = (), block: int = 1024) -> list[tuple[int, str]] | None:
+    """``leaves``: place (from 0, each once), leaf (hex) -> the heads of the complete subtrees over the first ``size`` leaves.
 
-    Each round replaces whole blocks, a power of two, by their heads, so no task holds more than a block and a log of
-    n records takes log(n) / log(block) rounds. A log that is shorter than ``size`` has no head: no row.
+    The frontier is as long as ``size`` has one bits. It is all that has to be kept of a log: ``before``, the frontier of
+    a shorter prefix, is gone on from, and only the leaves after it are hashed. Each round replaces whole blocks, a
+    power of two, by their heads, so no task holds more than a block. A log shorter than ``size`` has none.
     """
     if block & (block - 1) or block < 2:
         raise ValueError("block is a power of two")
+    known = sum(n for n, _ in before)
+    if known > size:
+        raise ValueError("the frontier gone on from is of a longer log")
+    pieces = _pieces(known, size)
 
     def run(table: pa.Table) -> pa.Table:
         nodes = sorted(zip(table.column("place").to_pylist(), table.column("leaf").to_pylist()))
-        return pa.table({"place": pa.array([nodes[0][0] // block], pa.int64()), "leaf": [merkle_root([bytes.fromhex(h) for _, h in nodes])], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
-
-    level = leaves.where(F.col("place") < size).select(F.col("place").cast("long").alias("place"), "leaf", F.lit(1).cast("long").alias("n"))
-    left = size
-    while left > 1:
-        level = level.groupBy(F.floor(F.col("place") / block).alias("_block")).applyInArrow(run, "place long, leaf string, n long")
-        left = -(-left // block)
-    if size == 0:
-        return leaves.sparkSession.createDataFrame([(0, merkle_root([]))], "size long, root string")
-    return level.where(F.col("n") == size).select(F.col("n").alias("size"), F.col("leaf").alias("root"))
+        return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int64()), "place": pa.array([nodes[0][0] // block], pa.int64()), "leaf": [merkle_root([bytes.fromhex(h) for _, h in nodes])], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
+
+    heads = {}
+    if pieces:
+        of = F.element_at(F.filter(F.lit([s for s, _ in pieces]), lambda s: s <= F.col("place")), -1).cast("long")
+        level = leaves.where((F.col("place") >= known) & (F.col("place") < size)).select(of.alias("piece"), (F.col("place") - of).cast("long").alias("place"), "leaf", F.lit(1).cast("long").alias("n"))
+        left = max(n for _, n in pieces)
+        while left > 1:
+            level = level.groupBy("piece", F.floor(F.col("place") / block).alias("_block")).applyInArrow(run, "piece long, place long, leaf string, n long")
+            left = -(-left // block)
+        heads = {r["piece"]: (r["n"], r["leaf"]) for r in level.collect()}  # a row a piece
+    stack = list(before)
+    for start, n in pieces:
+        if heads.get(start, (0, ""))[0] != n:
+            return None
+        stack.append((n, heads[start][1]))
+        while len(stack) > 1 and stack[-1][0] == stack[-2][0]:
+            n, h = stack.pop()
+            stack[-1] = (2 * n, merkle_root([bytes.fromhex(stack[-1][1]), bytes.fromhex(h)]))
+    return stack
+
+
+def frontier_root(heads: list[tuple[int, str]]) -> str:
+    """The RFC 6962 head of a frontier."""
+    if not heads:
+        return merkle_root([])
+    root = bytes.fromhex(heads[-1][1])
+    for _, left in reversed(heads[:-1]):
+        root = hashlib.sha256(b"\x01" + bytes.fromhex(left) + root).digest()
+    return root.hex()
+
+
+def log_head(leaves: DataFrame, size: int, block: int = 1024) -> DataFrame:
+    """size, root: RFC 6962 head over the first ``size`` leaves; no row if the log is shorter."""
+    heads = frontier(leaves, size, block=block)
+    rows = [] if heads is None else [(size, frontier_root(heads))]
+    return leaves.sparkSession.createDataFrame(rows, "size long, root string")
+
+
+def noted_heads(leaves: DataFrame, noted: list[tuple[int, str]], block: int = 1024) -> list[tuple[int, str, str]]:
+    """(size, root, problem) of each noted head: empty if the log still begins with the records it was taken over, else cut or rewritten.
+
+    Heads are looked at from the shortest on, each going on from the frontier of the one before: every leaf is hashed once.
+    """
+    n = leaves.agg(F.max("place")).first()[0]
+    length = 0 if n is None else n + 1
+    out, heads = [], []
+    for size, root in sorted(set(noted)):
+        if size > length:
+            out.append((size, root, "cut"))
+            continue
+        heads = frontier(leaves, size, heads, block) or []
+        out.append((size, root, "" if sum(k for k, _ in heads) == size and frontier_root(heads) == root else "rewritten"))
+    return out
+
+
+def registry_report(log: DataFrame, files: DataFrame, head: tuple[int, str] | None = None, noted: list[tuple[int, str]] = ()) -> DataFrame:
+    """``log``: place, index, path, hash, leaf; ``files``: path, hash; ``head``: what the registry says its head is -> subject, problem.
+
+    What ``registry_verify`` finds; head (not the head of the log); cut and rewritten (see ``noted_heads``).
+    """
+    leaves = log.select("place", "leaf")
+    length = (leaves.agg(F.max("place")).first()[0] if head else None) or 0
+    problems = [(str(size), problem) for size, _, problem in noted_heads(leaves, list(noted)) if problem]
+    if head and (head[0] != length + 1 or noted_heads(leaves, [head])[0][2]):
+        problems.append((str(head[0]), "head"))
+    return registry_verify(log, files).union(log.sparkSession.createDataFrame(problems, "subject string, problem string"))
+
+
+def rewrites(log: DataFrame) -> DataFrame:
+    """path, published: the paths that were published more than once, each time with other content."""
+    return registry_latest(log.select("index", "path", "hash")).where("published > 1").select("path", "published")
+
+
+def new_publications(log: DataFrame, publications: DataFrame) -> DataFrame:
+    """``publications``: n (their order), path, hash -> those that a log records: not what it last recorded for the path; with index."""
+    last = log.groupBy("path").agg(F.max_by("hash", "index").alias("_last"))
+    before = F.lag("hash").over(Window.partitionBy("path").orderBy("n"))
+    new = publications.join(last, "path", "left").withColumn("_before", F.coalesce(before, "_last")).where(~F.col("hash").eqNullSafe(F.col("_before"))).drop("_last", "_before")
+    start = log.agg(F.coalesce(F.max("index") + 1, F.lit(0))).first()[0]
+    # numbered in two steps: places in a block of publications, and what the blocks before it hold
+    block = F.floor(F.col("n") / 65_536)
+    counts = new.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    ahead = counts.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy(block).orderBy("n")) - 1
+    return new.withColumn("_own", own).join(F.broadcast(ahead), block == F.col("_block")).withColumn("index", (F.lit(start) + F.col("_ahead") + F.col("_own")).cast("long")).drop("_own", "_ahead", "_block")

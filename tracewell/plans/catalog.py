@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detect_queries, flow_queries, log_queries, policy_queries
+from . import detect_queries, flow_queries, log_queries, policy_queries, text_queries
 
-MODULES = (log_queries, policy_queries, detect_queries, flow_queries)
+MODULES = (log_queries, policy_queries, detect_queries, flow_queries, text_queries)
 
 
 def queries() -> dict:

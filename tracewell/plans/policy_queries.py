@@ -126,6 +126,28 @@ UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey IN (SELECT o_cu
 WHERE c_custkey NOT IN (SELECT o_custkey FROM logged) OR c_custkey % 7 = 1"""
 
 
+SIZES = (1, 2, 3, 700, 1024, 1500)
+
+
+def registry_heads(spark, d):
+    """Heads over the first records of a log whose lines are the orders, each frontier going on from the one before."""
+    line = F.format_string('{"index":%s,"path":"p%s","hash":"%s"}', F.col("o_orderkey") - 1, "o_custkey", "o_orderstatus")
+    leaves = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") - 1).alias("place"), F.sha2(F.concat(F.lit(b"\x00"), line.cast("binary")), 256).alias("leaf"))
+    heads, out = [], []
+    for size in SIZES:
+        heads = chain.frontier(leaves, size, heads, 64)
+        out.append((size, chain.frontier_root(heads)))
+    return spark.createDataFrame(out, "size long, root string")
+
+
+QUERIES["registry_heads"] = registry_heads
+ORACLES["registry_heads"] = f"""WITH RECURSIVE leaves AS (SELECT o_orderkey - 1 AS place, sha256(unhex('00') || encode('{{"index":' || (o_orderkey - 1) || ',"path":"p' || o_custkey || '","hash":"' || o_orderstatus || '"}}')) AS leaf FROM orders),
+up AS (SELECT size, place, leaf, size AS n FROM leaves, (SELECT unnest({list(SIZES)}) AS size) WHERE place < size
+UNION ALL SELECT size, place // 2, CASE WHEN place + 1 < n THEN sha256(unhex('01') || unhex(leaf) || unhex(right_leaf)) ELSE leaf END, (n + 1) // 2
+FROM (SELECT *, lead(leaf) OVER (PARTITION BY size ORDER BY place) AS right_leaf FROM up WHERE n > 1) WHERE place % 2 = 0)
+SELECT CAST(size AS BIGINT) AS size, leaf AS root FROM up WHERE n = 1"""
+
+
 def definition_hashes(spark, d):
     """A part is a tool, written with blanks, keys out of order and members that say nothing."""
     written = F.format_string('{ "title": "", "inputSchema": {"type":"object", "required":[%s]},  "name": "%s", "arguments": [], "annotations": {}, "vendor": 1, "description": "%s" }', F.col("p_size"), F.col("p_name"), F.col("p_type"))

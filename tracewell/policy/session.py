@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regexes import compiled
+from ..operators.alignment import align
 from . import columns
 from .model import REASONS, Condition, Policy
 
@@ -149,54 +150,14 @@ def replay_counts(replayed: DataFrame) -> DataFrame:
     return replayed.agg(n(F.col("action") == "allow", "allowed"), n(F.col("action") != "allow", "not_allowed"), n(F.col("changed"), "changed"))
 
 
-def align(a: list, b: list, prefer_first: bool = True) -> list[tuple[int | None, int | None]]:
-    """Longest common subsequence of two lists as pairs of places; ties advance ``a`` first (or ``b``).
-
-    Common ends are matched off first; the table holds one byte a cell.
-    """
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    below = [0] * (len(y) + 1)
-    moves = []
-    for i in range(len(x) - 1, -1, -1):
-        row, move = [0] * (len(y) + 1), bytearray(len(y))
-        for j in range(len(y) - 1, -1, -1):
-            if x[i] == y[j]:
-                row[j], move[j] = below[j + 1] + 1, 0
-            elif below[j] > row[j + 1] or (below[j] == row[j + 1] and prefer_first):
-                row[j], move[j] = below[j], 1
-            else:
-                row[j], move[j] = row[j + 1], 2
-        below = row
-        moves.append(move)
-    moves.reverse()
-    out = [(i, i) for i in range(lo)]
-    i = j = 0
-    while i < len(x) and j < len(y):
-        m = moves[i][j]
-        if m == 0:
-            out.append((lo + i, lo + j))
-        elif m == 1:
-            out.append((lo + i, None))
-        else:
-            out.append((None, lo + j))
-        i, j = i + (m != 2), j + (m != 1)
-    out += [(lo + k, None) for k in range(i, len(x))] + [(None, lo + k) for k in range(j, len(y))]
-    return out + [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
-
-
 DIFFED = "pair string, position int, status string, a_id string, b_id string, tool string"
 
 
 def diff(calls: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs``: pair, a, b (session ids) -> their calls aligned on tool names.
 
-    status: same, decision, args, result (what differs first), only-a, only-b.
+    status: same, decision, args, result (what differs first), only-a, only-b. Of a pair the calls' few columns and
+    ``align``'s rows are held, not a table of their product.
     """
     c = calls.select("session_id", "ts_ms", "id", "tool", "args_hash", "decision", *([F.col("result_hash")] if "result_hash" in calls.columns else [F.lit("").alias("result_hash")]))
     sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("session_id")), F.struct(F.lit("b").alias("side"), F.col("b").alias("session_id")))).alias("s")).select("pair", "s.*")

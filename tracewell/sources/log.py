@@ -6,7 +6,9 @@ defaults, so logs of any version are read alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,3 +113,34 @@ def spans(calls: DataFrame, prefix: str = "tracewell") -> DataFrame:
     blocked = (F.col("decision") == "deny") & ~F.col("shadow")
     status = F.when(blocked, "denied").when(F.col("is_error"), "error").otherwise("ok")
     return calls.select(trace.alias("trace_id"), span.alias("span_id"), F.col("tool").alias("name"), (F.col("ts_ms") * 1000000).alias("start_ns"), ((F.col("ts_ms") + F.col("duration_ms")) * 1000000).alias("end_ns"), status.alias("status"))
+
+
+REGISTRY_RECORD = "struct<index: bigint, path: string, server: string, version: string, hash: string, at: string>"
+
+
+def registry_log(spark: SparkSession, path: str) -> DataFrame:
+    """A registry's log, a JSON record a line -> place (from 0), index, path, server, version, hash, at, leaf.
+
+    The leaf is the hash of the line's very bytes, as RFC 6962 hashes leaves, so a record written in other words is another
+    one. Blank lines are none; a line that is no record has nulls, and its leaf. Lines are numbered in the order of the
+    file however Spark splits it: by block of the file, then by their place in it. A file that isn't there is an empty log.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    value = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    lines = lines.withColumn("value", value).where(F.octet_length(F.btrim("value", F.lit(" \t\r\x0b\x0c"))) > 0)
+    order = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("ahead"))  # a row a block
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("row")) - 1
+    placed = lines.withColumn("own", own).join(F.broadcast(ahead), ["file", "block"])
+    r = F.from_json("value", REGISTRY_RECORD)
+    leaf = F.sha2(F.concat(F.lit(b"\x00"), F.col("value").cast("binary")), 256)
+    return placed.select((F.col("ahead") + F.col("own")).cast("long").alias("place"), *(r[c].alias(c) for c in ("index", "path", "server", "version", "hash", "at")), leaf.alias("leaf"))
+
+
+def tree_head(text: str) -> tuple[int, str]:
+    """(size, root) of a noted head, written size:root, the root with or without its sha256 mark."""
+    size, _, root = text.strip().partition(":")
+    root = re.sub(r"^sha256:?", "", root.strip())
+    if not size.isdigit() or not re.fullmatch(r"[0-9a-f]{64}", root):
+        raise ValueError(f"not a head: {text!r}")
+    return int(size), root
