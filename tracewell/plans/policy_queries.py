@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..operators import chain, decisions
-from ..policy import columns, model, probes, session
+from ..policy import cases, columns, model, probes, session
 from ..sources import adapters
 from ..sources.adapters import with_adapters
 
@@ -130,19 +130,19 @@ SIZES = (1, 2, 3, 700, 1024, 1500)
 
 
 def registry_heads(spark, d):
-    """Heads over the first records of a log whose lines are the orders, each frontier going on from the one before."""
-    line = F.format_string('{"index":%s,"path":"p%s","hash":"%s"}', F.col("o_orderkey") - 1, "o_custkey", "o_orderstatus")
-    leaves = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") - 1).alias("place"), F.sha2(F.concat(F.lit(b"\x00"), line.cast("binary")), 256).alias("leaf"))
+    """Heads over the first records of a log whose lines are the orders, and over all, each frontier going on from the one before."""
+    line = F.format_string('{"index":%s,"path":"p%s","hash":"%s"}', "o_orderkey", "o_custkey", "o_orderstatus")
+    leaves = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("place"), F.sha2(F.concat(F.lit(b"\x00"), line.cast("binary")), 256).alias("leaf"))
     heads, out = [], []
-    for size in SIZES:
-        heads = chain.frontier(leaves, size, heads, 64)
+    for size in sorted({*SIZES, leaves.count()}):
+        heads = chain.frontier(leaves, size, heads)
         out.append((size, chain.frontier_root(heads)))
     return spark.createDataFrame(out, "size long, root string")
 
 
 QUERIES["registry_heads"] = registry_heads
-ORACLES["registry_heads"] = f"""WITH RECURSIVE leaves AS (SELECT o_orderkey - 1 AS place, sha256(unhex('00') || encode('{{"index":' || (o_orderkey - 1) || ',"path":"p' || o_custkey || '","hash":"' || o_orderstatus || '"}}')) AS leaf FROM orders),
-up AS (SELECT size, place, leaf, size AS n FROM leaves, (SELECT unnest({list(SIZES)}) AS size) WHERE place < size
+ORACLES["registry_heads"] = f"""WITH RECURSIVE leaves AS (SELECT o_orderkey AS place, sha256(unhex('00') || encode('{{"index":' || o_orderkey || ',"path":"p' || o_custkey || '","hash":"' || o_orderstatus || '"}}')) AS leaf FROM orders),
+up AS (SELECT size, place, leaf, size AS n FROM leaves, (SELECT DISTINCT unnest(list_append({list(SIZES)}, (SELECT count(*) FROM orders))) AS size) WHERE place < size
 UNION ALL SELECT size, place // 2, CASE WHEN place + 1 < n THEN sha256(unhex('01') || unhex(leaf) || unhex(right_leaf)) ELSE leaf END, (n + 1) // 2
 FROM (SELECT *, lead(leaf) OVER (PARTITION BY size ORDER BY place) AS right_leaf FROM up WHERE n > 1) WHERE place % 2 = 0)
 SELECT CAST(size AS BIGINT) AS size, leaf AS root FROM up WHERE n = 1"""
@@ -199,8 +199,17 @@ row_number() OVER (PARTITION BY event_id // 3 ORDER BY event_type = 'view' DESC,
 CASE rule_id WHEN '' THEN 'allow' WHEN 'ask-range' THEN 'ask' WHEN 'late' THEN 'ask' ELSE 'deny' END AS action FROM (SELECT id, seq, {FIRST} AS rule_id FROM calls))""")
 def policy_cases(c):
     """Every call is a case; what they expect is made up, so some pass and some fail."""
-    cases = c.drop("rule_id").withColumns({"case": F.col("id"), "expect": F.when(F.col("seq") % 2 == 0, "allow").otherwise("deny"), "expect_rule": F.when(F.col("seq") % 5 == 0, "exact")})
-    return probes.check_cases(cases, STATELESS)
+    each = c.drop("rule_id").withColumns({"case": F.col("id"), "expect": F.when(F.col("seq") % 2 == 0, "allow").otherwise("deny"), "expect_rule": F.when(F.col("seq") % 5 == 0, "exact")})
+    return probes.check_cases(each, STATELESS)
+
+
+@query(f"""SELECT id, session_id AS "case", action, rule_id, CAST(CASE WHEN action <> decision THEN 1 WHEN recorded <> '' AND recorded <> rule_id THEN 1 ELSE 0 END AS INTEGER) AS problems FROM
+(SELECT id, 'session ' || session_id AS session_id, decision, rule_id AS recorded, CASE first WHEN '' THEN 'allow' WHEN 'ask-range' THEN 'ask' WHEN 'late' THEN 'ask' ELSE 'deny' END AS action, first AS rule_id
+FROM (SELECT *, {FIRST} AS first FROM calls WHERE rule_id NOT IN ('honeypot', 'canary', 'quarantine', 'frozen')))""")
+def recorded_cases(c):
+    """Every recorded session as a case of a policy that did not make its decisions."""
+    played, expected = cases.recorded(c)
+    return cases.run_cases(played, expected, STATELESS).select("id", "case", "action", "rule_id", F.size("problems").alias("problems"))
 
 
 SPELLED = model.load({

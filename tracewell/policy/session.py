@@ -107,15 +107,15 @@ def replay(calls: DataFrame, p: Policy) -> DataFrame:
     """Recorded calls (id, session_id, ts_ms, tool, upstream, tool_name, args_json, args_hash, tokens_est, decision, ...) under a policy.
 
     A call goes through if it is allowed, or asked for and was allowed then; only
-    those change the state. ``labels`` are the session's after the call. Spending
+    those change the state. ``labels`` are the session's after the call; a session begins with the ``initial_labels`` of its first call. Spending
     is not simulated.
     """
     c = columns.prepared(calls)
     static = lambda e: columns.matches(type(e)(**{**e.__dict__, "when": [x for x in e.when if not is_stateful(x)]}))
     rules = F.array(*[static(r) for r in p.rules]) if p.rules else F.array().cast("array<boolean>")
     labels = F.array(*[static(x) for x in p.labels]) if p.labels else F.array().cast("array<boolean>")
-    rows = c.select("id", "session_id", "ts_ms", "tool", F.concat_ws(".", "upstream", "tool_name").alias("dotted"), F.concat_ws("\x00", "tool", "args_hash").alias("sig"), "tokens_est", "decision", F.coalesce("frozen", F.lit(False)).alias("frozen"), rules.alias("rules"), labels.alias("label_rules"))
-    if not needs_fold(p):
+    rows = c.select("id", "session_id", "ts_ms", "tool", F.concat_ws(".", "upstream", "tool_name").alias("dotted"), F.concat_ws("\x00", "tool", "args_hash").alias("sig"), "tokens_est", "decision", F.coalesce("frozen", F.lit(False)).alias("frozen"), rules.alias("rules"), labels.alias("label_rules"), (F.col("initial_labels") if "initial_labels" in calls.columns else F.lit(None).cast("array<string>")).alias("initial"))
+    if not needs_fold(p) and "initial_labels" not in calls.columns:
         out = columns.evaluate(calls, p)
         v = F.col("verdict")
         none = F.array().cast("array<string>")
@@ -129,6 +129,7 @@ def replay(calls: DataFrame, p: Policy) -> DataFrame:
             for r in b.to_pylist():
                 if r["session_id"] != key:
                     key, s = r["session_id"], Session()
+                    s.labels.update(r["initial"] or ())
                 both = [r["tool"]] + ([r["dotted"]] if r["dotted"] != r["tool"] else [])
                 repeats = s.observe(r["sig"], r["ts_ms"])
                 action, rule, reason = decide(p, s, r["tool"], both, repeats, r["rules"], r["frozen"])
