@@ -98,7 +98,7 @@ def test_repair_round_trip(spark, tmp_path):
     assert blocks.count() > 5
     got = repair.documents(blocks, with_ids=True).collect()
     encode = text_tokenizer(path)
-    ids = lambda t: [*np.frombuffer(encode(pa.array([t], pa.string()))[0], "<u4").tolist(), 1]
+    ids = lambda t: [*np.frombuffer(next(encode(pa.array([t], pa.string()))), "<u4").tolist(), 1]
     want = collections.Counter((d, tuple(ids(t))) for d, t in rows)
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
     got.sort(key=lambda r: r["start"])

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ def _process_cache(name: str) -> dict:
 
 
 def text_tokenizer(path: str):
-    """pa.Array of texts -> the little-endian uint32 ids of each, remembering the ids of words.
+    """pa.Array of texts -> the little-endian uint32 ids of each, in turn, remembering the ids of words.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's
     ids are those of its words in turn; texts that may hold a special token's
@@ -153,19 +154,19 @@ def text_tokenizer(path: str):
         cut = (4 * np.concatenate(([0], ends))[of]).tolist()
         return [out[a:b] for a, b in zip(cut, cut[1:])]
 
-    def encode(texts: pa.Array) -> list[bytes]:
-        texts = texts.cast(pa.large_string())
-        marked = pc.fill_null(pc.match_substring(texts, "<|"), False)
-        words = pc.if_else(marked, pa.scalar("", pa.large_string()), pc.fill_null(texts, ""))
-        sizes = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))
-        out, lo = [], 0
-        while lo < len(words):  # slices of some bytes, one text at least
+    def encode(texts: pa.Array) -> Iterator[bytes]:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < len(texts):  # slices of some bytes, one text at least
             hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
-            out += some(words[lo:hi])
+            part = pc.fill_null(texts[lo:hi].cast(pa.large_string()), "")
+            marked = pc.match_substring(part, "<|").to_numpy(zero_copy_only=False)
+            if marked.any():
+                plain_ = some(pc.if_else(pa.array(marked), pa.scalar("", pa.large_string()), part))
+                yield from (array("I", tok.encode(part[i].as_py(), add_special_tokens=False).ids).tobytes() if m else ids for i, (m, ids) in enumerate(zip(marked, plain_)))
+            else:
+                yield from some(part)
             lo = hi
-        for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
-            out[i] = array("I", tok.encode(texts[i].as_py(), add_special_tokens=False).ids).tobytes()
-        return out
 
     return encode
 
