@@ -82,12 +82,13 @@ def test_recorded_sessions_are_cases(spark):
     done = session.replay(calls, POLICY).select("id", F.col("action").alias("_a"), F.col("rule_id").alias("_r"))
     log = calls.join(done, "id").withColumns({"decision": F.col("_a"), "rule_id": F.col("_r")}).drop("_a", "_r")
     log = log.withColumn("rule_id", F.when(F.col("tool") == "x__y", "canary").otherwise(F.col("rule_id")))
+    log = log.withColumn("labels", F.when(F.col("tool") == "web__fetch", F.array(F.lit("untrusted"))).otherwise(F.array().cast("array<string>")))
     played, expected = cases.recorded(log)
     assert expected.count() == log.count() - 1
     assert cases.run_cases(played, expected, POLICY).where("size(problems) > 0").count() == 0
     changed = model.load({"rules": [{"id": "merge", "tool": "github.*", "action": "deny"}], "loop_guard": {"repeats": 10}})
     failed = {r["id"] for r in cases.run_cases(played, expected, changed).where("size(problems) > 0").collect()}
-    want = {r["id"] for r in log.where("rule_id NOT IN ('', 'loop-guard', 'canary')").collect()}
+    want = {r["id"] for r in log.where("rule_id NOT IN ('', 'loop-guard', 'canary') OR size(labels) > 0").collect()}
     assert failed == want
     docs = [json.loads(r["test"]) for r in cases.documents(played, expected).collect()]
     story = next(d for d in docs if d["name"] == "session 000012")
