@@ -168,6 +168,13 @@ def retain_sessions(sessions: DataFrame, kept_calls: DataFrame, cut_ms: int) ->
     return sessions.join(old.select("id"), "id", "left_anti")
 
 
+def retain_catalogs(catalogs: DataFrame, kept_sessions: DataFrame, kept_calls: DataFrame, cut_ms: int) -> DataFrame:
+    """Catalogs that are recent or that a session or call that stays was made under."""
+    used = kept_sessions.select(F.col("catalog_hash").alias("hash")).union(kept_calls.select("catalog_hash")).where("hash IS NOT NULL").distinct()
+    old = catalogs.where(F.col("created_ms") < cut_ms).join(used, "hash", "left_anti")
+    return catalogs.join(old.select("hash"), "hash", "left_anti")
+
+
 def orphan_calls(calls: DataFrame, sessions: DataFrame) -> DataFrame:
     return calls.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_anti")
 

@@ -54,37 +54,48 @@ def called_so_far(calls: DataFrame) -> DataFrame:
     return calls.select("id", F.array_join(F.array_sort(F.collect_set("tool").over(before)), ",").alias("called"))
 
 
-def shared_labels(calls: DataFrame, within_ms: int = 30 * 60_000) -> DataFrame:
+def shared_labels(calls: DataFrame, within_ms: int = 30 * 60_000, slices: int = 30) -> DataFrame:
     """Labels other sessions earned in the ``within_ms`` before each call.
 
-    Another session earned a label in the window if its smallest or its largest session is not the call's own. These two come
-    from range windows by label and bucket of the window's length; earnings stand in their bucket and the next, so a call
-    asks one bucket of each label, whatever the traffic, and no pairs are made.
+    Another session earned a label in the time if its smallest or its largest session there is not the call's own. Time is
+    cut into ``slices`` buckets a window: whole buckets inside a call's window are known by their two sessions, and only in
+    the two buckets where the window begins and ends calls and earnings are put in order. So a task orders one label's
+    traffic of a bucket, a minute here, and no pairs are made.
     """
-    bucket = lambda c: F.floor(c / within_ms).cast("long")
-    earned = calls.select("session_id", "ts_ms", F.explode("labels").alias("label")).groupBy("ts_ms", "label").agg(F.min("session_id").alias("low"), F.max("session_id").alias("high"))
-    earned = earned.select("ts_ms", "label", "low", "high", F.explode(F.array(bucket(F.col("ts_ms")), bucket(F.col("ts_ms")) + 1)).alias("b"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("session_id"))
-    names = earned.select("b", "label").distinct()
-    asked = calls.select("id", "session_id", "ts_ms", bucket(F.col("ts_ms")).alias("b")).join(names, "b")
-    asked = asked.select("ts_ms", "label", F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"), "b", "id", "session_id")
-    w = Window.partitionBy("label", "b").orderBy("ts_ms").rangeBetween(-within_ms, -1)
-    both = earned.unionByName(asked).withColumn("first", F.min("low").over(w)).withColumn("last", F.max("high").over(w))
-    hits = both.where("id IS NOT NULL AND (first <> session_id OR last <> session_id)")
+    slices = slices if within_ms % slices == 0 else 1
+    g = within_ms // slices
+    bucket, text = F.floor(F.col("ts_ms") / g).cast("long").alias("b"), F.lit(None).cast("string")
+    earned = calls.select("session_id", "ts_ms", F.explode("labels").alias("label")).groupBy("ts_ms", "label").agg(F.min("session_id").alias("low"), F.max("session_id").alias("high")).select("*", bucket)
+    asked = calls.select("id", "session_id", "ts_ms", bucket)  # the window begins in bucket b - slices and ends in b
+    # whole buckets between: of each label and bucket, however many calls ask
+    whole = earned.groupBy("label", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    seen = whole.select("label", F.explode(F.sequence(F.col("b") + 1, F.col("b") + slices - 1)).alias("b"), "low", "high") if slices > 1 else whole.where("false")
+    seen = seen.groupBy("label", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    inner = asked.join(seen, "b").select("id", "session_id", "label", "low", "high")
+    # the ends: a call is put in order among what was earned in either bucket
+    probe = lambda at, b, ends: asked.select("id", "session_id", at.alias("at"), b.alias("b"), F.lit(ends).alias("ends"))
+    probes = probe(F.col("ts_ms"), F.col("b"), True).unionByName(probe(F.col("ts_ms") - within_ms, F.col("b") - slices, False)).join(whole.select("label", "b"), "b")
+    rows = earned.select("label", "b", F.col("ts_ms").alias("at"), "low", "high", text.alias("id"), text.alias("session_id"), F.lit(None).cast("boolean").alias("ends"))
+    both = rows.unionByName(probes.select("label", "b", "at", text.alias("low"), text.alias("high"), "id", "session_id", "ends"))
+    w = Window.partitionBy("label", "b").orderBy("at")
+    before, after = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(0, Window.unboundedFollowing)
+    pick = lambda f, c: F.when(F.col("ends"), f(c).over(before)).otherwise(f(c).over(after))
+    part = both.select("id", "session_id", "label", pick(F.min, "low").alias("low"), pick(F.max, "high").alias("high")).where("id IS NOT NULL")
+    hits = part.unionByName(inner).where("low <> session_id OR high <> session_id")
     return hits.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
 
 
-def daily_ledger(calls: DataFrame, amount) -> DataFrame:
+def daily_ledger(calls: DataFrame, amount, bucket_ms: int = 60_000) -> DataFrame:
     """Spent since midnight over all sessions, with each forwarded call.
 
-    Calls of an hour are summed in order by one task; the hours before it that day come from their totals.
+    Calls of a minute are summed in order by one task; the minutes before it that day come from their totals.
     """
-    hour = F.floor(F.col("ts_ms") / 3_600_000).cast("long")
-    c = calls.where(went_through()).select("id", hour.alias("hour"), "ts_ms", amount.alias("amount"))
-    totals = c.groupBy("hour").agg(F.sum("amount").alias("amount"))
-    earlier = Window.partitionBy(F.floor(F.col("hour") / 24)).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("hour", F.coalesce(F.sum("amount").over(earlier), F.lit(0.0)).alias("before"))
-    w = Window.partitionBy("hour").orderBy("ts_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("inside", F.sum("amount").over(w)).join(totals, "hour").select("id", F.round(F.col("before") + F.col("inside"), 6).alias("spent"))
+    c = calls.where(went_through()).select("id", F.floor(F.col("ts_ms") / bucket_ms).cast("long").alias("bucket"), F.floor(F.col("ts_ms") / 86_400_000).cast("long").alias("day"), "ts_ms", amount.alias("amount"))
+    totals = c.groupBy("day", "bucket").agg(F.sum("amount").alias("amount"))
+    earlier = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a minute
+    totals = totals.select("day", "bucket", F.coalesce(F.sum("amount").over(earlier), F.lit(0.0)).alias("before"))
+    w = Window.partitionBy("day", "bucket").orderBy("ts_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return c.withColumn("inside", F.sum("amount").over(w)).join(totals, ["day", "bucket"]).select("id", F.round(F.col("before") + F.col("inside"), 6).alias("spent"))
 
 
 def mock_answers(recorded: DataFrame, requests: DataFrame) -> DataFrame:

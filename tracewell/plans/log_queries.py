@@ -137,6 +137,15 @@ def retention_anchor(c, s):
     return audit.retention_last(c, CUT)
 
 
+@query(f"""SELECT hash, created_ms FROM (SELECT 'c' || ts_ms // 86400000 AS hash, min(ts_ms) AS created_ms FROM calls GROUP BY 1) WHERE NOT (created_ms < {CUT}
+AND hash NOT IN (SELECT 'c' || ts_ms // 86400000 FROM calls WHERE NOT seq <= {LAST}) AND hash NOT IN (SELECT 'c' || started_ms // 86400000 FROM sessions WHERE id IN ('u3', 'u5', 'u8')))""")
+def retention_catalogs(c, s):
+    """A catalog a day; a few sessions and all calls that stay were made under theirs."""
+    day = lambda t: F.concat(F.lit("c"), F.floor(F.col(t) / 86_400_000).cast("string")).alias("catalog_hash")
+    kept = s.where("id IN ('u3', 'u5', 'u8')").select(day("started_ms"))
+    return audit.retain_catalogs(_catalogs(c), kept, audit.retain_calls(c, CUT).select(day("ts_ms")), CUT).select("hash", "created_ms")
+
+
 @query("SELECT c.id, c.session_id FROM calls c WHERE c.session_id NOT IN (SELECT id FROM sessions WHERE host_name <> 'BUILDING')")
 def orphan_calls(c, s):
     return audit.orphan_calls(c, s.where("host_name <> 'BUILDING'")).select("id", "session_id")
@@ -264,11 +273,16 @@ def behavior_profile(c, s):
     return p.withColumn("arg_keys", F.array_join("arg_keys", ",")).withColumn("labels", F.array_join("labels", ","))
 
 
-@query(f"""WITH p AS ({PROFILE}) SELECT c.id, 'result-size' AS kind, CAST(c.result_bytes AS VARCHAR) AS detail FROM calls c JOIN p USING (tool)
+@query(f"""WITH p AS ({PROFILE}), l AS (SELECT DISTINCT tool, unnest(labels) AS label FROM calls WHERE {FWD} AND ts_ms < {CUT}) SELECT c.id, 'new-argument' AS kind, 'extra' AS detail FROM calls c JOIN p USING (tool) WHERE c.ts_ms >= {CUT} AND p.calls >= 20 AND c.seq % 50 = 0
+UNION ALL SELECT c.id, 'new-label', label FROM (SELECT id, tool, unnest(list_concat(labels, CASE WHEN seq % 70 = 0 THEN ['odd'] ELSE [] END)) AS label FROM calls WHERE ts_ms >= {CUT}) c JOIN p USING (tool) WHERE p.calls >= 20 AND NOT EXISTS (SELECT 1 FROM l WHERE l.tool = c.tool AND l.label = c.label)
+UNION ALL SELECT c.id, 'result-size' AS kind, CAST(c.result_bytes AS VARCHAR) AS detail FROM calls c JOIN p USING (tool)
 WHERE c.ts_ms >= {CUT} AND p.calls >= 20 AND c.result_bytes > greatest(1.5 * greatest(p.result_bytes_p95, 1), 4096, p.result_bytes_max)
 UNION ALL SELECT c.id, 'slow', CAST(c.duration_ms AS VARCHAR) FROM calls c JOIN p USING (tool) WHERE c.ts_ms >= {CUT} AND p.calls >= 20 AND c.duration_ms > greatest(1.5 * greatest(p.duration_ms_p95, 1), 2000)""")
 def behavior_anomalies(c, s):
-    return behavior.anomalies(c.where(F.col("ts_ms") >= CUT), behavior.profile(c.where(F.col("ts_ms") < CUT)), factor=1.5)
+    """Later calls, of which every fiftieth has an argument more and every seventieth a label more, against the profile of earlier ones."""
+    late = c.where(F.col("ts_ms") >= CUT).withColumn("args_json", F.when(F.col("seq") % 50 == 0, F.regexp_replace("args_json", r"\}$", ',"extra":1}')).otherwise(F.col("args_json")))
+    late = late.withColumn("labels", F.when(F.col("seq") % 70 == 0, F.array_append("labels", F.lit("odd"))).otherwise(F.col("labels")))
+    return behavior.anomalies(late, behavior.profile(c.where(F.col("ts_ms") < CUT)), factor=1.5)
 
 
 # --- the chain: a call's JSON text, links built by recursion, a verifier over neighbours -----------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..operators import chain, decisions
-from ..policy import cases, columns, model, probes, session
+from ..policy import cases, columns, model, offers, probes, session
 from ..sources import adapters
 from ..sources.adapters import with_adapters
 
@@ -148,6 +148,20 @@ FROM (SELECT *, lead(leaf) OVER (PARTITION BY size ORDER BY place) AS right_leaf
 SELECT CAST(size AS BIGINT) AS size, leaf AS root FROM up WHERE n = 1"""
 
 
+OFFERS = {"m1": ["Brand#1*", "Brand#2?", "!Brand#13", "!*25"], "m2": ["!Brand#4*"], "m3": ["Brand#99"]}
+
+
+def offered_tools(spark, d):
+    """Parts are tools: of each maker's brands which are offered."""
+    t = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("m"), (F.col("p_partkey") % 5).cast("string")).alias("upstream"), F.col("p_brand").alias("tool_name"))
+    return t.where(offers.offered(OFFERS)).select("p_partkey", "upstream", "tool_name")
+
+
+QUERIES["offered_tools"] = offered_tools
+ORACLES["offered_tools"] = """SELECT p_partkey, 'm' || p_partkey % 5 AS upstream, p_brand AS tool_name FROM part WHERE CASE p_partkey % 5 WHEN 1 THEN (p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#2_') AND p_brand <> 'Brand#13' AND p_brand NOT LIKE '%25'
+WHEN 2 THEN p_brand NOT LIKE 'Brand#4%' WHEN 3 THEN p_brand = 'Brand#99' ELSE true END"""
+
+
 def definition_hashes(spark, d):
     """A part is a tool, written with blanks, keys out of order and members that say nothing."""
     written = F.format_string('{ "title": "", "inputSchema": {"type":"object", "required":[%s]},  "name": "%s", "arguments": [], "annotations": {}, "vendor": 1, "description": "%s" }', F.col("p_size"), F.col("p_name"), F.col("p_type"))

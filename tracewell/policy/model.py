@@ -76,6 +76,7 @@ class Policy:
     calls_per_tool: dict[str, int] = field(default_factory=dict)
     repeats: int = 0
     money: dict = field(default_factory=dict)
+    packs: list[str] = field(default_factory=list)
 
 
 def conditions(when, errors: list[str], where: str) -> list[Condition]:
@@ -181,6 +182,7 @@ def load(spec: dict) -> Policy:
         rules, labels = expand_pack(entry, errors)
         p.rules += rules
         p.labels += labels
+        p.packs.append(entry if isinstance(entry, str) else entry.get("name"))
     seen = set()
     for r in p.rules:
         if r.id in seen:
@@ -212,8 +214,8 @@ def load_yaml(text: str) -> Policy:
     return load(spec.get("policy", spec))
 
 
-def lint(p: Policy, tools: list[str] | None = None) -> list[tuple[str, str, str]]:
-    """(severity, check, rule) of what is legal but likely a mistake; warnings first."""
+def lint(p: Policy, tools: list[str] | None = None, approvals: str = "") -> list[tuple[str, str, str]]:
+    """(severity, check, rule) of what is legal but likely a mistake; warnings first. ``approvals``: how asks are answered (deny: never)."""
     out = []
     covers_all = lambda r: r.tool in ("", "*") and not r.when
     labels = {x.label for x in p.labels} | set(OWN_LABELS)
@@ -222,6 +224,8 @@ def lint(p: Policy, tools: list[str] | None = None) -> list[tuple[str, str, str]
         if blocked:
             out.append(("warn", "unreachable", r.id))
         blocked = blocked or covers_all(r)
+        if covers_all(r) and p.packs and not any(r.id.startswith(f"{name}/") for name in p.packs):
+            out.append(("warn", "packs-unreachable", r.id))
         if tools is not None and r.tool and not any(name_matches(r.tool, t) or name_matches(r.tool, t.replace("__", ".", 1)) for t in tools):
             out.append(("warn", "unknown-tool", r.id))
         for c in r.when:
@@ -241,5 +245,18 @@ def lint(p: Policy, tools: list[str] | None = None) -> list[tuple[str, str, str]
                 out.append(("warn", "not-equals-on-a-list", r.id))
     if p.default == "allow" and not any(r.action != "allow" for r in p.rules) and not (p.calls_per_session or p.calls_per_minute or p.tokens_per_session or p.calls_per_tool or p.money):
         out.append(("info", "nothing-blocks", ""))
+    if approvals == "deny" and any(r.action == "ask" for r in p.rules):
+        out.append(("warn", "ask-without-approvals", ""))
+    if p.mode == "shadow":
+        out.append(("info", "shadow", ""))
     return sorted(out, key=lambda x: x[0] != "warn")
 
+
+
+def summary(p: Policy) -> str:
+    """What a policy is made of, in a line."""
+    n = {a: sum(r.action == a for r in p.rules) for a in ACTIONS}
+    said = [f"default {p.default}", f"{len(p.rules)} rules ({n['allow']} allow, {n['deny']} deny, {n['ask']} ask)"]
+    said += [f"{len(p.labels)} labels"] if p.labels else []
+    said += [f"packs {', '.join(p.packs)}"] if p.packs else []
+    return ", ".join(said + (["shadow mode"] if p.mode == "shadow" else []))
