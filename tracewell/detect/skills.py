@@ -159,10 +159,18 @@ RAW_RULES = [
     ("base64-blob", "medium", ("prose", "code", "comment"), r"[A-Za-z0-9+/]{120,}={0,2}|[A-Za-z0-9_-]{160,}"),
     ("hex-blob", "medium", ("prose", "code", "comment"), r"\b[0-9a-fA-F]{200,}\b|(?:\\x[0-9a-fA-F]{2}){12,}|(?:0x[0-9a-fA-F]{2},\s*){16,}"),
     ("raw-ip-url", "medium", ("prose", "code", "comment"), r"(?i)https?://(?:[^\s/@]*@)?(?!127\.|0\.0\.0\.0)(?:\d{1,3}\.){3}\d{1,3}(?![\w.])"),
-    ("conditional-trigger", "high", ("prose",), r"(?i)\b(?:if|when(?:ever)?|as soon as|once)\b[^.!?\n]{0,150}\b(?:asks?|mentions?|says?|requests?|talks? about|wants?)\b[^.!?\n]{0,150}\b(?:also|quietly|silently|secretly|without (?:telling|asking|mentioning))\b[^.!?\n]{0,100}\b(?:send|include|add|copy|upload|post|forward|run|append|read)\b"),
 ]
 
 
+# What opens an instruction for when somebody brings something up, and what makes it one that waits for its moment;
+# both stand in one sentence, at most so many characters after the opening.
+CONDITION = r"(?i)\b(if|when|whenever|once|should)\s+(the\s+|a\s+)?(user|someone|anyone|they|human|person|developer)\s+(ever\s+)?(asks?|mentions?|says?|requests?|types?|brings?\s+up|talks?\s+about|is\s+asking|wants?|writes?)\b"
+COVERT = r"(?i)\b(secretly|silently|quietly|covertly|discreetly|instead|pretend|lie|ignore|without\s+(telling|asking|mentioning|informing|showing)|(do\s+not|don't|never)\s+(tell|mention|reveal|show|say|inform)|also\s+(send|upload|post|run|execute|include|copy|attach|forward)|first\s+(send|upload|post|run|execute|read|copy|fetch))\b"
+SENTENCE_CHARACTERS = 300
+#: Java pattern of an opening that something covert follows in its sentence.
+_CONDITIONAL = f"{re2_to_java(CONDITION)}(?=(?:(?!\\n\\n)[^.!?]){{0,{SENTENCE_CHARACTERS}}}?{re2_to_java(COVERT)})"
+
+
 def hit_lines(text: Column, pattern: Column, first: Column, most: int) -> Column:
     """array<int> of the lines that the first ``most`` matches start on, ``first`` being the text's first line.
 
@@ -191,6 +199,8 @@ def text_findings(segs: DataFrame, most: int = HITS_PER_RULE) -> DataFrame:
     found = lambda rule, severity, pattern, raw: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(pattern).cast("string").alias("pattern"), F.lit(raw).alias("raw"))
     out = [F.when(kinds_of(kinds) & _raw_guard(p) & F.col("bare").rlike(p), found(rule, severity, p, True)) for rule, severity, kinds, p in RAW_RULES]
     out += [F.when(kinds_of(kinds) & matches(F.col("folded"), F.col("low"), p), found(rule, severity, re2_to_java(p), False)) for rule, severity, kinds, p in TEXT_RULES]
+    both = matches(F.col("folded"), F.col("low"), CONDITION) & matches(F.col("folded"), F.col("low"), COVERT)
+    out.append(F.when((F.col("kind") == "prose") & both, found("conditional-trigger", "high", _CONDITIONAL, False)))
     out.append(F.when((F.col("kind") == "comment") & (F.size(F.split(F.trim("text"), r"\s+")) >= 3), found("html-comment", "medium", None, True)))
     out.append(F.when(F.col("load_time"), found("load-time-shell", "medium", None, True)))
     hits = s.select("skill", "path", F.col("line").alias("first"), "folded", "bare", F.inline(F.filter(F.array(*out), lambda x: x.isNotNull())))
@@ -226,20 +236,59 @@ def file_findings(files: DataFrame) -> DataFrame:
     return files.select("skill", "path", F.inline(F.filter(hits, lambda x: x.isNotNull()))).withColumn("line", F.lit(0))
 
 
+# A name as skills have it, the longest name and description, and descriptions that claim every conversation.
+SPEC_NAME, MOST_NAME, MOST_DESCRIPTION = r"[a-z0-9]+(-[a-z0-9]+)*", 64, 1024
+BROAD = r"(?i)\b(always|every|all|any)\s+(time|task|request|question|prompt|message|conversation|turn|session|code|file|project|situation|case|change)s?\b|\b(use|invoke|load|apply|activate|run)\s+(this\s+skill\s+)?(for\s+|on\s+)?(everything|anything|always|first)\b|\bwhenever\s+possible\b|\bregardless\s+of\b|\bbefore\s+(any|every|all)\b|\bin\s+all\s+cases\b|\b(must|should)\s+always\s+be\s+(used|loaded|invoked|active)\b"
+FRONT = "name string, description string, when_to_use string, allowed_tools string, hooks boolean, paths boolean, on_its_own boolean, error string"
+
+
 def front_matter(segs: DataFrame) -> DataFrame:
-    """skill, name, description, allowed_tools, hooks, valid of each skill's front matter."""
-    field = lambda k: F.nullif(F.btrim(F.regexp_extract("text", rf"(?m)^{k}\s*:[ \t]*(.*)$", 1), F.lit(" \"'")), F.lit(""))
-    f = segs.where("kind = 'front'")
-    valid = ~F.col("text").rlike(r"(?m)^(?![ \t#-])(?!\s*$)[^:\n]+$")
-    return f.select("skill", field("name").alias("name"), field("description").alias("description"), field("allowed-tools").alias("allowed_tools"), F.col("text").rlike(r"(?m)^hooks\s*:").alias("hooks"), valid.alias("valid"))
+    """skill and the columns of ``FRONT`` of each skill's SKILL.md; ``error`` says why there is no front matter to read.
+
+    The text is YAML; members that are no texts where texts belong count as absent.
+    """
+
+    @F.pandas_udf(FRONT)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        import yaml
+
+        def one(text):
+            if text is None:
+                return (None,) * 4 + (False, False, True, "there is no front matter")
+            try:
+                m = yaml.safe_load(text)
+            except (yaml.YAMLError, ValueError):
+                return (None,) * 4 + (False, False, True, "the front matter is no YAML")
+            if not isinstance(m, dict):
+                return (None,) * 4 + (False, False, True, "the front matter is no mapping")
+            said = [m.get(k) if isinstance(m.get(k), str) else None for k in ("name", "description", "when_to_use")]
+            tools = m.get("allowed-tools")
+            tools = ", ".join(map(str, tools)) if isinstance(tools, list) else tools if isinstance(tools, str) else None
+            return (*said, tools, m.get("hooks") is not None, m.get("paths") is not None, m.get("disable-model-invocation") is not True, None)
+
+        return pd.DataFrame([one(t) for t in texts], columns=[f.split()[0] for f in FRONT.split(", ")])
+
+    manifest = segs.where("path = 'SKILL.md'")
+    text = manifest.groupBy("skill").agg(F.min(F.when(F.col("kind") == "front", F.struct("line", "text"))).alias("f"))
+    return text.select("skill", read(F.col("f.text")).alias("m")).select("skill", "m.*")
 
 
 def front_findings(segs: DataFrame) -> DataFrame:
+    """skill, path, rule, severity, line, detail of what is wrong with a skill's front matter or what it asks for."""
     f = front_matter(segs)
-    broad = F.col("description").rlike(r"(?i)\b(always|every|any)\b[^.]{0,40}\b(conversation|request|task|message|session|question)s?\b")
-    tests = [("invalid-frontmatter", "low", ~F.col("valid")), ("description-too-long", "low", F.length("description") > 1024), ("broad-trigger", "medium", broad), ("skill-hooks", "medium", F.col("hooks"))]
-    hits = F.array(*[F.when(t, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, t in tests])
-    return f.select("skill", F.lit("SKILL.md").alias("path"), F.inline(F.filter(hits, lambda x: x.isNotNull()))).withColumn("line", F.lit(1))
+    none = lambda c: F.btrim(F.coalesce(c, F.lit(""))) == ""
+    name = F.col("name")
+    wrong_name = F.when(none("name"), "the front matter has no name").when((F.length(name) > MOST_NAME) | ~name.rlike(rf"\A{SPEC_NAME}\z"), "the name is not 1-64 lowercase letters, digits and single hyphens").when(name != F.element_at(F.split("skill", "/"), -1), "the name is not the directory's")
+    broad = lambda c: F.col("on_its_own") & ~F.col("paths") & folded(F.coalesce(c, F.lit(""))).rlike(re2_to_java(BROAD))
+    tests = [
+        ("invalid-frontmatter", "low", F.coalesce("error", wrong_name)), ("invalid-frontmatter", "low", F.when(F.col("error").isNull() & none("description"), "the front matter has no description")),
+        ("description-too-long", "low", F.when(F.length("description") > MOST_DESCRIPTION, F.format_string("the description is %d characters long", F.length("description")))),
+        ("broad-trigger", "medium", F.when(broad("description"), "the description asks for the skill to be used far beyond what it does")),
+        ("broad-trigger", "medium", F.when(broad("when_to_use"), "the when_to_use asks for the skill to be used far beyond what it does")),
+        ("skill-hooks", "medium", F.when(F.col("hooks"), "the front matter registers hooks")),
+    ]
+    hits = F.array(*[F.when(d.isNotNull(), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), d.alias("detail"))) for r, s, d in tests])
+    return f.select("skill", F.lit("SKILL.md").alias("path"), F.inline(F.filter(hits, lambda x: x.isNotNull()))).select("skill", "path", "rule", "severity", F.lit(1).alias("line"), "detail")
 
 
 def labels(segs: DataFrame) -> DataFrame:
