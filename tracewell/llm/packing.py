@@ -40,9 +40,9 @@ SALT_PIECES = 1 << 18
 #: Pattern search: middle lengths tried for each first length, worst waste allowed, sweeps of the fit.
 MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
 #: Bytes of memory for the ids of words that a worker remembers, about (two generations of half of it, and the words of one text), and of one word besides its letters.
-CACHE_BYTES, ENTRY_BYTES = 1 << 28, 250
+CACHE_BYTES, ENTRY_BYTES = 1 << 28, 220
 #: Bytes of text whose words are looked up at once, one text at least.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -76,7 +76,7 @@ def text_tokenizer(path: str):
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        cache |= {"tokenizer": tok, "young": {}, "old": {}, "stems": {}, "bytes": 0}
+        cache |= {"tokenizer": tok, "young": {}, "old": {}, "bytes": 0}
     tok = cache["tokenizer"]
     tokenize = tok.model.tokenize
     # pre-tokens of these words: runs of letters, single digits, runs of punctuation (but for the apostrophe, which may join what follows it)
@@ -91,11 +91,13 @@ def text_tokenizer(path: str):
         return array("I", [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(alphabet))]).tobytes()
 
     def ids_of(new: list[str]) -> dict[str, bytes]:
-        old, stems, out, other = cache["old"], cache["stems"], {}, []
+        young, old, out, other = cache["young"], cache["old"], {}, []
 
         def known(s: str) -> bytes:
-            if (ids := stems.get(s)) is None:
-                ids = stems[s] = piece(s)
+            """The ids of a pre-token, which may be a word by itself."""
+            if (ids := out.get(s)) is None and (ids := young.get(s)) is None:
+                ids = old.get(s)
+                out[s] = ids = piece(s) if ids is None else ids
             return ids
 
         for w in new:
@@ -125,7 +127,7 @@ def text_tokenizer(path: str):
             cache["bytes"] += ENTRY_BYTES * len(found) + sum(map(len, found)) * 2
             seen |= found
             if cache["bytes"] > CACHE_BYTES // 2:
-                cache.update(old=seen, young={}, stems={}, bytes=0)
+                cache.update(old=seen, young={}, bytes=0)
         return ids
 
     def some(texts: pa.Array) -> list[bytes]:
