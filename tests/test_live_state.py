@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,68 @@ def test_sessions_end_by_silence(spark, tmp_path):
     got = sorted((r["session_id"], minute(r["started_ms"]), minute(r["ended_ms"]), r["calls"]) for r in spark.table("ends").collect())
     assert got == [("s1", 0, 65, 3), ("s1", 100, 140, 2), ("s2", 5, 35, 1)]
     assert json.loads(live.shaped("x", "discord")) == {"content": "x"}
+
+
+SENT = "id string, session_id string, ts_ms long, upstream string, tool_name string, tool string, args_json string, result_text string, labels array<string>"
+VALUE, ROWS = "q7Zr0pLx9TtVw3Kc", "Customer 42 is Ada Example of Station Road 7, owing 1234 euros."
+
+
+def outgoing():
+    def call(i, session, tool, args="", result="", labels=()):
+        return (f"c{i:02}", session, START + i * 1000, "demo", tool, f"demo__{tool}", args, result, list(labels))
+
+    return [
+        call(0, "s", "exec", f"echo {VALUE} {ROWS}"), call(1, "s", "query", "select", ROWS), call(2, "s", "vault", "get", f"api_key = {VALUE}", ["private"]), call(3, "s", "exec", "ls -la"), call(4, "s", "exec", f"mail '{ROWS.upper()}'"),
+        call(5, "s", "post", VALUE[::-1]), call(6, "t", "exec", f"{VALUE} {ROWS}"), call(7, "s", "post", VALUE.encode().hex().upper()), call(8, "s", "exec", "".join(f"%{c:02x}" for c in VALUE.encode())), call(9, "s", "vault", None, None),
+    ]
+
+
+@pytest.mark.parametrize("parts", [[range(10)], [range(3), range(3, 6), range(6, 10)]])
+def test_what_leaves_a_session(spark, tmp_path, parts):
+    """The stream's stops are those of the batch operators, over one micro-batch or several."""
+    from tracewell.detect import flows
+
+    contracts = flows.load_flows([{"id": "records", "from": ["demo.query"], "to": ["demo.exec"]}])
+    rows = outgoing()
+    stream = fed(spark, tmp_path, rows, SENT, parts, "calls")
+    name = f"leaving{len(parts)}"
+    q = live.leaving(stream, contracts, ("private",), ttl_ms=None).writeStream.format("memory").queryName(name).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["id"], r["rule"], r["what"], r["source"]) for r in spark.table(name).collect())
+    df = spark.createDataFrame(rows, SENT)
+    want = [(r["id"], "flow", r["flow"], None) for r in flows.flow_hits(df, contracts).collect()]
+    private = df.where("array_contains(labels, 'private')").select("session_id", F.col("ts_ms").alias("at"), "id", F.col("result_text").alias("text"))
+    sinks = df.select("session_id", F.col("ts_ms").alias("at"), "id", F.col("args_json").alias("text"))
+    want += [(r["id"], "taint", r["encoding"], r["source"]) for r in flows.tainted_calls(private, sinks).collect()]
+    assert got == sorted(want, key=lambda x: (x[0], x[1])) and [x[:3] for x in got] == [("c04", "flow", "records"), ("c05", "taint", "reversed"), ("c07", "taint", "hex"), ("c08", "taint", "plain")]
+
+
+def test_bounds_and_silence(spark, tmp_path):
+    """Only what was read first is kept up to the bounds; a session that is silent for long is forgotten."""
+    from tracewell.detect import flows
+
+    contracts = flows.load_flows([{"id": "records", "from": ["demo.query"], "to": ["demo.exec"]}])
+    stream = fed(spark, tmp_path, outgoing(), SENT, [range(10)], "calls")
+    q = live.leaving(stream, contracts, ("private",), most_prints=0, most_values=0, ttl_ms=None).writeStream.format("memory").queryName("bounded").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("bounded").count() == 0
+    src = tmp_path / "slow"
+    src.mkdir()
+    put = lambda rows, name: spark.createDataFrame(rows, SENT).coalesce(1).write.parquet(str(tmp_path / name)) or next((tmp_path / name).glob("part-*")).rename(src / f"{name}.parquet")
+    put(outgoing()[:3], "a")
+    forgetful = live.leaving(spark.readStream.schema(SENT).parquet(str(src)), contracts, ("private",), ttl_ms=1000)
+    q = forgetful.writeStream.format("memory").queryName("forgetful").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and not (q.lastProgress and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1):
+            time.sleep(0.5)
+        while time.time() < end and q.lastProgress["stateOperators"][0]["numRowsTotal"] != 0:
+            time.sleep(0.5)
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+        put(outgoing()[4:5], "b")
+        time.sleep(5)
+    finally:
+        q.stop()
+    assert spark.table("forgetful").count() == 0

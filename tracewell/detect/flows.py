@@ -149,6 +149,13 @@ def _numbers(flows: Sequence[Flow], test) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(test(f), F.lit(False)), F.lit(i)) for i, f in enumerate(flows)]), lambda x: x.isNotNull())
 
 
+def flow_places(flows: Sequence[Flow]) -> tuple[Column, Column]:
+    """(contracts that a call's result is a source of, contracts that a call is a sink of), as places in ``flows``."""
+    labelled = lambda f: F.arrays_overlap(F.coalesce("labels", F.array().cast("array<string>")), F.lit([g[6:] for g in f.source if g.startswith("label:")] or [""]))
+    source = _numbers(flows, lambda f: _named([g for g in f.source if not g.startswith("label:")]) | labelled(f))
+    return source, _numbers(flows, lambda f: _named(f.sink))
+
+
 def flow_hits(calls: DataFrame, flows: Sequence[Flow], most: int | None = MOST_PRINTS) -> DataFrame:
     """``calls``: id, session_id, ts_ms, tool, upstream, tool_name, labels, args_json, result_text -> id, flow, action, reason.
 
@@ -156,9 +163,7 @@ def flow_hits(calls: DataFrame, flows: Sequence[Flow], most: int | None = MOST_P
     forbids it to this tool; of several contracts the first decides. ``action`` is allow for warn. Of what a session
     read under a contract the first ``most`` fingerprints are kept; None keeps all.
     """
-    labelled = lambda f: F.arrays_overlap(F.coalesce("labels", F.array().cast("array<string>")), F.lit([g[6:] for g in f.source if g.startswith("label:")] or [""]))
-    source = _numbers(flows, lambda f: _named([g for g in f.source if not g.startswith("label:")]) | labelled(f))
-    sink = _numbers(flows, lambda f: _named(f.sink))
+    source, sink = flow_places(flows)
     rows = lambda flow, text: calls.select("id", "session_id", F.col("ts_ms").alias("at"), flow.alias("flows"), text.alias("text")).where("size(flows) > 0 AND text <> ''").select("*", F.posexplode(F.array_distinct(passage_prints(F.col("text")))).alias("pos", "print")).select("id", "session_id", "at", F.explode("flows").alias("flow"), "pos", "print")
     key = ["session_id", "flow", "print"]
     read = rows(source, F.col("result_text")).groupBy(*key).agg(F.min(F.struct("at", "id", "pos")).alias("f"))

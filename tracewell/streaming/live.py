@@ -194,6 +194,79 @@ def session_counters(calls: DataFrame, ttl_ms: int | None = 24 * 3_600_000) -> D
     return c.groupBy("session_id").applyInPandasWithState(fold, COUNTED, STATE, "append", "NoTimeout" if ttl_ms is None else "ProcessingTimeTimeout")
 
 
+READ = "prints array<struct<flow: int, held: array<bigint>>>, values array<struct<value: string, source: string>>"
+STOPS = "id string, rule string, what string, source string"
+
+
+def leaving(calls: DataFrame, flows=(), private: tuple[str, ...] = (), most_prints: int | None = None, most_values: int | None = None, ttl_ms: int | None = 24 * 3_600_000) -> DataFrame:
+    """Calls that carry out what their session read before: id, rule (flow or taint), what (the contract, or the encoding), source (of a value).
+
+    A stateful operator keyed by session, beside ``flows.flow_hits`` and ``flows.tainted_calls``: its state is the
+    fingerprints read under each contract and the secret values read in results that earned a ``private`` label, the
+    first of each up to the bounds (by default those of the batch operators). Calls of a micro-batch are taken in order of
+    time and id, each judged by what stood before it. A session silent for ``ttl_ms`` of processing time is forgotten;
+    a run that is to end by itself needs ``ttl_ms=None``.
+    """
+    from ..detect import flows as contracts
+    from ..detect.secrets import passage_prints, secret_values
+
+    most_prints = contracts.MOST_PRINTS if most_prints is None else most_prints
+    most_values = contracts.MOST_VALUES if most_values is None else most_values
+    source, sink = contracts.flow_places(flows)
+    none = F.array().cast("array<string>")
+    is_private = F.arrays_overlap(F.coalesce("labels", none), F.lit(list(private) or [""]))
+    text = lambda test, c: F.when(test, F.coalesce(F.col(c), F.lit(""))).otherwise("")
+    looked = calls.select(
+        "id", "session_id", "ts_ms", source.alias("of"), sink.alias("into"), F.coalesce("args_json", F.lit("")).alias("args"),
+        passage_prints(text(F.size(source) > 0, "result_text")).alias("read"), passage_prints(text(F.size(sink) > 0, "args_json")).alias("sent"), F.when(is_private, secret_values(text(is_private, "result_text"))).otherwise(none).alias("secrets"),
+    )
+    names = [x.split()[0] for x in STOPS.split(", ")]
+
+    def kinds(value: str) -> dict[str, str]:
+        return {value: "plain", value[::-1]: "reversed", value.encode().hex(): "hex"}
+
+    def fold(key, batches, state):
+        from urllib.parse import unquote_to_bytes
+
+        from ..detect.secrets import base64_fragments
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        prints, values = state.get if state.exists else ([], [])
+        held = {p[0]: dict.fromkeys(p[1]) for p in map(tuple, prints)}
+        kept = {v[0]: v[1] for v in map(tuple, values)}
+        forms = {v: kinds(v) | dict.fromkeys([f for url in (False, True) for f in base64_fragments(v, url)], "base64") for v in kept}
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts_ms", "id"]).itertuples():
+            sent = [int(p) for p in r.sent]
+            for i in map(int, r.into):
+                if not held.get(i, {}).keys().isdisjoint(sent):
+                    out.append((r.id, "flow", flows[i].id, None))
+                    break
+            looks = {r.args, r.args.lower()} | ({unquote_to_bytes(r.args).decode("utf-8", "replace")} if "%" in r.args else set())
+            for value, origin in kept.items():
+                how = [name for form, name in forms[value].items() if any(form in x for x in looks)]
+                if how:
+                    out.append((r.id, "taint", min(how, key=contracts.ENCODINGS.index), origin))
+            for i in map(int, r.of):
+                own = held.setdefault(i, {})
+                for p in map(int, r.read):
+                    if len(own) >= most_prints:
+                        break
+                    own[p] = None
+            for v in r.secrets:
+                if v not in kept and len(kept) < most_values:
+                    kept[v] = r.id
+                    forms[v] = kinds(v) | dict.fromkeys([f for url in (False, True) for f in base64_fragments(v, url)], "base64")
+        state.update(([(i, list(p)) for i, p in held.items()], list(kept.items())))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(out, columns=names)
+
+    return looked.groupBy("session_id").applyInPandasWithState(fold, STOPS, READ, "append", "NoTimeout" if ttl_ms is None else "ProcessingTimeTimeout")
+
+
 def tail(calls: DataFrame, sink, last_seq: int = -1):
     """Follow the log: each micro-batch's new calls in chain order go to ``sink(rows)``."""
 
