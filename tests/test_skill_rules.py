@@ -35,3 +35,19 @@ def test_front_matter_is_yaml(spark):
     read = {r["skill"]: r for r in skills.front_matter(segs).collect()}
     assert read["ok"]["description"] == "Drafts invoices from hours.\n".strip() or read["ok"]["description"].strip() == "Drafts invoices from hours."
     assert read["ok"]["allowed_tools"] == "Read, Bash" and len(read) == len(texts)
+
+
+def test_evidence_of_capabilities(spark):
+    """Every place in every segment, against the patterns in plain Python."""
+    from tracewell.functions.regexes import compiled
+
+    texts = {"a": "Run it.\n\n```sh\ncurl https://x.example\npip install y\nrm z\n```\nThen `npm install left` and\nprintenv HOME.\n", "b": "Nothing here.\n", "c": "```py\nimport os\nos.environ['API_KEY']\nopen('f', 'w')\n```\n"}
+    segs = found(spark, texts)
+    want = set()
+    for r in segs.collect():
+        for cap, kinds, p in skills.CAPABILITIES:
+            if r["kind"] in kinds:
+                want |= {(r["skill"], cap, r["path"], r["line"] + r["text"].count("\n", 0, m.start())) for m in compiled(p).finditer(r["text"])}
+    got = {tuple(r) for r in skills.label_evidence(segs).collect()}
+    assert got == want and {x[0] for x in got} == {"a", "c"} and len(got) > 4
+    assert {(r["skill"], c) for r in skills.labels(segs).collect() for c in r["labels"]} >= {x[:2] for x in got}

@@ -307,6 +307,14 @@ def labels(segs: DataFrame) -> DataFrame:
     return got.select("skill", F.filter(F.array(*map(F.lit, order)), lambda c: F.array_contains("caps", c)).alias("labels"), "hosts")
 
 
+def label_evidence(segs: DataFrame, most: int = HITS_PER_RULE) -> DataFrame:
+    """skill, capability, path, line: where a skill's texts show a capability, the first ``most`` places of a segment."""
+    s = segs.withColumn("low", lowered(F.col("text")))
+    shown = F.array(*[F.when(F.col("kind").isin(*kinds) & matches(F.col("text"), F.col("low"), p), F.struct(F.lit(cap).alias("capability"), F.lit(re2_to_java(p)).alias("pattern"))) for cap, kinds, p in CAPABILITIES])
+    hits = s.select("skill", "path", F.col("line").alias("first"), "text", F.inline(F.filter(shown, lambda x: x.isNotNull())))
+    return hits.select("skill", "capability", "path", F.explode(hit_lines(F.col("text"), F.col("pattern"), F.col("first"), most)).alias("line")).distinct()
+
+
 def check(skills: DataFrame, locked: DataFrame) -> DataFrame:
     """Both: skill, root, labels, hosts -> skill, status (locked, new, changed, removed), gained and lost capabilities, new hosts."""
     j = skills.alias("s").join(locked.alias("l"), "skill", "full_outer")
