@@ -22,7 +22,7 @@ hold of them, so copies cost nothing. Leaves are met in chunks of at most about
 ``CHUNK_ROWS`` vectors and queries, so no task grows with the input.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components
-take no part; vectors of another length are no candidates; fewer candidates than
+take no part, nor do rows without a vec_id; vectors of another length are no candidates; fewer candidates than
 ``k`` are all returned; a repeated id is one candidate for each distinct vector it
 has; an empty table gives an empty result; extra columns are ignored.
 """

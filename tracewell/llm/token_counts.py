@@ -13,7 +13,7 @@ their order (log of 1 / (rank + 2.7)); a character outside the vocabulary costs
 the longest last piece.
 
 Edge cases: null and empty texts have 0 tokens; repeated rows are counted one by
-one; extra columns are ignored. Memory is bounded by ``CACHE_WORDS`` remembered
+one; extra columns are ignored. Memory is bounded by ``CACHE_BYTES`` of remembered
 pre-tokens and by the longest pre-token.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 1 << 19
+CACHE_BYTES, ENTRY_BYTES = 1 << 26, 128
 UNKNOWN = -25.0
 MARK = "▁"
 
@@ -91,12 +91,16 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     def run(batches):
         counter = PrefixCounter(vocabulary(vocabulary_path))
         known: dict[bytes, int] = {}
+        held = 0
         for b in batches:
             texts = [(t.encode("utf-8", "surrogatepass").split() if t else []) for t in b.column("text").to_pylist()]
             new = {w for ws in texts for w in ws if w not in known}
-            if len(known) + len(new) > CACHE_WORDS:
+            size = sum(map(len, new)) + ENTRY_BYTES * len(new)
+            if held + size > CACHE_BYTES:
                 known.clear()
                 new = {w for ws in texts for w in ws}
+                held = 0
+            held += sum(map(len, new)) + ENTRY_BYTES * len(new)
             found = counter.counts([MARK + w.decode("utf-8", "replace") for w in new])
             known.update((w, found[MARK + w.decode("utf-8", "replace")]) for w in new)
             n = [sum(map(known.__getitem__, ws)) for ws in texts]
