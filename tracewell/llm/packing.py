@@ -55,7 +55,7 @@ def _process_cache(name: str) -> dict:
     return sys.modules.setdefault("tracewell_worker_cache", types.ModuleType("tracewell_worker_cache")).__dict__.setdefault(name, {})
 
 
-def text_tokenizer(path: str):
+def text_tokenizer(path: str, cache_bytes: int | None = None, slice_bytes: int | None = None):
     """pa.Array of texts -> the little-endian uint32 ids of each, in turn, remembering the ids of words.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's
@@ -65,10 +65,13 @@ def text_tokenizer(path: str):
     by numpy.  Words of Latin letters, digits and ASCII punctuation are cut into
     their pre-tokens, which go to the tokenizer's model directly; any other word goes
     through the whole tokenizer.  When the young generation of remembered words is full it
-    becomes the old one; words met again move on, the rest go.
+    becomes the old one; words met again move on, the rest go.  ``cache_bytes`` and
+    ``slice_bytes`` (by default ``CACHE_BYTES`` and ``SLICE_BYTES``) bound a worker's memory.
     """
     from array import array
 
+    cache_bytes, slice_bytes = cache_bytes or CACHE_BYTES, slice_bytes or SLICE_BYTES
+
     cache = _process_cache(f"ids {path}")
     if "tokenizer" not in cache:
         from tokenizers import Tokenizer
@@ -126,7 +129,7 @@ def text_tokenizer(path: str):
             ids = [found[w] if i is None else i for w, i in zip(words, ids)]
             cache["bytes"] += ENTRY_BYTES * len(found) + sum(map(len, found)) * 2
             seen |= found
-            if cache["bytes"] > CACHE_BYTES // 2:
+            if cache["bytes"] > cache_bytes // 2:
                 cache.update(old=seen, young={}, bytes=0)
         return ids
 
@@ -160,7 +163,7 @@ def text_tokenizer(path: str):
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         lo = 0
         while lo < len(texts):  # slices of some bytes, one text at least
-            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + slice_bytes, "right")))
             part = pc.fill_null(texts[lo:hi].cast(pa.large_string()), "")
             marked = pc.match_substring(part, "<|").to_numpy(zero_copy_only=False)
             if marked.any():
@@ -173,7 +176,7 @@ def text_tokenizer(path: str):
     return encode
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_bytes: int | None = None, slice_bytes: int | None = None) -> DataFrame:
     """``docs``: doc_id, text -> one row a piece: doc_id, piece, start, length, ids_crc32 (and ids array<int> if asked)."""
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
     end = np.array([end_id], "<u4").tobytes()
@@ -182,7 +185,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = text_tokenizer(tokenizer_path)
+        encode = text_tokenizer(tokenizer_path, cache_bytes, slice_bytes)
         for b in batches:
             rows = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text"))):
@@ -300,9 +303,9 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "base", "offset", "times"), a.T.copy()))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """``docs``: doc_id, text -> the pieces with their sequence_id and offset."""
-    pieces = materialize(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pieces")
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_bytes: int | None = None, slice_bytes: int | None = None) -> DataFrame:
+    """``docs``: doc_id, text -> the pieces with their sequence_id and offset. The last two bound a worker's memory, see ``text_tokenizer``."""
+    pieces = materialize(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids, cache_bytes, slice_bytes), "pieces")
     salts = max(64, -(-pieces.count() // SALT_PIECES))  # as if all pieces had one length
     p = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     by_salt = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
