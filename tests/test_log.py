@@ -148,7 +148,7 @@ def test_skill_rules(spark):
     got = {(r["rule"], r["line"]) for r in skills.text_findings(segs).collect()}
     assert {("pipe-to-shell", 6), ("raw-ip-url", 6), ("html-comment", 7), ("privilege-escalation", 9), ("destructive-command", 9), ("ignore-instructions", 11)} <= got
     assert not [r for r in skills.text_findings(segs).where("path = 'clean.md'").collect()]
-    assert {r["rule"] for r in skills.front_findings(segs).collect()} == {"broad-trigger", "skill-hooks"}
+    assert {r["rule"] for r in skills.front_findings(segs).collect()} == {"broad-trigger", "skill-hooks", "invalid-frontmatter"}  # it is not named as its folder
     label = skills.labels(segs).first()
     assert {"shell", "scripts", "network", "urls", "auto-trigger"} <= set(label["labels"]) and label["hosts"] == ["203.0.113.7"]
     assert skills.sarif(skills.text_findings(segs)).count() > 0
