@@ -42,7 +42,7 @@ MIDDLES, WASTE, SWEEPS = 6, 0.004, 12
 #: Bytes of memory for the ids of words that a worker remembers, about (two generations of half of it, and the words of one text), and of one word besides its letters.
 CACHE_BYTES, ENTRY_BYTES = 1 << 28, 220
 #: Bytes of text whose words are looked up at once, one text at least.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
