@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.documents import json_strings, wire_result
-from ..functions.regexes import compiled, lowered, matches, re2_to_java, spread
+from ..functions.regexes import compiled, lowered, matches, spread
 
 # What instructions to a model look like, the detail reported, and whether tool results are held to it too.
 INSTRUCTIONS = [
