@@ -23,6 +23,8 @@ from .secrets import MIN_LENGTH, encodings, passage_prints, secret_values
 
 # Of a session's secret values and of a contract's fingerprints so many, the first read, are kept.
 MOST_VALUES, MOST_PRINTS = 1000, 200_000
+# Fixed value: the reason of a contract that gives none.
+REASON = "flow {id}: data read from {source} may not go to {sink}"
 #: Values of a session that one automaton holds, and bytes of outgoing text that one task looks through at once.
 BLOCK_VALUES, CHUNK_BYTES = 1000, 32 << 20
 #: Orders of encodings, as a hit names the first.
@@ -122,7 +124,7 @@ def load_flows(spec: list[dict]) -> list[Flow]:
     errors, out, seen = [], [], set()
     for i, f in enumerate(spec):
         flow = Flow(f.get("id") or "", list(f.get("from") or []), list(f.get("to") or []), f.get("action") or "deny", f.get("reason") or "")
-        flow.reason = flow.reason or f"flow {flow.id}: data read from {', '.join(flow.source)} may not go to {', '.join(flow.sink)}"
+        flow.reason = flow.reason or REASON.format(id=flow.id, source=", ".join(flow.source), sink=", ".join(flow.sink))
         if not flow.id or flow.id in seen:
             errors.append(f"flow {i}: {'the id is used twice' if flow.id else 'it has no id'}")
         if flow.action not in ("deny", "ask", "warn"):

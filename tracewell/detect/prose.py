@@ -38,7 +38,7 @@ OPENERS = set("then also next now important note please and finally first always
 ORDERS = r"(?i)\b(you\s+(must|should|need\s+to|have\s+to|are\s+to|will\s+now)|must\s+(always|never|not)|make\s+sure|be\s+sure\s+to|it\s+is\s+(essential|critical|mandatory|required)\s+(to|that)|under\s+no\s+circumstances|at\s+all\s+costs)\b"
 LIST_MARK = r"^\s*([-*+]|\d+[.)])\s+(\[[ xX]\]\s+)?"
 BLOCK_START = r"^\s*(#{1,6}\s|[-*+]\s|\d+[.)]\s|>|\||<!--)"
-#: Unchanged units shown on either side of a change.
+# Unchanged units shown on either side of a change, and the names of the kinds of units.
 CONTEXT = 1
 KINDS = {"front": "front matter", "code": "code", "comment": "comment", "prose": "prose"}
 

@@ -239,6 +239,14 @@ def file_findings(files: DataFrame) -> DataFrame:
 # A name as skills have it, the longest name and description, and descriptions that claim every conversation.
 SPEC_NAME, MOST_NAME, MOST_DESCRIPTION = r"[a-z0-9]+(-[a-z0-9]+)*", 64, 1024
 BROAD = r"(?i)\b(always|every|all|any)\s+(time|task|request|question|prompt|message|conversation|turn|session|code|file|project|situation|case|change)s?\b|\b(use|invoke|load|apply|activate|run)\s+(this\s+skill\s+)?(for\s+|on\s+)?(everything|anything|always|first)\b|\bwhenever\s+possible\b|\bregardless\s+of\b|\bbefore\s+(any|every|all)\b|\bin\s+all\s+cases\b|\b(must|should)\s+always\s+be\s+(used|loaded|invoked|active)\b"
+# What is said of front matter.
+FRONT_DETAILS = {
+    "no name": "the front matter has no name",
+    "name": "the name is not 1-64 lowercase letters, digits and single hyphens",
+    "no description": "the front matter has no description",
+    "broad": "the {field} asks for the skill to be used far beyond what it does",
+    "hooks": "the front matter registers hooks",
+}
 FRONT = "name string, description string, when_to_use string, allowed_tools string, hooks boolean, paths boolean, on_its_own boolean, error string"
 
 
@@ -278,14 +286,14 @@ def front_findings(segs: DataFrame) -> DataFrame:
     f = front_matter(segs)
     none = lambda c: F.btrim(F.coalesce(c, F.lit(""))) == ""
     name = F.col("name")
-    wrong_name = F.when(none("name"), "the front matter has no name").when((F.length(name) > MOST_NAME) | ~name.rlike(rf"\A{SPEC_NAME}\z"), "the name is not 1-64 lowercase letters, digits and single hyphens").when(name != F.element_at(F.split("skill", "/"), -1), "the name is not the directory's")
+    wrong_name = F.when(none("name"), FRONT_DETAILS["no name"]).when((F.length(name) > MOST_NAME) | ~name.rlike(rf"\A{SPEC_NAME}\z"), FRONT_DETAILS["name"]).when(name != F.element_at(F.split("skill", "/"), -1), "the name is not the directory's")
     broad = lambda c: F.col("on_its_own") & ~F.col("paths") & folded(F.coalesce(c, F.lit(""))).rlike(re2_to_java(BROAD))
     tests = [
-        ("invalid-frontmatter", "low", F.coalesce("error", wrong_name)), ("invalid-frontmatter", "low", F.when(F.col("error").isNull() & none("description"), "the front matter has no description")),
+        ("invalid-frontmatter", "low", F.coalesce("error", wrong_name)), ("invalid-frontmatter", "low", F.when(F.col("error").isNull() & none("description"), FRONT_DETAILS["no description"])),
         ("description-too-long", "low", F.when(F.length("description") > MOST_DESCRIPTION, F.format_string("the description is %d characters long", F.length("description")))),
-        ("broad-trigger", "medium", F.when(broad("description"), "the description asks for the skill to be used far beyond what it does")),
-        ("broad-trigger", "medium", F.when(broad("when_to_use"), "the when_to_use asks for the skill to be used far beyond what it does")),
-        ("skill-hooks", "medium", F.when(F.col("hooks"), "the front matter registers hooks")),
+        ("broad-trigger", "medium", F.when(broad("description"), FRONT_DETAILS["broad"].format(field="description"))),
+        ("broad-trigger", "medium", F.when(broad("when_to_use"), FRONT_DETAILS["broad"].format(field="when_to_use"))),
+        ("skill-hooks", "medium", F.when(F.col("hooks"), FRONT_DETAILS["hooks"])),
     ]
     hits = F.array(*[F.when(d.isNotNull(), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), d.alias("detail"))) for r, s, d in tests])
     return f.select("skill", F.lit("SKILL.md").alias("path"), F.inline(F.filter(hits, lambda x: x.isNotNull()))).select("skill", "path", "rule", "severity", F.lit(1).alias("line"), "detail")

@@ -8,14 +8,23 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.documents import document_hash, tokens_estimate
 from . import session
 from .model import Policy
 
+# What is said of an expectation that was not met.
+SAID = {
+    "action": "want {want}, got {action}: {why}",
+    "rule": "want rule {want_rule}, got {rule}",
+    "no rule": "no rule (the default decided)",
+    "reason": 'want a reason containing "{want_reason}", got "{reason}"',
+    "label": "want the session labelled {label} after the call; it is not",
+}
 #: Decisions that no policy reached: a test of the policy cannot reproduce them.
 NOT_POLICY = ("honeypot", "canary", "quarantine", "frozen")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -94,15 +103,21 @@ def run_cases(calls: DataFrame, expected: DataFrame, p: Policy) -> DataFrame:
     """
     e = expected.select(F.col("id").alias("_id"), "case", "step", F.col("action").alias("want"), F.col("rule").alias("want_rule"), F.col("reason").alias("want_reason"), F.col("labels").alias("want_labels"))
     j = session.replay(calls, p).join(e, F.col("id") == F.col("_id"))
-    rule = F.when(F.col("rule_id") == "", "no rule (the default decided)").otherwise(F.col("rule_id"))
-    why = F.when(F.col("rule_id") == "", F.col("reason")).otherwise(F.concat("reason", F.lit(" (rule "), "rule_id", F.lit(")")))
+    parts = {
+        "rule": F.when(F.col("rule_id") == "", SAID["no rule"]).otherwise(F.col("rule_id")),
+        "why": F.when(F.col("rule_id") == "", F.col("reason")).otherwise(F.concat("reason", F.lit(" (rule "), "rule_id", F.lit(")"))),
+    }
+
+    def said(name: str, **more) -> Column:
+        pieces = re.split(r"\{(\w+)\}", SAID[name])
+        return F.concat(*[(parts | more).get(x, F.col(x)) if i % 2 else F.lit(x) for i, x in enumerate(pieces) if x])
+
     same = F.col("action") == F.col("want")
     found = F.array(
-        F.when(~same, F.concat(F.lit("want "), "want", F.lit(", got "), "action", F.lit(": "), why)),
-        F.when(same & (F.col("want_rule") != "") & (F.col("want_rule") != F.col("rule_id")), F.concat(F.lit("want rule "), "want_rule", F.lit(", got "), rule)),
-        F.when((F.col("want_reason") != "") & ~F.col("reason").contains(F.col("want_reason")), F.concat(F.lit('want a reason containing "'), "want_reason", F.lit('", got "'), "reason", F.lit('"'))),
+        F.when(~same, said("action")), F.when(same & (F.col("want_rule") != "") & (F.col("want_rule") != F.col("rule_id")), said("rule")),
+        F.when((F.col("want_reason") != "") & ~F.col("reason").contains(F.col("want_reason")), said("reason")),
     )
-    missing = F.transform(F.array_except("want_labels", "labels"), lambda x: F.concat(F.lit("want the session labelled "), x, F.lit(" after the call; it is not")))
+    missing = F.transform(F.array_except("want_labels", "labels"), lambda x: said("label", label=x))
     return j.select("id", "case", "step", "action", "rule_id", F.concat(F.filter(found, lambda x: x.isNotNull()), missing).alias("problems"))
 
 
