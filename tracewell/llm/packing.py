@@ -198,6 +198,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
+        if cache_bytes:  # a worker outlives its task: what it remembers goes
+            _process_cache(f"ids {tokenizer_path}").update(young={}, old={}, bytes=0)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -304,7 +306,7 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_bytes: int | None = None, slice_bytes: int | None = None) -> DataFrame:
-    """``docs``: doc_id, text -> the pieces with their sequence_id and offset. The last two bound a worker's memory, see ``text_tokenizer``."""
+    """``docs``: doc_id, text -> the pieces with their sequence_id and offset. The last two bound a worker's memory, see ``text_tokenizer``; with the first, words are forgotten with the task."""
     pieces = materialize(tokenized_pieces(docs, tokenizer_path, capacity, end_id, with_ids, cache_bytes, slice_bytes), "pieces")
     salts = max(64, -(-pieces.count() // SALT_PIECES))  # as if all pieces had one length
     p = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
