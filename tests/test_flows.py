@@ -81,3 +81,17 @@ def test_many_values_of_one_session(spark):
     out = src.select("session_id", (F.col("at") + 5000).alias("at"), F.concat(F.lit("c"), "id").alias("id"), F.substring("text", 9, 20).alias("text"))
     assert flows.tainted_calls(src, out, most=None).where("encoding = 'plain' AND id = concat('c', source)").count() == 2500
     assert flows.tainted_calls(src, out).count() == 1000
+
+
+def test_copies_in_capitals_equal_sql_beyond_ascii(spark, tmp_path):
+    import duckdb
+
+    from tracewell.plans import flow_queries
+
+    said = ["Vor der Große Straße süß, weiß fließt ein heißer Fluß.", "ΟΔΟΣ ΜΕΓΑΣ ΛΟΓΟΣ ΚΑΛΟΣ ΤΟΠΟΣ ΝΕΟΣ ΠΑΛΑΙΟΣ", "abcdefghi ﬁne ŉ ǰ ᾳ ᾀ oﬃce ﬂow İstanbul ῖ", "abcdefgh ordinary words of a plain passage here"]
+    rows = [(3 * c, turn, role, text) for c, x in enumerate(said) for turn, role, text in ((2, "assistant", x), (3, "user", "so"))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.execute(flow_queries.ORACLES["flow_contracts"]).fetchall())
+    assert want and sorted(map(tuple, flow_queries.flow_contracts(spark, str(tmp_path)).collect())) == want

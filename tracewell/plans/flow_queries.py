@@ -59,6 +59,17 @@ CONTRACTS = flows.load_flows([
 _TWO_64 = 1 << 64
 
 
+#: Characters whose capitals are several, though one stands for them, and that one; others of the kind stay as they are.
+_SEVERAL = [c for c in map(chr, range(0x10000)) if len(c.upper()) > 1 and (c == "ß" or len(c.title()) == 1)]
+_ONE = ["ẞ" if c == "ß" else c.title() for c in _SEVERAL]
+
+
+def capitals(text):
+    """The text in capitals, a character for a character, as SQL has them."""
+    one = lambda c: F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(F.translate(c, "".join(_SEVERAL), "".join(_ONE)))
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
 def prints_sql(source: str) -> str:
     """``source``: a table of (key, text) -> (key, print): winnowed fingerprints, as ``secrets.text_prints`` makes them, in 128-bit integers."""
     powers = [pow(0x100000001B3, secrets.K - 1 - j, _TWO_64) for j in range(secrets.K)]
@@ -83,11 +94,11 @@ def flow_contracts(spark, d):
     t = turns(spark, d)
     before = t.select(F.col("session_id").alias("_s"), (F.col("ts_ms") + 1).alias("_t"), F.col("text").alias("_said"))
     t = t.join(before, (F.col("session_id") == F.col("_s")) & (F.col("ts_ms") == F.col("_t")), "left")
-    copied = F.when((F.col("conv_id") + F.col("ts_ms")) % 3 == 0, F.concat(F.lit("\n"), F.upper(F.replace(F.substring(F.coalesce("_said", F.lit("")), 10, 40), F.lit(" "), F.lit("  "))))).otherwise("")
+    copied = F.when((F.col("conv_id") + F.col("ts_ms")) % 3 == 0, F.concat(F.lit("\n"), capitals(F.replace(F.substring(F.coalesce("_said", F.lit("")), 10, 40), F.lit(" "), F.lit("  "))))).otherwise("")
     user = F.col("role") == "user"
     tool = F.when(user, "exec").when(F.col("role") == "system", "note").otherwise("query")
     calls = t.select(
         "id", "session_id", "ts_ms", F.lit("app").alias("upstream"), tool.alias("tool_name"), F.concat(F.lit("app__"), tool).alias("tool"), F.when(user, F.concat("text", copied)).alias("args_json"),
         F.when(~user, F.col("text")).alias("result_text"), F.when(F.col("role") == "system", F.array(F.lit("private"))).otherwise(F.array().cast("array<string>")).alias("labels"),
     )
-    return flows.flow_hits(calls, CONTRACTS)
+    return flows.flow_hits(calls, CONTRACTS, most=None)  # SQL keeps every fingerprint
