@@ -77,8 +77,9 @@ def shared_labels(calls: DataFrame, within_ms: int = 30 * 60_000, slices: int =
     probes = probe(F.col("ts_ms"), F.col("b"), True).unionByName(probe(F.col("ts_ms") - within_ms, F.col("b") - slices, False)).join(whole.select("label", "b"), "b")
     rows = earned.select("label", "b", F.col("ts_ms").alias("at"), "low", "high", text.alias("id"), text.alias("session_id"), F.lit(None).cast("boolean").alias("ends"))
     both = rows.unionByName(probes.select("label", "b", "at", text.alias("low"), text.alias("high"), "id", "session_id", "ends"))
-    w = Window.partitionBy("label", "b").orderBy("at")
-    before, after = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(0, Window.unboundedFollowing)
+    # two running frames, one from either end: a frame that is open at its far end is gone through anew for every row
+    before = Window.partitionBy("label", "b").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("label", "b").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     pick = lambda f, c: F.when(F.col("ends"), f(c).over(before)).otherwise(f(c).over(after))
     part = both.select("id", "session_id", "label", pick(F.min, "low").alias("low"), pick(F.max, "high").alias("high")).where("id IS NOT NULL")
     hits = part.unionByName(inner).where("low <> session_id OR high <> session_id")
