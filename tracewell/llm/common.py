@@ -96,14 +96,22 @@ def scratch_scope() -> Iterator[None]:
         _delete(made)
 
 
-def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, a lost executor costs nothing written."""
+#: Tables whose rows are megabytes: a writer looks at its size after each row, and a reader, which takes up to 4096 rows or a
+#: row group at once, holds this much.
+WIDE = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
+
+
+def materialize(df: DataFrame, name: str, stays: bool = False, wide: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, a lost executor costs nothing written.
+
+    ``wide``: rows are large, see ``WIDE``.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     if stays and (made := _scope.get()) is not None:
         made.remove(path)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**WIDE if wide else {}).option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     _paths[out] = path
     return out

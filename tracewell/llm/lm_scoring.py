@@ -37,6 +37,8 @@ from .common import materialize, words
 
 BITS_PER_ENTRY, PROBES, LEVELS = 8, 4, 40
 FLUSH, VOCABULARY_LIMIT, BROADCAST_BYTES, CHUNK_TOKENS = 1 << 21, 8_000_000, 1 << 26, 1 << 18
+#: Blocks for each partition of the input.
+BLOCKS_EACH = 16
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -251,7 +253,7 @@ def _by_shuffle(docs: DataFrame, totals: dict, counted: DataFrame, blocks: int)
             row = (uuid.uuid4().hex, ids, held, sizes.tolist(), t.tobytes(), wanted)
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["chunk", "ids", "held", "sizes", "t", "wanted"])
 
-    chunks = materialize(docs.mapInArrow(cut, CHUNKS), "lm-chunks")
+    chunks = materialize(docs.mapInArrow(cut, CHUNKS), "lm-chunks", wide=True)
 
     def meet(wanted: pa.Table, block: pa.Table) -> pa.Table:
         known = block.to_pylist()[0] if block.num_rows else {"uh": b"", "un": b"", "bits": b""}
@@ -270,7 +272,7 @@ def _by_shuffle(docs: DataFrame, totals: dict, counted: DataFrame, blocks: int)
     def run(batches):
         m = Model(**totals)
         for b in batches:
-            for r in b.to_pylist():
+            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):  # a row is megabytes
                 words_, bigrams_ = (np.frombuffer(b"".join(x[c] for x in r["found"]), kind) for c, kind in (("n_words", np.int64), ("n_bigrams", np.float64)))
                 yield _scored(m, r["ids"], r["held"], np.array(r["sizes"]), np.frombuffer(r["t"], np.uint64), lambda h, n=words_: n, lambda h, n=bigrams_: n)
 
@@ -284,9 +286,9 @@ def score(docs: DataFrame, held_out: Column, blocks: int | None = None, vocabula
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    if blocks is None:  # a block's share of the input stays the same
-        blocks = 1 << max(6, (4 * d.rdd.getNumPartitions() - 1).bit_length())
-    counted = materialize(count_blocks(d.where(~F.col("held_out")), blocks), "lm-blocks")
+    if blocks is None:  # a block's share of the input stays the same: a task holds one, with what is asked of it
+        blocks = 1 << max(6, (BLOCKS_EACH * d.rdd.getNumPartitions() - 1).bit_length())
+    counted = materialize(count_blocks(d.where(~F.col("held_out")), blocks), "lm-blocks", wide=True)
     sums = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_unigrams", "n_tokens", "n_bigrams", "n_single"))
     total = counted.agg(*sums, F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n_bytes")).first()
     n_docs = d.where(~F.col("held_out")).count()
