@@ -144,3 +144,34 @@ def test_cells_of_a_fingerprint_by_corpus():
     assert chosen == sorted(chosen) and rows(5 * 10**10) <= 210
     for n in (10**10, 5 * 10**10, 10**12):
         assert rows(n) * n * 2 ** (-45 * simhash.width(n) / (simhash.RADIUS + simhash.width(n))) < 2 * 10**-6 * n + 10**5
+
+
+def test_candidates_of_fingerprints(spark):
+    """The stage's candidates are the links of op9's operator over its nodes' fingerprints; its tables are not broadcast."""
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+    texts = [" ".join(base), *(" ".join([*base[:-1], f"x{i}"]) for i in range(4)), " ".join(f"y{x}" for x in rng.integers(0, 1 << 40, 50))]
+    nodes = {r["doc_id"]: r["fp"] for r in simhash.near_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {k: v % (1 << 64) for k, v in nodes.items()} == {i: simhash.fingerprint(t, 5) for i, t in enumerate(texts)}
+    links = simhash.fingerprint_links(spark.createDataFrame(list(nodes.items()), "node long, fp long"))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    near = lambda a, b: bin((nodes[a] ^ nodes[b]) % (1 << 64)).count("1") <= simhash.RADIUS
+    got = {tuple(sorted(r)) for r in links.collect()}
+    assert got and all(near(a, b) for a, b in got)
+    root = {i: i for i in nodes}
+    for a, b in got:
+        root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    assert all(root[a] == root[b] for a in nodes for b in nodes if near(a, b))
+
+
+def test_wide_rows_are_written_in_small_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tracewell.llm import common
+
+    rows = spark.createDataFrame([(i, np.random.default_rng(i).bytes(1 << 21)) for i in range(24)], "id int, b binary").coalesce(1)
+    path = common._paths[common.materialize(rows, "wide", wide=True)]
+    files = glob.glob(f"{path.removeprefix('file:')}/*.parquet")
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) > 1

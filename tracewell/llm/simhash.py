@@ -29,7 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, exp
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +69,14 @@ def digests(w: list[bytes], shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(data[i:j], SEED) for i, j in zip(a, b)], np.uint64)
 
 
+def _majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of ``n`` hashes have."""
+    return int(np.packbits(2 * counts > n).view(">u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     w = words(text)
-    if not w:
-        return 0
-    counts = sum(bit_counts(h) for h in digests(w, shingle))
-    return int(np.packbits(2 * counts > max(1, len(w) - shingle + 1)).view(">u8")[0])
+    return _majority(sum(bit_counts(h) for h in digests(w, shingle)), max(1, len(w) - shingle + 1)) if w else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -187,26 +189,31 @@ LEAST_EQUAL, SHARED_COST, MET_COST = 4, 6.0, 0.02
 def width(n: int, radius: int = RADIUS) -> int:
     """The ``equal`` to choose for a corpus of ``n`` fingerprints: it makes a fingerprint's cells and those it meets in them cost least.
 
-    A segment of two random bits has 1.5 bits of entropy in its count, in texts about 0.94 of that. Alone in its cell a row goes
-    once it is counted; in a shared one it is joined, shuffled and sorted as well, whomever it meets, and compared with each, which is
-    cheap. So a fingerprint has 70 cells up to some 10^9 fingerprints and 210 at 5 x 10^10.
+    A segment of two random bits has 1.5 bits of entropy in its count, in texts about 0.94 of that. A row of a shared cell is joined,
+    shuffled and sorted, whomever it meets, and compared with each, which is cheap; any cell may be shared, if only by copies. So a
+    fingerprint has 70 cells up to some 10^9 fingerprints and 210 at 5 x 10^10.
     """
 
     def cost(equal: int) -> float:
         met = n * 2 ** (-45 * equal / (radius + equal))
-        return comb(radius + equal, equal) * (1 + SHARED_COST * (1 - exp(-met)) + MET_COST * met)
+        return comb(radius + equal, equal) * (1 + SHARED_COST + MET_COST * met)
 
     return min(range(LEAST_EQUAL, 33 - radius), key=cost)
 
 
+def by_shuffle(table: DataFrame) -> DataFrame:
+    """``table``, which joins by a shuffle whatever its size: what grows with the corpus is never held by the driver."""
+    return table.hint("merge")
+
+
 def shared_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     """``cells``: node and the columns ``by`` -> those with more than one node, with n and hub (the smallest node).
 
-    Cells are counted before rows meet: a hot cell is one row by then. Few shared cells are broadcast by their written
-    size, else rows and counts meet by a join that adaptive execution splits where a cell is hot.
+    Cells are counted before rows meet: a hot cell is one row by then. Rows and counts meet by a join that adaptive
+    execution splits where a cell is hot; the counts are not broadcast, as they grow with the corpus and the driver would hold them.
     """
     many = materialize(cells.groupBy(*by).agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "cell-counts")
-    return materialize(cells.join(many, by), "cells")
+    return materialize(cells.join(by_shuffle(many), by), "cells")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, equal: int = 3, chunk: int = CHUNK) -> DataFrame:
@@ -234,19 +241,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star joins a node's larger neighbours to its smallest neighbour, small-star
     the smaller ones; both keep the components. When neither changes the edges they
-    are stars round the roots.
+    are stars round the roots. Each step is written, so joins meet by shuffles of plain rows: a hub's are split where they
+    are many, and the driver holds no table.
     """
     e = materialize(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        m = large.groupBy("a").agg(F.min("b").alias("m"))
-        low = large.join(m, "a")
-        small = low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b"))).distinct()
+        m = materialize(both.groupBy("a").agg(F.min("b").alias("m")), "edges-least")
+        large = materialize(both.join(by_shuffle(m), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "edges-large")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "edges-least")
+        small = large.join(by_shuffle(low), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         e, last = materialize(small, "edges"), e
-        discard(last)
+        for done in (m, large, low, last):
+            discard(done)
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -259,10 +267,10 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
         fps = materialize(fingerprints(docs, shingle), "fingerprints", stays=True)
         nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fp-nodes")
         roots = components(links(nodes.select("fp"), radius, width(nodes.count(), radius)))
-        named = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root")), "nodes")
+        named = materialize(nodes.join(by_shuffle(roots), nodes["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root")), "nodes")
         smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-        by_fp = materialize(named.join(smallest, "root").select("fp", "component_id"), "fp-components", stays=True)
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+        by_fp = materialize(named.join(by_shuffle(smallest), "root").select("fp", "component_id"), "fp-components", stays=True)
+    return fps.join(by_shuffle(by_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Documents of the corpus are near-duplicates at a Jaccard similarity of ``SIMILAR`` of their sets of ``NEAR_SHINGLE``-word shingles.
@@ -307,7 +315,7 @@ def word_hash(text: Column) -> Column:
 
 
 def near_bands(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """``docs``: doc_id, text -> doc_id, same (hash of the words), bands array<long> (empty where there is no word)."""
+    """``docs``: doc_id, text -> doc_id, same (hash of the words), fp (SimHash of the shingles), bands array<long> (empty where there is no word)."""
 
     def run(batches):
         for whole in batches:
@@ -315,12 +323,13 @@ def near_bands(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
                 sets = [_shingle_hashes(words(t.as_py()), shingle) for t in b.column("text")]
                 full = [h for h in sets if len(h)]
                 flat = bands(full).ravel() if full else np.empty(0, np.int64)
+                fp = np.array([_majority(bit_counts(h), len(h)) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
                 ends = np.cumsum([0] + [BANDS * bool(len(h)) for h in sets])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), lists], names=["doc_id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(fp), lists], names=["doc_id", "same", "fp", "bands"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hash(F.col("text")).alias("same"), "text")
-    return d.mapInArrow(run, "doc_id long, same long, bands array<long>")
+    return d.mapInArrow(run, "doc_id long, same long, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
@@ -405,21 +414,38 @@ def alike(edges: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where(both / (F.size("a") + F.size("b") - both) >= similar).select("src", "dst")
 
 
-def near_roots(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``nodes``: node, fp -> candidates (src, dst): nodes of one fingerprint meet its smallest node, those of linked fingerprints each other's."""
+    fps = materialize(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "near-fps")
+    linked = links(fps.select("fp"), radius, width(fps.count(), radius))
+    a, b = (fps.select(F.col("fp").alias(x), F.col("hub").alias(f"hub_{x}")) for x in ("src", "dst"))
+    between = linked.join(by_shuffle(a), "src").join(by_shuffle(b), "dst").select(F.col("hub_src").alias("src"), F.col("hub_dst").alias("dst"))
+    own = nodes.join(by_shuffle(fps), "fp").where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+    return between.union(own)
+
+
+def near_roots(docs: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """``docs``: doc_id, text -> same (hash of the words), first_doc (smallest doc_id of these words), root of the component.
 
-    Texts of the same words are one node, whatever their ids. Nodes that share a band's value are candidates; their
-    shingle sets decide. Links to a cell's hub are decided first; only what they leave apart is searched in full.
+    Texts of the same words are one node, whatever their ids. Candidates are the links of SimHash fingerprints within the
+    radius, found by the cells of segment counts as ``dedupe`` finds them, and, as fingerprints of similar texts may be
+    further apart than any radius finds, nodes that share a band's value. Their shingle sets decide. Links to a cell's hub
+    are decided first; only what they leave apart is searched in full.
     """
-    nodes = near_bands(docs).groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
+    nodes = near_bands(docs).groupBy("same").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "near-nodes")
+    with scratch_scope():  # its cells go before those of the bands are made; a node without words has no links
+        alike_prints = materialize(fingerprint_links(nodes.where("size(bands) > 0").select(F.col("same").alias("node"), "fp"), radius), "near-prints", stays=True)
     cells = shared_cells(nodes.select(F.col("same").alias("node"), F.posexplode("bands").alias("band", "value")), ["band", "value"])
-    edges = materialize(cells.where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct(), "near-candidates")
+    hubs = cells.where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+    edges = materialize(hubs.union(alike_prints.select(F.least("src", "dst"), F.greatest("src", "dst"))).distinct(), "near-candidates")
+    ends = cells.select(F.col("node").alias("same")).union(alike_prints.select("src")).union(alike_prints.select("dst"))
     # the texts of each candidate node under its smallest id: they have the same words, so any of them gives its shingles
-    chosen = nodes.join(cells.select(F.col("node").alias("same")).distinct(), "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
+    chosen = nodes.join(ends.distinct(), "same", "left_semi").select(F.col("same").alias("key"), F.col("first_doc").alias("of_doc"))
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", word_hash(F.col("text")).alias("same"))
     texts = hashed.join(chosen, (F.col("same") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("key", "text")
     sets = materialize(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "near-shingles")
+    discard(alike_prints)
     good = materialize(alike(edges, sets, similar), "near-links")
     roots = components(good)
     left = open_cells(cells, roots)
@@ -427,7 +453,7 @@ def near_roots(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         few = alike(pairs_apart(left.where(F.col("n") <= SHORT)), sets, similar)
         many = near_forest(left.where(F.col("n") > SHORT), sets, similar)
         roots = components(good.union(materialize(few.union(many).distinct(), "near-more")))
-    return nodes.drop("bands").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root"))
+    return nodes.drop("bands", "fp").join(roots, F.col("same") == F.col("node"), "left").select("same", "first_doc", F.coalesce("root", "same").alias("root"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
