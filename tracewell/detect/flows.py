@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regexes import glob_to_java
 from ..policy.columns import strictest
-from .secrets import MIN_LENGTH, encodings, passage_prints, secret_values
+from .secrets import MIN_LENGTH, encodings, printed, secret_values
 
 # Of a session's secret values and of a contract's fingerprints so many, the first read, are kept.
 MOST_VALUES, MOST_PRINTS = 1000, 200_000
@@ -166,7 +166,10 @@ def flow_hits(calls: DataFrame, flows: Sequence[Flow], most: int | None = MOST_P
     read under a contract the first ``most`` fingerprints are kept; None keeps all.
     """
     source, sink = flow_places(flows)
-    rows = lambda flow, text: calls.select("id", "session_id", F.col("ts_ms").alias("at"), flow.alias("flows"), text.alias("text")).where("size(flows) > 0 AND text <> ''").select("*", F.posexplode(F.array_distinct(passage_prints(F.col("text")))).alias("pos", "print")).select("id", "session_id", "at", F.explode("flows").alias("flow"), "pos", "print")
+    def rows(flow, text):
+        c = calls.select("id", "session_id", F.col("ts_ms").alias("at"), flow.alias("flows"), text.alias("text")).where("size(flows) > 0 AND text <> ''")
+        return printed(c, F.col("text")).select("id", "session_id", "at", F.explode("flows").alias("flow"), "pos", "print")
+
     key = ["session_id", "flow", "print"]
     read = rows(source, F.col("result_text")).groupBy(*key).agg(F.min(F.struct("at", "id", "pos")).alias("f"))
     read = read.select(*key, F.col("f.at").alias("since"), F.col("f.id").alias("reader"), F.col("f.pos").alias("pos"))

@@ -11,9 +11,11 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import fields, slices
 from ..functions.regexes import lowered, matches, may_match, re2_to_java, spread
 from .scan import BIDI, CONTROL, FLAG, TAGS, ZERO_WIDTH, cut_bytes
 
@@ -117,23 +119,38 @@ def segments(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
     Whole texts; with ``most_bytes`` only so many of a text (``file_findings`` tells which files are larger).
     """
 
-    @F.pandas_udf(SEGMENTS)
-    def split(path: pd.Series, text: pd.Series) -> pd.Series:
-        whole = lambda t: [{"kind": "code", "lang": "", "text": t, "line": 1, "load_time": False}]
-        return pd.Series([[{k: x for k, x in seg.items() if k != "inline"} for seg in split_markdown(t)] if p.lower().endswith((".md", ".markdown")) else whole(t) for p, t in zip(path.fillna(""), text.fillna(""))])
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_())
+    columns = ("kind", "lang", "text", "line", "load_time")
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                at, held = [], []
+                for i, (path, text) in enumerate(zip(b.column("path").to_pylist(), b.column("text").to_pylist())):
+                    text = text or ""
+                    segs = split_markdown(text) if (path or "").lower().endswith((".md", ".markdown")) else [{"kind": "code", "lang": "", "text": text, "line": 1, "load_time": False}]
+                    at += [i] * len(segs)
+                    held += [tuple(seg[c] for c in columns) for seg in segs]
+                kept = b.select(["skill", "path"]).take(pa.array(at, pa.int32())).columns
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(zip(*held) if held else [()] * 5, kinds))], names=["skill", "path", *columns])
 
     text = F.col("text") if most_bytes is None else cut_bytes(F.col("text"), most_bytes)
-    return spread(files).select("skill", "path", F.inline(split("path", text)))
+    rows = spread(files).select("skill", "path", text.alias("text"))
+    return rows.mapInArrow(run, ", ".join([*fields(rows.select("skill", "path")), "kind string, lang string, text string, line int, load_time boolean"]))
 
 
 _DROP = dict.fromkeys([0xAD, 0x200B, *range(0x2060, 0x2065), 0xFEFF, 0x180E, *range(0xFE00, 0xFE10), *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0xE0001, 0xE007F])
 _SPELLED = {0xE0000 + c: chr(c) for c in range(0x20, 0x7F)}  # tag characters say what they smuggle
+_FOLDED = _DROP | _SPELLED
+_FOLDS = re.compile(f"[{''.join(map(chr, _FOLDED))}]")
 _QUOTES = str.maketrans("\u2018\u2019\u201c\u201d", "''" + '""')
 
 
 def fold(text: str) -> str:
     """What patterns look at: compatibility forms folded, invisible characters gone or spelled out, quotes straightened, blanks collapsed."""
-    return re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", text.translate(_DROP | _SPELLED)).translate(_QUOTES))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text.translate(_FOLDED) if _FOLDS.search(text) else text).translate(_QUOTES)
+    return re.sub(r"[ \t]{2,}|\t", " ", text)
 
 
 def folded(text: Column) -> Column:
@@ -146,6 +163,18 @@ def folded(text: Column) -> Column:
     return run(text)
 
 
+def with_folded(segs: DataFrame) -> DataFrame:
+    """``segs`` with folded, its text's ``fold``; texts are taken a slice of a batch at a time."""
+    names = [*segs.columns, "folded"]
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if t is None else fold(t) for t in b.column("text").to_pylist()], pa.string())], names=names)
+
+    return segs.mapInArrow(run, ", ".join([*fields(segs), "folded string"]))
+
+
 #: Rules on the raw text: rule, severity, kinds, Java pattern.
 RAW_RULES = [
     ("hidden-unicode-tags", "high", ("prose", "code", "comment", "front"), TAGS),
@@ -193,7 +222,8 @@ def text_findings(segs: DataFrame, most: int = HITS_PER_RULE) -> DataFrame:
     Of a rule's hits in a segment the first ``most`` are listed; ``more``, at the last of these, counts the rest.
     Which rules hit at all is decided first, by guarded patterns; places are looked for only then.
     """
-    s = segs.withColumn("folded", folded(F.col("text"))).withColumn("bare", F.regexp_replace("text", FLAG, ""))
+    bare = F.when(F.contains("text", F.lit("\U0001f3f4")), F.regexp_replace("text", FLAG, "")).otherwise(F.col("text"))
+    s = with_folded(segs).withColumn("bare", bare)
     s = s.withColumn("low", lowered(F.col("folded"))).withColumn("raw_low", lowered(F.col("bare")))
     kinds_of = lambda kinds: F.col("kind").isin(*kinds)
     found = lambda rule, severity, pattern, raw: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(pattern).cast("string").alias("pattern"), F.lit(raw).alias("raw"))
