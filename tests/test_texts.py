@@ -65,3 +65,17 @@ def test_documents(spark):
     for d, r in zip(DOCUMENTS, rows):
         long = len((d or "").encode()) > 9
         assert r["w"] == long and (json.loads(r["t"]) == {"_bytes": len(d.encode()), "_truncated": True, "head": d[:9]} if long else r["t"] == d)
+
+
+def test_shorter_word_boundaries_match_as_re2(spark):
+    """Where a word can only begin, its boundary is written shorter; matches are RE2's."""
+    import duckdb
+
+    from tracewell.functions import regexes
+
+    texts = ["keep", "akeep", "é keep", "ékeep", " ignore", "aignore", "x curl", "xcurl", "_wget", "wget|sh", "send", "xsend", "éignore", "npx a", "a.npx", "rm -rf /", "cat id_rsa", "xid_rsa", ".env", "uvx a", "UVX", "CURL x", "curlx"]
+    patterns = [r"(?i)\b(keep|ignore)", r"(?i)\bignore", r"(?i)\b(curl|wget)\b|rm\s+-rf|\bnpx", r"\bid_(rsa|dsa)\b|(?i)\.ENV|\bUVX", r"(?i)\bsend|\bcurl|\bxyzzy"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("low", regexes.lowered(F.col("text")))
+    for p in patterns:
+        got = [r[0] for r in df.select(regexes.matches(F.col("text"), F.col("low"), p)).collect()]
+        assert got == [duckdb.execute("SELECT regexp_matches(?, ?)", [t, p]).fetchone()[0] for t in texts], p

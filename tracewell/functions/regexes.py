@@ -91,6 +91,14 @@ class _Reader:
         self.i -= 2
         self.fail(f"unknown escape \\{c}")
 
+    def boundary(self, folds: bool) -> str:
+        """A word's boundary: its beginning if what follows at ``i`` can only be a letter or digit (k and s fold with letters that are none)."""
+        group = re.match(r"\((?:\?:)?([^()\[\]\\]*)\)(?![?*{])", self.p[self.i :])
+        firsts = group[1].split("|") if group else [self.p[self.i :]]
+        if not all(re.match(rf"[{_WORD}](?![?*{{])", x) for x in firsts) or (folds and any(x[0] in "KkSs" for x in firsts)):
+            return "b"
+        return f"(?<![{_WORD}])" + (f"(?=[{_WORD}])" if folds and any(x[0] in "Ii" for x in firsts) else "")  # Java folds a dotless i
+
     def klass(self) -> str:
         """The bracketed class at ``i``."""
         p, self.i = self.p, self.i + 1
@@ -146,9 +154,11 @@ class _Reader:
                     self.i = end + 2 if end >= 0 else len(p)
                 else:
                     kind, value = self.escape()
+                    if value == "b" and kind == "place":
+                        value = self.boundary(flags["i"])
                     out.append(
                         self.char(value) if kind == "char" else (f"[{self.ranges(value)}]" if value else "(?!)") if kind == "set" else value if kind == "property"
-                        else {"A": r"\A", "z": r"\z" if self.java else r"\Z", "b": _BOUNDARY, "B": _NOT_BOUNDARY}[value]
+                        else {"A": r"\A", "z": r"\z" if self.java else r"\Z", "b": _BOUNDARY, "B": _NOT_BOUNDARY}.get(value, value)
                     )
                 again = "yes"
             elif c == "[":
