@@ -6,6 +6,8 @@ These are what a call goes through before it is stored: redact, hash, estimate,
 from __future__ import annotations
 
 import json
+import re
+from json.encoder import encode_basestring
 
 import pandas as pd
 import pyarrow as pa
@@ -22,28 +24,52 @@ def _strict(name: str):
 
 
 _ESCAPES = {ord("<"): "\\u003c", ord(">"): "\\u003e", ord("&"): "\\u0026", 0x2028: "\\u2028", 0x2029: "\\u2029"}
+_ESCAPED, _HALF = re.compile("[<>&\u2028\u2029]"), re.compile("[\ud800-\udfff]")
 
 
-def _write(v) -> str:
+class _AsWritten(json.JSONDecoder):
+    """Reads JSON with its numbers as they are written; tasks make their own."""
+
+    def __init__(self):
+        json.JSONDecoder.__init__(self, parse_int=_Number, parse_float=_Number, parse_constant=_strict)
+
+    def __reduce__(self):
+        return _AsWritten, ()
+
+
+_AS_WRITTEN = _AsWritten()
+#: Made once: ``json.dumps`` makes a writer a call.
+_PLAIN = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False)
+_SORTED = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False, sort_keys=True, allow_nan=False)
+
+
+def _member(v) -> str:
     if isinstance(v, _Number):
         return v
+    if isinstance(v, str):
+        return encode_basestring(v if v.isascii() else _HALF.sub("\ufffd", v))  # half a surrogate pair is no character
     if isinstance(v, dict):
-        return "{" + ",".join(f"{_write(k)}:{_write(v[k])}" for k in sorted(v)) + "}"
+        return "{" + ",".join([f"{_member(k)}:{_member(v[k])}" for k in sorted(v)]) + "}"
     if isinstance(v, list):
-        return "[" + ",".join(map(_write, v)) + "]"
-    if isinstance(v, str):
-        whole = "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in v)  # half a surrogate pair is no character
-        return json.dumps(whole, ensure_ascii=False).translate(_ESCAPES)
+        return "[" + ",".join([_member(x) for x in v]) + "]"
     return json.dumps(v)
 
 
+def _escaped(text: str) -> str:
+    """JSON text whose strings (nothing else has them) show these characters as escapes."""
+    return text.translate(_ESCAPES) if _ESCAPED.search(text) else text
+
+
+def _write(v) -> str:
+    return _escaped(_member(v))
+
+
 def canonical_text(document: str | None) -> str | None:
     """Keys sorted, no blanks, numbers as written, ``< > &`` escaped; what is no JSON stays as it is; blank is empty."""
     if document is None or not document.strip(" \t\r\n"):
         return None if document is None else ""
     try:
-        decoder = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_strict)
-        return _write(decoder.raw_decode(document.lstrip(" \t\r\n"))[0])
+        return _write(_AS_WRITTEN.raw_decode(document.lstrip(" \t\r\n"))[0])
     except (ValueError, RecursionError):
         return document
 
@@ -51,17 +77,30 @@ def canonical_text(document: str | None) -> str | None:
 def canonical(document: Column) -> Column:
     """``canonical_text`` of a column: equal documents give equal texts."""
 
-    @F.pandas_udf("string")
-    def run(docs: pd.Series) -> pd.Series:
-        return docs.map(canonical_text, na_action="ignore")
+    @F.arrow_udf("string")
+    def run(docs: pa.Array) -> pa.Array:
+        return pa.array([canonical_text(d) for d in docs.to_pylist()], pa.string())
 
     return run(document)
 
 
+def _hash(canonical: Column) -> Column:
+    c = F.coalesce(canonical, F.lit(""))
+    return F.when(c == "", "").otherwise(F.sha2(c, 256))
+
+
 def document_hash(document: Column) -> Column:
     """SHA-256 of the canonical form; of an empty or missing document the empty text."""
-    c = F.coalesce(canonical(document), F.lit(""))
-    return F.when(c == "", "").otherwise(F.sha2(c, 256))
+    return _hash(canonical(document))
+
+
+def written(value) -> tuple[str, str]:
+    """(the JSON text of a parsed value, that text's canonical form)."""
+    text = _PLAIN.encode(value)
+    try:
+        return text, _escaped(_SORTED.encode(value))
+    except ValueError:  # no number
+        return text, canonical_text(text)
 
 
 #: Members of a definition; all but the name are left out of its hash where they say nothing.
@@ -108,11 +147,12 @@ def truncated(document: Column, most_bytes: int) -> tuple[Column, Column]:
 
 def prepare(calls: DataFrame, most_bytes: int, patterns=None) -> DataFrame:
     """``calls``: args_json, result_json, ... -> as they are stored: secrets redacted, hashed, tokens estimated, then cut."""
-    from ..detect.secrets import REDACTIONS, redact_json
+    from ..detect.secrets import REDACTIONS, redacted_json
 
-    clean = lambda c: redact_json(F.col(c), REDACTIONS if patterns is None else patterns)
-    c = calls.withColumn("args_json", clean("args_json")).withColumn("result_json", clean("result_json"))
-    c = c.withColumns({"args_hash": document_hash(F.col("args_json")), "result_hash": document_hash(F.col("result_json")), "tokens_est": tokens_estimate(F.col("args_json"), F.col("result_json"))})
+    both = {c: redacted_json(F.col(f"{c}_json"), REDACTIONS if patterns is None else patterns) for c in ("args", "result")}
+    c = calls.withColumns({f"_{k}": v for k, v in both.items()})
+    c = c.withColumns({"args_json": F.col("_args.text"), "result_json": F.col("_result.text"), "args_hash": _hash(F.col("_args.canonical")), "result_hash": _hash(F.col("_result.canonical"))})
+    c = c.withColumn("tokens_est", tokens_estimate(F.col("args_json"), F.col("result_json"))).drop("_args", "_result")
     args, _ = truncated(F.col("args_json"), most_bytes)
     result, cut = truncated(F.col("result_json"), most_bytes)
     return c.withColumn("result_truncated", cut).withColumns({"args_json": args, "result_json": result})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import documents
+from ..functions.regexes import spread
 from ..operators import audit, behavior, chain, ordered
 from ..policy import columns, model
 from ..sources import adapters
@@ -396,6 +397,7 @@ strlen(r) > 40 AS result_truncated, sha256(r) AS result_hash, CASE WHEN strlen(r
 FROM (SELECT *, '{{"a":[1.0,"' || tool || '"],"b":{{"k":' || {NUMBER} || ',"ts":' || ts_ms || '}}}}' AS r FROM calls)""")
 def prepared_calls(c, s):
     result = F.format_string(' { "b" : {"ts": %s, "k": %s},\n "a": [ 1.0, "%s" ] } ', F.col("ts_ms"), F.get_json_object("args_json", "$.k"), F.col("tool"))
+    c = spread(c.select("id", "args_json", "ts_ms", "tool"))
     raw = c.select("id", "args_json", documents.canonical(result).alias("result_json"))
     return documents.prepare(raw, 40)
 
