@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 _WORD = "A-Za-z0-9_"
 #: construct -> the spelling of the same meaning by look-around (ASCII word boundaries).
-_BOUNDARY = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
-_NOT_BOUNDARY = f"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"
+_BOUNDARY = "(?:(?<!{w})(?={w})|(?<={w})(?!{w}))"
+_NOT_BOUNDARY = "(?:(?<={w})(?={w})|(?<!{w})(?!{w}))"
 #: Named sets as ranges of code points. RE2's.
 SETS = {
     "alnum": [(48, 57), (65, 90), (97, 122)], "alpha": [(65, 90), (97, 122)], "ascii": [(0, 127)], "blank": [(9, 9), (32, 32)], "cntrl": [(0, 31), (127, 127)],
@@ -29,6 +29,17 @@ class PatternError(ValueError):
     """A pattern that RE2 does not take."""
 
 
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in any order as ascending ones that do not touch."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _others(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The ranges that ``ranges`` (ascending) leave."""
     out, at = [], 0
@@ -53,6 +64,23 @@ class _Reader:
     def ranges(self, rs: list[tuple[int, int]]) -> str:
         return "".join(self.char(a) if a == b else f"{self.char(a)}-{self.char(b)}" for a, b in rs)
 
+    def members(self, rs: list[tuple[int, int]], properties: list[str], negative: bool, folds: bool) -> str:
+        """The class of ``rs`` and ``properties``, or of all others.
+
+        Java looks characters below 256 up in one table if they are written one by one, but tries ranges one after the other;
+        under ``(?i)`` the two fold differently, so ranges stay there.
+        """
+        if self.java and not folds:
+            rs = _joined(rs)
+            if not properties and rs and rs[-1][1] == LAST_CODE:
+                rs, negative = _others(rs), not negative
+            low = [(c, c) for a, b in rs for c in range(a, min(b, 255) + 1)]
+            rs = low + [(max(a, 256), b) for a, b in rs if b > 255]
+        body = self.ranges(rs) + "".join(properties)
+        if not body:  # nothing, or everything
+            body, negative = self.ranges([(0, LAST_CODE)]), not negative
+        return f"[{'^' if negative else ''}{body}]"
+
     def fail(self, why: str):
         raise PatternError(f"{why} at {self.i} in {self.p!r}")
 
@@ -97,14 +125,23 @@ class _Reader:
         firsts = group[1].split("|") if group else [self.p[self.i :]]
         if not all(re.match(rf"[{_WORD}](?![?*{{])", x) for x in firsts) or (folds and any(x[0] in "KkSs" for x in firsts)):
             return "b"
-        return f"(?<![{_WORD}])" + (f"(?=[{_WORD}])" if folds and any(x[0] in "Ii" for x in firsts) else "")  # Java folds a dotless i
+        return f"(?<!{self.word(folds)})" + (f"(?=[{_WORD}])" if folds and any(x[0] in "Ii" for x in firsts) else "")  # Java folds a dotless i
+
+    def beside(self, place: str, folds: bool) -> str | None:
+        """A boundary, or none, before a character at ``i`` that is of no word: one look at what is before it."""
+        if self.java and not folds and re.match(rf"[^\\\[\](){{}}.*+?|^${_WORD}](?![?*{{])", self.p[self.i :]):
+            return f"(?<{'=' if place == 'b' else '!'}{self.word(folds)})"
+
+    def word(self, folds: bool) -> str:
+        """The class of a word's characters."""
+        return self.members(SETS["word"], [], False, folds) if self.java and not folds else f"[{_WORD}]"
 
-    def klass(self) -> str:
+    def klass(self, folds: bool) -> str:
         """The bracketed class at ``i``."""
         p, self.i = self.p, self.i + 1
         negative = p.startswith("^", self.i)
         self.i += negative
-        out, first = [], True
+        ranges, properties, first = [], [], True
         while True:
             if self.i >= len(p):
                 self.fail("a class without end")
@@ -115,7 +152,7 @@ class _Reader:
             if m := re.match(r"\[:(\^?)(\w+):\]", p[self.i :]):
                 if m[2] not in SETS:
                     self.fail("unknown class")
-                out.append(self.ranges(_others(SETS[m[2]]) if m[1] else SETS[m[2]]))
+                ranges += _others(SETS[m[2]]) if m[1] else SETS[m[2]]
                 self.i += m.end()
                 continue
             kind, value = self.one()
@@ -124,13 +161,12 @@ class _Reader:
                 to, last = self.one()
                 if to != "char" or last < value:
                     self.fail("not a range")
-                out.append(self.ranges([(value, last)]))
+                ranges.append((value, last))
+            elif kind == "property":
+                properties.append(value)
             else:
-                out.append(self.ranges([(value, value)]) if kind == "char" else self.ranges(value) if kind == "set" else value)
-        body = "".join(out)
-        if not body:  # nothing, or everything
-            body, negative = self.ranges([(0, LAST_CODE)]), not negative
-        return f"[{'^' if negative else ''}{body}]"
+                ranges += [(value, value)] if kind == "char" else value
+        return self.members(ranges, properties, negative, folds)
 
     def one(self) -> tuple[str, object]:
         """A character or an escape in a class."""
@@ -154,15 +190,15 @@ class _Reader:
                     self.i = end + 2 if end >= 0 else len(p)
                 else:
                     kind, value = self.escape()
-                    if value == "b" and kind == "place":
-                        value = self.boundary(flags["i"])
+                    if kind == "place" and value in "bB":
+                        value = self.beside(value, flags["i"]) or (self.boundary(flags["i"]) if value == "b" else value)
                     out.append(
-                        self.char(value) if kind == "char" else (f"[{self.ranges(value)}]" if value else "(?!)") if kind == "set" else value if kind == "property"
-                        else {"A": r"\A", "z": r"\z" if self.java else r"\Z", "b": _BOUNDARY, "B": _NOT_BOUNDARY}.get(value, value)
+                        self.char(value) if kind == "char" else (self.members(value, [], False, flags["i"]) if value else "(?!)") if kind == "set" else value if kind == "property"
+                        else {"A": r"\A", "z": r"\z" if self.java else r"\Z", "b": _BOUNDARY.format(w=self.word(flags["i"])), "B": _NOT_BOUNDARY.format(w=self.word(flags["i"]))}.get(value, value)
                     )
                 again = "yes"
             elif c == "[":
-                out.append(self.klass())
+                out.append(self.klass(flags["i"]))
                 again = "yes"
             elif c == "(":
                 again = None
