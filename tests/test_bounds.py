@@ -1,7 +1,11 @@
 """What a task or the driver holds does not follow the table."""
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
+from tests.test_flows import CALLS, contract
+from tracewell.detect import flows, secrets
 from tracewell.functions.batches import slices
 from tracewell.operators import ordered
 
@@ -21,3 +25,17 @@ def test_batches_are_taken_by_bytes():
 def test_no_frame_is_open_at_its_far_end(spark):
     calls = spark.createDataFrame([("a", "s", 1, ["x"])], "id string, session_id string, ts_ms long, labels array<string>")
     assert "unboundedfollowing" not in plan(ordered.shared_labels(calls)).lower()
+
+
+def test_fingerprints_do_not_carry_their_texts(spark):
+    texts = spark.createDataFrame([], "id long, text string")
+    for df in (secrets.passage_flow(texts, texts), flows.flow_hits(spark.createDataFrame([], CALLS), contract())):
+        made = [line.split("MapInArrow run(")[1].partition("[")[2] for line in plan(df).splitlines() if "MapInArrow run(" in line]
+        assert len(made) == 2 and all("print#" in x and "text#" not in x for x in made)
+
+
+@pytest.mark.parametrize("n", [0, 15, 16, 23, 24, 25, 40, 47, 48, 49, 300])
+def test_long_texts_are_taken_by_the_piece(n):
+    text = "".join(np.random.default_rng(n).choice(list("abcé \U0001f600"), n))
+    for most in (1, 7, 24, 25):
+        assert secrets.text_prints(text, most=most).tolist() == secrets.text_prints(text, most=10**9).tolist()

@@ -168,7 +168,7 @@ def flow_hits(calls: DataFrame, flows: Sequence[Flow], most: int | None = MOST_P
     source, sink = flow_places(flows)
     def rows(flow, text):
         c = calls.select("id", "session_id", F.col("ts_ms").alias("at"), flow.alias("flows"), text.alias("text")).where("size(flows) > 0 AND text <> ''")
-        return printed(c, F.col("text")).select("id", "session_id", "at", F.explode("flows").alias("flow"), "pos", "print")
+        return printed(c, F.col("text"), ["id", "session_id", "at", "flows"]).select("id", "session_id", "at", F.explode("flows").alias("flow"), "pos", "print")
 
     key = ["session_id", "flow", "print"]
     read = rows(source, F.col("result_text")).groupBy(*key).agg(F.min(F.struct("at", "id", "pos")).alias("f"))
